@@ -117,7 +117,17 @@ def _category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(bars: DataFrame, benchmark: str, null_as_zero: bool = False) -> DataFrame:
-    return op.pair_correlation(bars, op.benchmark_pairs(bars, benchmark), null_as_zero=null_as_zero)
+    return op.benchmark_correlation(bars, benchmark, null_as_zero=null_as_zero)
+
+
+# Pair list for the pair-list form: each order priority against the next one.
+FIXTURE_PAIRS = [("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("3-MEDIUM", "4-NOT SPECIFIED"),
+                 ("4-NOT SPECIFIED", "5-LOW"), ("5-LOW", "1-URGENT")]
+
+
+def _pair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame(FIXTURE_PAIRS, "symbol_a string, symbol_b string")
+    return op.pair_correlation(bars_o(spark, sf_dir), pairs)
 
 
 def _humanized(bars: DataFrame) -> DataFrame:
@@ -215,8 +225,20 @@ def bollinger_sql(src: str, dst: str) -> str:
                     bb_middle - bb_std * CAST(2.0 AS DOUBLE) AS bb_lower FROM {dst}_1)"""
 
 
+def seq_avg(x: str, frame: str) -> str:
+    """Frame mean summed oldest to newest, like Spark's sliding frame.
+
+    DuckDB's own windowed ``avg`` sums long frames along a segment tree; where
+    a frame holds exactly 200 cent prices the mean is a decimal tie at the
+    5th place and that last-bit difference would decide the rounding.
+    """
+    return f"(list_sum(list({x}) OVER {frame}) / NULLIF(list_count(list({x}) OVER {frame}), 0))"
+
+
 def ma_set_sql(src: str, dst: str, scope: str = "month") -> str:
-    cols = ", ".join(f"avg(Close) OVER {WR(scope, n)} AS ma_{n}" for n in (5, 10, 20, 50, 200))
+    mean = (lambda n: seq_avg("Close", WR(scope, n))) if scope == "symbol" else (
+        lambda n: f"avg(Close) OVER {WR(scope, n)}")
+    cols = ", ".join(f"{mean(n)} AS ma_{n}" for n in (5, 10, 20, 50, 200))
     return f"{dst} AS (SELECT *, {cols} FROM {src})"
 
 
@@ -299,6 +321,20 @@ result AS (SELECT *, (corr_high + corr_low) / 2 AS price_range_corr,
        ELSE 'Weak' END AS correlation_label FROM g)"""
 
 
+def pair_list_sql() -> str:
+    values = ", ".join(f"('{a}', '{b}')" for a, b in FIXTURE_PAIRS)
+    metrics = ", ".join(f"{corr_sql(f'a.{m}', f'b.{m}')} AS corr_{m.lower()}" for m in ("Close", "Volume", "High", "Low"))
+    return f"""pairs AS (SELECT * FROM (VALUES {values}) t(symbol_a, symbol_b)),
+g AS (SELECT p.symbol_a, p.symbol_b, count(*) AS n_days, {metrics}
+      FROM bars a JOIN pairs p ON a.symbol = p.symbol_a
+      JOIN bars b ON b.symbol = p.symbol_b AND b.Date = a.Date GROUP BY 1, 2),
+result AS (SELECT *, (corr_high + corr_low) / 2 AS price_range_corr,
+  CASE WHEN corr_close IS NULL THEN NULL
+       WHEN abs(corr_close) > 0.7 THEN 'Strong ' || CASE WHEN corr_close > 0 THEN 'positive' ELSE 'negative' END
+       WHEN abs(corr_close) > 0.3 THEN 'Moderate ' || CASE WHEN corr_close > 0 THEN 'positive' ELSE 'negative' END
+       ELSE 'Weak' END AS correlation_label FROM g)"""
+
+
 def edge_sql(n: int, desc: bool) -> str:
     order = "Date DESC" if desc else "Date"
     return f"result AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {order}) <= {n})"
@@ -529,6 +565,7 @@ def _entries() -> dict[str, Entry]:
     add("pair_correlation", _on_o(lambda b: _pairs(b, BENCHMARK_O)), _o(pair_sql(BENCHMARK_O)), pair_out)
     add("pair_correlation_events", lambda s, d: _pairs(bars_e(s, d), BENCHMARK_E),
         f"{BARS_E_SQL},\n{pair_sql(BENCHMARK_E)}", pair_out)
+    add("pair_correlation_list", _pair_list, _o(pair_list_sql()), pair_out)
     add("pair_correlation_zero", _on_o(lambda b: _pairs(b, BENCHMARK_O, null_as_zero=True)),
         _o(pair_sql(BENCHMARK_O, zero=True)), pair_out)
     # A8-A11 summaries

@@ -3,7 +3,9 @@
 from tickframe.operators.cleaning import (
     drop_missing, efficiency_ratio, fill_forward, flag_outliers, normalise, relative_volume,
 )
-from tickframe.operators.correlate import benchmark_pairs, correlation_label, guarded_corr, pair_correlation
+from tickframe.operators.correlate import (
+    benchmark_correlation, benchmark_pairs, correlation_label, guarded_corr, pair_correlation,
+)
 from tickframe.operators.oscillators import macd, momentum, rsi
 from tickframe.operators.preview import preview_first, preview_last, recent_ma
 from tickframe.operators.profile import (
@@ -20,7 +22,7 @@ from tickframe.operators.volatility import (
 )
 
 __all__ = [
-    "avg_true_range", "basic_stats", "benchmark_pairs", "bollinger_bands", "bollinger_position",
+    "avg_true_range", "basic_stats", "benchmark_correlation", "benchmark_pairs", "bollinger_bands", "bollinger_position",
     "correlation_label", "daily_return", "data_frequency", "drop_missing", "efficiency_ratio",
     "fill_forward", "flag_outliers", "guarded_corr", "high_volume_ratio", "intraday_return",
     "latest_report", "latest_row", "ma_cross", "ma_set", "macd", "missing_counts", "momentum",

@@ -1,13 +1,13 @@
 """Pair correlation.
 
-Pairs are always given (a list, a category, or every symbol against one
-benchmark): correlating all pairs of all symbols would emit every pair of
-every date. One pair costs a join of its two series on Date.
+Pairs are always given (a pair list, or every symbol against one benchmark):
+correlating all pairs of all symbols would emit every pair of every date.
+Both forms read the bars once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder, safe_div
@@ -47,7 +47,7 @@ def correlation_label(c: Column) -> Column:
 
 
 def benchmark_pairs(bars: DataFrame, benchmark: str) -> DataFrame:
-    """Every other symbol of ``bars`` paired with ``benchmark``."""
+    """Every other symbol of ``bars`` paired with ``benchmark`` (a pairs table)."""
     return (
         bars.select(F.col("symbol").alias("symbol_a"))
         .filter(F.col("symbol_a") != benchmark)
@@ -56,19 +56,9 @@ def benchmark_pairs(bars: DataFrame, benchmark: str) -> DataFrame:
     )
 
 
-def pair_correlation(bars: DataFrame, pairs: DataFrame, null_as_zero: bool = False) -> DataFrame:
-    """A5-A7 per pair: correlation of Close, Volume, High, Low over common dates.
-
-    ``pairs`` has ``symbol_a``, ``symbol_b``. Output: ``corr_close``,
-    ``corr_volume``, ``corr_high``, ``corr_low``, ``price_range_corr`` =
-    (high + low) / 2, ``n_days`` and ``correlation_label`` of Close.
-    ``null_as_zero=True`` turns undefined correlations into 0 as the
-    reference does.
-    """
-    a = bars.select(F.col("symbol").alias("symbol_a"), "Date", *[F.col(m).alias(f"{m}_a") for m in METRICS])
-    b = bars.select(F.col("symbol").alias("symbol_b"), "Date", *[F.col(m).alias(f"{m}_b") for m in METRICS])
-    joined = a.join(pairs, "symbol_a").join(b, ["symbol_b", "Date"])
-    out = joined.groupBy("symbol_a", "symbol_b").agg(
+def _correlate(per_day: DataFrame, null_as_zero: bool) -> DataFrame:
+    """``per_day``: symbol_a, symbol_b, Date, {m}_a, {m}_b for dates both sides have a bar."""
+    out = per_day.groupBy("symbol_a", "symbol_b").agg(
         F.count(F.lit(1)).alias("n_days"),
         *[guarded_corr(f"{m}_a", f"{m}_b").alias(f"corr_{m.lower()}") for m in METRICS],
     )
@@ -78,3 +68,47 @@ def pair_correlation(bars: DataFrame, pairs: DataFrame, null_as_zero: bool = Fal
     return out.withColumn(
         "price_range_corr", (F.col("corr_high") + F.col("corr_low")) / 2
     ).withColumn("correlation_label", correlation_label(F.col("corr_close")))
+
+
+def benchmark_correlation(bars: DataFrame, benchmark: str, null_as_zero: bool = False) -> DataFrame:
+    """A5-A7 of every symbol against ``benchmark``, in one pass over the bars.
+
+    A window per Date hands the benchmark's bar of that day to every other
+    row of the day, so neither a pairs table nor a self-join (a second scan
+    of the raw data) is needed. A Date group holds one row per symbol.
+    """
+    day = Window.partitionBy("Date")
+    is_b = F.col("symbol") == benchmark
+    tagged = bars.select(
+        F.col("symbol").alias("symbol_a"), "Date",
+        *[F.col(m).alias(f"{m}_a") for m in METRICS],
+        *[F.max(F.when(is_b, F.col(m))).over(day).alias(f"{m}_b") for m in METRICS],
+        F.max(is_b).over(day).alias("_has_b"),
+        is_b.alias("_is_b"),
+    )
+    per_day = tagged.filter(F.col("_has_b") & ~F.col("_is_b")).withColumn("symbol_b", F.lit(benchmark))
+    return _correlate(per_day, null_as_zero)
+
+
+def pair_correlation(bars: DataFrame, pairs: DataFrame, null_as_zero: bool = False) -> DataFrame:
+    """A5-A7 per requested pair: correlation of Close, Volume, High, Low over common dates.
+
+    ``pairs`` has ``symbol_a``, ``symbol_b``. Each bar is tagged with the
+    pairs and side it belongs to (a join with the pair list on ``symbol``,
+    which keeps the bars' ``hash(symbol)`` partitioning), then grouped per
+    (pair, Date) to line both sides up: one scan, no self-join.
+
+    Output: ``corr_close``, ``corr_volume``, ``corr_high``, ``corr_low``,
+    ``price_range_corr`` = (high + low) / 2, ``n_days`` and
+    ``correlation_label`` of Close. ``null_as_zero=True`` turns undefined
+    correlations into 0 as the reference does.
+    """
+    sides = pairs.select(F.col("symbol_a").alias("symbol"), F.lit("a").alias("_side"), "symbol_a", "symbol_b").union(
+        pairs.select(F.col("symbol_b").alias("symbol"), F.lit("b").alias("_side"), "symbol_a", "symbol_b")
+    ).distinct()
+    tagged = bars.join(sides, "symbol")
+    aggs = [F.max(F.col("_side") == side).alias(f"_has_{side}") for side in ("a", "b")]
+    for side in ("a", "b"):
+        aggs += [F.max(F.when(F.col("_side") == side, F.col(m))).alias(f"{m}_{side}") for m in METRICS]
+    per_day = tagged.groupBy("symbol_a", "symbol_b", "Date").agg(*aggs).filter(F.col("_has_a") & F.col("_has_b"))
+    return _correlate(per_day, null_as_zero)

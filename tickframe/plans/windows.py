@@ -21,12 +21,28 @@ at most 31, whatever the volume of the raw orders or events behind them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SCOPES = ("symbol", "month", "week")
 
 
+def cluster_by_symbol(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Hash-partition bars by ``symbol`` once, before any window.
+
+    ``hashpartitioning(symbol)`` satisfies the clustering of every scope
+    (``symbol``, ``(symbol, month)``, ``(symbol, week)``), so all later window
+    and per-symbol aggregate operators plan a local sort and no exchange.
+    Without it each month-scope window keys on a freshly aliased
+    ``trunc(Date, 'month')`` and Spark shuffles again for every one of them.
+    Bars are already reduced (one row per symbol and day), so this is a small
+    shuffle; the raw rows behind them are combined map side first.
+    """
+    if num_partitions is None:
+        return df.repartition("symbol")
+    return df.repartition(num_partitions, "symbol")
+
+
 def scope_keys(scope: str) -> list[Column]:
     if scope == "symbol":
         return [F.col("symbol")]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.plans.windows import cluster_by_symbol
 from tickframe.schema import BAR_SCHEMA
 
 
@@ -34,16 +35,14 @@ def bars_from_ticks(
     """
     c = lambda x: F.col(x) if isinstance(x, str) else x
     price = c(price)
-    return (
-        ticks.groupBy(c(symbol).alias("symbol"), c(ts).cast("date").alias("Date"))
-        .agg(
-            F.min_by(price, order_key).alias("Open"),
-            F.max(price).alias("High"),
-            F.min(price).alias("Low"),
-            F.max_by(price, order_key).alias("Close"),
-            volume.cast("bigint").alias("Volume"),
-        )
+    bars = ticks.groupBy(c(symbol).alias("symbol"), c(ts).cast("date").alias("Date")).agg(
+        F.min_by(price, order_key).alias("Open"),
+        F.max(price).alias("High"),
+        F.min(price).alias("Low"),
+        F.max_by(price, order_key).alias("Close"),
+        volume.cast("bigint").alias("Volume"),
     )
+    return cluster_by_symbol(bars)
 
 
 def bars_from_orders(orders: DataFrame) -> DataFrame:
@@ -82,4 +81,4 @@ def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None
     df = reader.format(fmt).load(path)
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(list(symbols)))
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in BAR_SCHEMA.fields])
+    return cluster_by_symbol(df.select(*[F.col(f.name).cast(f.dataType) for f in BAR_SCHEMA.fields]))
