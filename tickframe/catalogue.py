@@ -191,12 +191,23 @@ def ln(x: str) -> str:
     return f"(CASE WHEN ({x}) > 0 THEN ln({x}) END)"
 
 
+def seq_avg(x: str, frame: str) -> str:
+    """Frame mean summed oldest to newest, like Spark's sliding frame.
+
+    DuckDB's own windowed ``avg`` sums long frames along a segment tree. Means
+    of cent prices are often exact decimal ties at the 5th place (a frame of
+    200 bars, or 24 bars whose sum divides by 3), and there the last-bit
+    difference of another summation order would decide the rounding.
+    """
+    return f"(list_sum(list({x}) OVER {frame}) / NULLIF(list_count(list({x}) OVER {frame}), 0))"
+
+
 def rsi_sql(src: str, dst: str, variant: str = "a", scope: str = "month", period: int = 14) -> str:
     rows = period if variant == "a" else period - 1
     return f"""{dst}_1 AS (SELECT *, Close - lag(Close, 1) OVER {W(scope)} AS price_change FROM {src}),
 {dst}_2 AS (SELECT *, CASE WHEN price_change > 0 THEN price_change ELSE CAST(0 AS DOUBLE) END AS gain,
                       CASE WHEN price_change < 0 THEN -price_change ELSE CAST(0 AS DOUBLE) END AS loss FROM {dst}_1),
-{dst}_3 AS (SELECT *, avg(gain) OVER {WR(scope, rows)} AS avg_gain, avg(loss) OVER {WR(scope, rows)} AS avg_loss
+{dst}_3 AS (SELECT *, {seq_avg('gain', WR(scope, rows))} AS avg_gain, {seq_avg('loss', WR(scope, rows))} AS avg_loss
             FROM {dst}_2),
 {dst}_4 AS (SELECT *, avg_gain / NULLIF(avg_loss, 0) AS rs FROM {dst}_3),
 {dst} AS (SELECT *, 100 - 100 / (1 + rs) AS rsi FROM {dst}_4)"""
@@ -205,40 +216,28 @@ def rsi_sql(src: str, dst: str, variant: str = "a", scope: str = "month", period
 def macd_sql(src: str, dst: str, variant: str = "a", scope: str = "month") -> str:
     d = MACD_DECIMALS
     if variant == "a":
-        return f"""{dst}_1 AS (SELECT *, coalesce(exp(avg({ln('Close')}) OVER {WR(scope, 12)}), Close) AS ema_12,
-                      coalesce(exp(avg({ln('Close')}) OVER {WR(scope, 26)}), Close) AS ema_26 FROM {src}),
+        return f"""{dst}_1 AS (SELECT *, coalesce(exp({seq_avg(ln('Close'), WR(scope, 12))}), Close) AS ema_12,
+                      coalesce(exp({seq_avg(ln('Close'), WR(scope, 26))}), Close) AS ema_26 FROM {src}),
 {dst}_2 AS (SELECT *, coalesce({rnd('ema_12 - ema_26', d)}, CAST(0 AS DOUBLE)) AS macd_line FROM {dst}_1),
-{dst}_3 AS (SELECT *, coalesce({rnd(f"exp(avg({ln('abs(macd_line) + CAST(0.00001 AS DOUBLE)')}) OVER {WR(scope, 9)})", d)},
+{dst}_3 AS (SELECT *, coalesce({rnd(f"exp({seq_avg(ln('abs(macd_line) + CAST(0.00001 AS DOUBLE)'), WR(scope, 9))})", d)},
                                macd_line) AS signal_line FROM {dst}_2),
 {dst} AS (SELECT *, coalesce({rnd('macd_line - signal_line', d)}, CAST(0 AS DOUBLE)) AS macd_histogram FROM {dst}_3)"""
-    return f"""{dst}_1 AS (SELECT *, exp(avg({ln('Close')}) OVER {WR(scope, 11)}) AS ema_fast,
-                      exp(avg({ln('Close')}) OVER {WR(scope, 25)}) AS ema_slow FROM {src}),
+    return f"""{dst}_1 AS (SELECT *, exp({seq_avg(ln('Close'), WR(scope, 11))}) AS ema_fast,
+                      exp({seq_avg(ln('Close'), WR(scope, 25))}) AS ema_slow FROM {src}),
 {dst}_2 AS (SELECT *, {rnd('ema_fast - ema_slow', d)} AS macd_line FROM {dst}_1),
-{dst}_3 AS (SELECT *, {rnd(f"exp(avg({ln('macd_line')}) OVER {WR(scope, 8)})", d)} AS signal_line FROM {dst}_2),
+{dst}_3 AS (SELECT *, {rnd(f"exp({seq_avg(ln('macd_line'), WR(scope, 8))})", d)} AS signal_line FROM {dst}_2),
 {dst} AS (SELECT *, {rnd('macd_line - signal_line', d)} AS macd_histogram FROM {dst}_3)"""
 
 
 def bollinger_sql(src: str, dst: str) -> str:
-    return f"""{dst}_1 AS (SELECT *, avg(Close) OVER {WR('symbol', 20)} AS bb_middle,
+    return f"""{dst}_1 AS (SELECT *, {seq_avg('Close', WR('symbol', 20))} AS bb_middle,
                       stddev_samp(Close) OVER {WR('symbol', 20)} AS bb_std FROM {src}),
 {dst} AS (SELECT *, bb_middle + bb_std * CAST(2.0 AS DOUBLE) AS bb_upper,
                     bb_middle - bb_std * CAST(2.0 AS DOUBLE) AS bb_lower FROM {dst}_1)"""
 
 
-def seq_avg(x: str, frame: str) -> str:
-    """Frame mean summed oldest to newest, like Spark's sliding frame.
-
-    DuckDB's own windowed ``avg`` sums long frames along a segment tree; where
-    a frame holds exactly 200 cent prices the mean is a decimal tie at the
-    5th place and that last-bit difference would decide the rounding.
-    """
-    return f"(list_sum(list({x}) OVER {frame}) / NULLIF(list_count(list({x}) OVER {frame}), 0))"
-
-
 def ma_set_sql(src: str, dst: str, scope: str = "month") -> str:
-    mean = (lambda n: seq_avg("Close", WR(scope, n))) if scope == "symbol" else (
-        lambda n: f"avg(Close) OVER {WR(scope, n)}")
-    cols = ", ".join(f"{mean(n)} AS ma_{n}" for n in (5, 10, 20, 50, 200))
+    cols = ", ".join(f"{seq_avg('Close', WR(scope, n))} AS ma_{n}" for n in (5, 10, 20, 50, 200))
     return f"{dst} AS (SELECT *, {cols} FROM {src})"
 
 
@@ -468,8 +467,8 @@ def _entries() -> dict[str, Entry]:
     add("preview_first40", _on_o(lambda b: op.preview_first(b, 40)), _o(edge_sql(40, False)), BAR_OUT)
     add("preview_last40", _on_o(lambda b: op.preview_last(b, 40)), _o(edge_sql(40, True)), BAR_OUT)
     add("recent_ma", _on_o(op.recent_ma),
-        _o(f"m AS (SELECT symbol, Date, Close, avg(Close) OVER {WR('symbol', 4)} AS Close_MA_5,"
-           f" avg(Close) OVER {WR('symbol', 19)} AS Close_MA_20, avg(Close) OVER {WR('symbol', 49)} AS Close_MA_50"
+        _o(f"m AS (SELECT symbol, Date, Close, {seq_avg('Close', WR('symbol', 4))} AS Close_MA_5,"
+           f" {seq_avg('Close', WR('symbol', 19))} AS Close_MA_20, {seq_avg('Close', WR('symbol', 49))} AS Close_MA_50"
            " FROM bars),\nresult AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY Date DESC) <= 5)"),
         "symbol Date Close:d Close_MA_5:d Close_MA_20:d Close_MA_50:d")
     # A1-A3 profile
@@ -497,13 +496,13 @@ def _entries() -> dict[str, Entry]:
         "n_outliers")
     # W5, W6 trend
     add("moving_averages", _on_o(op.moving_averages),
-        _o(f"result AS (SELECT *, avg(Close) OVER {WR('symbol', 4)} AS Close_MA_5,"
-           f" avg(Close) OVER {WR('symbol', 19)} AS Close_MA_20, avg(Close) OVER {WR('symbol', 49)} AS Close_MA_50"
+        _o(f"result AS (SELECT *, {seq_avg('Close', WR('symbol', 4))} AS Close_MA_5,"
+           f" {seq_avg('Close', WR('symbol', 19))} AS Close_MA_20, {seq_avg('Close', WR('symbol', 49))} AS Close_MA_50"
            " FROM bars)"),
         "symbol Date Close:d Close_MA_5:d Close_MA_20:d Close_MA_50:d")
     add("ma_cross", _on_o(op.ma_cross),
-        _o(f"m AS (SELECT *, avg(Close) OVER {WR('symbol', 4)} AS Close_MA_5,"
-           f" avg(Close) OVER {WR('symbol', 19)} AS Close_MA_20 FROM bars),\n"
+        _o(f"m AS (SELECT *, {seq_avg('Close', WR('symbol', 4))} AS Close_MA_5,"
+           f" {seq_avg('Close', WR('symbol', 19))} AS Close_MA_20 FROM bars),\n"
            f"m2 AS (SELECT *, lag(Close_MA_5, 1) OVER {W('symbol')} AS ps, lag(Close_MA_20, 1) OVER {W('symbol')} AS pl"
            " FROM m),\nresult AS (SELECT *, CASE WHEN Close_MA_5 > Close_MA_20 AND ps <= pl THEN 'Golden Cross (Buy)'"
            " WHEN Close_MA_5 < Close_MA_20 AND ps >= pl THEN 'Death Cross (Sell)' ELSE 'No Signal' END"
@@ -642,7 +641,7 @@ def _entries() -> dict[str, Entry]:
            " FROM d JOIN q ON d.symbol = q.symbol)"),
         "symbol Date daily_return:d is_outlier")
     add("relative_volume", _on_o(op.relative_volume),
-        _o(f"result AS (SELECT *, CAST(Volume AS DOUBLE) / NULLIF(avg(Volume) OVER {WR('symbol', 19)}, 0)"
+        _o(f"result AS (SELECT *, CAST(Volume AS DOUBLE) / NULLIF({seq_avg('Volume', WR('symbol', 19))}, 0)"
            " AS relative_volume FROM bars)"),
         "symbol Date relative_volume:d")
     add("efficiency_ratio", _on_o(op.efficiency_ratio),
@@ -651,7 +650,7 @@ def _entries() -> dict[str, Entry]:
            f"{WR('symbol', 9)}, 0) * 100 AS efficiency_ratio_10 FROM s)"),
         "symbol Date efficiency_ratio_10:d")
     add("rolling_atr", _on_o(op.rolling_atr),
-        _o(vol_sql("bars", "v") + f",\nresult AS (SELECT *, avg(true_range) OVER {WR('symbol', 13)} AS atr_14 FROM v)"),
+        _o(vol_sql("bars", "v") + f",\nresult AS (SELECT *, {seq_avg('true_range', WR('symbol', 13))} AS atr_14 FROM v)"),
         "symbol Date true_range:d atr_14:d")
     return E
 
