@@ -60,14 +60,13 @@ def rsi(df: DataFrame, period: int = 14, variant: str = "a", scope: str = "month
     w = bar_window(scope)
     wf = bar_window(scope, rows)
     pc = F.col("price_change")
+    ag, al = F.col("avg_gain"), F.col("avg_loss")
     df = (
-        df.withColumn("price_change", F.col("Close") - F.lag("Close", 1).over(w))
-        .withColumn("gain", F.when(pc > 0, pc).otherwise(F.lit(0.0)))
-        .withColumn("loss", F.when(pc < 0, -pc).otherwise(F.lit(0.0)))
-        .withColumn("avg_gain", F.avg("gain").over(wf))
-        .withColumn("avg_loss", F.avg("loss").over(wf))
-        .withColumn("rs", safe_div("avg_gain", "avg_loss"))
-        .withColumn("rsi", 100 - 100 / (1 + F.col("rs")))
+        df.withColumns({"price_change": F.col("Close") - F.lag("Close", 1).over(w)})
+        .withColumns({"gain": F.when(pc > 0, pc).otherwise(F.lit(0.0)),
+                      "loss": F.when(pc < 0, -pc).otherwise(F.lit(0.0))})
+        .withColumns({"avg_gain": F.avg("gain").over(wf), "avg_loss": F.avg("loss").over(wf)})
+        .withColumns({"rs": safe_div(ag, al), "rsi": 100 - 100 / (1 + safe_div(ag, al))})
     )
     if not keep_intermediate:
         df = df.drop("price_change", "gain", "loss", "avg_gain", "avg_loss", "rs")
@@ -97,27 +96,25 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, variant
     close = F.col("Close")
     m = F.col("macd_line")
     if variant == "a":
-        df = (
-            df.withColumn(ef, F.coalesce(_geo_mean(close, bar_window(scope, rf)), close))
-            .withColumn(es, F.coalesce(_geo_mean(close, bar_window(scope, rs_)), close))
-            .withColumn("macd_line", F.coalesce(_r(F.col(ef) - F.col(es), decimals), F.lit(0.0)))
-            .withColumn(
-                "signal_line",
-                F.coalesce(_r(_geo_mean(F.abs(m) + MACD_LOG_OFFSET, bar_window(scope, rg)), decimals), m),
-            )
-            .withColumn(
-                "macd_histogram",
-                F.coalesce(_r(m - F.col("signal_line"), decimals), F.lit(0.0)),
-            )
-        )
+        ema_f = F.coalesce(_geo_mean(close, bar_window(scope, rf)), close)
+        ema_s = F.coalesce(_geo_mean(close, bar_window(scope, rs_)), close)
+        signal = F.coalesce(_r(_geo_mean(F.abs(m) + MACD_LOG_OFFSET, bar_window(scope, rg)), decimals), m)
+        df = df.withColumns({
+            ef: ema_f, es: ema_s,
+            "macd_line": F.coalesce(_r(ema_f - ema_s, decimals), F.lit(0.0)),
+        }).withColumns({
+            "signal_line": signal,
+            "macd_histogram": F.coalesce(_r(m - signal, decimals), F.lit(0.0)),
+        })
     else:
-        df = (
-            df.withColumn(ef, _geo_mean(close, bar_window(scope, rf)))
-            .withColumn(es, _geo_mean(close, bar_window(scope, rs_)))
-            .withColumn("macd_line", _r(F.col(ef) - F.col(es), decimals))
-            .withColumn("signal_line", _r(_geo_mean(m, bar_window(scope, rg)), decimals))
-            .withColumn("macd_histogram", _r(m - F.col("signal_line"), decimals))
-        )
+        ema_f = _geo_mean(close, bar_window(scope, rf))
+        ema_s = _geo_mean(close, bar_window(scope, rs_))
+        signal = _r(_geo_mean(m, bar_window(scope, rg)), decimals)
+        df = df.withColumns({
+            ef: ema_f, es: ema_s, "macd_line": _r(ema_f - ema_s, decimals),
+        }).withColumns({
+            "signal_line": signal, "macd_histogram": _r(m - signal, decimals),
+        })
     if not keep_intermediate:
         df = df.drop(ef, es)
     return df

@@ -36,34 +36,28 @@ def scored_signals(df: DataFrame, scope: str = "month") -> DataFrame:
     def vs(ma: str, weight):
         return ladder([(close > F.col(ma), F.lit(weight)), (close < F.col(ma), F.lit(-weight))], F.lit(0))
 
-    df = (
-        df.withColumn("signal_short_term", vs("ma_10", 2))
-        .withColumn("signal_medium_term", vs("ma_50", 1.5))
-        .withColumn("signal_long_term", vs("ma_200", 1))
-        .withColumn("price_momentum",
-                    ladder([(close > prev_close, F.lit(1)), (close < prev_close, F.lit(-1))], F.lit(0)))
-        .withColumn("signal_rsi", ladder(
-            [(r < 30, F.lit(2)), (r < 40, F.lit(1)), (r > 70, F.lit(-2)), (r > 60, F.lit(-1))], F.lit(0)))
-        .withColumn("signal_macd", ladder(
+    votes = {
+        "signal_short_term": vs("ma_10", 2),
+        "signal_medium_term": vs("ma_50", 1.5),
+        "signal_long_term": vs("ma_200", 1),
+        "price_momentum": ladder([(close > prev_close, F.lit(1)), (close < prev_close, F.lit(-1))], F.lit(0)),
+        "signal_rsi": ladder(
+            [(r < 30, F.lit(2)), (r < 40, F.lit(1)), (r > 70, F.lit(-2)), (r > 60, F.lit(-1))], F.lit(0)),
+        "signal_macd": ladder(
             [((ml > sl) & (h > prev_hist), F.lit(2)), (ml > sl, F.lit(1)),
-             ((ml < sl) & (h < prev_hist), F.lit(-2)), (ml < sl, F.lit(-1))], F.lit(0)))
-        .withColumn("volume_trend", ladder(
-            [(vol_up & (close > prev_close), F.lit(1)), (vol_up & (close < prev_close), F.lit(-1))], F.lit(0)))
-    )
-    total = sum(
-        F.col(c)
-        for c in ("signal_short_term", "signal_medium_term", "signal_long_term", "signal_rsi",
-                  "signal_macd", "price_momentum", "volume_trend")
-    )
-    t = F.col("total_signals")
-    return (
-        df.withColumn("total_signals", total)
-        .withColumn("sentiment_strength", (t + MAX_SCORE) / (2 * MAX_SCORE))
-        .withColumn("sentiment", ladder(
+             ((ml < sl) & (h < prev_hist), F.lit(-2)), (ml < sl, F.lit(-1))], F.lit(0)),
+        "volume_trend": ladder(
+            [(vol_up & (close > prev_close), F.lit(1)), (vol_up & (close < prev_close), F.lit(-1))], F.lit(0)),
+    }
+    df = df.withColumns(votes)
+    t = sum(F.col(c) for c in votes)
+    return df.withColumns({
+        "total_signals": t,
+        "sentiment_strength": (t + MAX_SCORE) / (2 * MAX_SCORE),
+        "sentiment": ladder(
             [(t > 3, F.lit("Strongly Bullish")), (t > 0, F.lit("Bullish")),
-             (t < -3, F.lit("Strongly Bearish")), (t < 0, F.lit("Bearish"))], F.lit("Neutral")))
-        .drop("price_momentum", "volume_trend")
-    )
+             (t < -3, F.lit("Strongly Bearish")), (t < 0, F.lit("Bearish"))], F.lit("Neutral")),
+    }).drop("price_momentum", "volume_trend")
 
 
 def technical_indicators(df: DataFrame, scope: str = "month") -> DataFrame:

@@ -23,17 +23,17 @@ def moving_average(df: DataFrame, column: str = "Close", window: int = 5, scope:
 
 def moving_averages(df: DataFrame, column: str = "Close", windows: Iterable[int] = EXPLORE_MA_PERIODS,
                     scope: str = "symbol") -> DataFrame:
-    for n in windows:
-        df = moving_average(df, column, n, scope)
-    return df
+    return df.withColumns(
+        {f"{column}_MA_{n}": F.avg(column).over(bar_window(scope, n - 1)) for n in windows}
+    )
 
 
 def ma_cross(df: DataFrame, short: int = 5, long: int = 20, scope: str = "symbol") -> DataFrame:
     """Golden/Death cross of two Close moving averages -> ``ma_cross_signal``."""
     s, l = f"Close_MA_{short}", f"Close_MA_{long}"
-    for n, name in ((short, s), (long, l)):
-        if name not in df.columns:
-            df = moving_average(df, "Close", n, scope)
+    missing = [n for n, name in ((short, s), (long, l)) if name not in df.columns]
+    if missing:
+        df = moving_averages(df, "Close", missing, scope)
     w = bar_window(scope)
     ps, pl = F.lag(s, 1).over(w), F.lag(l, 1).over(w)
     sig = ladder(
@@ -55,6 +55,6 @@ def ma_set(df: DataFrame, periods: Iterable[int] = SIGNAL_MA_PERIODS, scope: str
     ma_50 and ma_200 are month-to-date means there. ``scope="symbol"`` and
     ``extra_row=False`` give textbook n-row averages over the whole series.
     """
-    for n in periods:
-        df = df.withColumn(f"ma_{n}", F.avg("Close").over(bar_window(scope, n if extra_row else n - 1)))
-    return df
+    return df.withColumns(
+        {f"ma_{n}": F.avg("Close").over(bar_window(scope, n if extra_row else n - 1)) for n in periods}
+    )

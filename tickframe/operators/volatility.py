@@ -18,15 +18,15 @@ def volatility_metrics(df: DataFrame, rows: int = 20, scope: str = "symbol") ->
     """
     w = bar_window(scope)
     prev = F.lag("Close", 1).over(w)
-    df = df.withColumn("daily_change", pct_change("Close", prev)).withColumn(
-        "true_range",
-        F.greatest(
+    df = df.withColumns({
+        "daily_change": pct_change("Close", prev),
+        "true_range": F.greatest(
             F.col("High") - F.col("Low"),
             F.abs(F.col("High") - prev),
             F.abs(F.col("Low") - prev),
         ),
-    )
-    return df.withColumn("daily_volatility", F.stddev_samp("daily_change").over(bar_window(scope, rows)))
+    })
+    return df.withColumns({"daily_volatility": F.stddev_samp("daily_change").over(bar_window(scope, rows))})
 
 
 def volatility_label(col) -> F.Column:
@@ -54,12 +54,10 @@ def bollinger_bands(df: DataFrame, period: int = 20, std_dev: float = 2.0, scope
     The reference's frame is ``period + 1`` rows (``extra_row=True``).
     """
     w = bar_window(scope, period if extra_row else period - 1)
-    return (
-        df.withColumn("bb_middle", F.avg("Close").over(w))
-        .withColumn("bb_std", F.stddev_samp("Close").over(w))
-        .withColumn("bb_upper", F.col("bb_middle") + F.col("bb_std") * std_dev)
-        .withColumn("bb_lower", F.col("bb_middle") - F.col("bb_std") * std_dev)
-    )
+    mid, sd = F.avg("Close").over(w), F.stddev_samp("Close").over(w)
+    return df.withColumns({
+        "bb_middle": mid, "bb_std": sd, "bb_upper": mid + sd * std_dev, "bb_lower": mid - sd * std_dev,
+    })
 
 
 def bollinger_position(df: DataFrame) -> DataFrame:
