@@ -36,6 +36,7 @@ from tickframe.sources import (
     bars_from_events, bars_from_orders, category_bars, category_frame, export_indicators,
     lookback, lookback_ytd, portfolio_bars, read_table,
 )
+from tickframe.sources.bars import EVENTS_COLUMNS, ORDERS_COLUMNS
 from tickframe.sources.sinks import EXPORT_COLUMNS
 
 DECIMALS = 4
@@ -99,11 +100,11 @@ def project_sql(body: str, out: tuple[str, ...]) -> str:
 # ---------------------------------------------------------------- Spark side
 
 def bars_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_orders(read_table(spark, sf_dir, "orders"))
+    return bars_from_orders(read_table(spark, sf_dir, "orders", ORDERS_COLUMNS))
 
 
 def bars_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_events(read_table(spark, sf_dir, "events"))
+    return bars_from_events(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
 
 
 def _on_o(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import fixed_round, pct_change, safe_div, safe_ln
+from tickframe.plans.stages import Stage, apply_stages
 from tickframe.plans.windows import bar_window
 
 MACD_DECIMALS = 6
@@ -46,6 +47,22 @@ def _rows(period: int, variant: str) -> int:
     return period if variant == "a" else period - 1
 
 
+def rsi_stages(period: int = 14, variant: str = "a", scope: str = "month") -> list[Stage]:
+    rows = _rows(period, variant)
+    wf = bar_window(scope, rows)
+    pc = F.col("price_change")
+    ag, al = F.col("avg_gain"), F.col("avg_loss")
+    return [
+        {"price_change": F.col("Close") - F.lag("Close", 1).over(bar_window(scope))},
+        {"gain": F.when(pc > 0, pc).otherwise(F.lit(0.0)), "loss": F.when(pc < 0, -pc).otherwise(F.lit(0.0))},
+        {"avg_gain": F.avg("gain").over(wf), "avg_loss": F.avg("loss").over(wf)},
+        {"rs": safe_div(ag, al), "rsi": 100 - 100 / (1 + safe_div(ag, al))},
+    ]
+
+
+RSI_INTERMEDIATE = ("price_change", "gain", "loss", "avg_gain", "avg_loss", "rs")
+
+
 def rsi(df: DataFrame, period: int = 14, variant: str = "a", scope: str = "month",
         keep_intermediate: bool | None = None) -> DataFrame:
     """Relative strength index.
@@ -54,23 +71,10 @@ def rsi(df: DataFrame, period: int = 14, variant: str = "a", scope: str = "month
     scope. Variant a keeps price_change, gain, loss, avg_gain, avg_loss and rs
     unless ``keep_intermediate=False``; variant b keeps only ``rsi``.
     """
-    rows = _rows(period, variant)
     if keep_intermediate is None:
         keep_intermediate = variant == "a"
-    w = bar_window(scope)
-    wf = bar_window(scope, rows)
-    pc = F.col("price_change")
-    ag, al = F.col("avg_gain"), F.col("avg_loss")
-    df = (
-        df.withColumns({"price_change": F.col("Close") - F.lag("Close", 1).over(w)})
-        .withColumns({"gain": F.when(pc > 0, pc).otherwise(F.lit(0.0)),
-                      "loss": F.when(pc < 0, -pc).otherwise(F.lit(0.0))})
-        .withColumns({"avg_gain": F.avg("gain").over(wf), "avg_loss": F.avg("loss").over(wf)})
-        .withColumns({"rs": safe_div(ag, al), "rsi": 100 - 100 / (1 + safe_div(ag, al))})
-    )
-    if not keep_intermediate:
-        df = df.drop("price_change", "gain", "loss", "avg_gain", "avg_loss", "rs")
-    return df
+    df = apply_stages(df, rsi_stages(period, variant, scope))
+    return df if keep_intermediate else df.drop(*RSI_INTERMEDIATE)
 
 
 def _geo_mean(x: Column, w) -> Column:
@@ -81,6 +85,32 @@ def _r(c: Column, decimals: int | None) -> Column:
     return c if decimals is None else fixed_round(c, decimals)
 
 
+def _ema_names(fast: int, slow: int, variant: str) -> tuple[str, str]:
+    return (f"ema_{fast}", f"ema_{slow}") if variant == "a" else ("ema_fast", "ema_slow")
+
+
+def macd_stages(fast: int = 12, slow: int = 26, signal: int = 9, variant: str = "a", scope: str = "month",
+                decimals: int | None = MACD_DECIMALS) -> list[Stage]:
+    rf, rs_, rg = _rows(fast, variant), _rows(slow, variant), _rows(signal, variant)
+    ef, es = _ema_names(fast, slow, variant)
+    close, m = F.col("Close"), F.col("macd_line")
+    if variant == "a":
+        ema_f = F.coalesce(_geo_mean(close, bar_window(scope, rf)), close)
+        ema_s = F.coalesce(_geo_mean(close, bar_window(scope, rs_)), close)
+        sig = F.coalesce(_r(_geo_mean(F.abs(m) + MACD_LOG_OFFSET, bar_window(scope, rg)), decimals), m)
+        return [
+            {ef: ema_f, es: ema_s, "macd_line": F.coalesce(_r(ema_f - ema_s, decimals), F.lit(0.0))},
+            {"signal_line": sig, "macd_histogram": F.coalesce(_r(m - sig, decimals), F.lit(0.0))},
+        ]
+    ema_f = _geo_mean(close, bar_window(scope, rf))
+    ema_s = _geo_mean(close, bar_window(scope, rs_))
+    sig = _r(_geo_mean(m, bar_window(scope, rg)), decimals)
+    return [
+        {ef: ema_f, es: ema_s, "macd_line": _r(ema_f - ema_s, decimals)},
+        {"signal_line": sig, "macd_histogram": _r(m - sig, decimals)},
+    ]
+
+
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, variant: str = "a",
          scope: str = "month", decimals: int | None = MACD_DECIMALS,
          keep_intermediate: bool | None = None) -> DataFrame:
@@ -89,32 +119,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, variant
     Variant a names its averages ``ema_{fast}``/``ema_{slow}`` and keeps them;
     variant b drops them unless ``keep_intermediate=True``.
     """
-    rf, rs_, rg = _rows(fast, variant), _rows(slow, variant), _rows(signal, variant)
     if keep_intermediate is None:
         keep_intermediate = variant == "a"
-    ef, es = (f"ema_{fast}", f"ema_{slow}") if variant == "a" else ("ema_fast", "ema_slow")
-    close = F.col("Close")
-    m = F.col("macd_line")
-    if variant == "a":
-        ema_f = F.coalesce(_geo_mean(close, bar_window(scope, rf)), close)
-        ema_s = F.coalesce(_geo_mean(close, bar_window(scope, rs_)), close)
-        signal = F.coalesce(_r(_geo_mean(F.abs(m) + MACD_LOG_OFFSET, bar_window(scope, rg)), decimals), m)
-        df = df.withColumns({
-            ef: ema_f, es: ema_s,
-            "macd_line": F.coalesce(_r(ema_f - ema_s, decimals), F.lit(0.0)),
-        }).withColumns({
-            "signal_line": signal,
-            "macd_histogram": F.coalesce(_r(m - signal, decimals), F.lit(0.0)),
-        })
-    else:
-        ema_f = _geo_mean(close, bar_window(scope, rf))
-        ema_s = _geo_mean(close, bar_window(scope, rs_))
-        signal = _r(_geo_mean(m, bar_window(scope, rg)), decimals)
-        df = df.withColumns({
-            ef: ema_f, es: ema_s, "macd_line": _r(ema_f - ema_s, decimals),
-        }).withColumns({
-            "signal_line": signal, "macd_histogram": _r(m - signal, decimals),
-        })
-    if not keep_intermediate:
-        df = df.drop(ef, es)
-    return df
+    df = apply_stages(df, macd_stages(fast, slow, signal, variant, scope, decimals))
+    return df if keep_intermediate else df.drop(*_ema_names(fast, slow, variant))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder
-from tickframe.operators.oscillators import macd, rsi
-from tickframe.operators.trend import ma_set
-from tickframe.operators.volatility import bb_position_expr, bb_signal_expr, bollinger_bands, latest_row
+from tickframe.operators.oscillators import RSI_INTERMEDIATE, macd, macd_stages, rsi, rsi_stages
+from tickframe.operators.trend import ma_set_stages
+from tickframe.operators.volatility import bb_position_expr, bb_signal_expr, bollinger_stages, latest_row
+from tickframe.plans.stages import Stage, apply_stages, merge_stages
 from tickframe.plans.windows import bar_window
 
 # Fixed value of the reference: sum of the positive vote weights
@@ -16,17 +17,8 @@ from tickframe.plans.windows import bar_window
 MAX_SCORE = 10.5
 
 
-def scored_signals(df: DataFrame, scope: str = "month") -> DataFrame:
-    """Seven weighted votes, their total, strength in [0, 1] and a label.
-
-    Needs ``rsi``, ``macd_line``, ``signal_line``, ``macd_histogram``
-    (computed with variant a when absent). Adds ma_5 .. ma_200.
-    """
-    if "rsi" not in df.columns:
-        df = rsi(df, variant="a", scope=scope)
-    if "macd_line" not in df.columns:
-        df = macd(df, variant="a", scope=scope)
-    df = ma_set(df, scope=scope)
+def vote_stages(scope: str = "month") -> list[Stage]:
+    """Needs Close, Volume, rsi, macd_line, signal_line, macd_histogram and ma_10/50/200."""
     w = bar_window(scope)
     close, prev_close = F.col("Close"), F.lag("Close", 1).over(w)
     vol_up = F.col("Volume") > F.lag("Volume", 1).over(w)
@@ -49,35 +41,58 @@ def scored_signals(df: DataFrame, scope: str = "month") -> DataFrame:
         "volume_trend": ladder(
             [(vol_up & (close > prev_close), F.lit(1)), (vol_up & (close < prev_close), F.lit(-1))], F.lit(0)),
     }
-    df = df.withColumns(votes)
     t = sum(F.col(c) for c in votes)
-    return df.withColumns({
+    totals = {
         "total_signals": t,
         "sentiment_strength": (t + MAX_SCORE) / (2 * MAX_SCORE),
         "sentiment": ladder(
             [(t > 3, F.lit("Strongly Bullish")), (t > 0, F.lit("Bullish")),
              (t < -3, F.lit("Strongly Bearish")), (t < 0, F.lit("Bearish"))], F.lit("Neutral")),
-    }).drop("price_momentum", "volume_trend")
+    }
+    return [votes, totals]
+
+
+_DROPPED_VOTES = ("price_momentum", "volume_trend")
+
+
+def scored_signals(df: DataFrame, scope: str = "month") -> DataFrame:
+    """Seven weighted votes, their total, strength in [0, 1] and a label.
+
+    Needs ``rsi``, ``macd_line``, ``signal_line``, ``macd_histogram``
+    (computed with variant a when absent). Adds ma_5 .. ma_200.
+    """
+    if "rsi" not in df.columns:
+        df = rsi(df, variant="a", scope=scope)
+    if "macd_line" not in df.columns:
+        df = macd(df, variant="a", scope=scope)
+    df = apply_stages(df, ma_set_stages(scope=scope) + vote_stages(scope))
+    return df.drop(*_DROPPED_VOTES)
 
 
 def technical_indicators(df: DataFrame, scope: str = "month") -> DataFrame:
-    """The technical tab's chain: RSI a, MACD a, Bollinger, scored signals."""
-    df = rsi(df, variant="a", scope=scope)
-    df = macd(df, variant="a", scope=scope)
-    df = bollinger_bands(df)
-    return scored_signals(df, scope=scope)
+    """The technical tab's chain: RSI a, MACD a, Bollinger, scored signals.
+
+    The four indicators are merged stage by stage (they do not read each
+    other's columns), then the votes: 6 projections and 5 window operators,
+    all on the bars' single ``symbol`` partitioning.
+    """
+    stages = merge_stages(
+        rsi_stages(variant="a", scope=scope), macd_stages(variant="a", scope=scope),
+        bollinger_stages(), ma_set_stages(scope=scope),
+    )
+    return apply_stages(df, stages + vote_stages(scope)).drop(*_DROPPED_VOTES)
 
 
 def rule_signals(df: DataFrame, scope: str = "month") -> DataFrame:
     """RSI b + MACD b, then ``trade_signal`` (NULL inputs fall to Hold)."""
-    df = rsi(df, variant="b", scope=scope)
-    df = macd(df, variant="b", scope=scope)
+    stages = merge_stages(rsi_stages(variant="b", scope=scope), macd_stages(variant="b", scope=scope))
     r, ml, sl = F.col("rsi"), F.col("macd_line"), F.col("signal_line")
     sig = ladder(
         [((r < 30) & (ml > sl), F.lit("Strong Buy")), ((r < 40) & (ml > sl), F.lit("Buy")),
          ((r > 70) & (ml < sl), F.lit("Strong Sell")), ((r > 60) & (ml < sl), F.lit("Sell"))],
         F.lit("Hold"),
     )
+    df = apply_stages(df, stages).drop(*RSI_INTERMEDIATE, "ema_fast", "ema_slow")
     return df.withColumn("trade_signal", sig)
 
 

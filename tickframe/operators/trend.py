@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder
+from tickframe.plans.stages import Stage, apply_stages
 from tickframe.plans.windows import bar_window
 
 # Fixed values of the reference: MA periods drawn on the exploration tab and
@@ -55,6 +56,9 @@ def ma_set(df: DataFrame, periods: Iterable[int] = SIGNAL_MA_PERIODS, scope: str
     ma_50 and ma_200 are month-to-date means there. ``scope="symbol"`` and
     ``extra_row=False`` give textbook n-row averages over the whole series.
     """
-    return df.withColumns(
-        {f"ma_{n}": F.avg("Close").over(bar_window(scope, n if extra_row else n - 1)) for n in periods}
-    )
+    return apply_stages(df, ma_set_stages(periods, scope, extra_row))
+
+
+def ma_set_stages(periods: Iterable[int] = SIGNAL_MA_PERIODS, scope: str = "month",
+                  extra_row: bool = True) -> list[Stage]:
+    return [{f"ma_{n}": F.avg("Close").over(bar_window(scope, n if extra_row else n - 1)) for n in periods}]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder, pct_change, safe_div
+from tickframe.plans.stages import Stage, apply_stages
 from tickframe.plans.windows import bar_window
 
 
@@ -53,11 +54,14 @@ def bollinger_bands(df: DataFrame, period: int = 20, std_dev: float = 2.0, scope
 
     The reference's frame is ``period + 1`` rows (``extra_row=True``).
     """
+    return apply_stages(df, bollinger_stages(period, std_dev, scope, extra_row))
+
+
+def bollinger_stages(period: int = 20, std_dev: float = 2.0, scope: str = "symbol",
+                     extra_row: bool = True) -> list[Stage]:
     w = bar_window(scope, period if extra_row else period - 1)
     mid, sd = F.avg("Close").over(w), F.stddev_samp("Close").over(w)
-    return df.withColumns({
-        "bb_middle": mid, "bb_std": sd, "bb_upper": mid + sd * std_dev, "bb_lower": mid - sd * std_dev,
-    })
+    return [{"bb_middle": mid, "bb_std": sd, "bb_upper": mid + sd * std_dev, "bb_lower": mid - sd * std_dev}]
 
 
 def bollinger_position(df: DataFrame) -> DataFrame:

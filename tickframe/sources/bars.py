@@ -16,8 +16,16 @@ from tickframe.plans.windows import cluster_by_symbol
 from tickframe.schema import BAR_SCHEMA
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Input contracts of the raw tables the bar builders read (only the columns used).
+# Declaring them skips schema inference (a footer-reading job per read) and
+# fails fast if the source drifts.
+ORDERS_COLUMNS = "o_orderkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+EVENTS_COLUMNS = "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING, value DOUBLE"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def bars_from_ticks(
