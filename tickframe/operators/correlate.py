@@ -106,7 +106,10 @@ def pair_correlation(bars: DataFrame, pairs: DataFrame, null_as_zero: bool = Fal
     sides = pairs.select(F.col("symbol_a").alias("symbol"), F.lit("a").alias("_side"), "symbol_a", "symbol_b").union(
         pairs.select(F.col("symbol_b").alias("symbol"), F.lit("b").alias("_side"), "symbol_a", "symbol_b")
     ).distinct()
-    tagged = bars.join(sides, "symbol")
+    # Spread the (small) bars over (symbol, Date) first: a symbol that sits in
+    # many pairs then explodes into its pair rows across all tasks, not in the
+    # one task that holds its whole series.
+    tagged = bars.repartition("symbol", "Date").join(sides, "symbol")
     aggs = [F.max(F.col("_side") == side).alias(f"_has_{side}") for side in ("a", "b")]
     for side in ("a", "b"):
         aggs += [F.max(F.when(F.col("_side") == side, F.col(m))).alias(f"{m}_{side}") for m in METRICS]

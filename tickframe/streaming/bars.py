@@ -24,7 +24,10 @@ def stream_daily_bars(
     """Streaming twin of :func:`tickframe.sources.bars_from_events`.
 
     ``events`` is a streaming DataFrame (``spark.readStream``). Output columns
-    match the bar table: symbol, Date, Open, High, Low, Close, Volume.
+    match the bar table: symbol, Date, Open, High, Low, Close, Volume. Start it
+    with ``outputMode("append")`` and a ``checkpointLocation`` on shared
+    storage: offsets and the aggregation state live there, so a restarted
+    query (or a lost executor) resumes without losing or repeating bars.
     """
     key = F.struct(F.col(ts), F.col(tie_breaker))
     vol = F.count(F.lit(1)) if volume is None else volume
