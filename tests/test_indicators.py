@@ -248,3 +248,11 @@ def test_cleaning_features(make_bars):
     assert approx(rv[("A", day(1))].relative_volume, 20 / 15)
     out = by_key(op.flag_outliers(bars))
     assert out[("A", day(4))].is_outlier is True and out[("A", day(0))].is_outlier is None
+
+
+def test_keep_columns_and_summary_momentum(make_bars):
+    bars = make_bars([("A", day(i), 10.0 + i) for i in range(12)])
+    assert op.keep_columns(bars, ["Close", "symbol", "nope"]).columns == ["symbol", "Close"]
+    s = by_key(op.summary_position(bars), "symbol")[("A",)]
+    assert approx(s.momentum_10d, (21.0 - 11.0) / 11.0 * 100) and s.Date == day(11)
+    assert s.price_position == "above" and s.volatility_level in ("low", "moderate", "high")

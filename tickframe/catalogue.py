@@ -34,7 +34,7 @@ from tickframe.plans.session import ensure_checkpoint_dir
 from tickframe.schema import BAR_SCHEMA
 from tickframe.sources import (
     bars_from_events, bars_from_orders, category_bars, category_frame, export_indicators,
-    lookback, lookback_ytd, portfolio_bars, read_table,
+    load_bars, lookback, lookback_ytd, portfolio_bars, read_table,
 )
 from tickframe.sources.bars import EVENTS_COLUMNS, ORDERS_COLUMNS
 from tickframe.sources.sinks import EXPORT_COLUMNS
@@ -146,6 +146,17 @@ _EXPORT_SCHEMA = T.StructType(
 )
 
 
+STORED_TICKER = "2-HIGH"
+
+
+def _stored_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written once (partitioned by symbol), reloaded for one ticker and one year."""
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/bars/orders-{uuid.uuid4().hex}"
+    bars_o(spark, sf_dir).write.partitionBy("symbol").parquet(path)
+    return lookback(load_bars(spark, path, symbols=[STORED_TICKER]), 365)
+
+
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/exports/indicators-{uuid.uuid4().hex}"
@@ -401,10 +412,12 @@ result AS (SELECT q2.symbol, q2.return_type, n, q1, median, q3, iqr, lower_fence
   GROUP BY q2.symbol, q2.return_type, n, q1, median, q3, iqr, lower_fence, upper_fence)"""
 
 _SUMMARY_SQL = f"""{BARS_O_SQL},
-{vol_sql('bars', 'v')},
+{vol_sql('bars', 'v0')},
+v AS (SELECT *, {pct('Close', 'lag(Close, 10) OVER ' + W('symbol'))} AS momentum_10d FROM v0),
 g AS (SELECT symbol, max(Date) AS Date, avg(Close) AS avg_price, avg(Volume) AS avg_volume,
              arg_max_null(Close, Date) AS latest_close, arg_max_null(Volume, Date) AS latest_volume,
-             arg_max_null(daily_volatility, Date) AS daily_volatility, avg(true_range) AS avg_true_range
+             arg_max_null(daily_volatility, Date) AS daily_volatility,
+             arg_max_null(momentum_10d, Date) AS momentum_10d, avg(true_range) AS avg_true_range
       FROM v GROUP BY symbol),
 g2 AS (SELECT *, {pct('latest_close', 'avg_price')} AS price_vs_avg, {pct('latest_volume', 'avg_volume')} AS volume_vs_avg
        FROM g),
@@ -457,6 +470,10 @@ def _entries() -> dict[str, Entry]:
     add("lookback_ytd", _on_o(lookback_ytd),
         _o("e AS (SELECT *, max(Date) OVER (PARTITION BY symbol) + 1 AS as_of FROM bars),\n"
            "result AS (SELECT * FROM e WHERE Date >= date_trunc('year', as_of - 1) AND Date < as_of)"), BAR_OUT)
+    add("stored_bars_ticker", _stored_ticker,
+        _o("e AS (SELECT *, max(Date) OVER (PARTITION BY symbol) + 1 AS as_of FROM bars"
+           f" WHERE symbol = '{STORED_TICKER}'),\n"
+           "result AS (SELECT * FROM e WHERE Date >= as_of - 365 AND Date < as_of)"), BAR_OUT)
     # S5, S6 dimension joins
     add("category_bars", _category,
         _o(f"dim AS (SELECT * FROM (VALUES {_cat_values()}) t(category, symbol, company)),\n"
@@ -578,8 +595,8 @@ def _entries() -> dict[str, Entry]:
            " / NULLIF(count(*), 0) AS high_volume_ratio FROM a GROUP BY symbol)"),
         "symbol avg_volume:d high_volume_days total_days high_volume_ratio:d")
     add("summary_position", _on_o(op.summary_position), _SUMMARY_SQL,
-        "symbol Date avg_price:d avg_volume:d latest_close:d latest_volume daily_volatility:d avg_true_range:d "
-        "price_vs_avg:d volume_vs_avg:d price_position volume_position volatility_level")
+        "symbol Date avg_price:d avg_volume:d latest_close:d latest_volume daily_volatility:d momentum_10d:d "
+        "avg_true_range:d price_vs_avg:d volume_vs_avg:d price_position volume_position volatility_level")
     # A15
     card_out = "symbol avg_recent_return:d avg_recent_volume:d avg_volume:d price_trend volume_trend"
     add("sentiment_card_last", _on_o(lambda b: op.sentiment_card(b, "last")), _o(sentiment_sql(True)), card_out)

@@ -17,6 +17,12 @@ from tickframe.plans.windows import bar_window, running_window
 from tickframe.schema import PRICE_COLUMNS
 
 
+def keep_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """P5: keep only the listed columns that exist, in the frame's order."""
+    keep = set(columns)
+    return df.select(*[c for c in df.columns if c in keep])
+
+
 def fill_forward(df: DataFrame, columns: Iterable[str] = (*PRICE_COLUMNS, "Volume")) -> DataFrame:
     """Replace a NULL by the symbol's last non-NULL value before it."""
     w = running_window("symbol")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder, pct_change, safe_div
+from tickframe.operators.oscillators import momentum
 from tickframe.operators.returns import daily_return
 from tickframe.operators.volatility import volatility_label, volatility_metrics
 from tickframe.plans.windows import bar_window
@@ -72,8 +73,8 @@ def high_volume_ratio(df: DataFrame, factor: float = 1.5) -> DataFrame:
 
 
 def summary_position(df: DataFrame) -> DataFrame:
-    """Period averages, latest bar vs them, latest volatility and its label."""
-    vm = volatility_metrics(df)
+    """Period averages, latest bar vs them, latest volatility (and label) and momentum."""
+    vm = momentum(volatility_metrics(df), 10)
     out = vm.groupBy("symbol").agg(
         F.max("Date").alias("Date"),
         F.avg("Close").alias("avg_price"),
@@ -81,6 +82,7 @@ def summary_position(df: DataFrame) -> DataFrame:
         F.max_by("Close", "Date").alias("latest_close"),
         F.max_by("Volume", "Date").alias("latest_volume"),
         F.max_by("daily_volatility", "Date").alias("daily_volatility"),
+        F.max_by("momentum_10d", "Date").alias("momentum_10d"),
         F.avg("true_range").alias("avg_true_range"),
     )
 
