@@ -11,8 +11,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tickframe") -> SparkSession:
-    spark = (
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tickframe",
+                  extra: dict[str, str] | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -26,8 +27,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         # JVM round trips each) to decorate error messages; deep indicator
         # chains spend most of their build time there.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
