@@ -50,6 +50,9 @@ FIXTURE_CATEGORIES = {
 }
 FIXTURE_PORTFOLIO = ["1-urgent", " 5-LOW", "1-URGENT"]
 BENCHMARK_O = "3-MEDIUM"
+# Chunk size for the chunked chains: small, so that the fixture's ~1,700 bars
+# per symbol span several chunks and every chunk boundary is exercised.
+CHUNK_ROWS = 256
 BENCHMARK_E = "view"
 
 
@@ -635,6 +638,13 @@ def _entries() -> dict[str, Entry]:
         _o(rsi_sql("bars", "result", "a", scope="symbol")), "symbol Date rsi:d")
     add("scope_symbol_ma_set", _on_o(lambda b: op.ma_set(b, scope="symbol")),
         _o(ma_set_sql("bars", "result", scope="symbol")), "symbol Date ma_5:d ma_10:d ma_20:d ma_50:d ma_200:d")
+    # the same two chains over bounded chunks of each series (halo split): same SQL, same rows
+    add("scored_signals_chunked", _on_o(lambda b: op.technical_indicators(b, chunk_rows=CHUNK_ROWS)),
+        _o(technical_sql("bars", "result")), TECH_OUT)
+    add("scope_symbol_signals_chunked",
+        _on_o(lambda b: op.technical_indicators(b, scope="symbol", chunk_rows=CHUNK_ROWS)),
+        _o(",\n".join([rsi_sql("bars", "x_rsi", "a", "symbol"), macd_sql("x_rsi", "x_macd", "a", "symbol"),
+                       bollinger_sql("x_macd", "x_bb"), scored_sql("x_bb", "result", "symbol")])), TECH_OUT)
     add("scope_symbol_signals", _on_o(lambda b: op.technical_indicators(b, scope="symbol")),
         _o(",\n".join([rsi_sql("bars", "x_rsi", "a", "symbol"), macd_sql("x_rsi", "x_macd", "a", "symbol"),
                        bollinger_sql("x_macd", "x_bb"), scored_sql("x_bb", "result", "symbol")])), TECH_OUT)

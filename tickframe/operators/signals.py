@@ -9,6 +9,7 @@ from tickframe.functions.expr import ladder
 from tickframe.operators.oscillators import RSI_INTERMEDIATE, macd, macd_stages, rsi, rsi_stages
 from tickframe.operators.trend import ma_set_stages
 from tickframe.operators.volatility import bb_position_expr, bb_signal_expr, bollinger_stages, latest_row
+from tickframe.plans.chunks import over_chunks
 from tickframe.plans.stages import Stage, apply_stages, merge_stages
 from tickframe.plans.windows import bar_window
 
@@ -69,16 +70,33 @@ def scored_signals(df: DataFrame, scope: str = "month") -> DataFrame:
     return df.drop(*_DROPPED_VOTES)
 
 
-def technical_indicators(df: DataFrame, scope: str = "month") -> DataFrame:
+# Rows a chain reaches back (longest path of frames and lags), for chunked runs:
+# a month-scope chain never leaves its month (at most 30 earlier daily bars),
+# Bollinger reaches 20; the symbol-scope chain's deepest path is the 200-row MA.
+CHAIN_LOOKBACK = {"month": 30, "symbol": 200}
+
+
+def technical_indicators(df: DataFrame, scope: str = "month", chunk_rows: int | None = None) -> DataFrame:
     """The technical tab's chain: RSI a, MACD a, Bollinger, scored signals.
 
     The four indicators are merged stage by stage (they do not read each
     other's columns), then the votes: 6 projections and 5 window operators,
     all on the bars' single ``symbol`` partitioning.
+
+    ``chunk_rows`` runs the same chain over bounded chunks of each series
+    (``plans.chunks``): identical results, and a symbol with a very long
+    history is spread over many tasks instead of one.
     """
+    if chunk_rows is not None:
+        inner = "chunk_month" if scope == "month" else "chunk"
+        return over_chunks(df, lambda d: _technical(d, inner, "chunk"), CHAIN_LOOKBACK[scope], chunk_rows)
+    return _technical(df, scope, "symbol")
+
+
+def _technical(df: DataFrame, scope: str, bb_scope: str) -> DataFrame:
     stages = merge_stages(
         rsi_stages(variant="a", scope=scope), macd_stages(variant="a", scope=scope),
-        bollinger_stages(), ma_set_stages(scope=scope),
+        bollinger_stages(scope=bb_scope), ma_set_stages(scope=scope),
     )
     return apply_stages(df, stages + vote_stages(scope)).drop(*_DROPPED_VOTES)
 

@@ -5,7 +5,12 @@ A *scope* names the rows a window may see:
 ``symbol``  the whole series of one symbol;
 ``month``   one calendar month of one symbol (every month starts cold, which
             is how the reference's indicators behave);
-``week``    one ISO week (Monday start) of one symbol.
+``week``    one ISO week (Monday start) of one symbol;
+``chunk``   one chunk of a symbol's series plus its halo rows
+            (``plans.chunks.split_series``): same results as ``symbol`` for
+            frames and lags within the halo, with bounded groups;
+``chunk_month`` a calendar month inside one chunk (the month's earlier bars
+            are in the same chunk or its halo when the halo holds >= 30 bars).
 
 Every spec is partitioned by ``symbol`` first, so no window ever plans a
 ``SinglePartition`` exchange. All specs of one scope share partition and
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SCOPES = ("symbol", "month", "week")
+SCOPES = ("symbol", "month", "week", "chunk", "chunk_month")
 
 
 def cluster_by_symbol(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -50,6 +55,10 @@ def scope_keys(scope: str) -> list[Column]:
         return [F.col("symbol"), F.trunc("Date", "month")]
     if scope == "week":
         return [F.col("symbol"), F.date_trunc("week", "Date")]
+    if scope == "chunk":  # a symbol's series split by plans.chunks.split_series
+        return [F.col("symbol"), F.col("_chunk")]
+    if scope == "chunk_month":
+        return [F.col("symbol"), F.col("_chunk"), F.trunc("Date", "month")]
     raise ValueError(f"unknown scope {scope!r}; expected one of {SCOPES}")
 
 
