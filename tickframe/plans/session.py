@@ -36,19 +36,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def _named_checkpoint_dir(spark: SparkSession) -> str | None:
+    """``spark.checkpoint.dir`` of the session, else the SparkContext's checkpoint folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Local runs only: keep the session's ``spark.checkpoint.dir``, else make a scratch one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder; a scratch folder only when none is named (local runs, tests).
+
+    ``spark.checkpoint.dir`` is a core setting that cannot change at runtime,
+    so an unset one is supplied through ``SparkContext.setCheckpointDir``.
+    """
+    path = _named_checkpoint_dir(spark)
     if not path:
         path = tempfile.mkdtemp(prefix="tickframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir`` (required)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = _named_checkpoint_dir(spark)
     if not path:
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared (distributed) folder")
     return path
@@ -59,7 +67,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used when one expensive intermediate (bars over the raw orders) feeds
     several outputs: a lost executor then recomputes from the checkpoint,
-    not from the raw scan.
+    not from the raw scan. Never ``localCheckpoint``: executor-local blocks
+    die with the executor.
     """
-    df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
