@@ -256,3 +256,15 @@ def test_keep_columns_and_summary_momentum(make_bars):
     s = by_key(op.summary_position(bars), "symbol")[("A",)]
     assert approx(s.momentum_10d, (21.0 - 11.0) / 11.0 * 100) and s.Date == day(11)
     assert s.price_position == "above" and s.volatility_level in ("low", "moderate", "high")
+
+
+def test_zero_and_null_prices_are_guarded(make_bars):
+    bars = make_bars([("A", JAN, 0.0), ("A", day(1), 0.0), ("A", day(2), 5.0), ("A", day(3), None)])
+    a = by_key(op.macd(bars, variant="a"))
+    assert a[("A", JAN)].ema_12 == 0.0 and a[("A", JAN)].macd_line == 0.0  # ln(0) skipped, falls back to Close
+    assert approx(a[("A", day(2))].ema_12, 5.0)
+    b = by_key(op.macd(bars, variant="b"))
+    assert b[("A", JAN)].macd_line is None and b[("A", JAN)].signal_line is None
+    r = by_key(op.technical_indicators(bars))
+    assert r[("A", day(3))].sentiment in ("Bullish", "Bearish", "Neutral", "Strongly Bullish", "Strongly Bearish")
+    assert by_key(op.daily_return(bars))[("A", day(1))].daily_return is None  # 0 -> 0: zero divisor

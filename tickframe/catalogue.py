@@ -568,6 +568,15 @@ def _entries() -> dict[str, Entry]:
     add("ma_set", _on_o(op.ma_set), _o(ma_set_sql("bars", "result")),
         "symbol Date ma_5:d ma_10:d ma_20:d ma_50:d ma_200:d")
     add("scored_signals", _on_o(op.technical_indicators), _o(technical_sql("bars", "result")), TECH_OUT)
+    add("scored_signals_events", lambda s, d: op.technical_indicators(bars_e(s, d)),
+        f"{BARS_E_SQL},\n{technical_sql('bars', 'result')}", TECH_OUT)
+    add("rule_signals_events", lambda s, d: op.rule_signals(bars_e(s, d)),
+        f"{BARS_E_SQL},\n" + rsi_sql("bars", "rr", "b") + ",\n" + macd_sql("rr", "rm", "b") + ",\n"
+        "result AS (SELECT *, CASE WHEN rsi < 30 AND macd_line > signal_line THEN 'Strong Buy' "
+        "WHEN rsi < 40 AND macd_line > signal_line THEN 'Buy' WHEN rsi > 70 AND macd_line < signal_line "
+        "THEN 'Strong Sell' WHEN rsi > 60 AND macd_line < signal_line THEN 'Sell' ELSE 'Hold' END "
+        "AS trade_signal FROM rm)",
+        "symbol Date rsi:d macd_line:d signal_line:d macd_histogram:d trade_signal")
     add("rule_signals", _on_o(op.rule_signals),
         _o(rsi_sql("bars", "rr", "b") + ",\n" + macd_sql("rr", "rm", "b") + ",\n"
            "result AS (SELECT *, CASE WHEN rsi < 30 AND macd_line > signal_line THEN 'Strong Buy' "
