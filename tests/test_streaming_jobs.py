@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from tickframe.jobs import dashboard_job
 from tickframe.sources import bars_from_events, bars_from_orders, read_table
-from tickframe.streaming import stream_daily_bars
+from tickframe.streaming import stream_daily_bars, write_bar_stream
 
 
 def test_stream_bars_equal_batch_bars(spark):
@@ -35,3 +35,16 @@ def test_dashboard_job_writes_all_outputs(spark):
         assert os.path.isdir(path), name
     assert spark.read.parquet(paths["latest_report"]).count() == 5
     assert spark.read.option("header", True).csv(paths["indicators"]).count() > 0
+
+
+def test_bar_stream_to_parquet_table(spark):
+    events = read_table(spark, SF_SMALL, "events")
+    src = tempfile.mkdtemp(prefix="tf-events-")
+    os.symlink(f"{SF_SMALL}/events.parquet", f"{src}/events.parquet")
+    out, ckpt = tempfile.mkdtemp(prefix="tf-bars-"), tempfile.mkdtemp(prefix="tf-ckpt-")
+    q = write_bar_stream(spark.readStream.schema(events.schema).parquet(src), out + "/t", ckpt)
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(out + "/t")
+    assert got.count() > 0
+    assert set(got.columns) == {"symbol", "Date", "Open", "High", "Low", "Close", "Volume"}

@@ -595,6 +595,8 @@ def _entries() -> dict[str, Entry]:
     add("pair_correlation_events", lambda s, d: _pairs(bars_e(s, d), BENCHMARK_E),
         f"{BARS_E_SQL},\n{pair_sql(BENCHMARK_E)}", pair_out)
     add("pair_correlation_list", _pair_list, _o(pair_list_sql()), pair_out)
+    add("pair_correlation_label", lambda s, d: _pairs(bars_e(s, d), BENCHMARK_E),
+        f"{BARS_E_SQL},\n{pair_sql(BENCHMARK_E)}", "symbol_a symbol_b corr_close:c price_range_corr:c correlation_label")
     add("pair_correlation_zero", _on_o(lambda b: _pairs(b, BENCHMARK_O, null_as_zero=True)),
         _o(pair_sql(BENCHMARK_O, zero=True)), pair_out)
     # A8-A11 summaries

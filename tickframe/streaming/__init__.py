@@ -1,3 +1,3 @@
-from tickframe.streaming.bars import stream_daily_bars
+from tickframe.streaming.bars import stream_daily_bars, write_bar_stream
 
-__all__ = ["stream_daily_bars"]
+__all__ = ["stream_daily_bars", "write_bar_stream"]

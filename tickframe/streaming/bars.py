@@ -45,3 +45,19 @@ def stream_daily_bars(
         )
         .select("symbol", F.to_date(F.col("_day.start")).alias("Date"), "Open", "High", "Low", "Close", "Volume")
     )
+
+
+def write_bar_stream(events: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None, **kwargs):
+    """Start :func:`stream_daily_bars` into a parquet table at ``path``.
+
+    The file sink with a ``checkpoint`` on shared storage is exactly-once:
+    each micro-batch commits atomically in the sink's log, and a restart
+    replays from the checkpointed offsets. Returns the ``StreamingQuery``.
+    """
+    writer = (
+        stream_daily_bars(events, **kwargs).writeStream.outputMode("append").format("parquet")
+        .option("path", path).option("checkpointLocation", checkpoint)
+    )
+    if trigger_seconds is not None:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.start()
