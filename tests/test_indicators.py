@@ -3,8 +3,6 @@
 import datetime as dt
 import math
 
-import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import by_key, day
 from tickframe import operators as op

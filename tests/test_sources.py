@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SF, by_key, day
 from tickframe.sources import (
