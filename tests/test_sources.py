@@ -78,3 +78,21 @@ def test_load_bars_pushes_symbol_filter(spark, make_bars, tmp_path):
     plan = formatted_plan(df)
     assert "PushedFilters: [In(symbol, [B])" in plan or "PushedFilters: [IsNotNull(symbol), EqualTo(symbol,B)]" in plan
     assert "ReadSchema: struct<symbol:string,Date:date,Open:double" in plan
+
+
+def test_exact_order_key_ntz_ties_and_negative_ids(spark):
+    ts = dt.datetime(2024, 1, 1, 23, 59, 59, 999999)
+    events = spark.createDataFrame(
+        [(-9_000_000_000_000_000_000, ts, "x", 1.0), (9_000_000_000_000_000_000, ts, "x", 2.0),
+         (5, dt.datetime(2024, 1, 1, 0, 0, 0, 1), "x", 3.0), (6, dt.datetime(2024, 1, 1), "x", 4.0)],
+        "event_id bigint, ts timestamp_ntz, event_type string, value double",
+    )
+    r = bars_from_events(events).collect()[0]
+    assert (r.Open, r.Close, r.Volume) == (4.0, 2.0, 4)
+
+
+def test_event_bars_use_hash_aggregate(spark):
+    from tickframe.plans.inspect import physical_plan
+
+    plan = physical_plan(bars_from_events(read_table(spark, SF, "events")))
+    assert "SortAggregate" not in plan and "partial_max_by" in plan

@@ -9,8 +9,11 @@ costs one row per map task, not a third of the input in one reducer.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickframe.plans.windows import cluster_by_symbol
 from tickframe.schema import BAR_SCHEMA
@@ -65,14 +68,43 @@ def bars_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+_SHIFT = Decimal(10**20)
+
+
+def exact_order_key(df: DataFrame, ts: str, tie_breaker: str) -> Column:
+    """One DECIMAL(38,0) that orders rows of a day exactly like ``(ts, tie_breaker)``.
+
+    ``min_by``/``max_by`` with a struct key cannot use a hash aggregate (the
+    buffer is not fixed-width), so Spark sorts every map task's rows instead.
+    A DECIMAL(38,0) buffer is updatable in place, so this key keeps the bar
+    build a hash aggregate. ``key = time * 10^20 + tie_breaker``: any two BIGINT
+    tie-breakers differ by less than 10^20, so the order is lexicographic.
+    ``time`` is micros since the epoch for TIMESTAMP; for TIMESTAMP_NTZ it is
+    micros since midnight, which is exact and time-zone free inside the
+    (symbol, day) group the key is used in. Both stay below 10^38.
+    """
+    t = F.col(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        secs = F.date_part(F.lit("SECOND"), t)  # decimal(8,6): seconds with microseconds
+        micros = (F.hour(t) * 3600 + F.minute(t) * 60).cast("decimal(38,0)") * 1000000 + (secs * 1000000).cast(
+            "decimal(38,0)")
+    else:
+        micros = F.unix_micros(t).cast("decimal(38,0)")
+    shift = F.lit(_SHIFT).cast("decimal(38,0)")
+    return (micros * shift + F.col(tie_breaker).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
 def bars_from_events(events: DataFrame) -> DataFrame:
-    """Fixture E: one symbol per event type, event count as Volume."""
+    """Fixture E: one symbol per event type, event count as Volume.
+
+    Open/Close are the first/last value by ``(ts, event_id)``.
+    """
     return bars_from_ticks(
         events,
         symbol="event_type",
         ts="ts",
         price="value",
-        order_key=F.struct("ts", "event_id"),
+        order_key=exact_order_key(events, "ts", "event_id"),
         volume=F.count(F.lit(1)),
     )
 

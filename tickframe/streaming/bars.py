@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.sources.bars import exact_order_key
+
 
 def stream_daily_bars(
     events: DataFrame,
@@ -29,12 +31,12 @@ def stream_daily_bars(
     storage: offsets and the aggregation state live there, so a restarted
     query (or a lost executor) resumes without losing or repeating bars.
     """
-    key = F.struct(F.col(ts), F.col(tie_breaker))
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    key = exact_order_key(events, ts, tie_breaker)
     vol = F.count(F.lit(1)) if volume is None else volume
     p = F.col(price)
     return (
-        events.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, lateness)
+        events.withWatermark(ts, lateness)
         .groupBy(F.col(symbol).alias("symbol"), F.window(ts, "1 day").alias("_day"))
         .agg(
             F.min_by(p, key).alias("Open"),
