@@ -266,3 +266,12 @@ def test_zero_and_null_prices_are_guarded(make_bars):
     r = by_key(op.technical_indicators(bars))
     assert r[("A", day(3))].sentiment in ("Bullish", "Bearish", "Neutral", "Strongly Bullish", "Strongly Bearish")
     assert by_key(op.daily_return(bars))[("A", day(1))].daily_return is None  # 0 -> 0: zero divisor
+
+
+def test_complete_calendar_then_fill(make_bars):
+    bars = make_bars([("A", day(0), 1.0), ("A", day(3), 4.0), ("B", day(1), 7.0)])
+    cal = by_key(op.complete_calendar(bars))
+    assert set(cal) == {("A", day(i)) for i in range(4)} | {("B", day(1))}
+    assert cal[("A", day(1))].Close is None and cal[("A", day(1))].Volume is None
+    filled = by_key(op.fill_forward(op.complete_calendar(bars)))
+    assert filled[("A", day(2))].Close == 1.0 and filled[("A", day(3))].Close == 4.0

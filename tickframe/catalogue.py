@@ -660,6 +660,22 @@ def _entries() -> dict[str, Entry]:
         _o(",\n".join([rsi_sql("bars", "x_rsi", "a", "symbol"), macd_sql("x_rsi", "x_macd", "a", "symbol"),
                        bollinger_sql("x_macd", "x_bb"), scored_sql("x_bb", "result", "symbol")])), TECH_OUT)
     # §2.11 features
+    add("fill_missing_days", _on_o(lambda b: op.fill_forward(op.complete_calendar(b))),
+        _o("span AS (SELECT symbol, min(Date) AS lo, max(Date) AS hi FROM bars GROUP BY symbol),\n"
+           "days AS (SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS Date FROM span),\n"
+           "cal AS (SELECT d.symbol, d.Date, b.Open, b.High, b.Low, b.Close, b.Volume FROM days d"
+           " LEFT JOIN bars b ON b.symbol = d.symbol AND b.Date = d.Date),\n"
+           "result AS (SELECT symbol, Date, " + ", ".join(
+               f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY Date ROWS BETWEEN UNBOUNDED "
+               f"PRECEDING AND CURRENT ROW) AS {c}" for c in ("Open", "High", "Low", "Close", "Volume")) + " FROM cal)"),
+        BAR_OUT)
+    add("missing_days", _on_o(lambda b: op.missing_counts(op.complete_calendar(b))),
+        _o("span AS (SELECT symbol, min(Date) AS lo, max(Date) AS hi FROM bars GROUP BY symbol),\n"
+           "days AS (SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS Date FROM span),\n"
+           "cal AS (SELECT d.symbol, d.Date, b.Open, b.High, b.Low, b.Close, b.Volume FROM days d"
+           " LEFT JOIN bars b ON b.symbol = d.symbol AND b.Date = d.Date),\n"
+           f"result AS (SELECT symbol, {_missing_sql} FROM cal GROUP BY symbol)"),
+        "symbol Date_missing Open_missing High_missing Low_missing Close_missing Volume_missing")
     add("normalise_minmax", _on_o(lambda b: op.normalise(b, method="minmax")),
         _o("result AS (SELECT *, " + ", ".join(
             f"(CAST({c} AS DOUBLE) - min(CAST({c} AS DOUBLE)) OVER (PARTITION BY symbol)) / NULLIF(max(CAST({c} AS DOUBLE))"

@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame operators on the bar table."""
 
 from tickframe.operators.cleaning import (
-    drop_missing, efficiency_ratio, fill_forward, flag_outliers, keep_columns, normalise, relative_volume,
+    complete_calendar, drop_missing, efficiency_ratio, fill_forward, flag_outliers, keep_columns, normalise, relative_volume,
 )
 from tickframe.operators.correlate import (
     benchmark_correlation, benchmark_pairs, correlation_label, guarded_corr, pair_correlation,
@@ -23,7 +23,7 @@ from tickframe.operators.volatility import (
 
 __all__ = [
     "avg_true_range", "basic_stats", "benchmark_correlation", "benchmark_pairs", "bollinger_bands", "bollinger_position",
-    "correlation_label", "daily_return", "data_frequency", "drop_missing", "efficiency_ratio",
+    "complete_calendar", "correlation_label", "daily_return", "data_frequency", "drop_missing", "efficiency_ratio",
     "fill_forward", "flag_outliers", "keep_columns", "guarded_corr", "high_volume_ratio", "intraday_return",
     "latest_report", "latest_row", "ma_cross", "ma_set", "macd", "missing_counts", "momentum",
     "moving_average", "moving_averages", "normalise", "pair_correlation", "period_returns",

@@ -23,6 +23,22 @@ def keep_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in keep])
 
 
+def complete_calendar(df: DataFrame) -> DataFrame:
+    """One row per symbol and calendar day between its first and last bar.
+
+    Days without a bar get NULL in every other column. Each bar emits its own
+    day and the empty days before the next bar (``lead`` over the symbol
+    window, then ``explode(sequence)``): one pass, no join back to the bars,
+    so the raw rows behind them are never read twice.
+    """
+    values = [c for c in df.columns if c not in ("symbol", "Date")]
+    last_day = F.coalesce(F.date_sub(F.lead("Date").over(bar_window("symbol")), 1), F.col("Date"))
+    spread = df.withColumn("_last", last_day).select(
+        "symbol", "Date", *values, F.explode(F.sequence(F.col("Date"), F.col("_last"))).alias("_day"))
+    own = F.col("_day") == F.col("Date")
+    return spread.select("symbol", F.col("_day").alias("Date"), *[F.when(own, F.col(c)).alias(c) for c in values])
+
+
 def fill_forward(df: DataFrame, columns: Iterable[str] = (*PRICE_COLUMNS, "Volume")) -> DataFrame:
     """Replace a NULL by the symbol's last non-NULL value before it."""
     w = running_window("symbol")
