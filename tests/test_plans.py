@@ -38,3 +38,17 @@ def test_benchmark_correlation_scans_once(spark):
 
 def test_top_k_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in physical_plan(QUERIES["preview_last40"](spark, SF))
+
+
+# queries that first write (export, stored bars) or checkpoint (chunked chains) their bars
+_MATERIALISED = {"export_indicators", "scored_signals_chunked", "scope_symbol_signals_chunked"}
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in _MATERIALISED])
+def test_raw_table_scanned_once(spark, name):
+    from tests.conftest import SF_SMALL
+
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
