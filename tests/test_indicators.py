@@ -275,3 +275,21 @@ def test_complete_calendar_then_fill(make_bars):
     assert cal[("A", day(1))].Close is None and cal[("A", day(1))].Volume is None
     filled = by_key(op.fill_forward(op.complete_calendar(bars)))
     assert filled[("A", day(2))].Close == 1.0 and filled[("A", day(3))].Close == 4.0
+
+
+def test_constant_price_and_single_bar(spark, make_bars):
+    flat = make_bars([("A", day(i), 50.0) for i in range(25)] + [("B", day(i), 10.0 + i) for i in range(25)])
+    bb = by_key(op.bollinger_position(flat), "symbol")
+    assert bb[("A",)].bb_position is None and bb[("A",)].bb_signal is None  # zero-width band
+    assert by_key(op.bollinger_bands(flat))[("A", day(24))].bb_std == 0.0
+    pairs = spark.createDataFrame([("A", "B")], "symbol_a string, symbol_b string")
+    assert op.pair_correlation(flat, pairs).collect()[0].corr_close is None  # constant side
+    vm = by_key(op.volatility_metrics(flat))
+    assert vm[("A", day(24))].daily_volatility == 0.0
+    one = make_bars([("Z", day(0), 3.0)])
+    r = op.technical_indicators(one).collect()[0]
+    assert r.rsi is None and r.bb_std is None and r.ma_200 == 3.0
+    # variant a MACD: signal exp(ln(0 + 1e-5)) > macd 0 on a first bar, so the MACD vote is -1
+    assert r.signal_macd == -1 and r.sentiment_strength == (-1 + 10.5) / 21 and r.sentiment == "Bearish"
+    assert op.latest_report(one).collect()[0].bb_position is None
+    assert by_key(op.data_frequency(one), "symbol")[("Z",)].frequency is None
