@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe import operators as op
-from tickframe.functions.expr import fixed_round, humanize_amount
+from tickframe.functions.expr import humanize_amount
 from tickframe.operators.oscillators import MACD_DECIMALS
 from tickframe.plans.session import ensure_checkpoint_dir
 from tickframe.schema import BAR_SCHEMA
@@ -68,20 +68,20 @@ def _spec(out: str) -> tuple[str, ...]:
 
 
 def project(df: DataFrame, out: tuple[str, ...]) -> DataFrame:
-    cols = []
-    for item in out:
+    """Select ``out`` with :func:`fixed_round` on doubles, as one JVM-side parsed projection."""
+    def one(item: str) -> str:
         name, _, kind = item.partition(":")
-        c = F.col(name)
-        if kind == "d":
-            c = fixed_round(c.cast("double"), DECIMALS)
-        elif kind == "c":
-            c = fixed_round(c.cast("double"), CORR_DECIMALS)
-        cols.append(c.alias(name))
-    return df.select(*cols)
+        q = f"`{name}`"
+        if not kind:
+            return q
+        scale = f"{10 ** (DECIMALS if kind == 'd' else CORR_DECIMALS)}D"
+        return f"round(CAST({q} AS DOUBLE) * {scale}, 0) / {scale} + 0D AS {q}"
+
+    return df.selectExpr(*[one(item) for item in out])
 
 
 def rnd(x: str, d: int) -> str:
-    """SQL twin of :func:`fixed_round`."""
+    """DuckDB twin of :func:`tickframe.functions.expr.fixed_round`."""
     scale = f"CAST({10**d} AS DOUBLE)"
     return f"(round(({x}) * {scale}) / {scale} + CAST(0 AS DOUBLE))"
 
