@@ -48,3 +48,10 @@ def test_over_chunks_with_single_operator(make_bars):
     got = over_chunks(bars, lambda d: op.moving_averages(d, windows=(5, 50), scope="chunk"), lookback=49,
                       chunk_rows=64, materialize=False)
     assert sorted(got.collect()) == plain
+
+
+@pytest.mark.parametrize("scope,chunk_rows", [("month", 30), ("symbol", 40)])
+def test_chunked_rule_signals_equal_plain(make_bars, scope, chunk_rows):
+    bars = _series(make_bars, seed=11)
+    plain = sorted(op.rule_signals(bars, scope=scope).collect())
+    assert sorted(op.rule_signals(bars, scope=scope, chunk_rows=chunk_rows).collect()) == plain

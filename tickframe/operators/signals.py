@@ -101,8 +101,19 @@ def _technical(df: DataFrame, scope: str, bb_scope: str) -> DataFrame:
     return apply_stages(df, stages + vote_stages(scope)).drop(*_DROPPED_VOTES)
 
 
-def rule_signals(df: DataFrame, scope: str = "month") -> DataFrame:
-    """RSI b + MACD b, then ``trade_signal`` (NULL inputs fall to Hold)."""
+# Rule chain reach: RSI b 13 + 1 rows, MACD b 25 rows then an 8-row signal frame.
+RULE_LOOKBACK = {"month": 30, "symbol": 33}
+
+
+def rule_signals(df: DataFrame, scope: str = "month", chunk_rows: int | None = None) -> DataFrame:
+    """RSI b + MACD b, then ``trade_signal`` (NULL inputs fall to Hold).
+
+    ``chunk_rows`` runs over bounded chunks of each series, as in
+    :func:`technical_indicators`.
+    """
+    if chunk_rows is not None:
+        inner = "chunk_month" if scope == "month" else "chunk"
+        return over_chunks(df, lambda d: rule_signals(d, inner), RULE_LOOKBACK[scope], chunk_rows)
     stages = merge_stages(rsi_stages(variant="b", scope=scope), macd_stages(variant="b", scope=scope))
     r, ml, sl = F.col("rsi"), F.col("macd_line"), F.col("signal_line")
     sig = ladder(
