@@ -55,3 +55,9 @@ def test_chunked_rule_signals_equal_plain(make_bars, scope, chunk_rows):
     bars = _series(make_bars, seed=11)
     plain = sorted(op.rule_signals(bars, scope=scope).collect())
     assert sorted(op.rule_signals(bars, scope=scope, chunk_rows=chunk_rows).collect()) == plain
+
+
+def test_chunked_exploration_equals_plain(make_bars):
+    bars = _series(make_bars, seed=3)
+    plain = sorted(op.exploration_indicators(bars).collect())
+    assert sorted(op.exploration_indicators(bars, chunk_rows=49).collect()) == plain

@@ -41,7 +41,8 @@ def test_top_k_uses_window_group_limit(spark):
 
 
 # queries that first write (export, stored bars) or checkpoint (chunked chains) their bars
-_MATERIALISED = {"export_indicators", "scored_signals_chunked", "scope_symbol_signals_chunked"}
+_MATERIALISED = {"export_indicators", "scored_signals_chunked", "scope_symbol_signals_chunked",
+                 "exploration_indicators_chunked"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in _MATERIALISED])

@@ -547,6 +547,15 @@ def _entries() -> dict[str, Entry]:
            "result AS (SELECT *, CASE WHEN bb_position IS NULL THEN NULL WHEN bb_position < 20 THEN 'Oversold' "
            "WHEN bb_position > 80 THEN 'Overbought' ELSE 'Neutral' END AS bb_signal FROM l2)"),
         "symbol Date Close:d bb_lower:d bb_middle:d bb_upper:d bb_position:d bb_signal")
+    explore_sql = _o(vol_sql("bars", "v") + ",\nresult AS (SELECT *, "
+                     + pct("Close", "lag(Close, 10) OVER " + W("symbol")) + " AS momentum_10d, "
+                     + ", ".join(f"{seq_avg('Close', WR('symbol', n - 1))} AS Close_MA_{n}" for n in (5, 20, 50))
+                     + " FROM v)")
+    explore_out = ("symbol Date daily_change:d true_range:d daily_volatility:d momentum_10d:d Close_MA_5:d "
+                   "Close_MA_20:d Close_MA_50:d")
+    add("exploration_indicators", _on_o(op.exploration_indicators), explore_sql, explore_out)
+    add("exploration_indicators_chunked", _on_o(lambda b: op.exploration_indicators(b, chunk_rows=CHUNK_ROWS)),
+        explore_sql, explore_out)
     # W10, W16
     add("momentum_10d", _on_o(op.momentum),
         _o(f"result AS (SELECT *, {pct('Close', 'lag(Close, 10) OVER ' + W('symbol'))} AS momentum_10d FROM bars)"),

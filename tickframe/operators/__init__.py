@@ -6,6 +6,7 @@ from tickframe.operators.cleaning import (
 from tickframe.operators.correlate import (
     benchmark_correlation, benchmark_pairs, correlation_label, guarded_corr, pair_correlation,
 )
+from tickframe.operators.explore import exploration_indicators
 from tickframe.operators.oscillators import macd, momentum, rsi
 from tickframe.operators.preview import preview_first, preview_last, recent_ma
 from tickframe.operators.profile import (
@@ -23,7 +24,7 @@ from tickframe.operators.volatility import (
 
 __all__ = [
     "avg_true_range", "basic_stats", "benchmark_correlation", "benchmark_pairs", "bollinger_bands", "bollinger_position",
-    "complete_calendar", "correlation_label", "daily_return", "data_frequency", "drop_missing", "efficiency_ratio",
+    "complete_calendar", "correlation_label", "daily_return", "data_frequency", "drop_missing", "efficiency_ratio", "exploration_indicators",
     "fill_forward", "flag_outliers", "keep_columns", "guarded_corr", "high_volume_ratio", "intraday_return",
     "latest_report", "latest_row", "ma_cross", "ma_set", "macd", "missing_counts", "momentum",
     "moving_average", "moving_averages", "normalise", "pair_correlation", "period_returns",
