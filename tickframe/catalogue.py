@@ -114,6 +114,14 @@ def _on_o(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
     return lambda spark, sf_dir: fn(bars_o(spark, sf_dir))
 
 
+def _checkpointed(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For queries that checkpoint: use the session's folder, or a scratch one when none is named."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        return build(spark, sf_dir)
+    return run
+
+
 def _category(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = category_frame(spark, FIXTURE_CATEGORIES)
     n = sum(len(v) for v in FIXTURE_CATEGORIES.values())
@@ -554,7 +562,8 @@ def _entries() -> dict[str, Entry]:
     explore_out = ("symbol Date daily_change:d true_range:d daily_volatility:d momentum_10d:d Close_MA_5:d "
                    "Close_MA_20:d Close_MA_50:d")
     add("exploration_indicators", _on_o(op.exploration_indicators), explore_sql, explore_out)
-    add("exploration_indicators_chunked", _on_o(lambda b: op.exploration_indicators(b, chunk_rows=CHUNK_ROWS)),
+    add("exploration_indicators_chunked",
+        _checkpointed(_on_o(lambda b: op.exploration_indicators(b, chunk_rows=CHUNK_ROWS))),
         explore_sql, explore_out)
     # W10, W16
     add("momentum_10d", _on_o(op.momentum),
@@ -659,10 +668,10 @@ def _entries() -> dict[str, Entry]:
     add("scope_symbol_ma_set", _on_o(lambda b: op.ma_set(b, scope="symbol")),
         _o(ma_set_sql("bars", "result", scope="symbol")), "symbol Date ma_5:d ma_10:d ma_20:d ma_50:d ma_200:d")
     # the same two chains over bounded chunks of each series (halo split): same SQL, same rows
-    add("scored_signals_chunked", _on_o(lambda b: op.technical_indicators(b, chunk_rows=CHUNK_ROWS)),
+    add("scored_signals_chunked", _checkpointed(_on_o(lambda b: op.technical_indicators(b, chunk_rows=CHUNK_ROWS))),
         _o(technical_sql("bars", "result")), TECH_OUT)
     add("scope_symbol_signals_chunked",
-        _on_o(lambda b: op.technical_indicators(b, scope="symbol", chunk_rows=CHUNK_ROWS)),
+        _checkpointed(_on_o(lambda b: op.technical_indicators(b, scope="symbol", chunk_rows=CHUNK_ROWS))),
         _o(",\n".join([rsi_sql("bars", "x_rsi", "a", "symbol"), macd_sql("x_rsi", "x_macd", "a", "symbol"),
                        bollinger_sql("x_macd", "x_bb"), scored_sql("x_bb", "result", "symbol")])), TECH_OUT)
     add("scope_symbol_signals", _on_o(lambda b: op.technical_indicators(b, scope="symbol")),
