@@ -61,3 +61,14 @@ def test_chunked_exploration_equals_plain(make_bars):
     bars = _series(make_bars, seed=3)
     plain = sorted(op.exploration_indicators(bars).collect())
     assert sorted(op.exploration_indicators(bars, chunk_rows=49).collect()) == plain
+
+
+def test_chunk_groups_are_bounded(make_bars):
+    from pyspark.sql import functions as F
+
+    bars = _series(make_bars)
+    split = split_series(bars, lookback=20, chunk_rows=64)
+    biggest = split.groupBy("symbol", "_chunk").count().agg(F.max("count")).first()[0]
+    assert biggest <= 64 + 20
+    per_symbol = split.filter(~F.col("_halo")).groupBy("symbol").count().collect()
+    assert {r.symbol: r["count"] for r in per_symbol} == {"A": 700, "B": 90, "C": 3}

@@ -14,7 +14,7 @@ from tickframe import operators as op
 from tickframe.plans.session import cut_lineage
 from tickframe.sources.sinks import export_indicators
 
-OUTPUTS = ("profile", "summary", "latest_report", "seasonality", "indicators")
+OUTPUTS = ("profile", "summary", "latest_report", "seasonality", "exploration", "indicators")
 
 
 def dashboard_job(bars: DataFrame, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
@@ -28,5 +28,7 @@ def dashboard_job(bars: DataFrame, out_dir: str, mode: str = "overwrite") -> dic
     op.summary_position(bars).join(card, "symbol").write.mode(mode).parquet(paths["summary"])
     op.latest_report(bars).write.mode(mode).parquet(paths["latest_report"])
     op.seasonality(bars, named=True).write.mode(mode).parquet(paths["seasonality"])
+    op.exploration_indicators(op.period_returns(bars)).write.mode(mode).partitionBy("symbol").parquet(
+        paths["exploration"])
     export_indicators(op.technical_indicators(bars), paths["indicators"], mode=mode)
     return paths
