@@ -30,6 +30,11 @@ def stream_daily_bars(
     with ``outputMode("append")`` and a ``checkpointLocation`` on shared
     storage: offsets and the aggregation state live there, so a restarted
     query (or a lost executor) resumes without losing or repeating bars.
+
+    Days are epoch-aligned ``window(ts, "1 day")`` buckets, i.e. UTC days; the
+    batch builder's ``cast(ts as date)`` uses the session time zone, so the two
+    agree under ``spark.sql.session.timeZone=UTC`` (append mode needs the
+    window, a plain date key cannot evict state on the watermark).
     """
     events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     key = exact_order_key(events, ts, tie_breaker)
