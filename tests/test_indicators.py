@@ -293,3 +293,28 @@ def test_constant_price_and_single_bar(spark, make_bars):
     assert r.signal_macd == -1 and r.sentiment_strength == (-1 + 10.5) / 21 and r.sentiment == "Bearish"
     assert op.latest_report(one).collect()[0].bb_position is None
     assert by_key(op.data_frequency(one), "symbol")[("Z",)].frequency is None
+
+
+def test_boxplot_approx_close_to_exact(spark):
+    from tickframe.catalogue import bars_o
+
+    bars = bars_o(spark, "/root/testdata/sf0.001")
+    values = {}
+    for r in op.period_returns(bars).collect():
+        for t in ("intraday_return", "weekly_return", "monthly_return"):
+            if r[t] is not None:
+                values.setdefault((r.symbol, t), []).append(r[t])
+    exact = by_key(op.returns_boxplot(bars), "symbol", "return_type")
+    approx_ = by_key(op.returns_boxplot(bars, exact=False, accuracy=100), "symbol", "return_type")
+    assert set(exact) == set(approx_) == set(values)
+    for k, vals in values.items():
+        vals.sort()
+        n = len(vals)
+        assert approx_[k].n == exact[k].n == n
+        for p, col in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+            got = approx_[k][col]
+            assert got in vals  # the sketch returns a data value
+            first, last = vals.index(got), n - 1 - vals[::-1].index(got)  # ties span several ranks
+            target = p * (n - 1)
+            dist = 0 if first <= target <= last else min(abs(first - target), abs(last - target))
+            assert dist <= 1 + n / 100

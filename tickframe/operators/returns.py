@@ -47,7 +47,7 @@ def returns_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol").agg(*aggs)
 
 
-def returns_boxplot(df: DataFrame, whisker: float = 1.5) -> DataFrame:
+def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Box-plot numbers per symbol and return type.
 
     Exact quartiles (linear interpolation), Tukey fences at ``whisker`` x IQR,
@@ -56,6 +56,10 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5) -> DataFrame:
     bars' ``hash(symbol)`` partitioning already satisfies, so neither the
     window nor the final aggregate shuffles. A group is one symbol's daily
     series of one return type: its size is bounded by the days in range.
+
+    ``exact=False`` uses ``percentile_approx`` (a sketch of ``accuracy``, rank
+    error about 1/accuracy) for very long histories: its buffer has bounded
+    size and merges map side, so no group's values are gathered in one task.
     """
     long = (
         period_returns(df)
@@ -65,8 +69,13 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5) -> DataFrame:
         .select("symbol", "r.return_type", "r.value")
         .filter(F.col("value").isNotNull())
     )
-    q = F.percentile("value", [0.25, 0.5, 0.75]).over(Window.partitionBy("symbol", "return_type"))
-    long = long.withColumn("_q", q)
+    if exact:
+        long = long.withColumn("_q", F.percentile("value", [0.25, 0.5, 0.75]).over(
+            Window.partitionBy("symbol", "return_type")))
+    else:
+        sketch = long.groupBy("symbol", "return_type").agg(
+            F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("_q"))
+        long = long.join(sketch, ["symbol", "return_type"])
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     lo, hi = q1 - whisker * iqr, q3 + whisker * iqr
