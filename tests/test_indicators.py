@@ -318,3 +318,12 @@ def test_boxplot_approx_close_to_exact(spark):
             target = p * (n - 1)
             dist = 0 if first <= target <= last else min(abs(first - target), abs(last - target))
             assert dist <= 1 + n / 100
+
+
+def test_outlier_flags_exact_and_approx(make_bars):
+    closes = [100.0, 101.0, 100.5, 101.5, 100.8, 101.2, 150.0, 101.0, 100.9, 101.1]
+    bars = make_bars([("A", day(i), c) for i, c in enumerate(closes)])
+    exact = by_key(op.flag_outliers(bars))
+    approx_ = by_key(op.flag_outliers(bars, exact=False))
+    assert exact[("A", day(6))].is_outlier is True and exact[("A", day(7))].is_outlier is True
+    assert {k: r.is_outlier for k, r in exact.items()} == {k: r.is_outlier for k, r in approx_.items()}

@@ -66,13 +66,21 @@ def normalise(df: DataFrame, columns: Iterable[str] = ("Close", "Volume"), metho
     return df
 
 
-def flag_outliers(df: DataFrame, column: str = "daily_return", whisker: float = 1.5) -> DataFrame:
-    """``is_outlier``: value outside the symbol's Tukey fences (exact quartiles)."""
+def flag_outliers(df: DataFrame, column: str = "daily_return", whisker: float = 1.5, exact: bool = True,
+                  accuracy: int = 10_000) -> DataFrame:
+    """``is_outlier``: value outside the symbol's Tukey fences.
+
+    Exact quartiles by default; ``exact=False`` uses a bounded-memory
+    ``percentile_approx`` sketch per symbol (merged map side) for very long
+    histories, as in :func:`returns_boxplot`.
+    """
     if column not in df.columns and column == "daily_return":
         df = daily_return(df)
-    w = Window.partitionBy("symbol")
-    q = F.percentile(column, [0.25, 0.75]).over(w)
-    df = df.withColumn("_q", q)
+    if exact:
+        df = df.withColumn("_q", F.percentile(column, [0.25, 0.75]).over(Window.partitionBy("symbol")))
+    else:
+        sketch = df.groupBy("symbol").agg(F.percentile_approx(column, [0.25, 0.75], accuracy).alias("_q"))
+        df = df.join(sketch, "symbol")
     iqr = F.col("_q")[1] - F.col("_q")[0]
     lo, hi = F.col("_q")[0] - whisker * iqr, F.col("_q")[1] + whisker * iqr
     return df.withColumn(
