@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import read_table, shared_folder
+from tickframe.llm.embedding_dedup import embedding_groups
 from tickframe.llm.packing import pack_documents
 from tickframe.llm.token_counts import count_tokens
 from tickframe.llm.token_files import read_token_files, write_token_files
@@ -25,6 +26,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -37,7 +42,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op5_token_files, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing)}
 
 _URL_SQL = """
 WITH u AS (
