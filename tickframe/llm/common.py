@@ -67,7 +67,8 @@ def smallest_reachable(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     links = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    while True:
+    before = _digest(links)
+    while before[0]:
         # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
@@ -77,11 +78,12 @@ def smallest_reachable(edges: DataFrame, name: str = "components") -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = stored(small.filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        same = _digest(small) == _digest(links)
+        after = _digest(small)
         dropped(spark, links, low, large, least)
         links = small
-        if same:
+        if after == before:
             break
+        before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

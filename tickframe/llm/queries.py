@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.embedding_dedup import embedding_groups
+from tickframe.llm.minhash import near_duplicates
 from tickframe.llm.packing import pack_documents
 from tickframe.llm.token_counts import count_tokens
 from tickframe.llm.token_files import read_token_files, write_token_files
@@ -42,7 +43,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing,
+                                    op10_minhash_dedup)}
 
 _URL_SQL = """
 WITH u AS (
