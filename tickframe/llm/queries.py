@@ -10,6 +10,7 @@ from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.embedding_dedup import embedding_groups
 from tickframe.llm.minhash import near_duplicates
 from tickframe.llm.packing import pack_documents
+from tickframe.llm.secrets import secret_report
 from tickframe.llm.token_counts import count_tokens
 from tickframe.llm.token_files import read_token_files, write_token_files
 from tickframe.llm.url_filter import filter_urls
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -47,7 +52,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing,
                                     op10_minhash_dedup)}
 
 _URL_SQL = """
