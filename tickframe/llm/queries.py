@@ -10,12 +10,14 @@ from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.embedding_dedup import embedding_groups
 from tickframe.llm.minhash import near_duplicates
 from tickframe.llm.packing import pack_documents
+from tickframe.llm.quality import quality_scores
 from tickframe.llm.secrets import secret_report
 from tickframe.llm.token_counts import count_tokens
 from tickframe.llm.token_files import read_token_files, write_token_files
 from tickframe.llm.url_filter import filter_urls
 
 MAX_TOKENS = 1024
+MIN_QUALITY = 0.7
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -48,12 +50,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= MIN_QUALITY).cast("int"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing,
-                                    op10_minhash_dedup)}
+                                    op7_quality, op10_minhash_dedup)}
 
 _URL_SQL = """
 WITH u AS (
