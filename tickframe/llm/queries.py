@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.decontaminate import contamination
 from tickframe.llm.embedding_dedup import embedding_groups
+from tickframe.llm.language_model import score_documents
 from tickframe.llm.minhash import near_duplicates
 from tickframe.llm.packing import pack_documents
 from tickframe.llm.quality import quality_scores
@@ -60,12 +61,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing,
-                                    op7_quality, op8_decontamination, op10_minhash_dedup)}
+                                    op7_quality, op8_decontamination, op9_language_model, op10_minhash_dedup)}
 
 _URL_SQL = """
 WITH u AS (
