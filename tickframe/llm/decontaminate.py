@@ -163,36 +163,32 @@ class _Numbers(dict):
         return n
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id",
+def with_items(docs: DataFrame, benchmark: DataFrame, name: str = "items", text: str = "text",
                item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(row columns id, items)``: every document with the sorted ids of the items it holds."""
+    """``docs`` with the sorted ids of the test items each document holds in the new column ``name``; no shuffle."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     parts = max(1, -(-items.count() // PART_ITEMS))
-    data = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = None
+    names = [f"own_{i}" for i in range(len(docs.columns))]  # any column names, whatever they clash with
+    at, out = docs.columns.index(text), docs.toDF(*names).withColumn("items", F.array().cast("array<long>"))
     for p in range(parts):  # one bounded part of the index at a time
         chosen = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in chosen.orderBy("i", "t").collect()]))
-        found = data.mapInArrow(_scanner(index), f"id {kind}, items array<long>")
-        out = found if out is None else out.unionByName(found)
-    if parts > 1:
-        out = out.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+        out = out.mapInArrow(_scanner(index, at), out.schema)
+    return out.toDF(*docs.columns, name)
 
 
-def _scanner(index):
+def _scanner(index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         numbers = _Numbers(ix.vocabulary)
         for b in batches:
-            lists = pc.utf8_split_whitespace(pc.fill_null(b.column("t").cast(pa.large_string()), ""))
+            lists = pc.utf8_split_whitespace(pc.fill_null(b.column(at).cast(pa.large_string()), ""))
             coded = lists.flatten().dictionary_encode()
             table = np.array([numbers[w] for w in coded.dictionary.to_pylist()], np.int64)
             terms = table[coded.indices.to_numpy()] if len(table) else np.empty(0, np.int64)
             starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            items: list[list[int]] = [[] for _ in range(b.num_rows)]
+            items = b.column("items").to_pylist()
             cache: tuple[int, dict, list] = (-1, {}, [])
             for d, i in sorted(ix.candidates(terms, starts[1:])) if len(terms) else ():
                 if d >= b.num_rows or starts[d] == starts[d + 1]:
@@ -201,15 +197,16 @@ def _scanner(index):
                     cache = (d, {}, terms[starts[d]:starts[d + 1]].tolist())
                 if min(ix.overlaps(cache[1], cache[2], i)) >= MIN_OVERLAP:
                     items[d].append(ix.names[i])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["id", "items"])
+            found = pa.array([sorted(x) for x in items], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=b.schema.names)
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id",
+                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(id_col, contaminated, n_items, items)`` for every document."""
-    found = find_items(docs, benchmark, id_col=id_col, **names)
-    return found.select(F.col("id").alias(id_col), (F.size("items") > 0).alias("contaminated"),
+    found = with_items(docs.select(id_col, text), benchmark, "items", text, item_col, item_text)
+    return found.select(id_col, (F.size("items") > 0).alias("contaminated"),
                         F.size("items").cast("long").alias("n_items"),
                         F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))

@@ -14,10 +14,10 @@ Steps, each a Spark job over tables in the shared folder:
    (map-side combined), represented by the smallest id;
 2. the sketch is cut into bands; classes that share a band meet in a bucket.
    Every member is checked against the bucket's leader on the full sets;
-3. buckets that still hold several components are gathered into clusters and
-   every pair of different components in them is checked on the full sets, in
-   blocks of bounded size, by products of 0/1 incidence matrices. A block
-   returns one tree link per class, never its pairs;
+3. classes connected by buckets form a cluster. In clusters that still hold
+   several components, every pair of different components is checked on the
+   full sets, in blocks of bounded size, by products of 0/1 incidence
+   matrices. A block returns one tree link per class, never its pairs;
 4. components of all confirmed links.
 
 * null or empty text, or white space only: empty set, linked with nothing;
@@ -166,24 +166,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     pairs = pairs.join(sets.withColumnsRenamed({"rep": "a", "s": "sa"}), "a").join(
         sets.withColumnsRenamed({"rep": "b", "s": "sb"}), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    links = stored(pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
-    first = smallest_reachable(links, "near-components")
-
-    known = stored(met.select("bucket", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("component")), "known")
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = known.join(mixed.filter("low < high"), "bucket").select("bucket", "rep", "component", "low")
-    mixed = stored(mixed, "mixed")
-    # clusters of the components that meet in such buckets
-    cluster = smallest_reachable(mixed.selectExpr("component as a", "low as b"), "clusters")
-    grouped = stored(mixed.join(cluster.selectExpr("node as component", "component as cluster"),
-                                "component"), "grouped")
-    members = grouped.select("cluster", "rep", "component").distinct()
-    large = members.groupBy("cluster").agg(F.count("*").alias("members"))
-    large = stored(large.filter(F.col("members") > CLUSTER_LIMIT), "large-clusters")
-    units = members.join(large, "cluster", "left_anti").selectExpr(
+    links = pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    # components of the confirmed links (odd nodes) and clusters of all candidates (even nodes), found together
+    graph = links.selectExpr("2 * a + 1 as a", "2 * b + 1 as b").unionByName(
+        met.selectExpr("2 * rep as a", "2 * leader as b"))
+    parts = smallest_reachable(graph, "near-parts")
+    first = parts.filter("node % 2 <> 0").selectExpr("shiftright(node, 1) as rep", "shiftright(component, 1) as component")
+    cluster = parts.filter("node % 2 = 0").selectExpr("shiftright(node, 1) as rep", "shiftright(component, 1) as cluster")
+    known = stored(cluster.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    mixed = known.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                         F.count("*").alias("members"))
+    mixed = stored(mixed.filter("low < high").select("cluster", "members"), "mixed")
+    members = known.join(mixed, "cluster")
+    units = members.filter(F.col("members") <= CLUSTER_LIMIT).selectExpr(
         "xxhash64('cluster', cluster) as unit", "rep", "component").unionByName(
-        grouped.join(large, "cluster", "left_semi").selectExpr(
+        members.filter(F.col("members") > CLUSTER_LIMIT).join(met.select("bucket", "rep"), "rep").selectExpr(
             "xxhash64('bucket', bucket) as unit", "rep", "component"))
     units = stored(units, "units")
     sized = stored(units.groupBy("unit").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sized")
@@ -203,8 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     more = units.mapInArrow(check, "a long, b long")
     # links of the first round stand as links to their component
-    edges = stored(first.selectExpr("node as a", "component as b").unionByName(more), "edges")
-    component = smallest_reachable(edges, "near-components")
+    component = smallest_reachable(first.selectExpr("rep as a", "component as b").unionByName(more), "near-components")
     per_class = stored(classes.select("key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left")
                        .select("key", F.coalesce("component", "rep").alias("component")), "class-results")
     out = sketched.select("id", "n", "key").join(per_class, "key", "left").select(
@@ -213,6 +209,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text",
+                      id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the documents whose group has a smaller id, and without repeats of an id.
+
+    Documents without words and rows without an id all stay. Only ids are
+    joined with the table: those to go, which may be many (a shuffle join).
+    """
+    groups = stored(near_duplicates(docs, words, percent, text=text, id_col=id_col), "groups")
+    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone__")).distinct()
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("gone__"), "left_anti")
+    repeated = groups.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("gone__")).count()
+    repeated = stored(repeated.filter("count > 1").select("gone__"), "repeated")
+    if repeated.isEmpty():
+        return out
+    same = F.col(id_col).cast("long") == F.col("gone__")
+    return out.join(repeated, same, "left_anti").unionByName(
+        out.join(repeated, same, "left_semi").dropDuplicates([id_col]))
+
+
 def whole_units(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """The units of a stream sorted by the columns ``by``, one table each; a unit's size is bounded."""
     rest = None

@@ -31,8 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tickframe.llm.common import stored
+from pyspark.sql import types as T
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 64, 2, 2
 LAGS = 3
@@ -127,34 +126,25 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, text: str, id_col: str) -> DataFrame:
-    """``(id, x)`` of every document, as float32 bytes: mean and mean square of its token vectors, and the
-    mean cosine of tokens one to ``LAGS`` places apart (near 1 where a text repeats itself)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIM
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, sizes = token_buckets(b.column("t"))
-            out = np.zeros((len(sizes), WIDTH), np.float64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            for k in range(0, len(tokens), TOKENS_AT_ONCE):
-                more = shared.value[tokens[k:k + TOKENS_AT_ONCE + LAGS]]
-                x, d = more[:TOKENS_AT_ONCE], doc[k:k + TOKENS_AT_ONCE]
-                first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                out[d[first], :DIM] += np.add.reduceat(x, first, axis=0)
-                out[d[first], DIM:2 * DIM] += np.add.reduceat(x * x, first, axis=0)
-                for lag in range(1, LAGS + 1):
-                    later = more[lag:lag + len(x)]
-                    same = doc[k + lag:k + lag + len(later)] == d[:len(later)]
-                    alike = np.zeros(len(x))
-                    alike[:len(later)] = np.einsum("ij,ij->i", x[:len(later)], later) * same
-                    out[d[first], 2 * DIM + lag - 1] += np.add.reduceat(alike, first)
-            out = (out / np.maximum(sizes, 1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([r.tobytes() for r in out], pa.binary())], names=["id", "x"])
-
-    data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    return data.mapInArrow(run, "id long, x binary")
+def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Per text the mean and mean square of its token vectors, and the mean cosine of tokens one to
+    ``LAGS`` places apart (near 1 where a text repeats itself)."""
+    tokens, sizes = token_buckets(texts)
+    out = np.zeros((len(sizes), WIDTH), np.float64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    for k in range(0, len(tokens), TOKENS_AT_ONCE):
+        more = vectors[tokens[k:k + TOKENS_AT_ONCE + LAGS]]
+        x, d = more[:TOKENS_AT_ONCE], doc[k:k + TOKENS_AT_ONCE]
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        out[d[first], :DIM] += np.add.reduceat(x, first, axis=0)
+        out[d[first], DIM:2 * DIM] += np.add.reduceat(x * x, first, axis=0)
+        for lag in range(1, LAGS + 1):
+            later = more[lag:lag + len(x)]
+            same = doc[k + lag:k + lag + len(later)] == d[:len(later)]
+            alike = np.zeros(len(x))
+            alike[:len(later)] = np.einsum("ij,ij->i", x[:len(later)], later) * same
+            out[d[first], 2 * DIM + lag - 1] += np.add.reduceat(alike, first)
+    return out / np.maximum(sizes, 1)[:, None]
 
 
 class Network:
@@ -214,25 +204,48 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
-def _matrix(raw: pa.Array | list) -> np.ndarray:
-    rows = raw.to_pylist() if isinstance(raw, pa.Array) else raw
-    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, WIDTH).astype(np.float64)
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id",
-                   label: str = "quality") -> DataFrame:
-    """``(id_col, held_out, score)``: the probability of label 1 for every row of ``docs``."""
-    table = stored(pooled(docs, word_vectors(docs, text), text, id_col), "pooled")
+def training_sample(docs: DataFrame, labels: DataFrame, vectors, text: str, id_col: str, label: str) -> list:
+    """At most ``MAX_SAMPLE`` rows ``(id, y, x)`` of labelled training documents, those with the smallest hashed ids."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(
         (F.avg(label) >= 0.5).cast("int").alias("y"))
     known = known.filter(~held_out(F.col("id"), 4, 2))
-    sample = table.join(known, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE).collect()
-    network = Network(_matrix([bytes(r["x"]) for r in sample]), np.array([r["y"] for r in sample], np.float64))
+    data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+    known = known.join(data.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            x = pool(b.column("t"), vectors.value).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(network.score(_matrix(b.column("x"))))], names=["id", "score"])
+                [b.column("id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+
+    chosen = data.join(F.broadcast(known), "id")  # MAX_SAMPLE ids
+    rows = chosen.mapInArrow(run, "id long, y int, x binary").collect()
+    return sorted({r["id"]: r for r in sorted(rows)}.values())
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, name: str = "score", text: str = "text", id_col: str = "doc_id",
+                 label: str = "quality") -> DataFrame:
+    """``docs`` with the probability of label 1 in the new column ``name``; no shuffle of texts."""
+    spark = docs.sparkSession
+    vectors = spark.sparkContext.broadcast(word_vectors(docs, text))  # BUCKETS x DIM
+    sample = training_sample(docs, labels, vectors, text, id_col, label)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in sample], np.float64).reshape(-1, WIDTH)
+    network = Network(x, np.array([r["y"] for r in sample], np.float64))
+    names = [f"own_{i}" for i in range(len(docs.columns))]  # any column names, whatever they clash with
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = network.score(pool(b.column(at), vectors.value))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*names, "score"])
+
+    own = docs.toDF(*names)
+    schema = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(run, schema).toDF(*docs.columns, name)
 
-    out = table.mapInArrow(run, "id long, score double")
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id"), 4, 2).alias("held_out"), "score")
+
+def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id",
+                   label: str = "quality") -> DataFrame:
+    """``(id_col, held_out, score)`` for every row of ``docs``."""
+    scored = with_quality(docs.select(id_col, text), labels, "score", text, id_col, label)
+    return scored.select(id_col, held_out(F.col(id_col), 4, 2).alias("held_out"), "score")
