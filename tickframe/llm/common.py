@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,16 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of a text column (one row at least), to bound a task's memory."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0, 0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield b.slice(lo, hi - lo)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

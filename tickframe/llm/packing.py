@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.token_files import encode_text, id_type
+from tickframe.llm.common import by_size
+from tickframe.llm.pretokens import text_ids
 
 WINDOW = 2048
 SHARD_TOKENS = 4_000_000
@@ -125,8 +126,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WI
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, sequence = id_type(path), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], kind).tobytes()
+        encoder, sequence = text_ids(path), TaskContext.get().partitionId() << 40
 
         def packed(shard: list[tuple]) -> pa.RecordBatch:
             nonlocal sequence
@@ -143,10 +143,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WI
                 [pa.array(columns[0], id_arrow), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
         shard, size = [], 0
-        for b in batches:
+        for b in by_size(batches, "t", 16 << 20):
             id_arrow = b.schema.field("id").type
-            for i, t in zip(b.column("id").to_pylist(), b.column("t")):
-                ids = np.frombuffer(encode_text(t.as_py(), path) + end, kind)
+            for i, ids in zip(b.column("id").to_pylist(), encoder.batch(b.column("t").to_pylist())):
+                ids = np.append(ids, encoder.kind.type(end_id))
                 shard.append((i, ids))
                 size += len(ids)
                 if size >= shard_tokens:

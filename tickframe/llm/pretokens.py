@@ -1,16 +1,24 @@
-"""Pre-token work shared by the token operators: split a text, look up or merge each pre-token.
+"""Pre-token work shared by the token operators: cut a text, look up or merge each part.
 
-A BPE tokenizer merges inside pre-tokens only, so a text's ids are the
-concatenation of its pre-tokens' ids. Splitting is done with Python's ``re``
-where that is proven equal to the library's splitting, character by
-character; any other text goes to the library whole.
+A BPE tokenizer merges inside pre-tokens only, so a text's ids are the ids of
+its pre-tokens in order. Texts are cut at spaces and line ends first; a chunk
+seen before needs no further work, a new one is split into pre-tokens, and
+only pre-tokens not seen before are merged, by the library's model. Chunks
+are split with Python's ``re`` where that is proven equal to the library,
+character by character; any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # The split patterns of the public vocabularies, letters \p{L} as [^\W\d_],
@@ -19,13 +27,21 @@ SPLIT_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 SPLIT_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 # Code points tried by the proof; below U+0300 no character combines with its neighbours.
 PROOF_RANGE = range(1, 0x300)
+# A run of three white-space characters is cut differently inside a text than at its spaces.
+RUNS = ["".join(run) for run in itertools.product(" \n", repeat=3)]
+# Marks that stand as a pre-token of their own after a word.
+MARKS = tuple(".,;:!?")
+# Entries kept per table (about 200 bytes each); a full table starts again, results never change.
+TABLE_LIMIT = 1_000_000
 
 
 class Splitter:
-    """Splits a text into pre-tokens, or returns None when only the library splits it safely."""
+    """Splits a text into pre-tokens; ``odd`` tells what only the library splits safely."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.symbols = _byte_symbols()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lowered = "Lowercase" in json.dumps(spec["normalizer"])
@@ -35,35 +51,133 @@ class Splitter:
         self.odd = re.compile(f"[{re.escape(unsafe)}\\x00\\u0300-\\U0010ffff]|{specials}").search
 
     def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens, or None for an odd text."""
         if self.odd(text):
             return None
         return self.find(text.lower() if self.lowered else text)
 
     def _proven(self, c: str) -> bool:
         """The library's ids of a probe with ``c`` in every position equal those of the split pieces."""
+        if c.isspace() and c not in " \n\t\r":
+            return False  # Python and the library differ on which of these are white space
         probe = f"{c} a{c}b A{c}B 1{c}2 !{c}? {c}{c} x {c}'s'{c} '{c}s  {c}\n{c} {c}"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        pieces = self.find(probe.lower() if self.lowered else probe)
-        return whole == [i for p in pieces for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+        return whole == [i for p in self.find(probe.lower() if self.lowered else probe) for i in self.merged(p)]
 
+    def merged(self, piece: str) -> list[int]:
+        """The ids of one pre-token, merged by the library's model without splitting again."""
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]
 
-class Merged(dict):
-    """Pre-token -> result of ``of(ids)``, merged by the library on first sight.
 
-    ``limit`` bounds the memory (the table starts again when full); it never
-    changes a result.
-    """
+def _byte_symbols() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
 
-    def __init__(self, tokenizer: Tokenizer, of, known: dict | None = None, limit: int = 600_000):
+class _Table(dict):
+    """Remembers ``make(key)``."""
+
+    def __init__(self, make: Callable, known: dict | None = None):
         super().__init__(known or {})
-        self.tokenizer, self.of, self.known, self.limit = tokenizer, of, known or {}, limit
+        self.make, self.known = make, known or {}
 
-    def learn(self, pieces: list[str]) -> None:
-        """Merge all pieces that are not in the table yet, in one call to the library."""
-        new = [p for p in set(pieces) if p not in self]
-        if len(self) + len(new) > self.limit + len(self.known):
+    def __missing__(self, key: str):
+        if len(self) >= TABLE_LIMIT + len(self.known):
             self.clear()
             self.update(self.known)
-            new = [p for p in set(pieces) if p not in self]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[p] = self.of(e.ids)
+        self[key] = value = self.make(key)
+        return value
+
+
+class TextIds:
+    """Token ids of whole texts, batch by batch.
+
+    A batch is cut into chunks and its distinct chunks are found by Arrow;
+    each gets its ids once, from a table that lives as long as the worker,
+    and the texts' ids are gathered from the distinct chunks. With
+    ``count_only`` the table holds token counts instead of ids; ``known``
+    holds the counts of pre-tokens that need no merging.
+    """
+
+    def __init__(self, path: str, count_only: bool = False, known: dict[str, int] | None = None):
+        self.splitter, self.count_only, self.known = Splitter(path), count_only, known or {}
+        size = self.splitter.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.of = len if count_only else (lambda ids: np.array(ids, self.kind).tobytes())
+        self.join = sum if count_only else b"".join
+        self.piece = _Table(lambda piece: self.of(self.splitter.merged(piece)), self.known)
+        self.bare = _Table(lambda chunk: self._chunk("", chunk, self.bare))
+        self.spaced = _Table(lambda chunk: self._chunk(" ", chunk, self.spaced))
+
+    def _chunk(self, space: str, chunk: str, table: _Table):
+        """A chunk's value; words, alone or before one mark, need no pattern."""
+        if chunk.isalpha():
+            known = self.known.get(space + chunk)
+            return self.of(self.splitter.merged(space + chunk)) if known is None else known
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return self.join((table[chunk[:-1]], self.piece[chunk[-1]]))
+        return self.join(map(self.piece.__getitem__, self.splitter.find(space + chunk)))
+
+    def _whole(self, text: str):
+        """A text that is not cut into chunks."""
+        if self.splitter.odd(text):
+            return self.of(self.splitter.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.join(map(self.piece.__getitem__, self.splitter.find(text)))
+
+    def batch(self, texts: list[str]) -> list:
+        """Per text its number of tokens, or its ids as an array."""
+        lowered, out, at, plain = self.splitter.lowered, [None] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if self.splitter.odd(t) or not lowered and (
+                    "\t" in t or "\r" in t or t[-2:].isspace() or any(run in t for run in RUNS)):
+                out[i] = self._whole(t)
+            else:
+                at.append(i)
+                plain.append(t.lower() if lowered else t)
+        if not self.count_only:
+            out = [None if v is None else np.frombuffer(v, self.kind) for v in out]
+        for i, v in zip(at, self._chunked(plain) if plain else ()):
+            out[i] = v
+        return out
+
+    def _chunked(self, texts: list[str]) -> list:
+        lowered = self.splitter.lowered
+        cut = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " " if lowered else " \n ")
+        lists = pc.split_pattern(cut, " ")
+        ends = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if lowered:
+            values = [self.bare[c] for c in chunks]
+        else:  # a chunk stands bare at the start of a text or line, else behind a space
+            line = chunks.index("\n") if "\n" in chunks else -1
+            start = np.zeros(len(code), bool)
+            start[1:] = code[:-1] == line
+            start[ends[:-1]] = True
+            code = code.astype(np.int64) * 2 + (start | (code == line))
+            used = np.flatnonzero(np.bincount(code, minlength=2 * len(chunks)))
+            values = [(self.bare if u & 1 else self.spaced)[chunks[u >> 1]] for u in used.tolist()]
+            place = np.zeros(2 * len(chunks), np.int64)
+            place[used] = np.arange(len(used))
+            code = place[code]
+        size = np.array(values if self.count_only else list(map(len, values)), np.int64)
+        total = np.concatenate([[0], np.cumsum(size[code])])[ends]
+        if self.count_only:
+            return np.diff(total).tolist()
+        flat = pa.array(values, pa.large_binary()).take(pa.array(code))
+        first = int(np.frombuffer(flat.buffers()[1], np.int64, 1, flat.offset * 8)[0])
+        flat = np.frombuffer(flat.buffers()[2], np.uint8, int(total[-1]), first).view(self.kind) \
+            if total[-1] else np.empty(0, self.kind)
+        return np.split(flat, total[1:-1] // self.kind.itemsize)
+
+
+_workers: dict[tuple, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
+    """The worker's table for a tokenizer file."""
+    if path not in _workers:
+        _workers[path] = TextIds(path)
+    return _workers[path]

@@ -12,16 +12,17 @@ in that table counts 1 with no merging; only the rest is merged.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.pretokens import Merged, Splitter
+from tickframe.llm.common import by_size
+from tickframe.llm.pretokens import Splitter, TextIds
 
-_workers: dict[str, tuple[Splitter, Merged]] = {}
+_workers: dict[str, TextIds] = {}
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -35,11 +36,9 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(x for x, e in zip(strings, encoded) if len(e.ids) == 1)
 
 
-def _worker(path: str, whole: frozenset[str]) -> tuple[Splitter, Merged]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _counter(path: str, whole: frozenset[str]) -> TextIds:
     if path not in _workers:
-        s = Splitter(path)
-        _workers[path] = s, Merged(s.tokenizer, len, dict.fromkeys(whole, 1))
+        _workers[path] = TextIds(path, True, dict.fromkeys(whole, 1))
     return _workers[path]
 
 
@@ -49,24 +48,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", id_col: str = "
     data = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, merged = _worker(path, whole.value)
-        for b in batches:
-            n_bytes, n_tokens = [], []
-            for t in b.column("t"):
-                t = t.as_py()
-                n_bytes.append(len(t.encode()))
-                pieces = splitter.pieces(t)
-                if pieces is None:
-                    n_tokens.append(len(splitter.tokenizer.encode(t, add_special_tokens=False).ids))
-                    continue
-                try:
-                    n_tokens.append(sum(map(merged.__getitem__, pieces)))
-                except KeyError:
-                    merged.learn(pieces)
-                    n_tokens.append(sum(map(merged.__getitem__, pieces)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
-                names=[id_col, "n_bytes", "n_tokens"])
+        count = _counter(path, whole.value)
+        for b in by_size(batches, "t", 16 << 20):
+            n_bytes = pc.binary_length(b.column("t")).cast(pa.int64())
+            n_tokens = pa.array(count.batch(b.column("t").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), n_bytes, n_tokens],
+                                             names=[id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return data.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")

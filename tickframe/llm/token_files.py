@@ -21,7 +21,6 @@ lost attempts are never read.
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,39 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import stored
-from tickframe.llm.pretokens import Merged, Splitter
+from tickframe.llm.common import by_size, stored
+from tickframe.llm.pretokens import text_ids
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
-_workers: dict[tuple, tuple[Splitter, Merged]] = {}
-
-
-def id_type(path: str) -> np.dtype:
-    """Two bytes an id when the vocabulary allows it, else four."""
-    if path not in _id_types:
-        _id_types[path] = np.dtype("<u2" if Splitter(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-    return _id_types[path]
-
-
-_id_types: dict[str, np.dtype] = {}
-
-
-def encode_text(text: str, path: str) -> bytes:
-    """The library's ids of a whole text (special strings as its default), as little-endian bytes."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _workers:
-        s, kind = Splitter(path), id_type(path)
-        _workers[path] = s, Merged(s.tokenizer, lambda ids: np.array(ids, kind).tobytes())
-    splitter, merged = _workers[path]
-    pieces = splitter.pieces(text)
-    if pieces is None:
-        return np.array(splitter.tokenizer.encode(text, add_special_tokens=False).ids, id_type(path)).tobytes()
-    try:
-        return b"".join(map(merged.__getitem__, pieces))
-    except KeyError:
-        merged.learn(pieces)
-        return b"".join(map(merged.__getitem__, pieces))
 
 
 class ShardWriter:
@@ -82,8 +53,8 @@ class ShardWriter:
         self.waiting, self.size, self.tokens = [], 0, 0
         self.index: list[tuple] = []
 
-    def add(self, doc_id, ids: bytes) -> None:
-        n = len(ids) // self.kind.itemsize
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        n = len(ids)
         self.index.append((doc_id, self.tokens, n))
         self.tokens += n
         self.waiting.append(ids)
@@ -92,7 +63,7 @@ class ShardWriter:
             self._flush(whole=False)
 
     def _flush(self, whole: bool) -> None:
-        flat = np.frombuffer(b"".join(self.waiting), self.kind)
+        flat = np.concatenate([np.empty(0, self.kind), *self.waiting])
         step = self.seq_len * BATCH_SEQUENCES
         at = 0
         while len(flat) - at >= step or (whole and at < len(flat)):
@@ -105,7 +76,7 @@ class ShardWriter:
                 [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.seq_len),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask), self.seq_len)], schema=self.schema))
             at += len(part)
-        self.waiting, self.size = [flat[at:].tobytes()], len(flat) - at
+        self.waiting, self.size = [flat[at:].copy()], len(flat) - at
 
     def close(self, id_type_: pa.DataType) -> tuple[str, str, int, int]:
         self._flush(whole=True)
@@ -153,12 +124,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     data = data.repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
-        end = np.array([end_id], id_type(path)).tobytes()
-        for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("t")):
-                writer = writer or ShardWriter(folder, id_type(path), seq_len)
-                writer.add(i, encode_text(t.as_py(), path) + end)
+        writer, encoder = None, text_ids(path)
+        for b in by_size(batches, "t", 16 << 20):
+            ids = encoder.batch(b.column("t").to_pylist())
+            for i, x in zip(b.column("id").to_pylist(), ids):
+                writer = writer or ShardWriter(folder, encoder.kind, seq_len)
+                writer.add(i, np.append(x, encoder.kind.type(end_id)))
         if writer:
             file, index, n_docs, n_tokens = writer.close(b.schema.field("id").type)
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "file": file,
