@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tickframe import operators as op
-from tickframe.plans.chunks import merge_series, over_chunks, split_series
+from tickframe.plans.chunks import merge_series, over_chunks, reach, split_series
 
 
 def _series(make_bars, seed=7):
@@ -22,7 +22,7 @@ def _series(make_bars, seed=7):
     return make_bars(rows)
 
 
-@pytest.mark.parametrize("scope,chunk_rows", [("month", 45), ("month", 31), ("symbol", 200), ("symbol", 257)])
+@pytest.mark.parametrize("scope,chunk_rows", [("month", 55), ("month", 91), ("symbol", 300), ("symbol", 257)])
 def test_chunked_chain_equals_plain(make_bars, scope, chunk_rows):
     bars = _series(make_bars)
     plain = sorted(op.technical_indicators(bars, scope=scope).collect())
@@ -50,7 +50,7 @@ def test_over_chunks_with_single_operator(make_bars):
     assert sorted(got.collect()) == plain
 
 
-@pytest.mark.parametrize("scope,chunk_rows", [("month", 30), ("symbol", 40)])
+@pytest.mark.parametrize("scope,chunk_rows", [("month", 30), ("symbol", 60)])
 def test_chunked_rule_signals_equal_plain(make_bars, scope, chunk_rows):
     bars = _series(make_bars, seed=11)
     plain = sorted(op.rule_signals(bars, scope=scope).collect())
@@ -60,7 +60,7 @@ def test_chunked_rule_signals_equal_plain(make_bars, scope, chunk_rows):
 def test_chunked_exploration_equals_plain(make_bars):
     bars = _series(make_bars, seed=3)
     plain = sorted(op.exploration_indicators(bars).collect())
-    assert sorted(op.exploration_indicators(bars, chunk_rows=49).collect()) == plain
+    assert sorted(op.exploration_indicators(bars, chunk_rows=128).collect()) == plain
 
 
 def test_chunk_groups_are_bounded(make_bars):
@@ -72,3 +72,29 @@ def test_chunk_groups_are_bounded(make_bars):
     assert biggest <= 64 + 20
     per_symbol = split.filter(~F.col("_halo")).groupBy("symbol").count().collect()
     assert {r.symbol: r["count"] for r in per_symbol} == {"A": 700, "B": 90, "C": 3}
+
+
+def test_lookback_is_derived_and_checked(make_bars):
+    bars = _series(make_bars)
+    fn = lambda d: op.moving_averages(d, windows=(300,), scope="chunk")
+    assert reach(bars, fn) == 299
+    with pytest.raises(ValueError, match="looks back"):
+        over_chunks(bars, fn, lookback=20, chunk_rows=512, materialize=False)
+    with pytest.raises(ValueError, match="chunk_rows"):
+        over_chunks(bars, fn, chunk_rows=64, materialize=False)
+    with pytest.raises(ValueError, match="cannot run on chunks"):
+        over_chunks(bars, lambda d: op.rebase(d), chunk_rows=64, materialize=False)
+
+
+@pytest.mark.parametrize("fn", [
+    lambda b, **k: op.rsi(b, **k), lambda b, **k: op.macd(b, variant="b", scope="symbol", **k),
+    lambda b, **k: op.bollinger_bands(b, **k), lambda b, **k: op.volatility_metrics(b, **k),
+    lambda b, **k: op.momentum(b, **k), lambda b, **k: op.period_returns(b, **k)])
+def test_single_operators_on_chunks_equal_plain(make_bars, fn):
+    bars = _series(make_bars, seed=5)
+    assert sorted(fn(bars, chunk_rows=64).collect()) == sorted(fn(bars).collect())
+
+
+def test_split_numbers_rows_once(make_bars):
+    plan = split_series(_series(make_bars), 5, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") <= 1 or plan.count("Window [row_number()") == 1

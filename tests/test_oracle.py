@@ -5,13 +5,13 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as se
 from tests.conftest import SF
+from tickframe.catalogue import ENTRIES, oracle, spark_query
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES = se.queries()
-ORACLE = se.oracle_sql()
+QUERIES = {name: spark_query(name) for name in ENTRIES}
+ORACLE = {name: sql for name in ENTRIES if (sql := oracle(name)) is not None}
 
 
 @pytest.fixture(scope="module")

@@ -63,7 +63,7 @@ def test_category_join(spark, make_bars):
     bars = make_bars([(s, day(0), 1.0) for s in ("AAPL", "NVDA", "ZZZ")])
     dim = category_frame(spark)
     assert dim.count() == sum(len(v) for v in STOCK_CATEGORIES.values())
-    got = {r.symbol: (r.category, r.company) for r in category_bars(bars, dim, dimension_rows=21).collect()}
+    got = {r.symbol: (r.category, r.company) for r in category_bars(bars, dim).collect()}
     assert got == {"AAPL": ("Tech Giants", "Apple Inc."), "NVDA": ("Semiconductors", "NVIDIA Corporation")}
     semis = category_bars(bars, dim, category="Semiconductors").collect()
     assert [r.symbol for r in semis] == ["NVDA"]

@@ -29,9 +29,8 @@ from pyspark.sql import types as T
 
 from tickframe import operators as op
 from tickframe.functions.expr import humanize_amount
-from tickframe.operators.oscillators import MACD_DECIMALS
-from tickframe.plans.session import ensure_checkpoint_dir
-from tickframe.schema import BAR_SCHEMA
+from tickframe.plans.session import checkpoint_dir
+from tickframe.schema import BAR_SCHEMA, PRICE_COLUMNS
 from tickframe.sources import (
     bars_from_events, bars_from_orders, category_bars, category_frame, export_indicators,
     load_bars, lookback, lookback_ytd, portfolio_bars, read_table,
@@ -106,6 +105,15 @@ def bars_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_orders(read_table(spark, sf_dir, "orders", ORDERS_COLUMNS))
 
 
+def bars_o_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture O for per-symbol aggregates: not clustered by symbol."""
+    return bars_from_orders(read_table(spark, sf_dir, "orders", ORDERS_COLUMNS), clustered=False)
+
+
+def _on_spread(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(bars_o_spread(spark, sf_dir))
+
+
 def bars_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_events(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
 
@@ -115,17 +123,16 @@ def _on_o(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def _checkpointed(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """For queries that checkpoint: use the session's folder, or a scratch one when none is named."""
+    """For queries that checkpoint: the session must name a shared folder."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ensure_checkpoint_dir(spark)
+        checkpoint_dir(spark)
         return build(spark, sf_dir)
     return run
 
 
 def _category(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = category_frame(spark, FIXTURE_CATEGORIES)
-    n = sum(len(v) for v in FIXTURE_CATEGORIES.values())
-    return category_bars(bars_o(spark, sf_dir), dim, dimension_rows=n)
+    return category_bars(bars_o(spark, sf_dir), dim)
 
 
 def _pairs(bars: DataFrame, benchmark: str, null_as_zero: bool = False) -> DataFrame:
@@ -162,19 +169,57 @@ STORED_TICKER = "2-HIGH"
 
 def _stored_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written once (partitioned by symbol), reloaded for one ticker and one year."""
-    base = ensure_checkpoint_dir(spark)
+    base = checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/bars/orders-{uuid.uuid4().hex}"
     bars_o(spark, sf_dir).write.partitionBy("symbol").parquet(path)
     return lookback(load_bars(spark, path, symbols=[STORED_TICKER]), 365)
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = ensure_checkpoint_dir(spark)
+    base = checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/exports/indicators-{uuid.uuid4().hex}"
     export_indicators(op.technical_indicators(bars_o(spark, sf_dir)), path)
     return spark.read.option("header", True).schema(_EXPORT_SCHEMA).csv(path)
 
 
+LOW_PRICE = 1e10
+
+
+def _low_price(bars: DataFrame) -> DataFrame:
+    return bars.withColumns({c: F.col(c) / LOW_PRICE for c in PRICE_COLUMNS})
+
+
+def _relative_macd(df: DataFrame) -> DataFrame:
+    return df.withColumns({"macd_rel": F.col("macd_line") / F.col("Close"),
+                           "signal_rel": F.col("signal_line") / F.col("Close"), "side": F.signum("macd_histogram")})
+
+
+def _null_price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders", ORDERS_COLUMNS)
+    return bars_from_orders(orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice"))))
+
+
+def _stored_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with dividends (some missing) and splits, written and read back with the wider schema."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bars/actions-{uuid.uuid4().hex}"
+    bars = bars_o_spread(spark, sf_dir).withColumns({
+        "Dividends": F.when(F.day("Date") != 1, F.day("Date") / 8.0),
+        "Stock_Splits": F.when(F.month("Date") == 6, 2.0).otherwise(0.0)})
+    bars.write.parquet(path)
+    return load_bars(spark, path, symbols=[*FIXTURE_CATEGORIES["Urgent"], *FIXTURE_CATEGORIES["Routine"]], actions=True)
+
+
+def _related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series related to the benchmark by construction: labels of every strength and sign."""
+    bars = bars_o(spark, sf_dir).filter(F.col("symbol") == BENCHMARK_O)
+    noise = F.when(F.day("Date") % 2 == 0, 1.0).otherwise(-1.0) * 20000.0
+    series = {BENCHMARK_O: F.col("Close"), "SAME": F.col("Close") * 2, "OPPOSITE": -F.col("Close"),
+              "NOISY": F.col("Close") + noise * 4, "NOISE": noise + F.col("Volume") % 7}
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("close")) for k, v in series.items()]))
+    rel = bars.withColumn("_s", parts).withColumn("symbol", F.col("_s.name")).withColumn("Close", F.col("_s.close"))
+    return _pairs(rel.drop("_s"), BENCHMARK_O)
+
+
 # ---------------------------------------------------------------- SQL side
 
 BARS_O_SQL = """bars AS (
@@ -237,19 +282,44 @@ def rsi_sql(src: str, dst: str, variant: str = "a", scope: str = "month", period
 
 
 def macd_sql(src: str, dst: str, variant: str = "a", scope: str = "month") -> str:
-    d = MACD_DECIMALS
+    """The reference's formulas; a line below 1e-11 of Close is 0, a signal within 1e-13 of the line equals it."""
+    line = lambda d: f"CASE WHEN abs({d}) <= CAST(1e-11 AS DOUBLE) * abs(Close) THEN CAST(0 AS DOUBLE) ELSE {d} END"
+    snap = lambda x: (f"CASE WHEN abs({x} - macd_line) <= CAST(1e-13 AS DOUBLE) * abs(macd_line) "
+                      f"THEN macd_line ELSE {x} END")
     if variant == "a":
         return f"""{dst}_1 AS (SELECT *, coalesce(exp({seq_avg(ln('Close'), WR(scope, 12))}), Close) AS ema_12,
                       coalesce(exp({seq_avg(ln('Close'), WR(scope, 26))}), Close) AS ema_26 FROM {src}),
-{dst}_2 AS (SELECT *, coalesce({rnd('ema_12 - ema_26', d)}, CAST(0 AS DOUBLE)) AS macd_line FROM {dst}_1),
-{dst}_3 AS (SELECT *, coalesce({rnd(f"exp({seq_avg(ln('abs(macd_line) + CAST(0.00001 AS DOUBLE)'), WR(scope, 9))})", d)},
-                               macd_line) AS signal_line FROM {dst}_2),
-{dst} AS (SELECT *, coalesce({rnd('macd_line - signal_line', d)}, CAST(0 AS DOUBLE)) AS macd_histogram FROM {dst}_3)"""
+{dst}_2 AS (SELECT *, coalesce({line('(ema_12 - ema_26)')}, CAST(0 AS DOUBLE)) AS macd_line FROM {dst}_1),
+{dst}_s AS (SELECT *, exp({seq_avg(ln('abs(macd_line) + CAST(0.00001 AS DOUBLE)'), WR(scope, 9))}) AS sig FROM {dst}_2),
+{dst}_3 AS (SELECT *, coalesce({snap('sig')}, macd_line) AS signal_line FROM {dst}_s),
+{dst} AS (SELECT *, coalesce(macd_line - signal_line, CAST(0 AS DOUBLE)) AS macd_histogram FROM {dst}_3)"""
     return f"""{dst}_1 AS (SELECT *, exp({seq_avg(ln('Close'), WR(scope, 11))}) AS ema_fast,
                       exp({seq_avg(ln('Close'), WR(scope, 25))}) AS ema_slow FROM {src}),
-{dst}_2 AS (SELECT *, {rnd('ema_fast - ema_slow', d)} AS macd_line FROM {dst}_1),
-{dst}_3 AS (SELECT *, {rnd(f"exp({seq_avg(ln('macd_line'), WR(scope, 8))})", d)} AS signal_line FROM {dst}_2),
-{dst} AS (SELECT *, {rnd('macd_line - signal_line', d)} AS macd_histogram FROM {dst}_3)"""
+{dst}_2 AS (SELECT *, {line('(ema_fast - ema_slow)')} AS macd_line FROM {dst}_1),
+{dst}_s AS (SELECT *, exp({seq_avg(ln('macd_line'), WR(scope, 8))}) AS sig FROM {dst}_2),
+{dst}_3 AS (SELECT *, {snap('sig')} AS signal_line FROM {dst}_s),
+{dst} AS (SELECT *, macd_line - signal_line AS macd_histogram FROM {dst}_3)"""
+
+
+LOW_PRICE_SQL = """low AS (SELECT symbol, Date, Open / CAST(1e10 AS DOUBLE) AS Open, High / CAST(1e10 AS DOUBLE) AS High,
+  Low / CAST(1e10 AS DOUBLE) AS Low, Close / CAST(1e10 AS DOUBLE) AS Close, Volume FROM bars)"""
+
+ACTIONS_SQL = """acts AS (SELECT *, CASE WHEN day(Date) <> 1 THEN day(Date) / CAST(8 AS DOUBLE) END AS Dividends,
+  CASE WHEN month(Date) = 6 THEN CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS Stock_Splits FROM bars)"""
+
+RELATED_SQL = f"""n AS (SELECT *, CASE WHEN day(Date) % 2 = 0 THEN CAST(20000 AS DOUBLE) ELSE CAST(-20000 AS DOUBLE) END AS noise
+  FROM bars WHERE symbol = '{BENCHMARK_O}'),
+rel AS (SELECT '{BENCHMARK_O}' AS symbol, Date, Close, Volume, High, Low FROM n
+  UNION ALL SELECT 'SAME', Date, Close * 2, Volume, High, Low FROM n
+  UNION ALL SELECT 'OPPOSITE', Date, -Close, Volume, High, Low FROM n
+  UNION ALL SELECT 'NOISY', Date, Close + noise * 4, Volume, High, Low FROM n
+  UNION ALL SELECT 'NOISE', Date, noise + Volume % 7, Volume, High, Low FROM n)"""
+
+
+def rule_sql(src: str, dst: str) -> str:
+    return f"""{dst} AS (SELECT *, CASE WHEN rsi < 30 AND macd_line > signal_line THEN 'Strong Buy'
+  WHEN rsi < 40 AND macd_line > signal_line THEN 'Buy' WHEN rsi > 70 AND macd_line < signal_line THEN 'Strong Sell'
+  WHEN rsi > 60 AND macd_line < signal_line THEN 'Sell' ELSE 'Hold' END AS trade_signal FROM {src})"""
 
 
 def bollinger_sql(src: str, dst: str) -> str:
@@ -393,6 +463,11 @@ _stats_sql = ", ".join(
     f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_stddev, min({c}) AS {c}_min, max({c}) AS {c}_max"
     for c in ("Open", "High", "Low", "Close", "Volume")
 )
+_ACTIONS = ("Dividends", "Stock_Splits")
+_action_stats_out = " ".join(f"{c}_mean:d {c}_stddev:d {c}_min:d {c}_max:d" for c in _ACTIONS)
+_action_stats_sql = ", ".join(
+    f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_stddev, min({c}) AS {c}_min, max({c}) AS {c}_max" for c in _ACTIONS
+)
 _missing_sql = ", ".join(
     f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}_missing" for c in ("Date", "Open", "High", "Low", "Close", "Volume")
 )
@@ -501,9 +576,9 @@ def _entries() -> dict[str, Entry]:
            " FROM bars),\nresult AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY Date DESC) <= 5)"),
         "symbol Date Close:d Close_MA_5:d Close_MA_20:d Close_MA_50:d")
     # A1-A3 profile
-    add("basic_stats", _on_o(op.basic_stats),
+    add("basic_stats", _on_spread(op.basic_stats),
         _o(f"result AS (SELECT symbol, {_stats_sql} FROM bars GROUP BY symbol)"), "symbol " + _stats_out)
-    add("missing_counts", _on_o(op.missing_counts),
+    add("missing_counts", _on_spread(op.missing_counts),
         _o(f"result AS (SELECT symbol, {_missing_sql} FROM bars GROUP BY symbol)"),
         "symbol Date_missing Open_missing High_missing Low_missing Close_missing Volume_missing")
     add("data_frequency", _on_o(op.data_frequency), _FREQ_SQL, "symbol gap_days frequency")
@@ -617,6 +692,53 @@ def _entries() -> dict[str, Entry]:
         f"{BARS_E_SQL},\n{pair_sql(BENCHMARK_E)}", "symbol_a symbol_b corr_close:c price_range_corr:c correlation_label")
     add("pair_correlation_zero", _on_o(lambda b: _pairs(b, BENCHMARK_O, null_as_zero=True)),
         _o(pair_sql(BENCHMARK_O, zero=True)), pair_out)
+    # prices far below 1: float noise is judged relative to the price
+    add("macd_plain_lowprice", _on_o(lambda b: _relative_macd(op.macd(_low_price(b), variant="b"))),
+        _o(LOW_PRICE_SQL + ",\n" + macd_sql("low", "m", "b") + ",\nresult AS (SELECT *, macd_line / Close AS macd_rel, "
+           "signal_line / Close AS signal_rel, CAST(sign(macd_histogram) AS DOUBLE) AS side FROM m)"),
+        "symbol Date macd_rel:c signal_rel:c side:d")
+    add("rule_signals_lowprice", _on_o(lambda b: op.rule_signals(_low_price(b))),
+        _o(LOW_PRICE_SQL + ",\n" + rsi_sql("low", "rr", "b") + ",\n" + macd_sql("rr", "rm", "b") + ",\n"
+           + rule_sql("rm", "result")), "symbol Date rsi:d trade_signal")
+    add("scored_signals_lowprice", _on_o(lambda b: op.technical_indicators(_low_price(b))),
+        _o(LOW_PRICE_SQL + ",\n" + technical_sql("low", "result")),
+        "symbol Date rsi:d signal_rsi signal_macd total_signals:d sentiment_strength:d sentiment")
+    add("rule_signals_given", _on_o(lambda b: op.rule_signals(op.rsi(b, variant="a"), include_indicators=["macd"])),
+        _o(rsi_sql("bars", "rr", "a") + ",\n" + macd_sql("rr", "rm", "b") + ",\n" + rule_sql("rm", "result")),
+        "symbol Date rsi:d macd_line:d signal_line:d trade_signal")
+    # S10 with missing prices, S2 with corporate actions, S7 in data
+    add("bars_orders_nulls", _null_price_bars,
+        "bars AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS Date, arg_min(p, o_orderkey) AS Open, "
+        "max(p) AS High, min(p) AS Low, arg_max(p, o_orderkey) AS Close, "
+        "CAST(sum(CAST(floor(p) AS BIGINT)) AS BIGINT) AS Volume FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 "
+        "THEN o_totalprice END AS p FROM orders) GROUP BY 1, 2),\nresult AS (SELECT * FROM bars)", BAR_OUT)
+    actions = _o(ACTIONS_SQL)
+    add("basic_stats_actions", lambda s, d: op.basic_stats(_stored_actions(s, d)),
+        f"{actions},\nresult AS (SELECT symbol, {_stats_sql}, {_action_stats_sql} FROM acts GROUP BY symbol)",
+        f"symbol {_stats_out} {_action_stats_out}")
+    add("missing_counts_actions", lambda s, d: op.missing_counts(_stored_actions(s, d)),
+        f"{actions},\nresult AS (SELECT symbol, {_missing_sql}, CAST(count_if(Dividends IS NULL) AS BIGINT) AS "
+        "Dividends_missing, CAST(count_if(Stock_Splits IS NULL) AS BIGINT) AS Stock_Splits_missing FROM acts "
+        "GROUP BY symbol)",
+        "symbol Date_missing Open_missing High_missing Low_missing Close_missing Volume_missing Dividends_missing "
+        "Stock_Splits_missing")
+    add("portfolio_bars_mixed_case",
+        _on_o(lambda b: portfolio_bars(b.withColumn("symbol", F.initcap(F.lower("symbol"))), FIXTURE_PORTFOLIO)),
+        _o("result AS (SELECT * REPLACE (CASE symbol WHEN '1-URGENT' THEN '1-urgent' ELSE '5-low' END AS symbol) "
+           "FROM bars WHERE symbol IN ('1-URGENT', '5-LOW'))"), BAR_OUT)
+    # P5, drop missing, S3 with a given end, presets
+    add("keep_columns", _on_o(lambda b: op.keep_columns(b, ["Close", "Date", "symbol", "absent"])),
+        _o("result AS (SELECT symbol, Date, Close FROM bars)"), "symbol Date Close:d")
+    add("drop_missing", _on_o(lambda b: op.drop_missing(op.daily_return(b), ["daily_return"])),
+        _o(daily_return_sql("bars", "d") + ",\nresult AS (SELECT * FROM d WHERE daily_return IS NOT NULL)"),
+        "symbol Date Close:d daily_return:d")
+    add("lookback_as_of", _on_o(lambda b: lookback(b, 180, as_of="1998-07-01")),
+        _o("result AS (SELECT * FROM bars WHERE Date >= DATE '1998-07-01' - 180 AND Date < DATE '1998-07-01')"), BAR_OUT)
+    add("lookback_preset", _on_o(lambda b: lookback(b, "5 Years")),
+        _o("e AS (SELECT *, max(Date) OVER (PARTITION BY symbol) + 1 AS as_of FROM bars),\n"
+           "result AS (SELECT * FROM e WHERE Date >= as_of - 1825 AND Date < as_of)"), BAR_OUT)
+    add("pair_correlation_strength", _related_pairs, _o(RELATED_SQL + ",\n" + pair_sql(BENCHMARK_O).replace(
+        "FROM bars", "FROM rel").replace("JOIN bars", "JOIN rel")), pair_out)
     # A8-A11 summaries
     add("high_volume_ratio", _on_o(op.high_volume_ratio),
         _o("a AS (SELECT symbol, Volume, avg(Volume) OVER (PARTITION BY symbol) AS avg_volume FROM bars),\n"
@@ -652,7 +774,7 @@ def _entries() -> dict[str, Entry]:
            f"result AS (SELECT *, coalesce({pct('current_price', 'previous_close')}, CAST(0 AS DOUBLE))"
            " AS price_change_pct FROM g)"),
         "symbol Date current_price:d previous_close:d volume price_change_pct:d")
-    add("humanized_volume", _on_o(_humanized),
+    add("humanized_volume", _on_spread(_humanized),
         _o("g AS (SELECT symbol, CAST(sum(Volume) AS BIGINT) AS total_volume, avg(Volume) AS avg_volume"
            " FROM bars GROUP BY symbol),\n"
            f"result AS (SELECT *, {money_sql('total_volume')} AS total_volume_label,"

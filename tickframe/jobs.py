@@ -26,9 +26,10 @@ def dashboard_job(bars: DataFrame, out_dir: str, mode: str = "overwrite") -> dic
     profile.write.mode(mode).parquet(paths["profile"])
     card = op.sentiment_card(bars).drop("avg_volume")
     op.summary_position(bars).join(card, "symbol").write.mode(mode).parquet(paths["summary"])
-    op.latest_report(bars).write.mode(mode).parquet(paths["latest_report"])
+    signals = cut_lineage(op.technical_indicators(bars))  # built once for the report and the export
+    op.latest_report(signals).write.mode(mode).parquet(paths["latest_report"])
     op.seasonality(bars, named=True).write.mode(mode).parquet(paths["seasonality"])
     op.exploration_indicators(op.period_returns(bars)).write.mode(mode).partitionBy("symbol").parquet(
         paths["exploration"])
-    export_indicators(op.technical_indicators(bars), paths["indicators"], mode=mode)
+    export_indicators(signals, paths["indicators"], mode=mode)
     return paths

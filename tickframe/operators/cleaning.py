@@ -71,16 +71,13 @@ def flag_outliers(df: DataFrame, column: str = "daily_return", whisker: float =
     """``is_outlier``: value outside the symbol's Tukey fences.
 
     Exact quartiles by default; ``exact=False`` uses a bounded-memory
-    ``percentile_approx`` sketch per symbol (merged map side) for very long
-    histories, as in :func:`returns_boxplot`.
+    ``percentile_approx`` sketch in the same window, as in :func:`returns_boxplot`.
     """
     if column not in df.columns and column == "daily_return":
         df = daily_return(df)
-    if exact:
-        df = df.withColumn("_q", F.percentile(column, [0.25, 0.75]).over(Window.partitionBy("symbol")))
-    else:
-        sketch = df.groupBy("symbol").agg(F.percentile_approx(column, [0.25, 0.75], accuracy).alias("_q"))
-        df = df.join(sketch, "symbol")
+    shares = [0.25, 0.75]
+    quartiles = F.percentile(column, shares) if exact else F.percentile_approx(column, shares, accuracy)
+    df = df.withColumn("_q", quartiles.over(Window.partitionBy("symbol")))
     iqr = F.col("_q")[1] - F.col("_q")[0]
     lo, hi = F.col("_q")[0] - whisker * iqr, F.col("_q")[1] + whisker * iqr
     return df.withColumn(

@@ -11,10 +11,6 @@ from tickframe.plans.chunks import over_chunks
 from tickframe.plans.stages import apply_stages, merge_stages
 from tickframe.plans.windows import bar_window
 
-# Longest reach of the chain: the 50-bar mean looks 49 bars back; volatility
-# reaches 1 (lag) + 20 (frame) = 21, momentum 10.
-EXPLORE_LOOKBACK = max(max(EXPLORE_MA_PERIODS) - 1, 21, 10)
-
 
 def _stages(scope: str) -> list[dict]:
     w = bar_window(scope)
@@ -38,5 +34,5 @@ def exploration_indicators(df: DataFrame, chunk_rows: int | None = None) -> Data
     ``chunk_rows`` runs it over bounded chunks of each series (``plans.chunks``).
     """
     if chunk_rows is not None:
-        return over_chunks(df, lambda d: apply_stages(d, _stages("chunk")), EXPLORE_LOOKBACK, chunk_rows)
+        return over_chunks(df, lambda d: apply_stages(d, _stages("chunk")), chunk_rows=chunk_rows)
     return apply_stages(df, _stages("symbol"))

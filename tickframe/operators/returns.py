@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import pct_change, safe_div
+from tickframe.plans.chunks import over_chunks
 from tickframe.plans.windows import bar_window, running_window
 
 RETURN_COLUMNS = ("intraday_return", "weekly_return", "monthly_return")
@@ -22,14 +23,19 @@ def daily_return(df: DataFrame, scope: str = "symbol", name: str = "daily_return
     return df.withColumn(name, pct_change("Close", prev))
 
 
-def period_returns(df: DataFrame, week_rows: int = 5, month_rows: int = 21) -> DataFrame:
+def period_returns(df: DataFrame, week_rows: int = 5, month_rows: int = 21, chunk_rows: int | None = None,
+                   chunk: str = "") -> DataFrame:
     """Intraday, weekly and monthly return.
 
     Weekly/monthly compare Close with the first Close of a frame of
     ``rows + 1`` bars that stays inside the ISO week / calendar month.
+    ``chunk_rows`` runs over bounded chunks of each series (``plans.chunks``).
     """
-    first_w = F.first("Close").over(bar_window("week", week_rows))
-    first_m = F.first("Close").over(bar_window("month", month_rows))
+    if chunk_rows is not None:
+        return over_chunks(df, lambda d: period_returns(d, week_rows, month_rows, chunk="chunk_"),
+                           chunk_rows=chunk_rows)
+    first_w = F.first("Close").over(bar_window(f"{chunk}week", week_rows))
+    first_m = F.first("Close").over(bar_window(f"{chunk}month", month_rows))
     return (
         intraday_return(df)
         .withColumn("weekly_return", pct_change("Close", first_w))
@@ -58,8 +64,8 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, acc
     series of one return type: its size is bounded by the days in range.
 
     ``exact=False`` uses ``percentile_approx`` (a sketch of ``accuracy``, rank
-    error about 1/accuracy) for very long histories: its buffer has bounded
-    size and merges map side, so no group's values are gathered in one task.
+    error about 1/accuracy), whose buffer has bounded size, in the same window:
+    one scan, no extra shuffle.
     """
     long = (
         period_returns(df)
@@ -69,13 +75,9 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, acc
         .select("symbol", "r.return_type", "r.value")
         .filter(F.col("value").isNotNull())
     )
-    if exact:
-        long = long.withColumn("_q", F.percentile("value", [0.25, 0.5, 0.75]).over(
-            Window.partitionBy("symbol", "return_type")))
-    else:
-        sketch = long.groupBy("symbol", "return_type").agg(
-            F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("_q"))
-        long = long.join(sketch, ["symbol", "return_type"])
+    shares = [0.25, 0.5, 0.75]
+    quartiles = F.percentile("value", shares) if exact else F.percentile_approx("value", shares, accuracy)
+    long = long.withColumn("_q", quartiles.over(Window.partitionBy("symbol", "return_type")))
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     lo, hi = q1 - whisker * iqr, q3 + whisker * iqr

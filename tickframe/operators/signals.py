@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder
 from tickframe.operators.oscillators import RSI_INTERMEDIATE, macd, macd_stages, rsi, rsi_stages
 from tickframe.operators.trend import ma_set_stages
-from tickframe.operators.volatility import bb_position_expr, bb_signal_expr, bollinger_stages, latest_row
-from tickframe.plans.chunks import over_chunks
+from tickframe.operators.volatility import (
+    bb_position_expr, bb_signal_expr, bollinger_bands, bollinger_stages, latest_row,
+)
+from tickframe.plans.chunks import CHUNK_SCOPES, over_chunks
 from tickframe.plans.stages import Stage, apply_stages, merge_stages
 from tickframe.plans.windows import bar_window
 
@@ -70,12 +74,6 @@ def scored_signals(df: DataFrame, scope: str = "month") -> DataFrame:
     return df.drop(*_DROPPED_VOTES)
 
 
-# Rows a chain reaches back (longest path of frames and lags), for chunked runs:
-# a month-scope chain never leaves its month (at most 30 earlier daily bars),
-# Bollinger reaches 20; the symbol-scope chain's deepest path is the 200-row MA.
-CHAIN_LOOKBACK = {"month": 30, "symbol": 200}
-
-
 def technical_indicators(df: DataFrame, scope: str = "month", chunk_rows: int | None = None) -> DataFrame:
     """The technical tab's chain: RSI a, MACD a, Bollinger, scored signals.
 
@@ -88,8 +86,7 @@ def technical_indicators(df: DataFrame, scope: str = "month", chunk_rows: int |
     history is spread over many tasks instead of one.
     """
     if chunk_rows is not None:
-        inner = "chunk_month" if scope == "month" else "chunk"
-        return over_chunks(df, lambda d: _technical(d, inner, "chunk"), CHAIN_LOOKBACK[scope], chunk_rows)
+        return over_chunks(df, lambda d: _technical(d, CHUNK_SCOPES[scope], "chunk"), chunk_rows=chunk_rows)
     return _technical(df, scope, "symbol")
 
 
@@ -101,27 +98,33 @@ def _technical(df: DataFrame, scope: str, bb_scope: str) -> DataFrame:
     return apply_stages(df, stages + vote_stages(scope)).drop(*_DROPPED_VOTES)
 
 
-# Rule chain reach: RSI b 13 + 1 rows, MACD b 25 rows then an 8-row signal frame.
-RULE_LOOKBACK = {"month": 30, "symbol": 33}
-
-
-def rule_signals(df: DataFrame, scope: str = "month", chunk_rows: int | None = None) -> DataFrame:
+def rule_signals(df: DataFrame, scope: str = "month", chunk_rows: int | None = None,
+                 include_indicators: Iterable[str] = ("rsi", "macd")) -> DataFrame:
     """RSI b + MACD b, then ``trade_signal`` (NULL inputs fall to Hold).
 
+    ``include_indicators`` names the indicators to compute; those left out are
+    taken from the columns ``df`` already has.
     ``chunk_rows`` runs over bounded chunks of each series, as in
     :func:`technical_indicators`.
     """
     if chunk_rows is not None:
-        inner = "chunk_month" if scope == "month" else "chunk"
-        return over_chunks(df, lambda d: rule_signals(d, inner), RULE_LOOKBACK[scope], chunk_rows)
-    stages = merge_stages(rsi_stages(variant="b", scope=scope), macd_stages(variant="b", scope=scope))
+        return over_chunks(df, lambda d: rule_signals(d, CHUNK_SCOPES[scope], include_indicators=include_indicators),
+                           chunk_rows=chunk_rows)
+    compute = {"rsi": rsi_stages(variant="b", scope=scope), "macd": macd_stages(variant="b", scope=scope)}
+    wanted = list(include_indicators)
+    given = [c for name, c in (("rsi", "rsi"), ("macd", "macd_line"), ("macd", "signal_line")) if name not in wanted]
+    missing = [c for c in given if c not in df.columns] + [n for n in wanted if n not in compute]
+    if missing:
+        raise ValueError(f"neither computed nor given: {missing}")
+    stages = merge_stages(*[compute[name] for name in wanted])
     r, ml, sl = F.col("rsi"), F.col("macd_line"), F.col("signal_line")
     sig = ladder(
         [((r < 30) & (ml > sl), F.lit("Strong Buy")), ((r < 40) & (ml > sl), F.lit("Buy")),
          ((r > 70) & (ml < sl), F.lit("Strong Sell")), ((r > 60) & (ml < sl), F.lit("Sell"))],
         F.lit("Hold"),
     )
-    df = apply_stages(df, stages).drop(*RSI_INTERMEDIATE, "ema_fast", "ema_slow")
+    helpers = [*RSI_INTERMEDIATE, "ema_fast", "ema_slow"]
+    df = apply_stages(df, stages).drop(*[c for c in helpers if c not in df.columns])
     return df.withColumn("trade_signal", sig)
 
 
@@ -129,6 +132,8 @@ def latest_report(df: DataFrame, scope: str = "month") -> DataFrame:
     """One row per symbol with the labels of its latest bar."""
     if "sentiment" not in df.columns:
         df = technical_indicators(df, scope=scope)
+    if not {"bb_lower", "bb_upper"} <= set(df.columns):  # after scored_signals
+        df = bollinger_bands(df)
     keep = ["symbol", "Date", "Close", "ma_10", "ma_50", "ma_200", "rsi", "macd_line", "signal_line",
             "bb_lower", "bb_upper", "sentiment", "sentiment_strength", "signal_short_term",
             "signal_medium_term", "signal_long_term", "signal_rsi", "signal_macd"]

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import ladder, pct_change, safe_div
+from tickframe.plans.chunks import chunked
 from tickframe.plans.stages import Stage, apply_stages
 from tickframe.plans.windows import bar_window
 
 
-def volatility_metrics(df: DataFrame, rows: int = 20, scope: str = "symbol") -> DataFrame:
+def volatility_metrics(df: DataFrame, rows: int = 20, scope: str = "symbol",
+                       chunk_rows: int | None = None) -> DataFrame:
     """``daily_change`` (%), ``true_range`` and ``daily_volatility``.
 
     ``daily_volatility`` is the sample stddev of ``daily_change`` over
     ``rows + 1`` bars. ``true_range`` skips the missing previous close on the
     first bar (``greatest`` ignores NULLs), giving High - Low there.
     """
+    if chunk_rows is not None:
+        return chunked(df, scope, chunk_rows, lambda d, s: volatility_metrics(d, rows, s))
     w = bar_window(scope)
     prev = F.lag("Close", 1).over(w)
     df = df.withColumns({
@@ -49,11 +53,13 @@ def rolling_atr(df: DataFrame, rows: int = 13, scope: str = "symbol") -> DataFra
 
 
 def bollinger_bands(df: DataFrame, period: int = 20, std_dev: float = 2.0, scope: str = "symbol",
-                    extra_row: bool = True) -> DataFrame:
+                    extra_row: bool = True, chunk_rows: int | None = None) -> DataFrame:
     """middle = mean, bands = middle +/- ``std_dev`` x sample stddev.
 
     The reference's frame is ``period + 1`` rows (``extra_row=True``).
     """
+    if chunk_rows is not None:
+        return chunked(df, scope, chunk_rows, lambda d, s: bollinger_bands(d, period, std_dev, s, extra_row))
     return apply_stages(df, bollinger_stages(period, std_dev, scope, extra_row))
 
 

@@ -32,7 +32,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    scratch_checkpoint_dir(spark)
     return spark
 
 
@@ -41,12 +41,8 @@ def _named_checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch folder only when none is named (local runs, tests).
-
-    ``spark.checkpoint.dir`` is a core setting that cannot change at runtime,
-    so an unset one is supplied through ``SparkContext.setCheckpointDir``.
-    """
+def scratch_checkpoint_dir(spark: SparkSession) -> str:
+    """For local sessions (tests, bench): the named checkpoint folder, else a scratch folder, set on the context."""
     path = _named_checkpoint_dir(spark)
     if not path:
         path = tempfile.mkdtemp(prefix="tickframe-ckpt-")

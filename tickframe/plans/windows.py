@@ -10,7 +10,8 @@ A *scope* names the rows a window may see:
             (``plans.chunks.split_series``): same results as ``symbol`` for
             frames and lags within the halo, with bounded groups;
 ``chunk_month`` a calendar month inside one chunk (the month's earlier bars
-            are in the same chunk or its halo when the halo holds >= 30 bars).
+            are in the same chunk or its halo when the halo holds >= 30 bars);
+``chunk_week`` an ISO week inside one chunk.
 
 Every spec is partitioned by ``symbol`` first, so no window ever plans a
 ``SinglePartition`` exchange. All specs of one scope share partition and
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SCOPES = ("symbol", "month", "week", "chunk", "chunk_month")
+SCOPES = ("symbol", "month", "week", "chunk", "chunk_month", "chunk_week")
 
 
 def cluster_by_symbol(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -59,6 +60,8 @@ def scope_keys(scope: str) -> list[Column]:
         return [F.col("symbol"), F.col("_chunk")]
     if scope == "chunk_month":
         return [F.col("symbol"), F.col("_chunk"), F.trunc("Date", "month")]
+    if scope == "chunk_week":
+        return [F.col("symbol"), F.col("_chunk"), F.date_trunc("week", "Date")]
     raise ValueError(f"unknown scope {scope!r}; expected one of {SCOPES}")
 
 

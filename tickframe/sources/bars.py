@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickframe.plans.windows import cluster_by_symbol
-from tickframe.schema import BAR_SCHEMA
+from tickframe.schema import BAR_SCHEMA, BAR_SCHEMA_WITH_ACTIONS
+from tickframe.sources.dimensions import normalise_symbol
 
 
 # Input contracts of the raw tables the bar builders read (only the columns used).
@@ -38,25 +39,34 @@ def bars_from_ticks(
     price: Column | str,
     order_key: Column,
     volume: Column,
+    clustered: bool = True,
 ) -> DataFrame:
     """Daily OHLCV bars from raw rows.
 
     ``order_key`` orders rows inside a day (first row = Open, last = Close)
-    and must be unique; ``volume`` is the aggregate used as Volume.
+    and must be unique; ``volume`` is the aggregate used as Volume. Rows
+    without a price name no Open or Close (but count in Volume); rows without
+    a symbol or time belong to no bar.
+
+    ``clustered=False`` leaves the bars as the aggregate spread them, by
+    (symbol, Date): right for per-symbol aggregates, which then combine map
+    side; windows want the default, one shuffle by symbol for all of them.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else x
     price = c(price)
+    priced = F.when(price.isNotNull(), order_key)  # min_by and max_by skip rows without a key
+    ticks = ticks.filter(c(symbol).isNotNull() & c(ts).isNotNull())
     bars = ticks.groupBy(c(symbol).alias("symbol"), c(ts).cast("date").alias("Date")).agg(
-        F.min_by(price, order_key).alias("Open"),
+        F.min_by(price, priced).alias("Open"),
         F.max(price).alias("High"),
         F.min(price).alias("Low"),
-        F.max_by(price, order_key).alias("Close"),
+        F.max_by(price, priced).alias("Close"),
         volume.cast("bigint").alias("Volume"),
     )
-    return cluster_by_symbol(bars)
+    return cluster_by_symbol(bars) if clustered else bars
 
 
-def bars_from_orders(orders: DataFrame) -> DataFrame:
+def bars_from_orders(orders: DataFrame, clustered: bool = True) -> DataFrame:
     """Fixture O: one symbol per order priority, turnover as Volume."""
     return bars_from_ticks(
         orders,
@@ -65,6 +75,7 @@ def bars_from_orders(orders: DataFrame) -> DataFrame:
         price="o_totalprice",
         order_key=F.col("o_orderkey"),
         volume=F.sum(F.floor("o_totalprice").cast("bigint")),
+        clustered=clustered,
     )
 
 
@@ -109,16 +120,24 @@ def bars_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None) -> DataFrame:
+def load_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols=None, actions: bool = False,
+              normalise: bool = False) -> DataFrame:
     """Read a stored bar table with the fixed schema.
 
     A ``symbols`` list becomes an ``isin`` filter that Catalyst pushes into the
-    scan (and prunes partitions when the table is partitioned by symbol).
+    scan (and prunes partitions when the table is partitioned by symbol); the
+    few symbols are then read without a shuffle. ``actions`` adds Dividends
+    and Stock_Splits; ``normalise`` trims and upper-cases the stored symbols
+    (S7), before the ``symbols`` filter.
     """
-    reader = spark.read.schema(BAR_SCHEMA)
+    schema = BAR_SCHEMA_WITH_ACTIONS if actions else BAR_SCHEMA
+    reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
     df = reader.format(fmt).load(path)
+    if normalise:
+        df = df.withColumn("symbol", normalise_symbol("symbol"))
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(list(symbols)))
-    return cluster_by_symbol(df.select(*[F.col(f.name).cast(f.dataType) for f in BAR_SCHEMA.fields]))
+    df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    return cluster_by_symbol(df) if symbols is None else df

@@ -47,10 +47,6 @@ STOCK_CATEGORIES: dict[str, dict[str, str]] = {
 # Fixed value of the reference: the ticker used when a portfolio is empty.
 DEFAULT_PORTFOLIO = ("AAPL",)
 
-# Driver-built lookup tables up to this many rows are broadcast; their size
-# is known before the plan runs, so the hint can never ship an unbounded side.
-BROADCAST_ROW_LIMIT = 100_000
-
 _DIM_SCHEMA = T.StructType(
     [
         T.StructField("category", T.StringType(), False),
@@ -78,20 +74,12 @@ def category_frame(
     return spark.createDataFrame(rows, _DIM_SCHEMA)
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_ROW_LIMIT else df
-
-
-def category_bars(bars: DataFrame, dimension: DataFrame, category: str | None = None,
-                  dimension_rows: int | None = None) -> DataFrame:
+def category_bars(bars: DataFrame, dimension: DataFrame, category: str | None = None) -> DataFrame:
     """Bars of the symbols in ``dimension`` (or one ``category``), with category and company.
 
-    ``dimension_rows`` is the known size of a driver-built dimension; only then
-    is it broadcast. Otherwise AQE picks the join from runtime sizes.
+    No broadcast hint: the planner and AQE choose the join from measured sizes.
     """
     dim = dimension if category is None else dimension.filter(F.col("category") == category)
-    if dimension_rows is not None:
-        dim = _maybe_broadcast(dim, dimension_rows)
     return bars.join(dim, on="symbol", how="inner")
 
 
@@ -107,7 +95,6 @@ def portfolio_frame(spark: SparkSession, symbols: Iterable[str] | None) -> DataF
 
 
 def portfolio_bars(bars: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
-    """Keep bars of tracked tickers only (left semi join)."""
-    port = portfolio_frame(bars.sparkSession, symbols)
-    n = len(set(s.strip().upper() for s in (symbols or ()) if s.strip())) or len(DEFAULT_PORTFOLIO)
-    return bars.join(_maybe_broadcast(port, n), on="symbol", how="left_semi")
+    """Keep bars of tracked tickers only (left semi join), whatever the case their symbols are stored in."""
+    port = portfolio_frame(bars.sparkSession, symbols).withColumnRenamed("symbol", "_tracked")
+    return bars.join(port, normalise_symbol("symbol") == F.col("_tracked"), how="left_semi")

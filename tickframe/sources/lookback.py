@@ -13,15 +13,13 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the reference: preset look-back lengths in days, and the
-# custom range limits.
+# Fixed values of the reference: preset look-back lengths in days.
 PRESET_DAYS = {"1 Month": 30, "3 Months": 90, "6 Months": 180, "1 Year": 365, "2 Years": 730, "5 Years": 1825}
-MIN_DAYS, MAX_DAYS = 1, 3650
 
 
 def _end(bars: DataFrame, as_of) -> tuple[DataFrame, Column]:
     if as_of is None:
-        # whole-symbol max: same hash(symbol) shuffle as the indicator windows after it
+        # whole-symbol max: one pass over the bars, on the hash(symbol) shuffle of the indicator windows after it
         bars = bars.withColumn("_as_of", F.date_add(F.max("Date").over(Window.partitionBy("symbol")), 1))
         return bars, F.col("_as_of")
     if isinstance(as_of, str):
@@ -29,10 +27,17 @@ def _end(bars: DataFrame, as_of) -> tuple[DataFrame, Column]:
     return bars, F.lit(as_of)
 
 
-def lookback(bars: DataFrame, days: int, as_of=None) -> DataFrame:
-    """Bars with ``as_of - days <= Date < as_of``."""
-    if not MIN_DAYS <= days <= MAX_DAYS:
-        raise ValueError(f"days must be within {MIN_DAYS}..{MAX_DAYS}")
+def lookback(bars: DataFrame, days: int | str, as_of=None, warmup_days: int = 0) -> DataFrame:
+    """Bars with ``as_of - days <= Date < as_of``; ``days`` is a number or the name of a preset.
+
+    ``warmup_days`` keeps that many earlier days as well, for indicators that
+    should not start cold; the caller drops them afterwards.
+    """
+    if isinstance(days, str):
+        days = PRESET_DAYS[days]
+    if days < 1 or warmup_days < 0:
+        raise ValueError("days must be at least 1 and warmup_days at least 0")
+    days += warmup_days
     bars, end = _end(bars, as_of)
     out = bars.filter((F.col("Date") >= F.date_sub(end, days)) & (F.col("Date") < end))
     return out.drop("_as_of")

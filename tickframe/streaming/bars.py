@@ -40,6 +40,8 @@ def stream_daily_bars(
     key = exact_order_key(events, ts, tie_breaker)
     vol = F.count(F.lit(1)) if volume is None else volume
     p = F.col(price)
+    key = F.when(p.isNotNull(), key)  # rows without a price name no Open or Close
+    events = events.filter(F.col(symbol).isNotNull() & F.col(ts).isNotNull())
     return (
         events.withWatermark(ts, lateness)
         .groupBy(F.col(symbol).alias("symbol"), F.window(ts, "1 day").alias("_day"))
