@@ -1,0 +1,119 @@
+"""URL filters against SQL and a plain scan of the rules; secret scans against Python's re."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+
+from tickframe.llm import secrets as S
+from tickframe.llm.queries import ORACLE_SQL, QUERIES
+from tickframe.llm.url_filter import RuleTrie, filter_urls
+from tests.conftest import SF
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                    re.I | re.A)
+
+
+def test_urls_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = con.sql(ORACLE_SQL["op3_url_filters"]).fetchall()
+    got = [tuple(r) for r in QUERIES["op3_url_filters"](spark, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def plain(rules, host, path):
+    fits = [(len(r.split("/")[0].split(".")), len(r), v, r) for v, r in rules
+            if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0]))
+            and path.startswith("/" + r.partition("/")[2])]
+    return (max(fits)[3], max(fits)[2]) if fits else None
+
+
+def test_trie_against_all_rules():
+    rnd = random.Random(2)
+    name = lambda: ".".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4)))
+    path = lambda: "".join(rnd.choice(["x", "y", "/"]) for _ in range(rnd.randint(0, 4)))
+    rules = list({r: v for v, r in ((rnd.choice(["allow", "block"]), f"{name()}/{path()}") for _ in range(60))}.items())
+    rules = [(v, r) for r, v in rules]
+    trie = RuleTrie(rules)
+    for _ in range(3000):
+        h, p = name(), rnd.choice(["", "/" + path()])
+        assert trie.find(h, p) == plain(rules, h, p), (h, p)
+
+
+def test_url_edge_cases(spark):
+    rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.NET/en/x?q#f"), (4, "http://x.net"), (5, "http://x.net?/en/"),
+            (6, "http://x.net/"), (7, "a://b://net/x"), (8, ""), (8, ""), (9, "http://" + "a." * 5000 + "net/" + "p" * 10000)]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in rows], "page_id int, url string, host string, rule string")
+    rules = [("block", "net/"), ("allow", "example.net/en/")]
+    got = sorted(((r.page_id, r.host[:20], r.path[:8], r.rule, r.verdict) for r in filter_urls(pages, rules).collect()),
+                 key=str)
+    assert got[:7] == [(1, "", "", None, "allow"), (2, "", "", None, "allow"),
+                       (3, "a.example.net", "/en/x", "example.net/en/", "allow"), (4, "x.net", "", None, "allow"),
+                       (5, "x.net", "", None, "allow"), (6, "x.net", "/", "net/", "block"), (7, "b:", "//net/x", None, "allow")]
+    assert len(got) == 10 and got[-1][3:] == ("net/", "block")
+    assert filter_urls(pages.limit(0), rules).collect() == []
+
+
+def base(text):
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def listed(spans):
+    return ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def brute(text, ratio):
+    spans = base(text)
+    for m in re.finditer(S.CANDIDATE, text):
+        if any(s < m.end() and e > m.start() for s, _, e in spans):
+            continue
+        bits = sum(float(f"{ratio[ord(a) * 128 + ord(b)]:.6f}") for a, b in zip(m[0], m[0][1:]))
+        if bits / (len(m[0]) - 1) >= S.MIN_RATIO:
+            spans = spans + [(m.start(), 3, m.end())]
+    return sorted(spans)
+
+
+CASES = ["", None, "token = \"abcdef0123\" and TOKEN:x", "secret=token : abcdefgh", "日本 passwd='a-b_c.d=e' é",
+         "AKIA" + "ABCD1234" * 3 + " AKIAAKIA1", "deadbeef" * 4 + " é " + "0" * 24, "api_key=zzzzzz,apikey:yyyyyy",
+         "key tQ9xUfK7pwp11Sp+iMaaX68z1z6e86b6rrL9WKSa end", "an_ordinary_identifier_name_here thinthandtheirthin",
+         "password: " + "x" * 5000, "token=aaaaaa " * 400]
+
+
+def test_scan_against_brute_force(spark):
+    rows = [(i, t, "x", 1) for i, t in enumerate(CASES)] + [(100 + i, "the ordinary identifiers of this text " * 5, "", 2)
+                                                            for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, kind int")
+    ratio = S.markov_table(S.labelled_samples(spark.read.parquet(f"{SF}/documents.parquet")))
+    got = {r.doc_id: r for r in S.secret_report(docs, ratio).collect()}
+    for i, t, *_ in rows:
+        want, r = brute(t or "", ratio), got[i]
+        assert r.spans == listed(want)
+        assert r.base_sha256 == hashlib.sha256(listed(base(t or "")).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
+    assert "markov" in got[8].spans and got[9].spans == ""
+    assert S.secret_report(docs.limit(0)).collect() == []
+
+
+def test_scan_has_no_python(spark):
+    plan = QUERIES["op2_secret_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_scan_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.base_sha256 for r in QUERIES["op2_secret_scan"](spark, SF).collect()}
+    assert got == {r.doc_id: hashlib.sha256(listed(base(r.text)).encode()).hexdigest() for r in docs}
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)], "doc_id long, text string, base string")
+    out = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert S.redact_secrets(docs).columns == docs.columns
+    assert out[0] == "" and out[1] is None and out[9] == CASES[9]
+    assert out[2] == "[secret]\" and TOKEN:x" and out[3] == CASES[3]
+    assert all(not base(t or "") for t in out.values())

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,13 +186,15 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
     units = units.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _batches_of_units(batches):
-            block = _Block(t, threshold)
-            found = np.flatnonzero(block.linked)
-            if len(found):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.names[found]), pa.array(block.links[found]),
-                     pa.array(block.names[[block.root(k) for k in found]])], names=["rep", "links", "root"])
+        for units in _batches_of_units(batches):
+            size = pc.binary_length(units.column("raw"))
+            for n in size.unique().to_pylist():  # a unit holds vectors of one length
+                block = _Block(units.filter(pc.equal(size, n)), threshold)
+                found = np.flatnonzero(block.linked)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block.names[found]), pa.array(block.links[found]),
+                         pa.array(block.names[[block.root(k) for k in found]])], names=["rep", "links", "root"])
 
     found = stored(units.mapInArrow(compare, "rep long, links long, root long"), "links")
     component = smallest_reachable(found.selectExpr("rep as a", "root as b"), "vector-components")

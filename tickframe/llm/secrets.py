@@ -111,7 +111,8 @@ def labelled_samples(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     chosen = docs.select(F.col(id_col).alias("sampled"), F.col(text).alias("t")).join(
         F.broadcast(ids), "sampled", "left_semi")
     words = chosen.select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("sample"))
-    words = words.filter(~F.col("sample").rlike(f"{ACCESS}|{HEX}"))
+    words = words.filter(~F.col("sample").rlike(f"{ACCESS}|{HEX}") & ~(
+        (F.length("sample") >= 20) & F.col("sample").rlike("[0-9]")))  # more likely secrets than identifiers
     return random.unionByName(words.withColumn("random", F.lit(False)))
 
 
@@ -147,9 +148,9 @@ def span_list(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', array({names})[s.kind], s.start, s.end)), ',')")
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def secret_report(docs: DataFrame, ratio: list[float] | None = None, id_col: str = "doc_id") -> DataFrame:
     """Counts per base kind, the digest of the base spans and the list of all spans."""
-    found = scan_secrets(docs, id_col=id_col)
+    found = scan_secrets(docs, ratio, id_col=id_col)
     count = lambda k: F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS BIGINT)")
     return found.select(F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"),
                         count(2).alias("n_hex"), F.sha2(span_list("base"), 256).alias("base_sha256"),
