@@ -6,7 +6,7 @@
   vector is the sum of its neighbours' index vectors over the whole corpus.
   Tasks add up their part in one bounded matrix; parts are summed in two
   rounds, streamed, so no task holds more than a few blocks of the matrix.
-* A document's vector pools the unit vectors of its tokens (mean, spread, likeness of neighbours).
+* A document's vector pools the unit vectors of its tokens (mean, spread) and how much it repeats itself.
 * A two-layer numpy network is trained on the driver from at most
   ``MAX_SAMPLE`` labelled documents (those with the smallest hashed ids); its
   probabilities are calibrated by a temperature on documents left out.
@@ -33,7 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, DIM, NONZERO, REACH = 1 << 14, 64, 2, 2
+from tickframe.llm.common import by_size
+
+BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 2, 2
 LAGS = 3
 WIDTH = 2 * DIM + LAGS
 BLOCK_ROWS = 256
@@ -87,7 +89,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     def local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
         total = np.zeros(BUCKETS * DIM)
-        for b in batches:
+        for b in by_size(batches, "t", 16 << 20):
             tokens, sizes = token_buckets(b.column("t"))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             for step in range(1, REACH + 1):
@@ -127,23 +129,19 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Per text the mean and mean square of its token vectors, and the mean cosine of tokens one to
-    ``LAGS`` places apart (near 1 where a text repeats itself)."""
+    """Per text the mean and mean square of its token vectors, and the share of tokens that stand again one
+    to ``LAGS`` places later."""
     tokens, sizes = token_buckets(texts)
     out = np.zeros((len(sizes), WIDTH), np.float64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     for k in range(0, len(tokens), TOKENS_AT_ONCE):
-        more = vectors[tokens[k:k + TOKENS_AT_ONCE + LAGS]]
-        x, d = more[:TOKENS_AT_ONCE], doc[k:k + TOKENS_AT_ONCE]
+        x, d = vectors[tokens[k:k + TOKENS_AT_ONCE]], doc[k:k + TOKENS_AT_ONCE]
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         out[d[first], :DIM] += np.add.reduceat(x, first, axis=0)
         out[d[first], DIM:2 * DIM] += np.add.reduceat(x * x, first, axis=0)
-        for lag in range(1, LAGS + 1):
-            later = more[lag:lag + len(x)]
-            same = doc[k + lag:k + lag + len(later)] == d[:len(later)]
-            alike = np.zeros(len(x))
-            alike[:len(later)] = np.einsum("ij,ij->i", x[:len(later)], later) * same
-            out[d[first], 2 * DIM + lag - 1] += np.add.reduceat(alike, first)
+    for lag in range(1, LAGS + 1):
+        again = (tokens[lag:] == tokens[:-lag]) & (doc[lag:] == doc[:-lag])
+        out[:, 2 * DIM + lag - 1] = np.bincount(doc[:-lag], again, len(sizes))[:len(sizes)]
     return out / np.maximum(sizes, 1)[:, None]
 
 
@@ -213,7 +211,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, vectors, text: str, id_c
     known = known.join(data.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, "t"):
             x = pool(b.column("t"), vectors.value).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
@@ -235,7 +233,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, name: str = "score", text:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, at):
             score = network.score(pool(b.column(at), vectors.value))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*names, "score"])
 
