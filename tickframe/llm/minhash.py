@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import smallest_reachable, stored
+from tickframe.llm.common import by_size, smallest_reachable, stored
 from tickframe.llm.shingles import scramble, shingle_set
 
 BANDS, BAND_SIZE, SEED = 32, 5, 0x5EED
@@ -79,7 +79,7 @@ def sketch_table(docs: DataFrame, words: int, bands: int, size: int, text: str,
     data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, "t"):
             n, key, keys = [], [], []
             for t in b.column("t"):
                 s = shingle_set(t.as_py(), words)
@@ -101,7 +101,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str, id_col: st
     data = data.join(ids, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, "t"):
             sets = [shingle_set(t.as_py(), words).astype(np.int64) for t in b.column("t")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
@@ -152,9 +152,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     ``percent``: documents are linked at 100 * intersection >= percent * union.
     """
     sketched = stored(sketch_table(docs, words, bands, size, text, id_col), "sketches")
-    classes = stored(sketched.filter("n > 0").groupBy("key").agg(
-        F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = stored(sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
+    # rows that repeat an id with other texts stand under it with all their bands
+    rows = sketched.join(classes, ["key"]).filter("id = rep").select("rep", F.explode("bands").alias("bucket"))
     buckets = stored(rows.groupBy("bucket").agg(
         F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).filter("members > 1"),
         "buckets")
