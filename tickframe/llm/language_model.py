@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import dropped, stored
+from tickframe.llm.common import by_size, dropped, stored
 
 CLASSES = 16
 START = CLASSES  # the context of a text's first word
@@ -52,12 +52,12 @@ SEED = 97
 
 
 class _Hashes(dict):
-    """Word -> signed 64-bit hash; bounded memory."""
+    """Word -> signed 64-bit hash of its lower-cased form; bounded memory."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 400_000:
             self.clear()
-        h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word.encode().lower())  # of bytes: A-Z only
         self[word] = h = h - (1 << 64) if h >> 63 else h
         return h
 
@@ -67,7 +67,7 @@ _hashes = _Hashes()
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of the texts, end to end and each text closed by ``END``; contexts; tokens per text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     table = np.array([_hashes[w] for w in words], np.int64)
@@ -121,14 +121,18 @@ def requests(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for b in batches:
+        for b in by_size(batches, "t"):
             word, context, sizes = tokens(b.column("t"))
             chunk = np.repeat(b.column("chunk").to_numpy(), sizes)
             train = np.repeat(b.column("train").to_numpy(zero_copy_only=False), sizes).astype(np.int64)
             for c in np.unique(chunk):
                 own = chunk == c
                 w, k, ctx, n = _by_word(None, word[own], context[own], train[own])
-                held.setdefault(int(c), []).append((np.repeat(w, k), ctx, n))
+                parts = held.setdefault(int(c), [])
+                parts.append((np.repeat(w, k), ctx, n))
+                if len(parts) >= 4 and sum(len(x[0]) for x in parts[1:]) > len(parts[0][0]):  # merge as they pile up
+                    w, k, ctx, n = _by_word(c, *(np.concatenate(x) for x in zip(*parts)))
+                    parts[:] = [(np.repeat(w, k), ctx, n)]
         for c, parts in held.items():
             w, k, ctx, n = _by_word(c, *(np.concatenate(x) for x in zip(*parts)))
             ends = np.concatenate([[0], np.cumsum(k)])
@@ -283,8 +287,12 @@ def sweep(state: DataFrame, shared: Totals, number: int, keep: bool) -> DataFram
     return state.mapInArrow(run, STATE)
 
 
+ANSWERS = "chunk long, w binary, size binary, c binary, ctx binary, p binary"
+
+
 def answers(asked: DataFrame, state: DataFrame, kept: list[Totals]) -> DataFrame:
-    """``(chunk, w, ctx, p, c)``: mean predictive log10 probability per asked context, and the word's count."""
+    """Packed answers by chunk: ``w`` with their counts ``c``; per asked context (``size`` a word) ``p``, the
+    mean predictive log10 probability."""
     joined = asked.select("chunk", "w", F.col("ctx").alias("asked")).join(
         state.select("w", "ctx", "c", "kept", "kept1"), "w", "left")
 
@@ -312,20 +320,28 @@ def answers(asked: DataFrame, state: DataFrame, kept: list[Totals]) -> DataFrame
                 ce, te = (np.where(hit, v[at], 0) if len(v) else np.zeros(len(want)) for v in (c, t))
                 p += shared.in_context(want, ce, te, parent)
             total = np.bincount(have_row, c, rows).astype(np.int64)
+            # one row per chunk in the batch
+            chunk = b.column("chunk").to_numpy()
+            words, entries = np.argsort(chunk, kind="stable"), np.argsort(chunk[row], kind="stable")
+            names, per_chunk = np.unique(chunk, return_counts=True)
+            asked_per_chunk = np.bincount(np.searchsorted(names, chunk), size, len(names)).astype(np.int64)
+            logs = np.log10(p / len(kept)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("chunk"), b.column("w"), b.column("asked"),
-                 packed(np.log10(p / len(kept)).astype(np.float32), size), pa.array(total)],
-                names=["chunk", "w", "ctx", "p", "c"])
+                [pa.array(names), packed(b.column("w").to_numpy()[words], per_chunk),
+                 packed(size[words].astype(np.uint8), per_chunk), packed(total[words], per_chunk),
+                 packed(want[entries].astype(np.uint8), asked_per_chunk), packed(logs[entries], asked_per_chunk)],
+                names=["chunk", "w", "size", "c", "ctx", "p"])
 
-    return joined.mapInArrow(run, "chunk long, w long, ctx binary, p binary, c long")
+    return joined.mapInArrow(run, ANSWERS)
 
 
 def score_texts(docs: DataFrame, told: DataFrame, n_train: int, vocabulary: int) -> DataFrame:
     """Texts meet the answers of their chunk: one shuffle, answers first."""
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    rows = told.select("chunk", F.lit(0).alias("kind"), "w", "ctx", "p", "c", empty("id", "long"), empty("t", "string"))
-    rows = rows.unionByName(docs.select("chunk", F.lit(1).alias("kind"), empty("w", "long"), empty("ctx", "binary"),
-                                        empty("p", "binary"), empty("c", "long"), "id", "t"))
+    columns = ["w", "size", "c", "ctx", "p"]
+    rows = told.select("chunk", F.lit(0).alias("kind"), *columns, empty("id", "long"), empty("t", "string"))
+    rows = rows.unionByName(docs.select("chunk", F.lit(1).alias("kind"), *[empty(c, "binary") for c in columns],
+                                        "id", "t"))
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
     base = n_train + 0.5 * (vocabulary + 1)
 
@@ -342,18 +358,17 @@ def score_texts(docs: DataFrame, told: DataFrame, n_train: int, vocabulary: int)
             entry = np.argsort(key)
             return w[order], c[order], key[entry], p[entry]
 
-        for whole in batches:
+        for whole in by_size(batches, "t"):
             chunks = whole.column("chunk").to_numpy()
             kinds = whole.column("kind").to_numpy()
             cut = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(chunks)]):
-                b = whole.slice(lo, hi - lo)
+                b = whole.take(pa.array(np.arange(lo, hi)))
                 if chunks[lo] != chunk:
                     chunk, waiting, table = chunks[lo], [], None
                 if kinds[lo] == 0:
-                    waiting.append((b.column("w").to_numpy(), lengths(b.column("ctx")),
-                                    unpacked(b.column("ctx"), np.uint8), unpacked(b.column("p"), np.float32),
-                                    b.column("c").to_numpy()))
+                    waiting.append([unpacked(b.column(name), kind) for name, kind in (
+                        ("w", np.int64), ("size", np.uint8), ("ctx", np.uint8), ("p", np.float32), ("c", np.int64))])
                     continue
                 table = table or ready()
                 words, count, key, p = table
@@ -379,15 +394,28 @@ def training_part(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts != part, F.lit(False))
 
 
+def scans_files(df: DataFrame) -> bool:
+    """Whether the rows come straight from files, so that each knows its input split."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation"):
+            if not node.nodeName().startswith("Relation"):
+                return False
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
 def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", parts: int = 5,
                     part: int = 1) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``."""
     spark = docs.sparkSession
-    # a chunk is an input split, so that a task asks once for all its texts; tables without files: by id
-    file, block = F.input_file_name(), F.input_file_block_start()
-    chunk = F.when(file != "", F.xxhash64(file, block)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(64)))
-    data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"), chunk.alias("chunk"),
+    data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"),
                        training_part(F.col(id_col), parts, part).alias("train"))
+    if not scans_files(docs):
+        data = stored(data, "lm-texts")
+    # a chunk is an input split, so that a task asks once for all its texts
+    data = data.withColumn("chunk", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     asked = stored(requests(data), "lm-asked")
     state = stored(training_counts(asked), "lm-state-0")
     shared, kept = totals(state), []
