@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from tickframe.jobs import dashboard_job
 from tickframe.sources import bars_from_events, bars_from_orders, read_table
-from tickframe.streaming import stream_daily_bars, write_bar_stream
+from tickframe.streaming import late_rows, stream_daily_bars, write_bar_stream
 
 
 def test_stream_bars_equal_batch_bars(spark):
@@ -18,6 +18,7 @@ def test_stream_bars_equal_batch_bars(spark):
     q = (stream_daily_bars(stream).writeStream.outputMode("append").format("memory")
          .queryName("tf_bars").option("checkpointLocation", ckpt).start())
     q.processAllAvailable()
+    assert late_rows(q) == 0
     q.stop()
     got = spark.sql("SELECT * FROM tf_bars")
     want = bars_from_events(events)

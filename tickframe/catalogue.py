@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tickframe import operators as op
 from tickframe.functions.expr import humanize_amount
 from tickframe.plans.session import checkpoint_dir
-from tickframe.schema import BAR_SCHEMA, PRICE_COLUMNS
+from tickframe.schema import PRICE_COLUMNS
 from tickframe.sources import (
     bars_from_events, bars_from_orders, category_bars, category_frame, export_indicators,
     load_bars, lookback, lookback_ytd, portfolio_bars, read_table,
@@ -694,8 +694,8 @@ def _entries() -> dict[str, Entry]:
         _o(pair_sql(BENCHMARK_O, zero=True)), pair_out)
     # prices far below 1: float noise is judged relative to the price
     add("macd_plain_lowprice", _on_o(lambda b: _relative_macd(op.macd(_low_price(b), variant="b"))),
-        _o(LOW_PRICE_SQL + ",\n" + macd_sql("low", "m", "b") + ",\nresult AS (SELECT *, macd_line / Close AS macd_rel, "
-           "signal_line / Close AS signal_rel, CAST(sign(macd_histogram) AS DOUBLE) AS side FROM m)"),
+        _o(LOW_PRICE_SQL + ",\n" + macd_sql("low", "m", "b") + ",\n"
+           "result AS (SELECT *, macd_line / Close AS macd_rel, signal_line / Close AS signal_rel, CAST(sign(macd_histogram) AS DOUBLE) AS side FROM m)"),
         "symbol Date macd_rel:c signal_rel:c side:d")
     add("rule_signals_lowprice", _on_o(lambda b: op.rule_signals(_low_price(b))),
         _o(LOW_PRICE_SQL + ",\n" + rsi_sql("low", "rr", "b") + ",\n" + macd_sql("rr", "rm", "b") + ",\n"

@@ -1,3 +1,3 @@
-from tickframe.streaming.bars import stream_daily_bars, write_bar_stream
+from tickframe.streaming.bars import late_rows, stream_daily_bars, write_bar_stream
 
-__all__ = ["stream_daily_bars", "write_bar_stream"]
+__all__ = ["late_rows", "stream_daily_bars", "write_bar_stream"]

@@ -56,6 +56,15 @@ def stream_daily_bars(
     )
 
 
+def late_rows(query) -> int:
+    """Rows of the last micro-batch of a running ``StreamingQuery`` that came after the watermark and were dropped.
+
+    ``lateness`` bounds the state by letting such rows go; this is their count, for monitoring.
+    """
+    progress = query.lastProgress or {"stateOperators": []}
+    return sum(op.get("numRowsDroppedByWatermark", 0) for op in progress["stateOperators"])
+
+
 def write_bar_stream(events: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None, **kwargs):
     """Start :func:`stream_daily_bars` into a parquet table at ``path``.
 
