@@ -35,51 +35,53 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import by_size, dropped, stored
+from tickframe.llm.shingles import scramble
 
 CLASSES = 16
 START = CLASSES  # the context of a text's first word
 CONTEXTS = CLASSES + 1
 BURN_IN, KEPT = 1, 3
 STRENGTH = 1.0
-END = int(np.int64(np.uint64(xxhash.xxh64_intdigest(b""))))  # no word is empty
+END = 0x1E5D0F7E47  # the end token's number among the word hashes
 SEED = 97
 
 
-class _Hashes(dict):
-    """Word -> signed 64-bit hash of its lower-cased form; bounded memory."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode().lower())  # of bytes: A-Z only
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
-
-
-_hashes = _Hashes()
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint64) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of the texts, end to end and each text closed by ``END``; contexts; tokens per text."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    table = np.array([_hashes[w] for w in words], np.int64)
-    code = coded.indices.to_numpy().astype(np.int64)
-    there = np.array([w != "" for w in words], bool)[code] if len(code) else np.empty(0, bool)
-    before = np.concatenate([[0], np.cumsum(there)])
-    sizes = np.diff(before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]) + 1
+    """Token hashes of the texts, end to end and each text closed by ``END``; contexts; tokens per text.
+
+    A word's hash adds up one random number per (place, lower-cased byte), for
+    all words of the batch at once.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    cut = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cut[0]:cut[-1]]
+    cut = cut - cut[0]
+    space = _SPACE[data]
+    first = np.ones(len(data) + 1, bool)  # bytes after a space or at the start of a text
+    first[1:-1] = space[:-1]
+    first[cut] = True
+    start = np.flatnonzero(first[:-1] & ~space)
+    words = np.empty(0, np.uint64)
+    if len(start):
+        place = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
+        x = scramble((place.astype(np.uint64) << np.uint64(8)) | _LOWER[data[start[0]:]])
+        x[space[start[0]:]] = 0
+        words = scramble(np.add.reduceat(x, start - start[0]))
+    sizes = np.diff(np.searchsorted(start, cut)) + 1
     ends = np.cumsum(sizes)
     out = np.full(int(ends[-1]) if len(ends) else 0, END, np.int64)
     inside = np.ones(len(out), bool)
     inside[ends - 1] = False
-    out[inside] = table[code[there]] if len(code) else table
+    out[inside] = words.astype(np.int64)
     context = np.empty(len(out), np.uint8)
     context[1:] = (out[:-1].view(np.uint64) >> np.uint64(7)) % np.uint64(CLASSES)
     context[ends - sizes] = START
