@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import smallest_reachable
+from tickframe.llm import embedding_dedup as D
 from tickframe.llm.embedding_dedup import embedding_groups
 from tickframe.llm.lattice import LatticeHash, decode_e8, minimal_vectors
 from tickframe.llm.minhash import _compare, near_duplicates, one_of_each_group, sketch
@@ -57,10 +58,10 @@ def test_lattice_recall_at_the_threshold():
     b = rng.standard_normal((n, 64))
     b -= (a * b).sum(1)[:, None] * a
     b = cos * a + np.sqrt(1 - cos * cos) * b / np.linalg.norm(b, axis=1)[:, None]
-    h = LatticeHash(64, 10, 2, 8, 0.55, 20240607)
+    h = LatticeHash(64, D.TABLES, D.BLOCKS, D.PROBES, D.SCALE, D.SEED)
     (ha, na), (hb, nb) = h.keys(a), h.keys(b)
     met = (ha == hb) | (na == hb[:, :, None]).any(2) | (nb == ha[:, :, None]).any(2)
-    assert met.any(1).mean() > 0.98
+    assert met.any(1).mean() > 0.985
 
 
 def brute_vectors(rows, threshold):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import smallest_reachable, stored
 from tickframe.llm.lattice import LatticeHash
 
-TABLES, BLOCKS, PROBES, SCALE, SEED = 10, 2, 8, 0.55, 20240607
+TABLES, BLOCKS, PROBES, SCALE, SEED = 12, 2, 8, 0.62, 20240607
 HOME_BLOCK, QUERY_BLOCK = 1024, 4096
 PAIRS_AT_ONCE = 200_000
 
@@ -86,25 +86,25 @@ class _Block:
         rep, home = t.column("rep").to_numpy(), t.column("home").to_numpy()
         self.names, first, self.of = np.unique(rep, return_index=True, return_inverse=True)
         self.m, self.salt = t.column("m").to_numpy()[first], t.column("salt").to_numpy()[first]
-        self.cell, self.threshold = t.column("cell").to_numpy(), threshold
-        raw = t.column("raw").take(first).to_pylist()
-        self.x = [_unit(np.frombuffer(r)[None])[0] for r in raw]
+        self.cell, self.threshold = unit[:, 0], threshold
+        raw = b"".join(t.column("raw").take(first).to_pylist())
+        self.x = _unit(np.frombuffer(raw).reshape(len(first), -1))
         self.links = np.zeros(len(first), np.int64)
         self.linked = np.zeros(len(first), bool)
         self.parent = list(range(len(first)))
-        few_q, few_h = [], []
-        for at in np.split(np.arange(len(t)), np.flatnonzero((np.diff(unit, axis=0) != 0).any(1)) + 1):
-            h, q = at[home[at]], at[~home[at]]
-            if len(h) * len(q) > 20_000:
-                close = np.argwhere(self._stack(q) @ self._stack(h).T >= threshold - 1e-9)
-                self._pairs(q[close[:, 0]], h[close[:, 1]])
-            else:
-                few_q.append(np.repeat(q, len(h)))
-                few_h.append(np.tile(h, len(q)))
-        self._pairs(np.concatenate(few_q or [[]]).astype(int), np.concatenate(few_h or [[]]).astype(int))
-
-    def _stack(self, rows: np.ndarray) -> np.ndarray:
-        return np.stack([self.x[k] for k in self.of[rows]])
+        # rows are sorted by unit, home rows first
+        start = np.flatnonzero(np.r_[True, (np.diff(unit, axis=0) != 0).any(1)])
+        size = np.diff(np.r_[start, len(t)])
+        homes = np.add.reduceat(home.astype(np.int64), start)
+        crowded = homes * (size - homes) > 20_000
+        for lo, h, n in zip(start[crowded], homes[crowded], size[crowded]):
+            close = np.argwhere(self.x[self.of[lo + h:lo + n]] @ self.x[self.of[lo:lo + h]].T >= threshold - 1e-9)
+            self._pairs(lo + h + close[:, 0], lo + close[:, 1])
+        unit_of = np.repeat(np.arange(len(start)), size)
+        query = np.flatnonzero(~home & ~crowded[unit_of])  # each meets all home rows of its unit
+        times = homes[unit_of[query]]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        self._pairs(np.repeat(query, times), np.repeat(start[unit_of[query]], times) + within)
 
     def _pairs(self, q: np.ndarray, h: np.ndarray) -> None:
         keep = self.of[q] != self.of[h]
@@ -116,7 +116,7 @@ class _Block:
     def _verify(self, a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> None:
         """Cosine of the pairs that met in ``cell``, the own cell of ``b``."""
         used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x = np.stack([self.x[k] for k in used])
+        x = self.x[used]
         ia, ib = at[:len(a)], at[len(a):]
         ok = np.einsum("ij,ij->i", x[ia], x[ib]) >= self.threshold
         a, b, cell, ia, ib = a[ok], b[ok], cell[ok], ia[ok], ib[ok]
@@ -183,7 +183,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
             "cell", "rep", "false as home", f"explode(sequence(0, {hb} - 1)) as i",
             f"int(pmod(xxhash64(rep, 2), {qb})) as j"))
     units = placed.join(reps.select("rep", "m", "salt", "raw"), "rep")
-    units = units.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    units = units.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", F.desc("home"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for units in _batches_of_units(batches):
