@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from tickframe.llm.common import worker_state
+
 # The split patterns of the public vocabularies, letters \p{L} as [^\W\d_],
 # numbers \p{N} as \d, everything else as [^\s\w] or _.
 SPLIT_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -28,6 +30,7 @@ SPLIT_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 # Code points tried by the proof; below U+0300 no character combines with its neighbours.
 PROOF_RANGE = range(1, 0x300)
 # A run of three white-space characters is cut differently inside a text than at its spaces.
+PAIRS = ["".join(run) for run in itertools.product(" \n", repeat=2)]
 RUNS = ["".join(run) for run in itertools.product(" \n", repeat=3)]
 # Marks that stand as a pre-token of their own after a word.
 MARKS = tuple(".,;:!?")
@@ -46,9 +49,16 @@ class Splitter:
             spec = json.load(f)
         self.lowered = "Lowercase" in json.dumps(spec["normalizer"])
         self.find = re.compile(SPLIT_WORD if self.lowered else SPLIT_BYTE_LEVEL).findall
-        specials = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-        unsafe = "".join(chr(c) for c in PROOF_RANGE if not self._proven(chr(c)))
-        self.odd = re.compile(f"[{re.escape(unsafe)}\\x00\\u0300-\\U0010ffff]|{specials}").search
+        specials = [t["content"] for t in spec["added_tokens"]]
+        unsafe = ["\0", *(chr(c) for c in PROOF_RANGE if not self._proven(chr(c)))]
+        self.odd_ascii = [c for c in unsafe if c.isascii()] + specials
+        self.odd_any = re.compile("|".join(map(re.escape, specials)) + "|[" + re.escape("".join(unsafe))
+                                  + "\u0300-\U0010ffff]").search
+
+    def odd(self, text: str) -> bool:
+        if text.isascii():
+            return any(c in text for c in self.odd_ascii)
+        return self.odd_any(text) is not None
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, or None for an odd text."""
@@ -131,7 +141,8 @@ class TextIds:
         lowered, out, at, plain = self.splitter.lowered, [None] * len(texts), [], []
         for i, t in enumerate(texts):
             if self.splitter.odd(t) or not lowered and (
-                    "\t" in t or "\r" in t or t[-2:].isspace() or any(run in t for run in RUNS)):
+                    "\t" in t or "\r" in t or t[-2:].isspace()
+                    or any(p in t for p in PAIRS) and any(run in t for run in RUNS)):
                 out[i] = self._whole(t)
             else:
                 at.append(i)
@@ -148,17 +159,20 @@ class TextIds:
         lists = pc.split_pattern(cut, " ")
         ends = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        code, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        code, chunks = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
         if lowered:
-            values = [self.bare[c] for c in chunks]
+            values = list(map(self.bare.__getitem__, chunks.tolist()))
         else:  # a chunk stands bare at the start of a text or line, else behind a space
-            line = chunks.index("\n") if "\n" in chunks else -1
+            line = np.flatnonzero(chunks == "\n")
+            line = int(line[0]) if len(line) else -1
             start = np.zeros(len(code), bool)
             start[1:] = code[:-1] == line
             start[ends[:-1]] = True
-            code = code.astype(np.int64) * 2 + (start | (code == line))
+            code = code + len(chunks) * (start | (code == line)).astype(np.int64)
             used = np.flatnonzero(np.bincount(code, minlength=2 * len(chunks)))
-            values = [(self.bare if u & 1 else self.spaced)[chunks[u >> 1]] for u in used.tolist()]
+            spaced, bare = used[used < len(chunks)], used[used >= len(chunks)] - len(chunks)
+            values = [*map(self.spaced.__getitem__, chunks[spaced].tolist()),
+                      *map(self.bare.__getitem__, chunks[bare].tolist())]
             place = np.zeros(2 * len(chunks), np.int64)
             place[used] = np.arange(len(used))
             code = place[code]
@@ -173,11 +187,6 @@ class TextIds:
         return np.split(flat, total[1:-1] // self.kind.itemsize)
 
 
-_workers: dict[tuple, TextIds] = {}
-
-
 def text_ids(path: str) -> TextIds:
     """The worker's table for a tokenizer file."""
-    if path not in _workers:
-        _workers[path] = TextIds(path)
-    return _workers[path]
+    return worker_state(("ids", path), lambda: TextIds(path))

@@ -19,12 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import by_size
+from tickframe.llm.common import by_size, worker_state
 from tickframe.llm.pretokens import Splitter, TextIds
 
-_workers: dict[str, TextIds] = {}
-
-
 def whole_tokens(path: str) -> frozenset[str]:
     """The vocabulary strings proven to encode alone as one token (at most the vocabulary's size)."""
     s = Splitter(path)
@@ -37,9 +34,7 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 
 def _counter(path: str, whole: frozenset[str]) -> TextIds:
-    if path not in _workers:
-        _workers[path] = TextIds(path, True, dict.fromkeys(whole, 1))
-    return _workers[path]
+    return worker_state(("counts", path), lambda: TextIds(path, True, dict.fromkeys(whole, 1)))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
