@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,21 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_held: list = [None, None]
+
+
+def worker_state(name, make: Callable):
+    """What an operator keeps in a Python worker between tasks (a table of bounded size).
+
+    Workers are shared by all operators: the state of another one is let go first.
+    """
+    if _held[0] != name:
+        _held[:] = [None, None]
+        pa.default_memory_pool().release_unused()
+        _held[:] = [name, make()]
+    return _held[1]
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of a text column (one row at least), to bound a task's memory.
 
@@ -65,6 +80,7 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0, 0]
         for lo, hi in zip(cuts, cuts[1:]):
             yield b if hi - lo == b.num_rows else b.take(pa.array(np.arange(lo, hi)))
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(text: Column) -> Column:

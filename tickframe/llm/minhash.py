@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     out = sketched.select("id", "n", "key").join(per_class, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text",

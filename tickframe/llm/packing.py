@@ -42,14 +42,14 @@ class ShardIndex:
     def __init__(self, ids: list[np.ndarray]):
         n, lengths = len(ids), np.array([len(x) for x in ids])
         counted = [np.unique(x, return_counts=True) for x in ids]
-        terms = np.concatenate([t for t, _ in counted]).astype(np.int64)
-        tf = np.concatenate([c for _, c in counted]).astype(np.float64)
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in counted])
+        terms = np.concatenate([t for t, _ in counted]).astype(np.int32)
+        tf = np.concatenate([c for _, c in counted]).astype(np.float32)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in counted])
         df = np.bincount(terms)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        impact = idf[terms] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / lengths.mean())).astype(np.float32)[doc])
         order = np.argsort(terms, kind="stable")
-        self.doc, self.impact = doc[order], impact[order].astype(np.float32)
+        self.doc, self.impact = doc[order], impact[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
         # the query of a document: its terms of most weight that any other document has
         self.queries, at = [], 0
@@ -143,7 +143,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WI
                 [pa.array(columns[0], id_arrow), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
         shard, size = [], 0
-        for b in by_size(batches, "t", 16 << 20):
+        for b in by_size(batches, "t", 8 << 20):
             id_arrow = b.schema.field("id").type
             for i, ids in zip(b.column("id").to_pylist(), encoder.batch(b.column("t").to_pylist())):
                 ids = np.append(ids, encoder.kind.type(end_id))

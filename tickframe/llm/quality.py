@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickframe.llm.common import by_size
+from tickframe.llm.common import by_size, worker_state
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 2, 2
 LAGS = 3
@@ -49,7 +49,7 @@ class _Words(dict):
     """Word -> up to three token buckets (core, end marks, case), -1 for none; bounded memory."""
 
     def __missing__(self, word: str) -> tuple[int, int, int]:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         core = word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         end = word[len(core):]
@@ -63,14 +63,12 @@ class _Words(dict):
         return zlib.crc32(f"{kind}:{s}".encode()) % BUCKETS
 
 
-_words = _Words()
-
-
 def token_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token buckets of the texts, end to end, and the number of tokens of each text."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = lists.flatten().dictionary_encode()
-    table = np.array([_words[w] for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 3)
+    words = worker_state("token buckets", _Words)
+    table = np.array([words[w] for w in coded.dictionary.to_pylist()], np.int32).reshape(-1, 3)
     buckets = table[coded.indices.to_numpy()]
     there = buckets >= 0
     total = np.concatenate([[0], np.cumsum(there.sum(1))])
@@ -80,7 +78,7 @@ def token_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of every bucket's sparse index vector."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+    return rng.integers(0, DIM, (BUCKETS, NONZERO), np.int32), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
 
 
 def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
@@ -89,7 +87,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     def local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
         total = np.zeros(BUCKETS * DIM)
-        for b in by_size(batches, "t", 16 << 20):
+        for b in by_size(batches, "t"):
             tokens, sizes = token_buckets(b.column("t"))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             for step in range(1, REACH + 1):
@@ -97,7 +95,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
                 left, right = tokens[:-step][near], tokens[step:][near]
                 for k in range(NONZERO):
                     for word, other in ((left, right), (right, left)):
-                        total += np.bincount(word * DIM + place[other, k], sign[other, k], BUCKETS * DIM)
+                        np.add.at(total, word * DIM + place[other, k], sign[other, k])
         parts = total.astype(np.float32).reshape(-1, BLOCK_ROWS * DIM)
         used = np.flatnonzero(parts.any(1))
         salt = TaskContext.get().partitionId() % SALTS

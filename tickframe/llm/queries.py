@@ -69,8 +69,9 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing,
-                                    op7_quality, op8_decontamination, op9_language_model, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing, op7_quality,
+    op8_decontamination, op9_language_model, op10_minhash_dedup)}
 
 _URL_SQL = """
 WITH u AS (

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tickframe.llm.common import worker_state
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -12,7 +14,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered; ``limit`` bounds the memory only."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
@@ -23,9 +25,6 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
-
-
 def scramble(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * _MIX
@@ -40,7 +39,8 @@ def words(text: bytes) -> list[bytes]:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    return np.array(list(map(_hashes.__getitem__, words(text))), np.uint64)
+    hashes = worker_state("word hashes", WordHashes)
+    return np.array(list(map(hashes.__getitem__, words(text))), np.uint64)
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
