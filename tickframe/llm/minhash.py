@@ -213,11 +213,14 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, text:
                       id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the documents whose group has a smaller id, and without repeats of an id.
 
-    Documents without words and rows without an id all stay. Only ids are
-    joined with the table: those to go, which may be many (a shuffle join).
+    Documents without words and rows without an id all stay. Only the ids to
+    go are joined with the table: broadcast up to ``BROADCAST_IDS``, beyond
+    that by a shuffle.
     """
     groups = stored(near_duplicates(docs, words, percent, text=text, id_col=id_col), "groups")
     gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone__")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("gone__"), "left_anti")
     repeated = groups.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("gone__")).count()
     repeated = stored(repeated.filter("count > 1").select("gone__"), "repeated")
