@@ -130,6 +130,27 @@ def test_decontamination_edge_cases(spark):
     assert contamination(docs.limit(0), bench).collect() == []
 
 
+def test_near_and_cut_copies_are_found(spark):
+    """Copies with one changed word in eight, without their last sentence, or both; unrelated and reordered words are not."""
+    rng = np.random.default_rng(11)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()}
+    pad = " ".join(f"pad{k}" for k in rng.integers(0, 50, 200))
+    rows, want = [], {}
+    for i, text in items.items():
+        words, rest = text.split(), question_answer(text)[0].split()
+        changed = lambda ws: [f"new{k}" if k % 8 == 5 else w for k, w in enumerate(ws)]
+        copies = [(words, True), (changed(words), True), (words[:-1] + ["otherwise"], True),
+                  (list(rng.permutation(words)), False)]
+        if len(rest) >= 8:
+            copies += [(rest, True), (changed(rest), True)]
+        for ws, found in copies:
+            want[len(rows)] = {i} if found else set()
+            rows.append((len(rows), f"{pad} {' '.join(ws)} {pad}"))
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: {int(x) for x in r.items.split(",") if x} for r in got} == want
+
+
 def test_large_benchmarks_run_in_parts(spark, monkeypatch):
     import tickframe.llm.decontaminate as D
 

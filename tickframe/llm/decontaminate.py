@@ -1,4 +1,4 @@
-"""Operator 8, benchmark decontamination: BM25 with block-max WAND, then question and answer overlap.
+"""Operator 8, benchmark decontamination: BM25 with block-max WAND, then the overlap of words in order.
 
 The test items are cut into segments, and an inverted index holds the BM25
 impact of every term in every segment. Segments of similar length share a
@@ -6,13 +6,19 @@ block; a block keeps the largest impact of each of its terms. Every passage
 of every document is a query: windows of twice the block's longest segment,
 one segment length apart, so that any run of that length lies in one window.
 
-* A window's bound for a block is the sum of its words' block maxima (running
-  sums over the whole batch). A block whose bound stays below its least
-  threshold is skipped, as in block-max WAND.
+* A window's bound for a block is the sum of its words' block maxima (added up
+  by stretches of one segment length), then that of its distinct words. A block
+  whose bound stays below its least threshold is skipped, as in block-max WAND.
 * For the others the exact BM25 score of each segment is computed; all
   segments that reach ``SHARE`` of their own full score are retrieved.
-* A retrieved item counts when the document holds enough of the word runs of
-  its question and of its answer.
+* A retrieved item is compared word by word: a word is held when it lies in a
+  run of ``RUN_WORDS`` words that also stands in one passage of the document,
+  at most twice as long as what is looked for. A changed word costs itself, not
+  all the runs around it.
+* An item with an answer mark counts when a passage holds ``MIN_OVERLAP`` of
+  its question, and the document as much of its answer. Any other item counts
+  when a passage holds as much of the whole item, or of the item without its
+  last sentence if ``MIN_WORDS`` words are left then.
 
 The index is broadcast in parts of at most ``PART_ITEMS`` items, one pass over
 the documents each, so its size is bounded whatever the benchmark's.
@@ -27,6 +33,7 @@ the documents each, so its size is bounded whatever the benchmark's.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +49,8 @@ PART_ITEMS = 2_000
 SEGMENT_WORDS = 64
 BLOCK_SEGMENTS = 8
 K1, B = 1.2, 0.75
-SHARE = 0.7
-RUN_WORDS = 5
+SHARE = 0.6
+RUN_WORDS = 3
 MIN_OVERLAP = 0.6
 MIN_WORDS = 8
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -54,18 +61,58 @@ def normal(word: str) -> str:
     return word.strip(MARKS).lower()
 
 
+def answer_mark(text: str) -> re.Match | None:
+    """The first answer mark, if a question stands before it."""
+    mark = re.search(r"(?i)\b(?:answer|réponse|antwort|respuesta|a)\s*:", text)
+    return mark if mark and mark.start() else None
+
+
 def question_answer(text: str) -> tuple[str, str]:
     """An item's question and answer: cut at an answer mark, else before the last sentence."""
-    mark = re.search(r"(?i)\b(?:answer|réponse|antwort|respuesta|a)\s*:", text)
-    if mark and mark.start():
+    mark = answer_mark(text)
+    if mark:
         return text[:mark.start()], text[mark.end():]
     ends = [m.end() for m in re.finditer(r"[.!?]\s+(?=\S)", text)]
     return (text[:ends[-1]], text[ends[-1]:]) if ends else (text, "")
 
 
-def runs(terms: list[int], size: int = RUN_WORDS) -> set[tuple[int, ...]]:
+def runs(terms: list[int], size: int = RUN_WORDS) -> list[tuple[int, ...]]:
+    """The run of ``size`` words (or of all, if fewer) that starts at each word."""
     n = min(size, len(terms))
-    return {tuple(terms[i:i + n]) for i in range(len(terms) - n + 1)} if n else set()
+    return list(zip(*(terms[k:len(terms) - n + 1 + k] for k in range(n))))
+
+
+def held(part: list[tuple[int, ...]], passage: Counter, size: int) -> int:
+    """How many words of ``part`` lie in a run of the passage; each run of the passage serves once."""
+    left, n, last = passage.copy(), 0, 0
+    for k, run in enumerate(part):
+        if left[run] > 0:
+            left[run] -= 1
+            n += k + size - max(k, last)
+            last = k + size
+    return n
+
+
+def holds(doc_runs: list[tuple[int, ...]], part: list[int], reach: int | None = None) -> bool:
+    """Whether a passage of ``reach`` words (the whole document if None) holds ``MIN_OVERLAP`` of ``part``."""
+    own, size = runs(part), min(RUN_WORDS, len(part))
+    wanted = Counter(own)
+    at = [k for k, run in enumerate(doc_runs) if run in wanted]
+    passage, usable, end = Counter(), 0, 0
+    for k, start in enumerate(at):  # passages that start with a run of the part
+        while end < len(at) and (reach is None or at[end] + size <= start + reach):
+            run = doc_runs[at[end]]
+            passage[run] += 1
+            usable += passage[run] <= wanted[run]
+            end += 1
+        if usable * size >= MIN_OVERLAP * len(part) and held(own, passage, size) >= MIN_OVERLAP * len(part):
+            return True
+        if reach is None:
+            return False
+        run = doc_runs[start]
+        usable -= passage[run] <= wanted[run]
+        passage[run] -= 1
+    return False
 
 
 @dataclass
@@ -89,43 +136,73 @@ class Index:
             words = [w for w in map(normal, (text or "").split()) if w]
             if len(words) < MIN_WORDS:
                 continue
-            question, answer = ([w for w in map(normal, part.split()) if w] for part in question_answer(text))
-            parts = -(-len(words) // SEGMENT_WORDS)
-            for p in np.array_split(np.array(number(words)), parts):
-                segments.append((len(p), len(self.names), p))
+            question, answer = (number([w for w in map(normal, part.split()) if w]) for part in question_answer(text))
+            words, rest, pieces = number(words), None, None
+            if answer_mark(text):
+                self.answers.append(answer)
+                self.questions.append([question])
+            else:
+                self.answers.append([])
+                self.questions.append([words])
+                if answer and len(question) >= MIN_WORDS:  # copies without the last sentence count, too
+                    self.questions[-1].append(question)
+                    if len(answer) >= MIN_WORDS:
+                        pieces = [question, answer]
+                    else:
+                        rest = question
+            for piece in pieces or [words]:
+                parts = -(-len(piece) // SEGMENT_WORDS)
+                for p in np.array_split(np.array(piece), parts):
+                    segments.append((len(p), len(self.names), p, np.array(rest if rest and parts == 1 else p)))
             self.names.append(name)
-            self.questions.append(number(question))
-            self.answers.append(number(answer))
         self.blocks: list[Block] = []
         if not segments:
             return
         segments.sort(key=lambda s: s[0])
         mean = np.mean([s[0] for s in segments])
-        df = np.bincount(np.concatenate([np.unique(p) for *_, p in segments]), minlength=len(self.vocabulary))
+        df = np.bincount(np.concatenate([np.unique(p) for _, _, p, _ in segments]), minlength=len(self.vocabulary))
         idf = np.log1p((len(segments) - df + 0.5) / (df + 0.5))
         for k in range(0, len(segments), BLOCK_SEGMENTS):
             part = segments[k:k + BLOCK_SEGMENTS]
-            terms = np.unique(np.concatenate([p for *_, p in part]))
-            impact = np.zeros((len(terms), len(part)), np.float32)
-            for j, (length, _, p) in enumerate(part):
+            terms = np.unique(np.concatenate([p for _, _, p, _ in part]))
+            impact, needed = np.zeros((len(terms), len(part)), np.float32), np.zeros(len(part), np.float32)
+            for j, (length, _, p, must) in enumerate(part):
                 t, tf = np.unique(p, return_counts=True)
                 impact[np.searchsorted(terms, t), j] = idf[t] * tf * (K1 + 1) / (
                     tf + K1 * (1 - B + B * length / mean))
-            self.blocks.append(Block(terms, impact.max(1), impact, impact.sum(0) * SHARE,
-                                     np.array([i for _, i, _ in part]), part[-1][0]))
+                needed[j] = impact[np.isin(terms, must), j].sum() * SHARE
+            self.blocks.append(Block(terms, impact.max(1), impact, needed,
+                                     np.array([i for _, i, *_ in part]), part[-1][0]))
 
     def candidates(self, terms: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs whose passages reach the threshold; ``terms``: the texts end to end,
         -1 for words of no item; ``ends``: where each text ends."""
         found: set[tuple[int, int]] = set()
         most = np.zeros(len(self.vocabulary) + 1, np.float32)
+        order = np.argsort(terms, kind="stable")
+        again = terms[order[1:]] == terms[order[:-1]]
+        before = np.full(len(terms), -1 << 30, np.int32)  # where the word stood last
+        before[order[1:][again]] = order[:-1][again]
         for b in self.blocks:
             most[b.terms] = b.most
-            bound = np.concatenate([[0.0], np.cumsum(most[terms], dtype=np.float64)])
-            most[b.terms] = 0
             first = np.arange(0, len(terms), b.words)
+            weight = most[terms]
+            most[b.terms] = 0
+            bound = np.add.reduceat(weight, first) if len(terms) else np.zeros(0)
+            bound[:-1] += bound[1:].copy()
+            near = bound >= b.needed.min() - 1e-3
+            if not near.any():
+                continue
+            # the same for distinct words: a word counts where it first stands in a window
+            place = np.flatnonzero(weight)
+            stretch = (place // b.words).astype(np.int32)
+            use = near[stretch] | near[np.maximum(stretch - 1, 0)]
+            place, stretch = place[use], stretch[use]
+            weight, earlier = weight[place], before[place] // b.words
+            bound = np.bincount(stretch, weight * (earlier < stretch), len(first))
+            bound[:-1] += np.bincount(stretch, weight * (earlier < stretch - 1), len(first))[1:]
             last = np.minimum(first + 2 * b.words, len(terms))
-            alive = np.flatnonzero(bound[last] - bound[first] >= b.needed.min() - 1e-3)
+            alive = np.flatnonzero(near & (bound >= b.needed.min() - 1e-3))
             for lo, hi in zip(first[alive].tolist(), last[alive].tolist()):
                 t = np.unique(terms[lo:hi])
                 at = np.searchsorted(b.terms, t)
@@ -137,18 +214,17 @@ class Index:
                     found.update((d, int(i)) for d in docs for i in b.item[hit])
         return found
 
-    def overlaps(self, doc_runs: dict[int, set], terms: list[int], item: int) -> tuple[float, float]:
-        """Shares of the item's question and answer runs that the document holds (an empty answer counts as held)."""
-        def share(part: list[int]) -> float:
+    def held_by(self, doc_runs: dict[int, list], terms: list[int], item: int) -> bool:
+        """Whether the document holds the item; ``doc_runs`` keeps its runs by size."""
+        def of_size(part: list[int]) -> list:
             n = min(RUN_WORDS, len(part))
-            if not n:
-                return 1.0
             if n not in doc_runs:
-                doc_runs[n] = runs(terms, n)
-            own = runs(part)
-            return len(own & doc_runs[n]) / len(own)
+                doc_runs[n] = runs(terms, n) if len(terms) >= n else []
+            return doc_runs[n]
 
-        return share(self.questions[item]), share(self.answers[item])
+        answer = self.answers[item]
+        return (any(holds(of_size(part), part, 2 * len(part)) for part in self.questions[item])
+                and (not answer or holds(of_size(answer), answer)))
 
 
 class _Numbers(dict):
@@ -197,7 +273,7 @@ def _scanner(index, at: int):
                     continue
                 if cache[0] != d:
                     cache = (d, {}, terms[starts[d]:starts[d + 1]].tolist())
-                if min(ix.overlaps(cache[1], cache[2], i)) >= MIN_OVERLAP:
+                if ix.held_by(cache[1], cache[2], i):
                     items[d].append(ix.names[i])
             found = pa.array([sorted(x) for x in items], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=b.schema.names)
