@@ -151,6 +151,17 @@ def test_near_and_cut_copies_are_found(spark):
     assert {r.doc_id: {int(x) for x in r.items.split(",") if x} for r in got} == want
 
 
+def test_free_standing_marks_break_no_run(spark):
+    exact = ["If x + y = 5 and x - y = 1 , then 2 * x = 6 and y = 2",
+             "| left | right | upper | lower | \n | one | two | three | four |"]
+    bench = spark.createDataFrame(list(enumerate(exact)), "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(0, f"- + = lead in {exact[0]} & so on"), (1, exact[1]), (2, "+ - = | * &"), (3, "| " * 500 + exact[1] + " *" * 500),
+         (4, f"{exact[0]} | {exact[1]}")], "doc_id long, text string")
+    got = {r.doc_id: r.items for r in contamination(docs, bench).collect()}
+    assert got == {0: "0", 1: "1", 2: "", 3: "1", 4: "0,1"}
+
+
 def test_large_benchmarks_run_in_parts(spark, monkeypatch):
     import tickframe.llm.decontaminate as D
 

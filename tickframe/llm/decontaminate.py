@@ -25,6 +25,7 @@ the documents each, so its size is bounded whatever the benchmark's.
 
 * null or empty text: no passages; texts are queried whole, however long;
 * null or empty items, and items under ``MIN_WORDS`` words, name nothing and are skipped;
+* words of marks alone ('+', '|', '-') are left out of items and texts alike;
 * repeated items are reported each; ties at a threshold count;
 * an empty benchmark contaminates nothing; an empty table gives no rows;
 * other columns, whatever their names, are not read.
@@ -176,7 +177,7 @@ class Index:
 
     def candidates(self, terms: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs whose passages reach the threshold; ``terms``: the texts end to end,
-        -1 for words of no item; ``ends``: where each text ends."""
+        the number after the vocabulary for words of no item; ``ends``: where each text ends."""
         found: set[tuple[int, int]] = set()
         most = np.zeros(len(self.vocabulary) + 1, np.float32)
         order = np.argsort(terms, kind="stable")
@@ -228,7 +229,8 @@ class Index:
 
 
 class _Numbers(dict):
-    """Word -> term number in the index, or the number after the last for words of no item; bounded memory."""
+    """Word -> term number in the index, the number after the last for words of no item, -1 for mere marks; bounded
+    memory."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
@@ -237,7 +239,8 @@ class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
-        self[word] = n = self.vocabulary.get(normal(word), len(self.vocabulary))
+        term = normal(word)
+        self[word] = n = self.vocabulary.get(term, len(self.vocabulary)) if term else -1
         return n
 
 
@@ -266,6 +269,8 @@ def _scanner(index, at: int):
             table = np.array([numbers[w] for w in coded.dictionary.to_pylist()], np.int64)
             terms = table[coded.indices.to_numpy()] if len(table) else np.empty(0, np.int64)
             starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            words = terms >= 0  # free-standing marks are no words, as in the items
+            starts, terms = np.concatenate([[0], np.cumsum(words)])[starts], terms[words]
             items = b.column("items").to_pylist()
             cache: tuple[int, dict, list] = (-1, {}, [])
             for d, i in sorted(ix.candidates(terms, starts[1:])) if len(terms) else ():
