@@ -212,6 +212,29 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_previous_word_is_a_context_of_its_own(spark):
+    """Each word names the next; hashed classes mix the words, so that the next one stays uncertain."""
+    rng = np.random.default_rng(4)
+    n = 300
+    texts = {i: " ".join(f"left{k} right{k}" for k in rng.integers(0, n, 120)) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = L.score_documents(docs).collect()
+    check_scores(rows, texts)
+    held = [r for r in rows if r.held_out]
+    # a left word costs log10(300), its right word next to nothing
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -(math.log10(n) / 2 + 0.25)
+
+
+def test_own_seats_are_removed_before_seating():
+    """A pair that owns all tables of its context and word is seated as if it were alone there."""
+    c, full = np.full(20000, 8), lambda v: np.full(20000, v)
+    shared = L.Totals(np.zeros(0), np.zeros(0), 1000, 400, 50, 0.6, 0.4)
+    a = L.seat_pairs(c, full(8), full(8), full(8), full(1), shared, np.random.default_rng(1)).mean()
+    less = L.Totals(np.zeros(0), np.zeros(0), 993, 400, 50, 0.6, 0.4)
+    b = L.seat_pairs(c, full(1), full(1), full(1), full(1), less, np.random.default_rng(2)).mean()
+    assert a == pytest.approx(b, abs=0.04)
+
+
 def test_predictive_probabilities_sum_to_one():
     """Over the whole vocabulary and the unknown word, in every context."""
     rng = np.random.default_rng(3)

@@ -3,52 +3,56 @@
 Tokens are the words of a text (A-Z lower-cased) and one end token. The root
 of the hierarchy is the uniform distribution over the training vocabulary and
 one unknown word; its child is the unigram restaurant; below it stand the
-context restaurants, which all share that parent: one per class of the
-previous word (``CLASSES`` hashed classes) and one for the start of a text. A
-customer of a context restaurant that opens a table sends a customer to the
-unigram restaurant.
+context restaurants, which all share that parent: one for every previous word
+and one for the start of a text. A customer of a context restaurant that opens
+a table sends a customer to the unigram restaurant.
 
 Seating is sampled by blocked Gibbs: in a sweep all customers of one dish in
-one restaurant get up and are seated again one after another by the
-Chinese-restaurant weights, given everyone else (in growing groups once many
-sit). Sweeps run on a table partitioned by word; between sweeps only the
-tables per restaurant (``CLASSES`` + 2 numbers) are summed up and shared. The
+one restaurant get up, with their tables, and are seated again one after
+another by the Chinese-restaurant weights, given everyone else (in growing
+groups once many sit). A dish with one customer always has one table, so only
+pairs (word, context) seen more often are sampled. Counts are keyed by pair;
+the tables per context and the customers per word are summed up after a sweep,
+stored, and joined back, so that the join can split a frequent word. The
 predictive probabilities of the kept sweeps are averaged.
 
-Scoring: a chunk (one input split) asks once for every (word, context) it
-holds; the answers are joined on the word and meet the chunk's texts again in
-one shuffle, sorted so that answers come first. No count, vocabulary or model
-table passes the driver or is broadcast.
+Scoring: a chunk (one input split) asks once for every word, every context and
+every pair it holds. The probability of a pair is its own share plus what the
+context leaves to the parent times the word's unigram probability, so the
+three are answered apart and meet the chunk's texts in one shuffle, sorted so
+that answers come first. No count, vocabulary or model table passes the driver
+or is broadcast.
 
 * null or empty text: the end token only;
 * very long texts are scored whole; repeated rows score alike;
 * null ids are held out; without training text every token has probability 1;
 * an empty table gives no rows; other columns, whatever their names, are not read;
-* words are told apart by 64-bit hashes.
+* words are told apart by 64-bit hashes, and so are a chunk's pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import gc
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import by_size, dropped, stored
 from tickframe.llm.shingles import scramble
 
-CLASSES = 16
-START = CLASSES  # the context of a text's first word
-CONTEXTS = CLASSES + 1
+CONTEXTS = 17  # restaurants of the small models that tests add up; the operator has one for every previous word
+START = 0x51A27B3D09  # the context of a text's first word, among the word hashes
 BURN_IN, KEPT = 1, 3
 STRENGTH = 1.0
 END = 0x1E5D0F7E47  # the end token's number among the word hashes
 SEED = 97
+PAIR, WORD, CONTEXT, TEXT = range(4)  # kinds of asked keys, and texts after them
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -82,8 +86,8 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(out), bool)
     inside[ends - 1] = False
     out[inside] = words.astype(np.int64)
-    context = np.empty(len(out), np.uint8)
-    context[1:] = (out[:-1].view(np.uint64) >> np.uint64(7)) % np.uint64(CLASSES)
+    context = np.empty(len(out), np.int64)
+    context[1:] = out[:-1]
     context[ends - sizes] = START
     return out, context, sizes
 
@@ -103,99 +107,52 @@ def unpacked(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].copy().view(kind)
 
 
-def lengths(column: pa.Array, width: int = 1) -> np.ndarray:
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // width
+def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return scramble(scramble(word.view(np.uint64)) + context.view(np.uint64)).view(np.int64)
 
 
-def _by_word(chunk: int | None, word: np.ndarray, context: np.ndarray, n: np.ndarray):
-    """Distinct (word, context) with summed ``n``, as rows of one word each."""
+def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, context) with summed ``n``."""
     order = np.lexsort((context, word))
     word, context, n = word[order], context[order], n[order]
-    new = np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]
-    first = np.flatnonzero(new)
-    n, word, context = np.add.reduceat(n, first), word[first], context[first]
-    at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    return word[at], np.diff(np.r_[at, len(word)]), context, n
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])][:len(word)])
+    return word[first], context[first], np.add.reduceat(n, first) if len(n) else n
 
 
 def requests(docs: DataFrame) -> DataFrame:
-    """``(chunk, w, ctx, n)``: the contexts in which a chunk holds a word, and how often in training texts."""
+    """``(chunk, kind, w, ctx, n)``: the pairs a chunk holds and how often in training texts, its words, its contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in by_size(batches, "t"):
             word, context, sizes = tokens(b.column("t"))
             chunk = np.repeat(b.column("chunk").to_numpy(), sizes)
-            train = np.repeat(b.column("train").to_numpy(zero_copy_only=False), sizes).astype(np.int64)
+            train = np.repeat(b.column("train").to_numpy(zero_copy_only=False), sizes).astype(np.int32)
             for c in np.unique(chunk):
                 own = chunk == c
-                w, k, ctx, n = _by_word(None, word[own], context[own], train[own])
                 parts = held.setdefault(int(c), [])
-                parts.append((np.repeat(w, k), ctx, n))
+                parts.append(_pairs(word[own], context[own], train[own]))
                 if len(parts) >= 4 and sum(len(x[0]) for x in parts[1:]) > len(parts[0][0]):  # merge as they pile up
-                    w, k, ctx, n = _by_word(c, *(np.concatenate(x) for x in zip(*parts)))
-                    parts[:] = [(np.repeat(w, k), ctx, n)]
-        for c, parts in held.items():
-            w, k, ctx, n = _by_word(c, *(np.concatenate(x) for x in zip(*parts)))
-            ends = np.concatenate([[0], np.cumsum(k)])
-            for i in range(0, len(w), 50_000):
-                rows = slice(i, i + 50_000)
-                e = slice(ends[i], ends[min(i + 50_000, len(w))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(w[rows]), c, np.int64)), pa.array(w[rows]), packed(ctx[e], k[rows]),
-                     packed(n[e].astype(np.uint32), k[rows])], names=["chunk", "w", "ctx", "n"])
-
-    return docs.select("chunk", "train", "t").mapInArrow(run, "chunk long, w long, ctx binary, n binary")
-
-
-def _word_groups(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole words from a stream sorted by ``w``."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        w = t.column("w").to_numpy()
-        change = np.flatnonzero(w[1:] != w[:-1]) + 1
-        if len(t) >= least and len(change):
-            yield t.slice(0, change[-1]).combine_chunks()
-            t = t.slice(change[-1])
-        rest = t
-    if rest is not None and len(rest):
-        yield rest.combine_chunks()
-
-
-def _column(t: pa.Table, name: str) -> pa.Array:
-    c = t.column(name)
-    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks)
-
-
-STATE = "w long, ctx binary, c binary, t binary, t1 long, kept binary, kept1 binary"
-
-
-def training_counts(asked: DataFrame) -> DataFrame:
-    """One row per training word: its contexts with their counts, one table each to begin with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _word_groups(batches):
-            size = lengths(_column(t, "ctx"))
-            word, ctx = np.repeat(t.column("w").to_numpy(), size), unpacked(_column(t, "ctx"), np.uint8)
-            n = unpacked(_column(t, "n"), np.uint32).astype(np.int64)
-            seen = n > 0
-            if not seen.any():
-                continue
-            w, k, ctx, n = _by_word(None, word[seen], ctx[seen], n[seen])
-            none = pa.array([b""] * len(w), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w), packed(ctx, k), packed(n, k), packed(np.ones(len(n), np.int64), k),
-                 pa.array(np.ones(len(w), np.int64)), none, none],
-                names=["w", "ctx", "c", "t", "t1", "kept", "kept1"])
-
-    return asked.repartition("w").sortWithinPartitions("w").mapInArrow(run, STATE)
+                    parts[:] = [_pairs(*(np.concatenate(x) for x in zip(*parts)))]
+        for c in list(held):
+            w, ctx, n = _pairs(*(np.concatenate(x) for x in zip(*held.pop(c))))
+            words, contexts = w[np.r_[True, w[1:] != w[:-1]]], np.unique(ctx)
+            for kind, left, right, count in ((PAIR, w, ctx, n), (WORD, words, None, None), (CONTEXT, None, contexts, None)):
+                size = len(left if left is not None else right)
+                for i in range(0, size, 50_000):
+                    rows = min(50_000, size - i)
+                    part = lambda x, t: pa.nulls(rows, t) if x is None else pa.array(x[i:i + rows], t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(rows, c, np.int64)), pa.array(np.full(rows, kind, np.int32)),
+                         part(left, pa.int64()), part(right, pa.int64()), part(count, pa.int32())],
+                        names=["chunk", "kind", "w", "ctx", "n"])
+
+    return docs.select("chunk", "train", "t").mapInArrow(run, "chunk long, kind int, w long, ctx long, n int")
 
 
 @dataclass
 class Totals:
-    """What the restaurants share: customers and tables per context, of the unigram restaurant, and discounts."""
+    """What restaurants share: customers and tables of the contexts at hand, of the unigram restaurant, and discounts."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -220,172 +177,186 @@ class Totals:
         return (c - self.discount * t + new) / (self.customers[ctx] + STRENGTH)
 
 
-def totals(state: DataFrame) -> Totals:
-    """Sums over the state table; ``CONTEXTS`` rows of sums per task are added up by Spark."""
-    names = ["customers", "tables", "once", "twice", "tables1", "words", "once1", "twice1"]
+NONE = np.zeros(0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS, len(names)), np.int64)
-        for b in batches:
-            size = lengths(b.column("ctx"))
-            ctx = unpacked(b.column("ctx"), np.uint8)
-            c, t = unpacked(b.column("c"), np.int64), unpacked(b.column("t"), np.int64)
-            for k, v in enumerate((c, t, c == 1, c == 2)):
-                np.add.at(total[:, k], ctx, v)
-            c1 = np.add.reduceat(t, np.cumsum(size) - size) if len(t) else t
-            t1 = b.column("t1").to_numpy()
-            total[0, 4:] += [t1.sum(), len(t1), (c1 == 1).sum(), (c1 == 2).sum()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(CONTEXTS)), *(pa.array(total[:, k]) for k in range(len(names)))],
-            names=["ctx", *names])
-
-    rows = state.select("ctx", "c", "t", "t1").mapInArrow(run, "ctx long, " + ", ".join(f"{n} long" for n in names))
-    sums = {r["ctx"]: r for r in rows.groupBy("ctx").agg(*[F.sum(n).alias(n) for n in names]).collect()}
-    get = lambda n: np.array([sums[k][n] if k in sums else 0 for k in range(CONTEXTS)], np.int64)
-    ney = lambda once, twice: min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    return Totals(get("customers"), get("tables"), int(get("tables").sum()), int(get("tables1").sum()),
-                  int(get("words").sum()), ney(get("once").sum(), get("twice").sum()),
-                  ney(get("once1").sum(), get("twice1").sum()))
-
-
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after ``c`` customers of a dish sat down in turn; ``weight``: that of a new table."""
+
+def discount_of(once: int | None, twice: int | None) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+def totals(words: DataFrame, discount: float) -> Totals:
+    c1, t1, n, once, twice = words.agg(
+        F.sum("c1"), F.sum("t1"), F.count("w"), F.sum((F.col("c1") == 1).cast("long")),
+        F.sum((F.col("c1") == 2).cast("long"))).first()
+    return Totals(NONE, NONE, c1 or 0, t1 or 0, n, discount, discount_of(once, twice))
+
+
+def seat(c: np.ndarray, weight: np.ndarray | Callable, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables after ``c`` customers of a dish sat down in turn; ``weight``: that of a new table, or a function of
+    the dishes and their tables so far."""
     t, n = np.minimum(c, 1), np.minimum(c, 1)
     todo = np.flatnonzero(c > 1)
     while len(todo):
         group = np.minimum(np.maximum(n[todo] // 16, 1), c[todo] - n[todo])
-        new = weight[todo] / (weight[todo] + n[todo] - discount * t[todo])
+        new = weight(todo, t[todo]) if callable(weight) else weight[todo]
+        new = new / (new + n[todo] - discount * t[todo])
         t[todo] += rng.binomial(group, new)
         n[todo] += group
         todo = todo[n[todo] < c[todo]]
     return t
 
 
-def sweep(state: DataFrame, shared: Totals, number: int, keep: bool) -> DataFrame:
-    """One Gibbs sweep: first the context restaurants of each word, then its unigram customers."""
+def seat_pairs(c: np.ndarray, t: np.ndarray, tables: np.ndarray, c1: np.ndarray, t1: np.ndarray, shared: Totals,
+               rng: np.random.Generator) -> np.ndarray:
+    """New tables of pairs with ``t`` tables of their context's ``tables``, whose words have ``c1`` customers and
+    ``t1`` tables in the unigram restaurant: a pair's own seats are removed first."""
+    others, others1 = tables - t, c1 - t
+    rest1 = np.minimum(t1, others1)  # the unigram restaurant has no more tables than customers
+
+    def weight(at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        root = (STRENGTH + shared.discount1 * (shared.tables1 - t1[at] + rest1[at])) * shared.floor
+        parent = (others1[at] + own - shared.discount1 * np.maximum(rest1[at], 1) + root) / (
+            shared.customers1 - t[at] + own + STRENGTH)
+        return (STRENGTH + shared.discount * (others[at] + own)) * parent
+
+    return seat(c, weight, shared.discount, rng)
+
+
+def _numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+PAIRS = "w long, ctx long, c long, t long, sum long"
+
+
+def sweep(pairs: DataFrame, contexts: DataFrame, words: DataFrame, shared: Totals, number: int, keep: bool) -> DataFrame:
+    """The pairs seated anew; ``sum``: their tables in the kept sweeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([SEED, number, TaskContext.get().partitionId()])
         for b in batches:
-            size = lengths(b.column("ctx"))
-            ctx, c = unpacked(b.column("ctx"), np.uint8), unpacked(b.column("c"), np.int64)
-            t, t1 = unpacked(b.column("t"), np.int64), b.column("t1").to_numpy()
-            if not len(size):
-                continue
-            first = np.cumsum(size) - size
-            parent = np.repeat(shared.unigram(np.add.reduceat(t, first), t1), size)
-            t = seat(c, (STRENGTH + shared.discount * shared.tables[ctx]) * parent, shared.discount, rng)
-            c1 = np.add.reduceat(t, first)
-            root = (STRENGTH + shared.discount1 * shared.tables1) * shared.floor
-            t1 = seat(c1, np.full(len(c1), root), shared.discount1, rng)
-            kept, kept1 = b.column("kept"), b.column("kept1")
-            if keep:
-                kept = pc.binary_join_element_wise(kept, packed(t.astype(np.uint32), size), b"")
-                kept1 = pc.binary_join_element_wise(kept1, packed(t1.astype(np.uint32), np.ones(len(t1), int)), b"")
+            c, t, total, tables, c1, t1 = _numbers(b, "c", "t", "sum", "tables", "c1", "t1")
+            t = seat_pairs(c, t, tables, c1, t1, shared, rng)
             yield pa.RecordBatch.from_arrays(
-                [b.column("w"), b.column("ctx"), b.column("c"), packed(t, size), pa.array(t1), kept, kept1],
-                names=["w", "ctx", "c", "t", "t1", "kept", "kept1"])
-
-    return state.mapInArrow(run, STATE)
+                [b.column("w"), b.column("ctx"), b.column("c"), pa.array(t), pa.array(total + t if keep else total)],
+                names=["w", "ctx", "c", "t", "sum"])
 
+    met = pairs.join(contexts.select("ctx", "tables"), "ctx").join(words.select("w", "c1", "t1"), "w")
+    return met.select("w", "ctx", "c", "t", "sum", "tables", "c1", "t1").mapInArrow(run, PAIRS)
 
-ANSWERS = "chunk long, w binary, size binary, c binary, ctx binary, p binary"
 
+def seat_words(words: DataFrame, shared: Totals, number: int) -> DataFrame:
+    """The customers ``c1`` of the unigram restaurant seated anew."""
 
-def answers(asked: DataFrame, state: DataFrame, kept: list[Totals]) -> DataFrame:
-    """Packed answers by chunk: ``w`` with their counts ``c``; per asked context (``size`` a word) ``p``, the
-    mean predictive log10 probability."""
-    joined = asked.select("chunk", "w", F.col("ctx").alias("asked")).join(
-        state.select("w", "ctx", "c", "kept", "kept1"), "w", "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([SEED, number, TaskContext.get().partitionId(), 1])
+        for b in batches:
+            c1, t1 = _numbers(b, "c1", "t1")
+            weight = lambda at, own: (STRENGTH + shared.discount1 * (shared.tables1 - t1[at] + own)) * shared.floor  # noqa: B023, E731
+            t1 = pa.array(seat(c1, weight, shared.discount1, rng))
+            yield b.set_column(b.schema.get_field_index("t1"), "t1", t1)
+
+    return words.mapInArrow(run, words.schema)
+
+
+def answers(asked: DataFrame, counts: DataFrame, pairs: DataFrame, contexts: DataFrame, words: DataFrame,
+            kept: list[Totals]) -> DataFrame:
+    """``(chunk, kind, key, v)``, packed by chunk. A pair's ``v``: its customers less discounts; a word's: its count
+    and unigram probability in each kept sweep; a context's: 1 over its customers and the strength, and what it
+    leaves to the parent in each."""
+    shared = kept[-1]
+    nothing = F.lit(None).cast("double")
+    column = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ask = lambda kind, *c: asked.filter(F.col("kind") == kind).select("chunk", "kind", *c)
+    seen = counts.filter("c = 1").select("w", "ctx", F.lit(1.0 - shared.discount).alias("v0")).unionByName(
+        pairs.select("w", "ctx", (F.col("c") - shared.discount / len(kept) * F.col("sum")).alias("v0")))
+    rows = ask(PAIR, "w", "ctx").join(seen, ["w", "ctx"]).select(
+        "chunk", "kind", "w", "ctx", "v0", *[nothing.alias(f"v{k}") for k in range(1, len(kept) + 1)])
+    by_word = ask(WORD, "w").join(words, "w", "left")
+    prob = [(column(f"c1_{k}") - x.discount1 * column(f"t1_{k}") + (STRENGTH + x.discount1 * x.tables1) * x.floor)
+            / (x.customers1 + STRENGTH) if x.customers1 else F.lit(1.0) for k, x in enumerate(kept)]
+    rows = rows.unionByName(by_word.select(
+        "chunk", "kind", "w", F.lit(None).cast("long").alias("ctx"), column("n").cast("double").alias("v0"),
+        *[p.alias(f"v{k + 1}") for k, p in enumerate(prob)]))
+    by_context = ask(CONTEXT, "ctx").join(contexts, "ctx", "left")
+    size = column("customers") + STRENGTH
+    rows = rows.unionByName(by_context.select(
+        "chunk", "kind", F.lit(None).cast("long").alias("w"), "ctx", (1 / size).alias("v0"),
+        *[((STRENGTH + shared.discount * column(f"tables_{k}")) / size).alias(f"v{k + 1}") for k in range(len(kept))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.num_rows
-            size, own = lengths(b.column("asked")), lengths(b.column("ctx"))
-            row, want = np.repeat(np.arange(rows), size), unpacked(b.column("asked"), np.uint8).astype(np.int64)
-            have_row = np.repeat(np.arange(rows), own)
-            have = have_row * CONTEXTS + unpacked(b.column("ctx"), np.uint8)
-            c = unpacked(b.column("c"), np.int64)
-            at = np.searchsorted(have, row * CONTEXTS + want)
-            at[at == len(have)] = 0
-            hit = have[at] == row * CONTEXTS + want if len(have) else np.zeros(len(want), bool)
-            history, history1 = unpacked(b.column("kept"), np.uint32), unpacked(b.column("kept1"), np.uint32)
-            first, first1 = (np.cumsum(own) - own) * len(kept), np.cumsum(own > 0) - (own > 0)
-            step = np.arange(len(have)) - np.repeat(np.cumsum(own) - own, own)
-            p = np.zeros(len(want))
-            for k, shared in enumerate(kept):
-                t = history[np.repeat(first, own) + k * np.repeat(own, own) + step].astype(np.int64)
-                c1 = np.bincount(have_row, t, rows)
-                t1 = np.zeros(rows)
-                t1[own > 0] = history1[first1[own > 0] * len(kept) + k]
-                parent = shared.unigram(c1, t1)[row]
-                ce, te = (np.where(hit, v[at], 0) if len(v) else np.zeros(len(want)) for v in (c, t))
-                p += shared.in_context(want, ce, te, parent)
-            total = np.bincount(have_row, c, rows).astype(np.int64)
-            # one row per chunk in the batch
-            chunk = b.column("chunk").to_numpy()
-            words, entries = np.argsort(chunk, kind="stable"), np.argsort(chunk[row], kind="stable")
-            names, per_chunk = np.unique(chunk, return_counts=True)
-            asked_per_chunk = np.bincount(np.searchsorted(names, chunk), size, len(names)).astype(np.int64)
-            logs = np.log10(p / len(kept)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), packed(b.column("w").to_numpy()[words], per_chunk),
-                 packed(size[words].astype(np.uint8), per_chunk), packed(total[words], per_chunk),
-                 packed(want[entries].astype(np.uint8), asked_per_chunk), packed(logs[entries], asked_per_chunk)],
-                names=["chunk", "w", "size", "c", "ctx", "p"])
+            if not b.num_rows:
+                continue
+            chunk, kind = _numbers(b, "chunk", "kind")
+            for k in np.unique(kind):  # one row per chunk in the batch
+                at = np.flatnonzero(kind == k)
+                at = at[np.argsort(chunk[at], kind="stable")]
+                own = b.take(pa.array(at))
+                names, size = np.unique(chunk[at], return_counts=True)
+                w, ctx = (pc.fill_null(own.column(c), 0).to_numpy() for c in ("w", "ctx"))
+                key = pair_keys(w, ctx) if k == PAIR else w if k == WORD else ctx
+                v = np.stack(_numbers(own, *(["v0"] if k == PAIR else [f"v{i}" for i in range(len(kept) + 1)])), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names), pa.array(np.full(len(names), k, np.int32)), packed(key, size),
+                     packed(v.ravel(), size * v.shape[1])], names=["chunk", "kind", "key", "v"])
 
-    return joined.mapInArrow(run, ANSWERS)
+    return rows.mapInArrow(run, "chunk long, kind int, key binary, v binary")
 
 
 def score_texts(docs: DataFrame, told: DataFrame, n_train: int, vocabulary: int) -> DataFrame:
     """Texts meet the answers of their chunk: one shuffle, answers first."""
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    columns = ["w", "size", "c", "ctx", "p"]
-    rows = told.select("chunk", F.lit(0).alias("kind"), *columns, empty("id", "long"), empty("t", "string"))
-    rows = rows.unionByName(docs.select("chunk", F.lit(1).alias("kind"), *[empty(c, "binary") for c in columns],
+    rows = told.select("chunk", "kind", "key", "v", empty("id", "long"), empty("t", "string"))
+    rows = rows.unionByName(docs.select("chunk", F.lit(TEXT).alias("kind"), empty("key", "binary"), empty("v", "binary"),
                                         "id", "t"))
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
     base = n_train + 0.5 * (vocabulary + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, waiting, table = None, [], None
-
-        def ready():
-            """The chunk's answers, sorted by word and context."""
-            w, size, ctx, p, c = (np.concatenate(x) for x in zip(*waiting))
-            order = np.argsort(w)
-            rank = np.empty(len(w), np.int64)
-            rank[order] = np.arange(len(w))
-            key = np.repeat(rank, size) * CONTEXTS + ctx
-            entry = np.argsort(key)
-            return w[order], c[order], key[entry], p[entry]
+    def table(waiting: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and their values."""
+        key, v = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.empty(0, np.int64), NONE)
+        order = np.argsort(key)
+        return key[order], v.reshape(-1, width)[order]
+
+    def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, wanted)
+        if len(wanted) and (at.max() >= len(keys) or (keys[at] != wanted).any()):
+            raise RuntimeError("a text meets a chunk that did not ask for its words")
+        return at
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, waiting, tables = None, None, None
         for whole in by_size(batches, "t"):
-            chunks = whole.column("chunk").to_numpy()
-            kinds = whole.column("kind").to_numpy()
+            chunks, kinds = _numbers(whole, "chunk", "kind")
             cut = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(chunks)]):
                 b = whole.take(pa.array(np.arange(lo, hi)))
+                if not b.num_rows:
+                    continue
                 if chunks[lo] != chunk:
-                    chunk, waiting, table = chunks[lo], [], None
-                if kinds[lo] == 0:
-                    waiting.append([unpacked(b.column(name), kind) for name, kind in (
-                        ("w", np.int64), ("size", np.uint8), ("ctx", np.uint8), ("p", np.float32), ("c", np.int64))])
+                    chunk, waiting, tables = chunks[lo], ([], [], []), None
+                if kinds[lo] != TEXT:
+                    waiting[kinds[lo]].append((unpacked(b.column("key"), np.int64), unpacked(b.column("v"), np.float64)))
                     continue
-                table = table or ready()
-                words, count, key, p = table
+                if tables is None:
+                    tables = [table(waiting[PAIR], 1), table(waiting[WORD], KEPT + 1), table(waiting[CONTEXT], KEPT + 1)]
+                    waiting = None
+                (pairs, own), (words, of_word), (contexts, of_context) = tables
                 word, context, sizes = tokens(b.column("t"))
-                at = np.searchsorted(words, word)
-                place = np.searchsorted(key, at * CONTEXTS + context)
-                if place.max() >= len(key) or (key[place] != at * CONTEXTS + context).any():
-                    raise RuntimeError("a text meets a chunk that did not ask for its words")
+                w, x = find(words, word), find(contexts, context)
+                p = sum(of_word[w, k] * of_context[x, k] for k in range(1, KEPT + 1)) / KEPT
+                if len(pairs):
+                    key = pair_keys(word, context)
+                    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                    p += np.where(pairs[at] == key, own[at, 0], 0) * of_context[x, 0]
                 first = np.cumsum(sizes) - sizes
-                c = count[at]
+                c = of_word[w, 0]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), pa.array(sizes),
                      pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
                      pa.array(np.add.reduceat(np.log10((c + 0.5) / base), first)),
-                     pa.array(np.add.reduceat(p[place].astype(np.float64), first))],
+                     pa.array(np.add.reduceat(np.log10(p), first))],
                     names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     return rows.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
@@ -408,6 +379,12 @@ def scans_files(df: DataFrame) -> bool:
     return True
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", parts: int = 5,
                     part: int = 1) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``."""
@@ -419,16 +396,45 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # a chunk is an input split, so that a task asks once for all its texts
     data = data.withColumn("chunk", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     asked = stored(requests(data), "lm-asked")
-    state = stored(training_counts(asked), "lm-state-0")
-    shared, kept = totals(state), []
-    n_train, vocabulary = int(shared.customers.sum()), shared.words
+    counts = asked.filter(F.col("n") > 0).groupBy("w", "ctx").agg(F.sum("n").alias("c"))
+    counts = stored(counts.sortWithinPartitions("w", "ctx"), "lm-counts")  # smaller files than in any order
+    release(spark)
+    once = F.sum((F.col("c") == 1).cast("long")).alias("once")
+    # a restaurant's tables start as one for every dish; those of dishes with one customer stay
+    words0 = stored(counts.groupBy("w").agg(F.sum("c").alias("n"), once, F.count("c").alias("c1")), "lm-words")
+    contexts0 = stored(counts.groupBy("ctx").agg(F.sum("c").alias("customers"), once, F.count("c").alias("tables")),
+                       "lm-contexts")
+    pairs = stored(counts.filter("c > 1").withColumns({"t": F.lit(1).cast("long"), "sum": F.lit(0).cast("long")}),
+                   "lm-pairs-0")
+    words, contexts = words0.withColumn("t1", F.lit(1).cast("long")), contexts0
+    single, double = counts.agg(once, F.sum((F.col("c") == 2).cast("long"))).first()
+    shared, kept = totals(words, discount_of(single, double)), []
+    n_train, vocabulary = words0.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("w")).first()
+    add = lambda c, old: F.coalesce(F.col("more"), F.lit(0)) + F.col(old)
     for k in range(1, BURN_IN + KEPT + 1):
-        after = stored(sweep(state, shared, k, k > BURN_IN), f"lm-state-{k}")
-        dropped(spark, state)
-        state, shared = after, totals(after)
+        after = stored(sweep(pairs, contexts, words, shared, k, k > BURN_IN), f"lm-pairs-{k}")
+        dropped(spark, pairs)
+        pairs = after
+        more = pairs.groupBy("ctx").agg(F.sum("t").alias("more"))
+        new = contexts.join(more, "ctx", "left").withColumn("tables", add("more", "once")).drop("more")
+        if k > BURN_IN:
+            new = new.withColumn(f"tables_{len(kept)}", F.col("tables"))
+        after = stored(new, f"lm-contexts-{k}")
+        dropped(spark, contexts)
+        contexts = after
+        more = pairs.groupBy("w").agg(F.sum("t").alias("more"))
+        new = words.join(more, "w", "left").withColumn("c1", add("more", "once")).drop("more")
+        new = seat_words(new.withColumn("t1", F.least("t1", "c1")), shared, k)
+        if k > BURN_IN:
+            new = new.withColumns({f"c1_{len(kept)}": F.col("c1"), f"t1_{len(kept)}": F.col("t1")})
+        after = stored(new, f"lm-words-{k}")
+        dropped(spark, words)
+        words = after
+        release(spark)
+        shared = totals(words, shared.discount)
         if k > BURN_IN:
-            kept.append(shared)
-    scored = score_texts(data, answers(asked, state, kept), n_train, vocabulary)
+            kept.append(replace(shared))
+    scored = score_texts(data, answers(asked, counts, pairs, contexts, words, kept), n_train, vocabulary)
     return scored.select(
         F.col("id").alias(id_col), (~training_part(F.col("id"), parts, part)).alias("held_out"), "n_tokens", "n_known",
         F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
