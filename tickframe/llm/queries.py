@@ -10,6 +10,7 @@ from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.decontaminate import contamination
 from tickframe.llm.embedding_dedup import embedding_groups
 from tickframe.llm.language_model import score_documents
+from tickframe.llm.licenses import license_report
 from tickframe.llm.minhash import near_duplicates
 from tickframe.llm.packing import pack_documents
 from tickframe.llm.quality import quality_scores
@@ -69,9 +70,14 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing, op7_quality,
-    op8_decontamination, op9_language_model, op10_minhash_dedup)}
+    op8_decontamination, op9_language_model, op10_minhash_dedup,
+    op11_license_scan)}
 
 _URL_SQL = """
 WITH u AS (
