@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.decontaminate import contamination
 from tickframe.llm.embedding_dedup import embedding_groups
+from tickframe.llm.hard_negatives import hard_negatives
 from tickframe.llm.language_model import score_documents
 from tickframe.llm.licenses import license_report
 from tickframe.llm.minhash import near_duplicates
@@ -74,10 +75,16 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, positives=5,
+                          negatives=10, low=30, high=90, label=moved)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing, op7_quality,
     op8_decontamination, op9_language_model, op10_minhash_dedup,
-    op11_license_scan)}
+    op11_license_scan, op13_hard_negatives)}
 
 _URL_SQL = """
 WITH u AS (
@@ -96,4 +103,26 @@ FROM u LEFT JOIN r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_h
 GROUP BY ALL
 """
 
-ORACLE_SQL = {"op3_url_filters": _URL_SQL}
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op3_url_filters": _URL_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
