@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.llm.collocations import collocations
 from tickframe.llm.common import read_table, shared_folder
 from tickframe.llm.decontaminate import contamination
 from tickframe.llm.embedding_dedup import embedding_groups
@@ -75,6 +76,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), min_count=30, top=2000, contained=80)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, positives=5,
@@ -84,7 +89,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_secret_scan, op3_url_filters, op4_embedding_dedup, op5_token_files, op6_packing, op7_quality,
     op8_decontamination, op9_language_model, op10_minhash_dedup,
-    op11_license_scan, op13_hard_negatives)}
+    op11_license_scan, op12_collocations, op13_hard_negatives)}
 
 _URL_SQL = """
 WITH u AS (
@@ -125,4 +130,34 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 10
 """
 
-ORACLE_SQL = {"op3_url_filters": _URL_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
+_PHRASES_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+g AS (SELECT lang, size, unnest([ws[i:i + size - 1] FOR i IN range(1, len(ws) - size + 2)]) AS ph
+      FROM w, (VALUES (1), (2), (3), (4)) s(size)),
+f AS MATERIALIZED (SELECT lang, size, array_to_string(ph, ' ') AS phrase, any_value(ph) AS ph, count(*) AS c
+      FROM g GROUP BY 1, 2, 3),
+c AS MATERIALIZED (SELECT lang, size, ph, phrase, c AS a FROM f WHERE size > 1 AND c >= 30),
+k AS MATERIALIZED (SELECT c.*, unnest(range(1, size)) AS k FROM c),
+parts AS MATERIALIZED (SELECT k.*, array_to_string(ph[1:k], ' ') AS lp, array_to_string(ph[k + 1:], ' ') AS rp FROM k),
+cuts AS (
+  SELECT p.lang, p.ph, p.phrase, p.a, p.k, l.c AS l, r.c AS r,
+         (CAST(2000000 AS HUGEINT) * p.a) // (CAST(l.c AS HUGEINT) + r.c) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.lp JOIN f r ON r.lang = p.lang AND r.phrase = p.rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ph AS (
+  SELECT lang, a, unnest([ph[i:i + s.s - 1] FOR i IN range(1, size - s.s + 2)]) AS ph
+  FROM c JOIN (VALUES (2), (3)) s(s) ON s.s < size),
+held AS (SELECT lang, array_to_string(ph, ' ') AS phrase, max(a) AS longer FROM inner_ph GROUP BY 1, 2),
+n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank,
+       b.phrase, b.a, b.l, b.r, n.n, CAST(b.score AS BIGINT) AS score
+FROM best b JOIN n ON n.lang = b.lang LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+WHERE h.longer IS NULL OR 100 * h.longer < 80 * b.a
+QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_url_filters": _URL_SQL, "op12_collocations": _PHRASES_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
