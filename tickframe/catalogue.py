@@ -307,6 +307,17 @@ LOW_PRICE_SQL = """low AS (SELECT symbol, Date, Open / CAST(1e10 AS DOUBLE) AS O
 ACTIONS_SQL = """acts AS (SELECT *, CASE WHEN day(Date) <> 1 THEN day(Date) / CAST(8 AS DOUBLE) END AS Dividends,
   CASE WHEN month(Date) = 6 THEN CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS Stock_Splits FROM bars)"""
 
+# A bar's factor: the product of all later days' factors, multiplied from the last day back.
+ADJUST_SQL = """f AS (SELECT *, coalesce(CAST(1 AS DOUBLE) / NULLIF(Stock_Splits, 0), 1) AS split,
+  coalesce(CASE WHEN Dividends <> 0 THEN CAST(1 AS DOUBLE) - Dividends / NULLIF(lag(Close, 1) OVER (PARTITION BY symbol
+  ORDER BY Date), 0) END, 1) AS dividend FROM acts),
+p AS (SELECT *, coalesce(product(split * dividend) OVER later, 1) AS adjust_factor,
+  coalesce(product(split) OVER later, 1) AS split_factor FROM f
+  WINDOW later AS (PARTITION BY symbol ORDER BY Date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+result AS (SELECT *, Open * adjust_factor AS adjusted_open, High * adjust_factor AS adjusted_high,
+  Low * adjust_factor AS adjusted_low, Close * adjust_factor AS adjusted_close,
+  Volume / NULLIF(split_factor, 0) AS adjusted_volume FROM p)"""
+
 RELATED_SQL = f"""n AS (SELECT *, CASE WHEN day(Date) % 2 = 0 THEN CAST(20000 AS DOUBLE) ELSE CAST(-20000 AS DOUBLE) END AS noise
   FROM bars WHERE symbol = '{BENCHMARK_O}'),
 rel AS (SELECT '{BENCHMARK_O}' AS symbol, Date, Close, Volume, High, Low FROM n
@@ -726,6 +737,13 @@ def _entries() -> dict[str, Entry]:
         _on_o(lambda b: portfolio_bars(b.withColumn("symbol", F.initcap(F.lower("symbol"))), FIXTURE_PORTFOLIO)),
         _o("result AS (SELECT * REPLACE (CASE symbol WHEN '1-URGENT' THEN '1-urgent' ELSE '5-low' END AS symbol) "
            "FROM bars WHERE symbol IN ('1-URGENT', '5-LOW'))"), BAR_OUT)
+    # §2.11 adjustment for splits and dividends, plain and on chunks
+    adjust_sql = f"{actions},\n{ADJUST_SQL}"
+    adjust_out = ("symbol Date Close:d adjust_factor:c adjusted_open:d adjusted_high:d adjusted_low:d adjusted_close:d "
+                  "adjusted_volume:d")
+    add("adjusted_close", lambda s, d: op.adjust_prices(_stored_actions(s, d)), adjust_sql, adjust_out)
+    add("adjusted_close_chunked", lambda s, d: op.adjust_prices(_stored_actions(s, d), chunk_rows=CHUNK_ROWS),
+        adjust_sql, adjust_out)
     # P5, drop missing, S3 with a given end, presets
     add("keep_columns", _on_o(lambda b: op.keep_columns(b, ["Close", "Date", "symbol", "absent"])),
         _o("result AS (SELECT symbol, Date, Close FROM bars)"), "symbol Date Close:d")
@@ -799,7 +817,15 @@ def _entries() -> dict[str, Entry]:
     add("scope_symbol_signals", _on_o(lambda b: op.technical_indicators(b, scope="symbol")),
         _o(",\n".join([rsi_sql("bars", "x_rsi", "a", "symbol"), macd_sql("x_rsi", "x_macd", "a", "symbol"),
                        bollinger_sql("x_macd", "x_bb"), scored_sql("x_bb", "result", "symbol")])), TECH_OUT)
-    # §2.11 features
+    # §2.11 features; *_chunked: state carried from chunk to chunk, same SQL
+    chunked_twins = (
+            ("rebase_100_chunked", "rebase_100", lambda b: op.rebase(b, chunk_rows=CHUNK_ROWS)),
+            ("fill_missing_days_chunked", "fill_missing_days",
+             lambda b: op.fill_forward(op.complete_calendar(b), chunk_rows=CHUNK_ROWS)),
+            ("normalise_minmax_chunked", "normalise_minmax",
+             lambda b: op.normalise(b, method="minmax", chunk_rows=CHUNK_ROWS)),
+            ("normalise_zscore_chunked", "normalise_zscore",
+             lambda b: op.normalise(b, method="zscore", chunk_rows=CHUNK_ROWS)))
     add("fill_missing_days", _on_o(lambda b: op.fill_forward(op.complete_calendar(b))),
         _o("span AS (SELECT symbol, min(Date) AS lo, max(Date) AS hi FROM bars GROUP BY symbol),\n"
            "days AS (SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS Date FROM span),\n"
@@ -847,6 +873,8 @@ def _entries() -> dict[str, Entry]:
     add("rolling_atr", _on_o(op.rolling_atr),
         _o(vol_sql("bars", "v") + f",\nresult AS (SELECT *, {seq_avg('true_range', WR('symbol', 13))} AS atr_14 FROM v)"),
         "symbol Date true_range:d atr_14:d")
+    for name, of, fn in chunked_twins:
+        E[name] = Entry(_checkpointed(_on_o(fn)), E[of].sql, E[of].out)
     return E
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import pct_change, safe_div
+from tickframe.plans.carries import every, over_carried_chunks
 from tickframe.plans.chunks import over_chunks
 from tickframe.plans.windows import bar_window, running_window
 
@@ -92,10 +93,18 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, acc
     )
 
 
-def rebase(df: DataFrame, base: float = 100.0) -> DataFrame:
-    """``Close / first Close of the symbol * base``."""
-    first = F.first("Close").over(running_window("symbol"))
-    return df.withColumn("rebased", safe_div("Close", first) * base)
+def rebase(df: DataFrame, base: float = 100.0, chunk_rows: int | None = None) -> DataFrame:
+    """``Close / first Close of the symbol * base``.
+
+    ``chunk_rows`` hands the first chunk's first Close to the others (``plans.carries``).
+    """
+    done = lambda d, first: d.withColumn("rebased", safe_div("Close", first) * base)
+    if chunk_rows is None:
+        return done(df, F.first("Close").over(running_window("symbol")))
+    return over_carried_chunks(
+        df, chunk_rows, states={"_first": F.min_by("Close", "_row")},
+        combine=lambda t: t.select("symbol", "_chunk", F.first("_first").over(every()).alias("_base")),
+        finish=lambda d: done(d, F.col("_base")))
 
 
 def quote_change(df: DataFrame) -> DataFrame:
