@@ -118,6 +118,13 @@ def bars_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_events(read_table(spark, sf_dir, "events", EVENTS_COLUMNS))
 
 
+def bars_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture C: 40 series, the orders of customers in groups by key."""
+    orders = read_table(spark, sf_dir, "orders", "o_custkey BIGINT, " + ORDERS_COLUMNS)
+    group = F.concat(F.lit("C"), (F.col("o_custkey") % 40).cast("string"))
+    return bars_from_orders(orders.withColumn("o_orderpriority", group), clustered=False)
+
+
 def _on_o(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(bars_o(spark, sf_dir))
 
@@ -236,6 +243,8 @@ BARS_E_SQL = """bars AS (
          CAST(count(*) AS BIGINT) AS Volume
   FROM events GROUP BY 1, 2)"""
 
+BARS_C_SQL = BARS_O_SQL.replace("o_orderpriority AS symbol", "'C' || CAST(o_custkey % 40 AS VARCHAR) AS symbol")
+
 _W = {
     "symbol": "PARTITION BY symbol ORDER BY Date",
     "month": "PARTITION BY symbol, date_trunc('month', Date) ORDER BY Date",
@@ -438,6 +447,19 @@ result AS (SELECT *, (corr_high + corr_low) / 2 AS price_range_corr,
        ELSE 'Weak' END AS correlation_label FROM g)"""
 
 
+def all_pairs_sql(top: int | None = None) -> str:
+    every = pair_sql("").replace("pairs AS (SELECT DISTINCT symbol AS symbol_a, '' AS symbol_b FROM bars WHERE symbol <> '')",
+                                 "s AS (SELECT DISTINCT symbol FROM bars),\npairs AS (SELECT a.symbol AS symbol_a, "
+                                 "b.symbol AS symbol_b FROM s a JOIN s b ON a.symbol < b.symbol)")
+    if top is None:
+        return every
+    return every.replace("result AS", "whole AS") + f""",
+sides AS (SELECT *, unnest([symbol_a, symbol_b]) AS side FROM whole),
+best AS (SELECT symbol_a, symbol_b FROM sides QUALIFY row_number() OVER (PARTITION BY side
+  ORDER BY abs(corr_close) DESC NULLS LAST, symbol_a, symbol_b) <= {top}),
+result AS (SELECT w.* FROM whole w SEMI JOIN best b ON w.symbol_a = b.symbol_a AND w.symbol_b = b.symbol_b)"""
+
+
 def edge_sql(n: int, desc: bool) -> str:
     order = "Date DESC" if desc else "Date"
     return f"result AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {order}) <= {n})"
@@ -703,6 +725,11 @@ def _entries() -> dict[str, Entry]:
         f"{BARS_E_SQL},\n{pair_sql(BENCHMARK_E)}", "symbol_a symbol_b corr_close:c price_range_corr:c correlation_label")
     add("pair_correlation_zero", _on_o(lambda b: _pairs(b, BENCHMARK_O, null_as_zero=True)),
         _o(pair_sql(BENCHMARK_O, zero=True)), pair_out)
+    # J1, all pairs of 40 series (customers of orders in groups), in tiles of 8 x 8 series
+    add("all_pairs_correlation", _checkpointed(lambda s, d: op.all_pairs_correlation(bars_c(s, d), block=8)),
+        f"{BARS_C_SQL},\n{all_pairs_sql()}", pair_out)
+    add("all_pairs_top3", _checkpointed(lambda s, d: op.all_pairs_correlation(bars_c(s, d), top=3, block=8)),
+        f"{BARS_C_SQL},\n{all_pairs_sql(3)}", pair_out)
     # prices far below 1: float noise is judged relative to the price
     add("macd_plain_lowprice", _on_o(lambda b: _relative_macd(op.macd(_low_price(b), variant="b"))),
         _o(LOW_PRICE_SQL + ",\n" + macd_sql("low", "m", "b") + ",\n"

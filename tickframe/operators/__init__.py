@@ -1,6 +1,7 @@
 """DataFrame -> DataFrame operators on the bar table."""
 
 from tickframe.operators.adjust import adjust_prices
+from tickframe.operators.all_pairs import all_pairs_correlation
 from tickframe.operators.cleaning import (
     complete_calendar, drop_missing, efficiency_ratio, fill_forward, flag_outliers, keep_columns, normalise, relative_volume,
 )
@@ -24,7 +25,7 @@ from tickframe.operators.volatility import (
 )
 
 __all__ = [
-    "adjust_prices", "avg_true_range", "basic_stats", "benchmark_correlation", "benchmark_pairs", "bollinger_bands", "bollinger_position",
+    "adjust_prices", "all_pairs_correlation", "avg_true_range", "basic_stats", "benchmark_correlation", "benchmark_pairs", "bollinger_bands", "bollinger_position",
     "complete_calendar", "correlation_label", "daily_return", "data_frequency", "drop_missing", "efficiency_ratio", "exploration_indicators",
     "fill_forward", "flag_outliers", "keep_columns", "guarded_corr", "high_volume_ratio", "intraday_return",
     "latest_report", "latest_row", "ma_cross", "ma_set", "macd", "missing_counts", "momentum",

@@ -1,8 +1,7 @@
 """Pair correlation.
 
-Pairs are always given (a pair list, or every symbol against one benchmark):
-correlating all pairs of all symbols would emit every pair of every date.
-Both forms read the bars once.
+Pairs are given here (a pair list, or every symbol against one benchmark), and
+both forms read the bars once; ``operators.all_pairs`` correlates all pairs on request.
 """
 
 from __future__ import annotations
@@ -62,6 +61,11 @@ def _correlate(per_day: DataFrame, null_as_zero: bool) -> DataFrame:
         F.count(F.lit(1)).alias("n_days"),
         *[guarded_corr(f"{m}_a", f"{m}_b").alias(f"corr_{m.lower()}") for m in METRICS],
     )
+    return with_strength(out, null_as_zero)
+
+
+def with_strength(out: DataFrame, null_as_zero: bool) -> DataFrame:
+    """Price-range correlation and label of a table of correlations."""
     if null_as_zero:
         for m in METRICS:
             out = out.withColumn(f"corr_{m.lower()}", F.coalesce(f"corr_{m.lower()}", F.lit(0.0)))
