@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import ascii_lower
+from tickframe.llm.common import ascii_lower, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE_WORDS, NOTICE_WORDS = 2, 4
@@ -205,7 +205,7 @@ def license_report(docs: DataFrame, templates: list[Template] | None = None, min
     ``score`` is 1 where a base phrase stands, else the largest share of a
     notice held in one span (0 without any).
     """
-    voted = votes(docs, templates, text, id_col)
+    voted = stored(votes(docs, templates, text, id_col), "license-votes")  # read twice: the texts only once
     documents = voted.filter(F.col("template") == _DOCUMENT).select(
         "key", "id", "n_words", "rows", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("label", "string"), ("base", "boolean"), ("start", "long"), ("share", "double"))])
