@@ -29,12 +29,14 @@ from pyspark.sql import types as T
 
 from tickframe import operators as op
 from tickframe.functions.expr import humanize_amount
+from tickframe.incremental import BarStore
 from tickframe.plans.session import checkpoint_dir
 from tickframe.schema import PRICE_COLUMNS
 from tickframe.sources import (
     bars_from_events, bars_from_orders, category_bars, category_frame, export_indicators,
     load_bars, lookback, lookback_ytd, portfolio_bars, read_table,
 )
+from tickframe.sources.bar_states import STATE_SCHEMA, bars_from_states, merge_states, order_states
 from tickframe.sources.bars import EVENTS_COLUMNS, ORDERS_COLUMNS
 from tickframe.sources.sinks import EXPORT_COLUMNS
 
@@ -189,6 +191,25 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema(_EXPORT_SCHEMA).csv(path)
 
 
+def _merged_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of three loads (interleaved order keys), stored as they come, merged when read."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bars/states-{uuid.uuid4().hex}"
+    orders = read_table(spark, sf_dir, "orders", ORDERS_COLUMNS)
+    for load in range(3):
+        order_states(orders.filter(F.col("o_orderkey") % 3 == load)).write.mode("append").parquet(path)
+    return bars_from_states(merge_states(spark.read.schema(STATE_SCHEMA).parquet(path)))
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of a store that got the history, then the last months, then late rows of all days."""
+    store = BarStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/bars/store-{uuid.uuid4().hex}")
+    orders = read_table(spark, sf_dir, "orders", ORDERS_COLUMNS)
+    late, recent = F.col("o_orderkey") % 101 == 0, F.col("o_orderdate") >= "1998-06-01"
+    for part in (~late & ~recent, ~late & recent, late):
+        store.append(order_states(orders.filter(part)))
+    return store.indicators()
+
+
 LOW_PRICE = 1e10
 
 
@@ -582,6 +603,7 @@ def _entries() -> dict[str, Entry]:
     # S10 sources
     add("bars_orders", bars_o, f"{BARS_O_SQL},\nresult AS (SELECT * FROM bars)", BAR_OUT)
     add("bars_events", bars_e, f"{BARS_E_SQL},\nresult AS (SELECT * FROM bars)", BAR_OUT)
+    add("bars_merged_loads", _merged_loads, f"{BARS_O_SQL},\nresult AS (SELECT * FROM bars)", BAR_OUT)
     # S3, S4 look-back
     add("lookback_90d", _on_o(lambda b: lookback(b, 90)),
         _o("e AS (SELECT *, max(Date) OVER (PARTITION BY symbol) + 1 AS as_of FROM bars),\n"
@@ -825,6 +847,8 @@ def _entries() -> dict[str, Entry]:
            f"result AS (SELECT *, {money_sql('total_volume')} AS total_volume_label,"
            f" {money_sql('avg_volume')} AS avg_volume_label FROM g)"),
         "symbol total_volume total_volume_label avg_volume:d avg_volume_label")
+    # Stored bars and indicators updated in parts
+    add("incremental_indicators", _incremental, _o(technical_sql("bars", "result")), TECH_OUT)
     # S8 sink, written and read back
     add("export_indicators", _export, _o(technical_sql("bars", "result")),
         "symbol Date Close:d Volume rsi:d macd_line:d signal_line:d macd_histogram:d bb_upper:d bb_middle:d "
