@@ -481,6 +481,30 @@ best AS (SELECT symbol_a, symbol_b FROM sides QUALIFY row_number() OVER (PARTITI
 result AS (SELECT w.* FROM whole w SEMI JOIN best b ON w.symbol_a = b.symbol_a AND w.symbol_b = b.symbol_b)"""
 
 
+PIVOTS_SQL = """w AS (SELECT *, count(*) OVER f AS n, max(High) OVER f AS top, min(Low) OVER f AS bottom FROM bars
+  WINDOW f AS (PARTITION BY symbol ORDER BY Date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+pivots AS (SELECT symbol, Date, 'high' AS kind, High AS price, Volume AS volume FROM w WHERE n = 11 AND High = top
+  UNION ALL SELECT symbol, Date, 'low', Low, Volume FROM w WHERE n = 11 AND Low = bottom)"""
+
+LEVELS_SQL = PIVOTS_SQL + """,
+g AS (SELECT *, CASE WHEN price < lag(price) OVER line * CAST(1.01 AS DOUBLE) THEN 0 ELSE 1 END AS new FROM pivots
+  WHERE price > 0 WINDOW line AS (PARTITION BY symbol, kind ORDER BY price)),
+l AS (SELECT *, sum(new) OVER (PARTITION BY symbol, kind ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  AS nr FROM g),
+result AS (SELECT symbol, CASE kind WHEN 'high' THEN 'resistance' ELSE 'support' END AS kind, avg(price) AS level,
+  min(price) AS low, max(price) AS high, count(*) AS strength, min(Date) AS first_touch, max(Date) AS last_touch
+  FROM l GROUP BY symbol, l.kind, nr)"""
+
+DIVERGENCE_SQL = PIVOTS_SQL + """,
+p AS (SELECT *, lag(Date) OVER line AS previous_date, lag(price) OVER line AS previous_price,
+  lag(volume) OVER line AS previous_volume FROM pivots WINDOW line AS (PARTITION BY symbol, kind ORDER BY Date)),
+result AS (SELECT *, CASE WHEN previous_price IS NULL OR volume IS NULL OR previous_volume IS NULL THEN NULL
+  WHEN kind = 'high' AND price > previous_price THEN
+    CASE WHEN volume < previous_volume THEN 'Bearish divergence' ELSE 'Confirmed' END
+  WHEN kind = 'low' AND price < previous_price THEN
+    CASE WHEN volume < previous_volume THEN 'Bullish divergence' ELSE 'Confirmed' END ELSE 'None' END AS divergence FROM p)"""
+
+
 def edge_sql(n: int, desc: bool) -> str:
     order = "Date DESC" if desc else "Date"
     return f"result AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {order}) <= {n})"
@@ -653,6 +677,8 @@ def _entries() -> dict[str, Entry]:
     add("returns_boxplot", _on_o(op.returns_boxplot), _BOX_SQL,
         "symbol return_type n q1:d median:d q3:d iqr:d lower_fence:d upper_fence:d whisker_low:d whisker_high:d "
         "n_outliers")
+    add("returns_boxplot_bounded", _checkpointed(_on_o(lambda b: op.returns_boxplot(b, bounded=True))), _BOX_SQL,
+        " ".join(E["returns_boxplot"].out))
     # W5, W6 trend
     add("moving_averages", _on_o(op.moving_averages),
         _o(f"result AS (SELECT *, {seq_avg('Close', WR('symbol', 4))} AS Close_MA_5,"
@@ -912,6 +938,8 @@ def _entries() -> dict[str, Entry]:
            " (daily_return < q1 - 1.5 * (q3 - q1) OR daily_return > q3 + 1.5 * (q3 - q1)) END AS is_outlier"
            " FROM d JOIN q ON d.symbol = q.symbol)"),
         "symbol Date daily_return:d is_outlier")
+    add("outlier_flags_bounded", _checkpointed(_on_o(lambda b: op.flag_outliers(b, bounded=True))),
+        E["outlier_flags"].sql, " ".join(E["outlier_flags"].out))
     add("relative_volume", _on_o(op.relative_volume),
         _o(f"result AS (SELECT *, CAST(Volume AS DOUBLE) / NULLIF({seq_avg('Volume', WR('symbol', 19))}, 0)"
            " AS relative_volume FROM bars)"),
@@ -921,6 +949,15 @@ def _entries() -> dict[str, Entry]:
            f"result AS (SELECT *, abs(Close - lag(Close, 10) OVER {W('symbol')}) / NULLIF(sum(step) OVER "
            f"{WR('symbol', 9)}, 0) * 100 AS efficiency_ratio_10 FROM s)"),
         "symbol Date efficiency_ratio_10:d")
+    # §2.11 levels and divergence, plain and on chunks
+    level_out = "symbol kind level:d low:d high:d strength first_touch last_touch"
+    pivot_out = "symbol Date kind price:d volume previous_date previous_price:d previous_volume divergence"
+    add("support_resistance", _on_o(op.support_resistance), _o(LEVELS_SQL), level_out)
+    add("support_resistance_chunked", _checkpointed(_on_o(lambda b: op.support_resistance(b, chunk_rows=CHUNK_ROWS))),
+        _o(LEVELS_SQL), level_out)
+    add("volume_divergence", _on_o(op.volume_divergence), _o(DIVERGENCE_SQL), pivot_out)
+    add("volume_divergence_chunked", _checkpointed(_on_o(lambda b: op.volume_divergence(b, chunk_rows=CHUNK_ROWS))),
+        _o(DIVERGENCE_SQL), pivot_out)
     add("rolling_atr", _on_o(op.rolling_atr),
         _o(vol_sql("bars", "v") + f",\nresult AS (SELECT *, {seq_avg('true_range', WR('symbol', 13))} AS atr_14 FROM v)"),
         "symbol Date true_range:d atr_14:d")

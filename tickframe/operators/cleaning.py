@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import safe_div
+from tickframe.operators.quantiles import exact_percentiles
 from tickframe.operators.returns import daily_return
 from tickframe.plans.carries import before, every, over_carried_chunks
+from tickframe.plans.session import cut_lineage
 from tickframe.plans.windows import bar_window, running_window
 from tickframe.schema import PRICE_COLUMNS
 
@@ -116,17 +118,23 @@ def _normalise_chunks(df: DataFrame, columns: list[str], method: str, chunk_rows
 
 
 def flag_outliers(df: DataFrame, column: str = "daily_return", whisker: float = 1.5, exact: bool = True,
-                  accuracy: int = 10_000) -> DataFrame:
+                  accuracy: int = 10_000, bounded: bool = False) -> DataFrame:
     """``is_outlier``: value outside the symbol's Tukey fences.
 
     Exact quartiles by default; ``exact=False`` uses a bounded-memory
-    ``percentile_approx`` sketch in the same window, as in :func:`returns_boxplot`.
+    ``percentile_approx`` sketch in the same window, ``bounded=True`` exact selection, as in
+    :func:`returns_boxplot`.
     """
     if column not in df.columns and column == "daily_return":
         df = daily_return(df)
     shares = [0.25, 0.75]
-    quartiles = F.percentile(column, shares) if exact else F.percentile_approx(column, shares, accuracy)
-    df = df.withColumn("_q", quartiles.over(Window.partitionBy("symbol")))
+    if bounded:
+        df = cut_lineage(df)
+        quartiles = exact_percentiles(df, ["symbol"], column, shares).select("symbol", F.col("q").alias("_q"))
+        df = df.join(quartiles, "symbol", "left")
+    else:
+        quartiles = F.percentile(column, shares) if exact else F.percentile_approx(column, shares, accuracy)
+        df = df.withColumn("_q", quartiles.over(Window.partitionBy("symbol")))
     iqr = F.col("_q")[1] - F.col("_q")[0]
     lo, hi = F.col("_q")[0] - whisker * iqr, F.col("_q")[1] + whisker * iqr
     return df.withColumn(

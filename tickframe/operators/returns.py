@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.functions.expr import pct_change, safe_div
+from tickframe.operators.quantiles import exact_percentiles
 from tickframe.plans.carries import every, over_carried_chunks
 from tickframe.plans.chunks import over_chunks
+from tickframe.plans.session import cut_lineage
 from tickframe.plans.windows import bar_window, running_window
 
 RETURN_COLUMNS = ("intraday_return", "weekly_return", "monthly_return")
@@ -54,7 +56,8 @@ def returns_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol").agg(*aggs)
 
 
-def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, accuracy: int = 10_000,
+                    bounded: bool = False) -> DataFrame:
     """Box-plot numbers per symbol and return type.
 
     Exact quartiles (linear interpolation), Tukey fences at ``whisker`` x IQR,
@@ -67,6 +70,9 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, acc
     ``exact=False`` uses ``percentile_approx`` (a sketch of ``accuracy``, rank
     error about 1/accuracy), whose buffer has bounded size, in the same window:
     one scan, no extra shuffle.
+
+    ``bounded=True`` finds the same exact quartiles by selection (``quantiles.exact_percentiles``): no task holds a
+    group, at the price of several counting passes.
     """
     long = (
         period_returns(df)
@@ -77,8 +83,14 @@ def returns_boxplot(df: DataFrame, whisker: float = 1.5, exact: bool = True, acc
         .filter(F.col("value").isNotNull())
     )
     shares = [0.25, 0.5, 0.75]
-    quartiles = F.percentile("value", shares) if exact else F.percentile_approx("value", shares, accuracy)
-    long = long.withColumn("_q", quartiles.over(Window.partitionBy("symbol", "return_type")))
+    if bounded:
+        long = cut_lineage(long)
+        quartiles = exact_percentiles(long, ["symbol", "return_type"], "value", shares).select(
+            "symbol", "return_type", F.col("q").alias("_q"))
+        long = long.join(quartiles, ["symbol", "return_type"])
+    else:
+        quartiles = F.percentile("value", shares) if exact else F.percentile_approx("value", shares, accuracy)
+        long = long.withColumn("_q", quartiles.over(Window.partitionBy("symbol", "return_type")))
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     lo, hi = q1 - whisker * iqr, q3 + whisker * iqr
