@@ -44,7 +44,7 @@ def test_top_k_uses_window_group_limit(spark):
 # queries that first write (export, stored bars) or checkpoint (chunked chains) their bars
 _MATERIALISED = {"export_indicators", "basic_stats_actions", "missing_counts_actions", "adjusted_close",
                  "all_pairs_correlation", "all_pairs_top3", "bars_merged_loads", "incremental_indicators",
-                 *(name for name in QUERIES if name.endswith(("_chunked", "_bounded")))}
+                 *(name for name in QUERIES if name.endswith(("_chunked", "_bounded", "_stored")))}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in _MATERIALISED])

@@ -31,10 +31,10 @@ from tickframe import operators as op
 from tickframe.functions.expr import humanize_amount
 from tickframe.incremental import BarStore
 from tickframe.plans.session import checkpoint_dir
-from tickframe.schema import PRICE_COLUMNS
+from tickframe.schema import BAR_SCHEMA, PRICE_COLUMNS
 from tickframe.sources import (
     bars_from_events, bars_from_orders, category_bars, category_frame, export_indicators,
-    load_bars, lookback, lookback_ytd, portfolio_bars, read_table,
+    load_bars, lookback, lookback_ytd, portfolio_bars, read_table, stored_lookback, tracked_bars,
 )
 from tickframe.sources.bar_states import STATE_SCHEMA, bars_from_states, merge_states, order_states
 from tickframe.sources.bars import EVENTS_COLUMNS, ORDERS_COLUMNS
@@ -184,6 +184,27 @@ def _stored_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookback(load_bars(spark, path, symbols=[STORED_TICKER]), 365)
 
 
+def _stored_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the last 90 days of bars stored by month."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bars/months-{uuid.uuid4().hex}"
+    bars_o_spread(spark, sf_dir).withColumn("month", F.trunc("Date", "month")).write.partitionBy("month").parquet(path)
+    schema = T.StructType([*BAR_SCHEMA.fields, T.StructField("month", T.DateType())])
+    return stored_lookback(spark.read.schema(schema).parquet(path), 90)
+
+
+# A table of portfolios: whose, and the symbols as typed.
+FIXTURE_PORTFOLIOS = [("ann", "1-urgent"), ("ann", " 5-LOW"), ("ann", "1-URGENT"), ("bob", "3-MEDIUM")]
+
+
+def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One owner's symbols of a stored portfolio table against bars stored by symbol."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/bars/tracked-{uuid.uuid4().hex}"
+    bars_o(spark, sf_dir).write.partitionBy("symbol").parquet(f"{base}/bars")
+    spark.createDataFrame(FIXTURE_PORTFOLIOS, "owner string, ticker string").write.parquet(f"{base}/portfolios")
+    own = spark.read.parquet(f"{base}/portfolios").filter("owner = 'ann'")
+    return tracked_bars(spark.read.schema(BAR_SCHEMA).parquet(f"{base}/bars"), own, "ticker")
+
+
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/exports/indicators-{uuid.uuid4().hex}"
@@ -635,6 +656,7 @@ def _entries() -> dict[str, Entry]:
     add("lookback_ytd", _on_o(lookback_ytd),
         _o("e AS (SELECT *, max(Date) OVER (PARTITION BY symbol) + 1 AS as_of FROM bars),\n"
            "result AS (SELECT * FROM e WHERE Date >= date_trunc('year', as_of - 1) AND Date < as_of)"), BAR_OUT)
+    add("lookback_90d_stored", _stored_lookback, E["lookback_90d"].sql, BAR_OUT)
     add("stored_bars_ticker", _stored_ticker,
         _o("e AS (SELECT *, max(Date) OVER (PARTITION BY symbol) + 1 AS as_of FROM bars"
            f" WHERE symbol = '{STORED_TICKER}'),\n"
@@ -646,6 +668,7 @@ def _entries() -> dict[str, Entry]:
         BAR_OUT + " category company")
     add("portfolio_bars", _on_o(lambda b: portfolio_bars(b, FIXTURE_PORTFOLIO)),
         _o("result AS (SELECT * FROM bars WHERE symbol IN ('1-URGENT', '5-LOW'))"), BAR_OUT)
+    add("portfolio_bars_stored", _tracked, E["portfolio_bars"].sql, BAR_OUT)
     # L1-L3 previews
     add("preview_first40", _on_o(lambda b: op.preview_first(b, 40)), _o(edge_sql(40, False)), BAR_OUT)
     add("preview_last40", _on_o(lambda b: op.preview_last(b, 40)), _o(edge_sql(40, True)), BAR_OUT)

@@ -11,8 +11,9 @@ from tickframe.sources.dimensions import (
     normalise_symbol,
     portfolio_bars,
     portfolio_frame,
+    tracked_bars,
 )
-from tickframe.sources.lookback import lookback, lookback_ytd
+from tickframe.sources.lookback import lookback, lookback_ytd, stored_lookback
 from tickframe.sources.sinks import export_indicators
 
 __all__ = [
@@ -29,4 +30,6 @@ __all__ = [
     "portfolio_bars",
     "portfolio_frame",
     "read_table",
+    "stored_lookback",
+    "tracked_bars",
 ]

@@ -94,7 +94,24 @@ def portfolio_frame(spark: SparkSession, symbols: Iterable[str] | None) -> DataF
     return spark.createDataFrame([(t,) for t in tickers], "symbol string")
 
 
-def portfolio_bars(bars: DataFrame, symbols: Iterable[str] | None) -> DataFrame:
-    """Keep bars of tracked tickers only (left semi join), whatever the case their symbols are stored in."""
-    port = portfolio_frame(bars.sparkSession, symbols).withColumnRenamed("symbol", "_tracked")
+def portfolio_bars(bars: DataFrame, symbols: Iterable[str] | None, normalised: bool = False) -> DataFrame:
+    """Keep bars of tracked tickers only, whatever the case their symbols are stored in (left semi join).
+
+    ``normalised``: the stored symbols are upper case and trimmed already (``load_bars(normalise=True)`` before
+    writing); the list is then a filter on the column itself, which reaches the scan and prunes partitions.
+    """
+    port = portfolio_frame(bars.sparkSession, symbols)
+    if normalised:
+        return bars.filter(F.col("symbol").isin([r.symbol for r in port.collect()]))
+    port = port.withColumnRenamed("symbol", "_tracked")
     return bars.join(port, normalise_symbol("symbol") == F.col("_tracked"), how="left_semi")
+
+
+def tracked_bars(bars: DataFrame, tracked: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Bars of the symbols in a table (a stored portfolio, a watch list chosen by a filter).
+
+    ``bars`` hold normalised symbols; those of ``tracked`` are normalised here. The join is on the stored column, so
+    where the bars are partitioned by symbol Spark prunes their partitions at run time by what ``tracked``'s filter leaves
+    (dynamic partition pruning); repeated symbols don't repeat bars.
+    """
+    return bars.join(tracked.select(normalise_symbol(symbol).alias("symbol")), "symbol", "left_semi")

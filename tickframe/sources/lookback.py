@@ -49,3 +49,26 @@ def lookback_ytd(bars: DataFrame, as_of=None) -> DataFrame:
     last = F.date_sub(end, 1)
     out = bars.filter((F.col("Date") >= F.trunc(last, "year")) & (F.col("Date") < end))
     return out.drop("_as_of")
+
+
+def stored_lookback(stored: DataFrame, days: int | str, last: DataFrame | None = None, month: str = "month") -> DataFrame:
+    """:func:`lookback` over bars stored by month (``month``: the partition column), reading only months in range.
+
+    Each symbol's last Date comes first: from ``last(symbol, last)`` where a summary table has it
+    (``incremental.BarStore.summary``), else from a partial aggregate over the stored symbols and Dates. The months that
+    any symbol's range touches (a list bounded by the calendar) are then a filter on the partition column, and
+    each symbol's own range a join on its last Date: no window over whole series.
+    """
+    if isinstance(days, str):
+        days = PRESET_DAYS[days]
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    if last is None:
+        last = stored.groupBy("symbol").agg(F.max("Date").alias("last"))
+    ends = last.groupBy("symbol").agg(F.max("last").alias("_last")).filter(F.col("_last").isNotNull())
+    start = F.date_sub("_last", days - 1)
+    each = F.explode(F.sequence(F.trunc(start, "month"), F.trunc("_last", "month"), F.expr("INTERVAL 1 MONTH")))
+    months = [r[0] for r in ends.select(each).distinct().collect()]
+    inside = stored.filter(F.col(month).isin([F.lit(m) for m in months]))
+    return inside.join(ends, "symbol").filter((F.col("Date") >= start) & (F.col("Date") <= F.col("_last"))).select(
+        *stored.columns)
