@@ -1,8 +1,8 @@
 """Operator 2, secret scans in native Spark expressions: fixed patterns, then Markov models.
 
 Patterns find assignments (``token = ...``), access keys and long hex runs.
-Every other long identifier-like run is scored with two character Markov
-models of order 1, one of random strings and one of ordinary identifiers: its
+What lies between these spans is searched for long identifier-like runs (20
+characters and more), each scored with two character Markov models of order 1, one of random strings and one of ordinary identifiers: its
 log-likelihood ratio (bits per character) decides. Both models are trained
 from labelled samples; a model is a table of at most 128 x 128 ASCII pairs.
 
@@ -12,7 +12,7 @@ hits costs one pattern search per kind.
 * null or empty text: no spans;
 * very long texts are scanned whole; a run's score is linear in its length;
 * spans count code points, end exclusive; overlapping spans of different kinds all stay;
-* without ordinary samples (empty table) both models are uniform and add no spans;
+* the ordinary model is as good as the table has text: a handful of short texts flags few random strings;
 * repeated rows are scanned alike; other columns are not read.
 """
 
@@ -116,8 +116,21 @@ def labelled_samples(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     return random.unionByName(words.withColumn("random", F.lit(False)))
 
 
-def markov_spans(text: str, ratio: list[float], base: Column) -> Column:
-    """Spans of runs whose mean ratio reaches ``MIN_RATIO`` and that no base span overlaps."""
+def outside(text: str, base: str) -> Column:
+    """The text with the places of its base spans blanked, every other character where it was."""
+    def add(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        kept = F.substr(F.col(text), acc["at"] + 1, start - acc["at"])
+        grown = F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.repeat(F.lit(" "), s["end"] - start)).alias("out"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(grown)
+
+    blank = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
+                        lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
+    return F.when(F.size(base) > 0, blank).otherwise(F.col(text))
+
+
+def markov_spans(text: str, ratio: list[float]) -> Column:
+    """Spans of runs (20 characters at least) whose mean ratio reaches ``MIN_RATIO``."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")  # folded to one literal
 
     def mean(value: Column) -> Column:
@@ -126,9 +139,7 @@ def markov_spans(text: str, ratio: list[float], base: Column) -> Column:
             table, F.ascii(F.get(c, i - 1)) * 128 + F.ascii(x) + 1)).otherwise(0.0))
         return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / (F.length(value) - 1)
 
-    found = F.filter(hits(text, CANDIDATE), lambda x: ~F.exists(
-        base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    found = F.filter(found, lambda x: mean(x["value"]) >= MIN_RATIO)
+    found = F.filter(hits(text, CANDIDATE), lambda x: mean(x["value"]) >= MIN_RATIO)
     return F.transform(found, lambda x: F.struct(
         x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
 
@@ -139,7 +150,13 @@ def scan_secrets(docs: DataFrame, ratio: list[float] | None = None, text: str =
     ratio = ratio if ratio is not None else markov_table(labelled_samples(docs, text, id_col))
     data = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     data = data.withColumn("base", base_spans("t"))
-    return data.withColumn("spans", F.array_sort(F.concat("base", markov_spans("t", ratio, F.col("base")))))
+    return _with_markov(data, ratio)
+
+
+def _with_markov(data: DataFrame, ratio: list[float]) -> DataFrame:
+    """``spans``: those of ``base``, and Markov spans in what lies between them."""
+    data = data.withColumn("rest", outside("t", "base"))
+    return data.withColumn("spans", F.array_sort(F.concat("base", markov_spans("rest", ratio)))).drop("rest")
 
 
 def span_list(spans: str) -> Column:
@@ -162,8 +179,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", text: str = "text",
     ratio = markov_table(labelled_samples(docs, text, id_col))
     names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # own names never clash with working columns
     out = docs.withColumnsRenamed(names).withColumn("t", F.coalesce(F.col(names[text]), F.lit("")))
-    out = out.withColumn("base", base_spans("t"))
-    out = out.withColumn("spans", F.array_sort(F.concat("base", markov_spans("t", ratio, F.col("base")))))
+    out = _with_markov(out.withColumn("base", base_spans("t")), ratio)
 
     def add(acc: Column, s: Column) -> Column:
         before = F.concat(acc["out"], F.substr(F.col("t"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
