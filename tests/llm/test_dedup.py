@@ -166,6 +166,45 @@ def test_repeated_ids_keep_one_row(spark):
     assert sorted((r.doc_id or -1 for r in one_of_each_group(df).collect())) == [-1, -1, 1]
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(0, 1, (2, 16))
+    near = lambda v: (v + rng.normal(0, 0.02, 16)).tolist()
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, near(a), 0), (3, near(b), 0), (1, a.tolist(), 0),
+            (7, rng.normal(0, 1, 16).tolist(), 0), (1 << 62, near(b), 0), (-(1 << 63), rng.normal(0, 1, 16).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    # links by row; the component of a row is that of its own vector
+    parts = Sets()
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = np.array(rows[i][1]), np.array(rows[j][1])
+            if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
+                parts.join(i, j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[parts.root(i)] = min(r[0], least.get(parts.root(i), r[0]))
+    want = sorted((r[0], n, least[parts.root(i)], r[0] == least[parts.root(i)]) for i, (r, n) in enumerate(zip(
+        rows, [sum(1 for j, s in enumerate(rows) if j != i and np.dot(r[1], s[1]) / np.linalg.norm(r[1]) / np.linalg.norm(
+            s[1]) >= 0.93) for i, r in enumerate(rows)])))
+    assert sorted(map(tuple, embedding_groups(df).collect())) == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rnd = random.Random(6)
+    text = lambda: [f"w{rnd.randrange(4000)}" for _ in range(90)]
+    one, two = text(), text()
+    near = lambda t: [*t[:-1], "other"]
+    rows = [(1, one), (1, two), (2, near(two)), (3, near(one)), (1, one), (5, text()), (5, near(two)), (6, []), (6, []),
+            (None, text()), (1 << 62, text())]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0, bool(r.kept)) for r in near_duplicates(df).collect()))
+    want = [(0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False),
+            (5, 5, True), (6, 6, True), (6, 6, True), (1 << 62, 1 << 62, True)]
+    assert got == want
+    left = sorted((r.doc_id or 0, r.text) for r in one_of_each_group(df).collect())
+    assert left == sorted((i or 0, " ".join(t)) for i, t in [rows[k] for k in (0, 1, 5, 7, 8, 9, 10)])
+
+
 def test_block_comparison_equals_pairwise():
     rnd = random.Random(1)
     base = [rnd.random() for _ in range(100)]

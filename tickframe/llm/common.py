@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,15 +62,25 @@ _held: list = [None, None]
 def worker_state(name, make: Callable):
     """What an operator keeps in a Python worker between tasks (a table of bounded size).
 
-    Workers are shared by all operators: the state of another one is let go first.
+    Workers are shared by all operators: the state of another one is let go first, and its memory given back.
     """
     if _held[0] != name:
-        _held[:] = [None, None]
-        pa.default_memory_pool().release_unused()
+        if _held[0] is not None:
+            _held[:] = [None, None]
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _trim()
         _held[:] = [name, make()]
     return _held[1]
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of a text column (one row at least), to bound a task's memory.
 
@@ -88,6 +100,31 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def named_classes(classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``classes(key, rep, ...)`` with a ``node`` that no two classes share, and whether it is ``rep`` itself.
+
+    ``rep`` (the smallest id) names a class unless rows of other contents repeat it, or ids pass 62 bits. Then a class
+    is named by a 62-bit hash of its key, drawn anew until all differ.
+    """
+    wide = (F.col("rep") >= 1 << 62) | (F.col("rep") < -(1 << 62))
+    if classes.groupBy("rep").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | wide).isEmpty():
+        return classes.withColumn("node", F.col("rep")), True
+    seed = 0
+    while True:
+        named = stored(classes.withColumn("node", F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 2)), name)
+        if named.groupBy("node").count().filter("count > 1").isEmpty():
+            return named, False
+        seed += 1
+
+
+def component_ids(classes: DataFrame, component: DataFrame) -> DataFrame:
+    """``classes`` with ``root``, the smallest node of their component, and ``component``, its smallest ``rep``."""
+    own = classes.join(component.withColumnRenamed("component", "root"), "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    least = own.groupBy("root").agg(F.min("rep").alias("component"))
+    return own.join(least, "root")
+
+
 def smallest_reachable(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``: the smallest node reachable from it.
 

@@ -17,7 +17,7 @@ block's smallest class.
 * null label, null / zero / empty vector, null or non-finite component: links with nothing;
 * vectors of different length are never compared;
 * equal vectors under several ids are linked to each other; ties at the threshold are links;
-* repeated rows of one id are separate vectors; an empty table gives no rows; other columns are not read.
+* repeated rows of one id are separate vectors, whatever they hold; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import smallest_reachable, stored
+from tickframe.llm.common import component_ids, named_classes, smallest_reachable, stored
 from tickframe.llm.lattice import LatticeHash
 
 TABLES, BLOCKS, PROBES, SCALE, SEED = 12, 2, 8, 0.62, 20240607
@@ -167,10 +167,11 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
         _cells, "id long, key binary, home array<long>, near array<long>, salt long, raw binary"), "vectors")
     classes = stored(filed.filter("key is not null").groupBy("key").agg(
         F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
-    # one row per class: the copies of a class have equal cells
+    classes, by_id = named_classes(classes, "classes")
+    # one row per class: the copies of a class have equal cells; from here on a class goes by its node
     reps = stored(filed.filter("key is not null").withColumnRenamed("key", "k").join(
-        classes, (F.col("k") == F.col("key")) & (F.col("id") == F.col("rep"))).dropDuplicates(["rep"])
-        .select("rep", "m", "home", "near", "salt", "raw"), "class-vectors")
+        classes, (F.col("k") == F.col("key")) & (F.col("id") == F.col("rep"))).dropDuplicates(["node"])
+        .select(F.col("node").alias("rep"), "m", "home", "near", "salt", "raw"), "class-vectors")
     rows = reps.select("rep", F.explode("home").alias("cell"), F.lit(True).alias("own")).unionByName(
         reps.select("rep", F.explode(F.array_except("near", "home")).alias("cell"), F.lit(False).alias("own")))
     met = stored(rows.groupBy("cell").agg(F.count_if("own").alias("h"), F.count("*").alias("n"))
@@ -198,9 +199,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
 
     found = stored(units.mapInArrow(compare, "rep long, links long, root long"), "links")
     component = smallest_reachable(found.selectExpr("rep as a", "root as b"), "vector-components")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = classes.join(links, "rep", "left").join(
-        component.withColumnRenamed("node", "rep"), "rep", "left").select(
+    links = found.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
+    placed_in = classes.join(component, "node", "left") if by_id else component_ids(classes, component)
+    per_class = placed_in.join(links, "node", "left").select(
         "key", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("component", "rep").alias("component"))
     per_class = stored(per_class, "class-results")

@@ -23,7 +23,7 @@ Steps, each a Spark job over tables in the shared folder:
 * null or empty text, or white space only: empty set, linked with nothing;
 * fewer words than a shingle: the whole word sequence is the one shingle;
 * very long texts are used whole; ties at the threshold are links;
-* ``doc_id`` names a document: rows that repeat an id fall into one component;
+* rows that share an id but not the text are documents of their own: each has its class's component;
 * an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import by_size, smallest_reachable, stored
+from tickframe.llm.common import by_size, component_ids, named_classes, smallest_reachable, stored
 from tickframe.llm.shingles import scramble, shingle_set
 
 BANDS, BAND_SIZE, SEED = 32, 5, 0x5EED
@@ -84,7 +84,7 @@ def sketch_table(docs: DataFrame, words: int, bands: int, size: int, text: str,
             for t in b.column("t"):
                 s = shingle_set(t.as_py(), words)
                 n.append(len(s))
-                key.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
+                key.append(set_key(s))
                 keys.append(band_keys(sketch(s, bands * size), bands, size) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
@@ -93,8 +93,12 @@ def sketch_table(docs: DataFrame, words: int, bands: int, size: int, text: str,
     return data.mapInArrow(run, "id long, n long, key binary, bands array<long>")
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.md5(s.tobytes()).digest() if len(s) else None
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str, id_col: str) -> DataFrame:
-    """``(rep, s)``: the shingle sets of the documents in ``ids(rep)``."""
+    """``(rep, key, s)``: the shingle sets of the documents in ``ids(rep)``, with their class key."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     data = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).cast("binary").alias("t"))
@@ -102,11 +106,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, "t"):
-            sets = [shingle_set(t.as_py(), words).astype(np.int64) for t in b.column("t")]
+            sets = [shingle_set(t.as_py(), words) for t in b.column("t")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+                [b.column("rep"), pa.array(list(map(set_key, sets)), pa.binary()),
+                 pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "key", "s"])
 
-    return data.mapInArrow(run, "rep long, s array<long>")
+    return data.mapInArrow(run, "rep long, key binary, s array<long>")
 
 
 def _compare(rep: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -151,15 +156,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     ``percent``: documents are linked at 100 * intersection >= percent * union.
     """
+    out = grouped(docs, words, percent, bands, size, text, id_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def grouped(docs: DataFrame, words: int, percent: int, bands: int, size: int, text: str, id_col: str) -> DataFrame:
+    """``(id, n, key, component, root)``: size and digest of every row's shingle set, smallest id of its component.
+
+    Components of different roots are different ones, even where repeated ids give them the same smallest id.
+    """
     sketched = stored(sketch_table(docs, words, bands, size, text, id_col), "sketches")
     classes = stored(sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    # rows that repeat an id with other texts stand under it with all their bands
-    rows = sketched.join(classes, ["key"]).filter("id = rep").select("rep", F.explode("bands").alias("bucket"))
+    classes, by_id = named_classes(classes, "classes")
+    # from here on a class goes by its node
+    rows = sketched.join(classes, ["key"]).filter("id = rep").select(
+        F.col("node").alias("rep"), F.explode("bands").alias("bucket"))
     buckets = stored(rows.groupBy("bucket").agg(
         F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).filter("members > 1"),
         "buckets")
     met = stored(rows.join(buckets, "bucket").select("bucket", "rep", "leader"), "met")
-    sets = stored(full_sets(docs, met.select("rep").distinct(), words, text, id_col).dropDuplicates(["rep"]), "sets")
+    nodes = met.select("rep").distinct()
+    if by_id:
+        sets = full_sets(docs, nodes, words, text, id_col).drop("key")
+    else:  # an id may stand for several classes: their keys tell the sets apart
+        wanted = stored(classes.join(nodes.withColumnRenamed("rep", "node"), "node", "left_semi"), "wanted")
+        sets = full_sets(docs, wanted.select("rep").distinct(), words, text, id_col).drop("rep").join(
+            wanted.select("key", F.col("node").alias("rep")), "key").select("rep", "s")
+    sets = stored(sets.dropDuplicates(["rep"]), "sets")
 
     pairs = met.filter("rep <> leader").select(
         F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
@@ -201,34 +225,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     more = units.mapInArrow(check, "a long, b long")
     # links of the first round stand as links to their component
     component = smallest_reachable(first.selectExpr("rep as a", "component as b").unionByName(more), "near-components")
-    per_class = stored(classes.select("key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-                       .select("key", F.coalesce("component", "rep").alias("component")), "class-results")
-    out = sketched.select("id", "n", "key").join(per_class, "key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    placed_in = classes.join(component, "node", "left") if by_id else component_ids(classes, component)
+    component = F.coalesce("component", "rep")
+    per_class = stored(placed_in.select("key", component.alias("component"), (
+        component if by_id else F.col("root")).alias("root")), "class-results")
+    return sketched.select("id", "n", "key").join(per_class, "key", "left").select(
+        "id", "n", "key", F.coalesce("component", "id").alias("component"), "root")
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text",
                       id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id, and without repeats of an id.
+    """``docs`` without the documents whose group has a smaller id, and without repeats of the one that stays.
 
     Documents without words and rows without an id all stay. Only the ids to
     go are joined with the table: broadcast up to ``BROADCAST_IDS``, beyond
-    that by a shuffle.
+    that by a shuffle. Rows that share an id but not the text are told apart by their shingle set: one row
+    of each group stays.
     """
-    groups = stored(near_duplicates(docs, words, percent, text=text, id_col=id_col), "groups")
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone__")).distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("gone__"), "left_anti")
-    repeated = groups.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("gone__")).count()
-    repeated = stored(repeated.filter("count > 1").select("gone__"), "repeated")
+    groups = stored(grouped(docs, words, percent, BANDS, BAND_SIZE, text, id_col), "groups")
+    repeated = groups.filter("id is not null").groupBy(F.col("id").alias("again__")).count()
+    repeated = stored(repeated.filter("count > 1").select("again__"), "repeated")
+    gone = groups.filter("id <> component").select(F.col("id").alias("gone__")).distinct()
+    own = F.col(id_col).cast("long")
     if repeated.isEmpty():
-        return out
-    same = F.col(id_col).cast("long") == F.col("gone__")
-    return out.join(repeated, same, "left_anti").unionByName(
-        out.join(repeated, same, "left_semi").dropDuplicates([id_col]))
+        return docs.join(_bounded(gone), own == F.col("gone__"), "left_anti")
+    gone = gone.join(repeated, F.col("gone__") == F.col("again__"), "left_anti")
+    once = docs.join(_bounded(gone), own == F.col("gone__"), "left_anti").join(
+        repeated, own == F.col("again__"), "left_anti")
+    # of a group's rows with repeated ids the one with the smallest id and set stays, if its id is the group's
+    first = groups.filter("n > 0").groupBy("root").agg(F.min(F.struct("id", "key")).alias("x")).select(
+        F.col("x.id").alias("first__"), F.col("x.key").alias("set__"))
+    keys = F.pandas_udf(lambda texts: texts.map(lambda t: set_key(shingle_set(bytes(t or b""), words))), "binary")
+    several = docs.join(repeated, own == F.col("again__"), "left_semi").withColumn(
+        "key__", keys(F.col(text).cast("binary")))
+    stays = several.filter("key__ is not null").join(
+        first, (own == F.col("first__")) & (F.col("key__") == F.col("set__")), "left_semi").dropDuplicates(
+        [id_col, "key__"])
+    return once.unionByName(stays.unionByName(several.filter("key__ is null")).drop("key__"))
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
