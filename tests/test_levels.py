@@ -83,3 +83,16 @@ def test_short_and_empty_series(make_bars):
     assert [r.strength for r in op.support_resistance(flat).collect()] == [2, 2]
     free = make_bars([("A", dt.date(2024, 1, 1) + dt.timedelta(days=i), 0.0) for i in range(12)])
     assert op.support_resistance(free).collect() == []
+
+
+def test_volume_profile(make_bars):
+    bars = make_bars([("A", dt.date(2024, 1, 1 + i), c, c, c, c, v) for i, (c, v) in enumerate(
+        [(10.0, 5), (20.0, 7), (11.0, 5), (None, 9), (15.0, 3), (12.5, 10)])] + [
+        ("B", dt.date(2024, 1, 1), 4.0, 4.0, 4.0, 4.0, 0), ("C", dt.date(2024, 1, 1), None)])
+    got = sorted(map(tuple, op.volume_profile(bars, bins=4).collect()))
+    assert got == [("A", 0, 10.0, 12.5, 2, 10, 10 / 30 * 100, True), ("A", 1, 12.5, 15.0, 1, 10, 10 / 30 * 100, False),
+                   ("A", 2, 15.0, 17.5, 1, 3, 10.0, False), ("A", 3, 17.5, 20.0, 1, 7, 7 / 30 * 100, False),
+                   ("B", 0, 4.0, 4.0, 1, 0, None, True)]
+    assert op.volume_profile(bars.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        op.volume_profile(bars, bins=0)

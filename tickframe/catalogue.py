@@ -62,6 +62,7 @@ class Entry:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     out: tuple[str, ...]
+    python: bool = False  # has tasks that run this package's Python code
 
 
 def _spec(out: str) -> tuple[str, ...]:
@@ -526,6 +527,15 @@ result AS (SELECT *, CASE WHEN previous_price IS NULL OR volume IS NULL OR previ
     CASE WHEN volume < previous_volume THEN 'Bullish divergence' ELSE 'Confirmed' END ELSE 'None' END AS divergence FROM p)"""
 
 
+PROFILE_SQL = """r AS (SELECT symbol, min(Close) AS lo, max(Close) AS hi FROM bars GROUP BY symbol),
+b AS (SELECT b.symbol, Volume, lo, hi, CASE WHEN hi > lo THEN least(CAST(floor((Close - lo) / (hi - lo) * 12) AS INTEGER), 11)
+  ELSE 0 END AS bin FROM bars b JOIN r ON b.symbol = r.symbol WHERE Close IS NOT NULL AND Volume IS NOT NULL),
+g AS (SELECT symbol, bin, lo, hi, count(*) AS days, CAST(sum(Volume) AS BIGINT) AS volume FROM b GROUP BY symbol, bin, lo, hi),
+result AS (SELECT symbol, bin, lo + (hi - lo) / 12 * bin AS low, lo + (hi - lo) / 12 * (bin + 1) AS high, days, volume,
+  CAST(volume AS DOUBLE) / NULLIF(sum(volume) OVER (PARTITION BY symbol), 0) * 100 AS share,
+  row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, bin) = 1 AS is_peak FROM g)"""
+
+
 def edge_sql(n: int, desc: bool) -> str:
     order = "Date DESC" if desc else "Date"
     return f"result AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {order}) <= {n})"
@@ -642,8 +652,8 @@ def _o(body: str) -> str:
 def _entries() -> dict[str, Entry]:
     E = {}
 
-    def add(name, build, sql, out):
-        E[name] = Entry(build, sql, _spec(out))
+    def add(name, build, sql, out, python=False):
+        E[name] = Entry(build, sql, _spec(out), python)
 
     # S10 sources
     add("bars_orders", bars_o, f"{BARS_O_SQL},\nresult AS (SELECT * FROM bars)", BAR_OUT)
@@ -798,9 +808,9 @@ def _entries() -> dict[str, Entry]:
         _o(pair_sql(BENCHMARK_O, zero=True)), pair_out)
     # J1, all pairs of 40 series (customers of orders in groups), in tiles of 8 x 8 series
     add("all_pairs_correlation", _checkpointed(lambda s, d: op.all_pairs_correlation(bars_c(s, d), block=8)),
-        f"{BARS_C_SQL},\n{all_pairs_sql()}", pair_out)
+        f"{BARS_C_SQL},\n{all_pairs_sql()}", pair_out, python=True)
     add("all_pairs_top3", _checkpointed(lambda s, d: op.all_pairs_correlation(bars_c(s, d), top=3, block=8)),
-        f"{BARS_C_SQL},\n{all_pairs_sql(3)}", pair_out)
+        f"{BARS_C_SQL},\n{all_pairs_sql(3)}", pair_out, python=True)
     # prices far below 1: float noise is judged relative to the price
     add("macd_plain_lowprice", _on_o(lambda b: _relative_macd(op.macd(_low_price(b), variant="b"))),
         _o(LOW_PRICE_SQL + ",\n" + macd_sql("low", "m", "b") + ",\n"
@@ -981,6 +991,8 @@ def _entries() -> dict[str, Entry]:
     add("volume_divergence", _on_o(op.volume_divergence), _o(DIVERGENCE_SQL), pivot_out)
     add("volume_divergence_chunked", _checkpointed(_on_o(lambda b: op.volume_divergence(b, chunk_rows=CHUNK_ROWS))),
         _o(DIVERGENCE_SQL), pivot_out)
+    add("volume_profile", _on_o(lambda b: op.volume_profile(b, bins=12)), _o(PROFILE_SQL),
+        "symbol bin low:d high:d days volume share:d is_peak")
     add("rolling_atr", _on_o(op.rolling_atr),
         _o(vol_sql("bars", "v") + f",\nresult AS (SELECT *, {seq_avg('true_range', WR('symbol', 13))} AS atr_14 FROM v)"),
         "symbol Date true_range:d atr_14:d")

@@ -13,7 +13,7 @@ from tickframe.operators.levels import pivots, support_resistance, volume_diverg
 from tickframe.operators.oscillators import macd, momentum, rsi
 from tickframe.operators.preview import preview_first, preview_last, recent_ma
 from tickframe.operators.profile import (
-    basic_stats, data_frequency, high_volume_ratio, missing_counts, sentiment_card, summary_position,
+    basic_stats, data_frequency, high_volume_ratio, missing_counts, sentiment_card, summary_position, volume_profile,
 )
 from tickframe.operators.quantiles import exact_percentiles
 from tickframe.operators.returns import (
@@ -35,5 +35,5 @@ __all__ = [
     "preview_first", "preview_last", "quote_change", "rebase", "recent_ma", "relative_volume",
     "returns_boxplot", "returns_summary", "rolling_atr", "rsi", "rule_signals", "scored_signals",
     "seasonality", "sentiment_card", "summary_position", "support_resistance", "technical_indicators", "volatility_metrics",
-    "volume_divergence",
+    "volume_divergence", "volume_profile",
 ]

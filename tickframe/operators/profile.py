@@ -122,3 +122,29 @@ def sentiment_card(df: DataFrame, edge: str = "last", return_rows: int = 10, vol
     ).withColumn(
         "volume_trend", F.when(F.col("avg_recent_volume") > F.col("avg_volume"), "Increasing").otherwise("Decreasing")
     )
+
+
+def volume_profile(df: DataFrame, bins: int = 10) -> DataFrame:
+    """How Volume is spread over price: ``symbol, bin, low, high, days, volume, share, is_peak``.
+
+    ``bins`` equal price ranges from the lowest to the highest Close of a symbol (all in the first one if these are
+    equal); ``share`` in per cent, ``is_peak`` the range with most Volume (the lowest of equals). Ranges without a bar
+    are left out, as are bars without Close or Volume. One pass over the bars: the price range comes from a window on
+    their symbol partitioning, which the aggregate to ``bins`` rows a symbol uses as well.
+    """
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
+    series = Window.partitionBy("symbol")
+    used = df.withColumns({"_lo": F.min("Close").over(series), "_hi": F.max("Close").over(series)}).filter(
+        F.col("Close").isNotNull() & F.col("Volume").isNotNull())
+    place = F.floor((F.col("Close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int")
+    used = used.withColumn(
+        "bin", F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(bins - 1))).otherwise(0))
+    out = used.groupBy("symbol", "bin", "_lo", "_hi").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("Volume").alias("volume"))
+    step, whole = (F.col("_hi") - F.col("_lo")) / bins, Window.partitionBy("symbol")
+    return out.select(
+        "symbol", "bin", (F.col("_lo") + step * F.col("bin")).alias("low"),
+        (F.col("_lo") + step * (F.col("bin") + 1)).alias("high"), "days", "volume",
+        (safe_div(F.col("volume").cast("double"), F.sum("volume").over(whole)) * 100).alias("share"),
+        (F.row_number().over(whole.orderBy(F.desc("volume"), "bin")) == 1).alias("is_peak"))
