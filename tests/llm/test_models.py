@@ -229,9 +229,9 @@ def test_own_seats_are_removed_before_seating():
     """A pair that owns all tables of its context and word is seated as if it were alone there."""
     c, full = np.full(20000, 8), lambda v: np.full(20000, v)
     shared = L.Totals(np.zeros(0), np.zeros(0), 1000, 400, 50, 0.6, 0.4)
-    a = L.seat_pairs(c, full(8), full(8), full(8), full(1), shared, np.random.default_rng(1)).mean()
+    a = L.seat_pairs(c, full(8), full(8), full(8), full(1), shared, L.Draws(1, np.arange(20000))).mean()
     less = L.Totals(np.zeros(0), np.zeros(0), 993, 400, 50, 0.6, 0.4)
-    b = L.seat_pairs(c, full(1), full(1), full(1), full(1), less, np.random.default_rng(2)).mean()
+    b = L.seat_pairs(c, full(1), full(1), full(1), full(1), less, L.Draws(2, np.arange(20000))).mean()
     assert a == pytest.approx(b, abs=0.04)
 
 
@@ -243,7 +243,7 @@ def test_predictive_probabilities_sum_to_one():
     c = c[c.sum(1) > 0]
     ctx = np.tile(np.arange(L.CONTEXTS), len(c))
     t = np.minimum(c, 1)
-    for _ in range(3):
+    for k in range(3):
         c1, t1 = t.sum(1), np.minimum(t.sum(1), 1)
         shared = L.Totals(c.sum(0), t.sum(0), int(t.sum()), int(t1.sum()), len(c), 0.6, 0.4)
         parent = shared.unigram(c1, t1)
@@ -251,13 +251,14 @@ def test_predictive_probabilities_sum_to_one():
         p = shared.in_context(ctx, c.ravel(), t.ravel(), np.repeat(parent, L.CONTEXTS)).reshape(c.shape)
         rest = shared.in_context(np.arange(L.CONTEXTS), 0, 0, np.repeat(unknown, L.CONTEXTS))
         assert np.allclose(p.sum(0) + rest, 1) and parent.sum() + unknown[0] == pytest.approx(1)
-        t = L.seat(c.ravel(), (1 + 0.6 * shared.tables[ctx]) * np.repeat(parent, L.CONTEXTS), 0.6, rng).reshape(c.shape)
+        t = L.seat(c.ravel(), (1 + 0.6 * shared.tables[ctx]) * np.repeat(parent, L.CONTEXTS), 0.6,
+                   L.Draws(k, np.arange(c.size))).reshape(c.shape)
         assert ((t <= c) & ((t > 0) == (c > 0))).all()
 
 
 def test_seating_follows_the_restaurant_weights():
     """Mean tables of n customers of one dish with new-table weight w: the sum of the chances to open one."""
-    rng, n, w, d = np.random.default_rng(8), 12, 1.7, 0.3
+    n, w, d = 12, 1.7, 0.3
     want = np.zeros(n + 1)
     want[1], mean = 1.0, None
     for k in range(1, n):
@@ -268,5 +269,29 @@ def test_seating_follows_the_restaurant_weights():
             after[t] += want[t] * (1 - p)
         want = after
     mean = (want * np.arange(n + 1)).sum()
-    got = L.seat(np.full(40000, n), np.full(40000, w), d, rng).mean()
+    got = L.seat(np.full(40000, n), np.full(40000, w), d, L.Draws(8, np.arange(40000))).mean()
     assert got == pytest.approx(mean, abs=0.03)
+
+
+@pytest.mark.parametrize("n,p", [(1, 0.3), (7, 0.5), (500, 0.02), (5000, 0.4), (10**12, 0.001)])
+def test_draws_have_the_moments_of_a_binomial(n, p):
+    size = 20000 if n < 100 else 4000
+    got = L.Draws(3, np.arange(size)).binomial(np.arange(size), 1, np.full(size, n), np.full(size, p))
+    sd = math.sqrt(n * p * (1 - p))
+    assert got.min() >= 0 and got.max() <= n
+    assert got.mean() == pytest.approx(n * p, abs=5 * sd / math.sqrt(size))
+    assert got.std() == pytest.approx(sd, rel=0.06)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    scores = []
+    try:
+        for n in ("5", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            scores.append(sorted((r.doc_id, r.score) for r in L.score_documents(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]]
+    assert [x for _, x in scores[0]] == pytest.approx([x for _, x in scores[1]], rel=1e-12)

@@ -10,7 +10,8 @@ a table sends a customer to the unigram restaurant.
 Seating is sampled by blocked Gibbs: in a sweep all customers of one dish in
 one restaurant get up, with their tables, and are seated again one after
 another by the Chinese-restaurant weights, given everyone else (in growing
-groups once many sit). A dish with one customer always has one table, so only
+groups once many sit). Random numbers are hashes of dish, sweep and step, so a rerun task or
+another partitioning seats alike. A dish with one customer always has one table, so only
 pairs (word, context) seen more often are sampled. Counts are keyed by pair;
 the tables per context and the customers per word are summed up after a sweep,
 stored, and joined back, so that the join can split a frequent word. The
@@ -39,7 +40,6 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +52,7 @@ BURN_IN, KEPT = 1, 3
 STRENGTH = 1.0
 END = 0x1E5D0F7E47  # the end token's number among the word hashes
 SEED = 97
+TRIALS = 4096  # of a dish at once, drawn one by one
 PAIR, WORD, CONTEXT, TEXT = range(4)  # kinds of asked keys, and texts after them
 
 
@@ -191,23 +192,65 @@ def totals(words: DataFrame, discount: float) -> Totals:
     return Totals(NONE, NONE, c1 or 0, t1 or 0, n, discount, discount_of(once, twice))
 
 
-def seat(c: np.ndarray, weight: np.ndarray | Callable, discount: float, rng: np.random.Generator) -> np.ndarray:
+class Draws:
+    """Random numbers that depend on a dish and the sweep only, not on the task or place where it is seated."""
+
+    def __init__(self, sweep: int, *names: np.ndarray):
+        key = np.full(len(names[0]), SEED, np.uint64) + _spread(sweep)
+        for name in names:
+            key = scramble(scramble(key) + np.ascontiguousarray(name).astype(np.int64).view(np.uint64))
+        self.key = key
+
+    def binomial(self, at: np.ndarray, step: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Successes among ``n`` trials of the dishes ``at``: counted up to ``TRIALS``, else by the normal limit."""
+        key = scramble(self.key[at] + _spread(step))
+        out = np.zeros(len(at), np.int64)
+        many = n > TRIALS
+        if many.any():
+            a, b = (_uniform(scramble(key[many] + np.uint64(k))) for k in (1, 2))
+            z = np.sqrt(-2 * np.log(1 - a)) * np.cos(2 * np.pi * b)
+            mean = n[many] * p[many]
+            out[many] = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - p[many]))), 0, n[many])
+        few = np.flatnonzero(~many)
+        for lo in range(0, len(few), 1 << 20):
+            rows = few[lo:lo + (1 << 20)]
+            once = rows[n[rows] == 1]
+            out[once] = _uniform(key[once]) < p[once]
+            for k in range(0, len(more := rows[n[rows] > 1]), 4096):
+                own = more[k:k + 4096]
+                first = np.cumsum(n[own]) - n[own]
+                trial = np.arange(n[own].sum()) - np.repeat(first, n[own])
+                hit = _uniform(scramble(np.repeat(key[own], n[own]) + trial.astype(np.uint64))) < np.repeat(p[own], n[own])
+                out[own] = np.add.reduceat(hit.astype(np.int64), first)
+        return out
+
+
+def _spread(k: int) -> np.uint64:
+    return np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+
+
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    return (bits >> np.uint64(11)) * 2.0**-53
+
+
+def seat(c: np.ndarray, weight: np.ndarray | Callable, discount: float, draws: Draws) -> np.ndarray:
     """Tables after ``c`` customers of a dish sat down in turn; ``weight``: that of a new table, or a function of
     the dishes and their tables so far."""
     t, n = np.minimum(c, 1), np.minimum(c, 1)
-    todo = np.flatnonzero(c > 1)
+    todo, step = np.flatnonzero(c > 1), 0
     while len(todo):
         group = np.minimum(np.maximum(n[todo] // 16, 1), c[todo] - n[todo])
         new = weight(todo, t[todo]) if callable(weight) else weight[todo]
         new = new / (new + n[todo] - discount * t[todo])
-        t[todo] += rng.binomial(group, new)
+        step += 1
+        t[todo] += draws.binomial(todo, step, group, new)
         n[todo] += group
         todo = todo[n[todo] < c[todo]]
     return t
 
 
 def seat_pairs(c: np.ndarray, t: np.ndarray, tables: np.ndarray, c1: np.ndarray, t1: np.ndarray, shared: Totals,
-               rng: np.random.Generator) -> np.ndarray:
+               draws: Draws) -> np.ndarray:
     """New tables of pairs with ``t`` tables of their context's ``tables``, whose words have ``c1`` customers and
     ``t1`` tables in the unigram restaurant: a pair's own seats are removed first."""
     others, others1 = tables - t, c1 - t
@@ -219,7 +262,7 @@ def seat_pairs(c: np.ndarray, t: np.ndarray, tables: np.ndarray, c1: np.ndarray,
             shared.customers1 - t[at] + own + STRENGTH)
         return (STRENGTH + shared.discount * (others[at] + own)) * parent
 
-    return seat(c, weight, shared.discount, rng)
+    return seat(c, weight, shared.discount, draws)
 
 
 def _numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -233,10 +276,9 @@ def sweep(pairs: DataFrame, contexts: DataFrame, words: DataFrame, shared: Total
     """The pairs seated anew; ``sum``: their tables in the kept sweeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([SEED, number, TaskContext.get().partitionId()])
         for b in batches:
             c, t, total, tables, c1, t1 = _numbers(b, "c", "t", "sum", "tables", "c1", "t1")
-            t = seat_pairs(c, t, tables, c1, t1, shared, rng)
+            t = seat_pairs(c, t, tables, c1, t1, shared, Draws(2 * number, *_numbers(b, "w", "ctx")))
             yield pa.RecordBatch.from_arrays(
                 [b.column("w"), b.column("ctx"), b.column("c"), pa.array(t), pa.array(total + t if keep else total)],
                 names=["w", "ctx", "c", "t", "sum"])
@@ -249,11 +291,10 @@ def seat_words(words: DataFrame, shared: Totals, number: int) -> DataFrame:
     """The customers ``c1`` of the unigram restaurant seated anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([SEED, number, TaskContext.get().partitionId(), 1])
         for b in batches:
             c1, t1 = _numbers(b, "c1", "t1")
             weight = lambda at, own: (STRENGTH + shared.discount1 * (shared.tables1 - t1[at] + own)) * shared.floor  # noqa: B023, E731
-            t1 = pa.array(seat(c1, weight, shared.discount1, rng))
+            t1 = pa.array(seat(c1, weight, shared.discount1, Draws(2 * number + 1, *_numbers(b, "w"))))
             yield b.set_column(b.schema.get_field_index("t1"), "t1", t1)
 
     return words.mapInArrow(run, words.schema)
