@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tickframe.llm import language_model as L
-from tickframe.llm.decontaminate import Index, contamination, question_answer, with_items
+from tickframe.llm.decontaminate import Index, Statistics, contamination, question_answer, with_items
 from tickframe.llm.quality import DIM, Network, WIDTH, pool, quality_scores, token_buckets, with_quality
 from tickframe.llm.queries import QUERIES
 from tests.conftest import SF, SF_SMALL
@@ -167,10 +167,37 @@ def test_large_benchmarks_run_in_parts(spark, monkeypatch):
 
     docs, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(contamination(docs, bench).collect())
-    monkeypatch.setattr(D, "PART_ITEMS", 15)
+    monkeypatch.setattr(D, "PART_CHARS", 900)
     assert sorted(contamination(docs, bench).collect()) == one and any(r.contaminated for r in one)
 
 
+def test_parts_retrieve_alike():
+    rng = np.random.default_rng(15)
+    word = lambda: "w%d" % int(rng.zipf(1.2) % 2000)
+    items = [(i, " ".join(word() for _ in range(rng.integers(3, 90)))) for i in range(200)]
+    texts = [[w if rng.random() < 0.85 else word() for w in items[rng.integers(0, 200)][1].split()] for _ in range(150)]
+    ends = np.cumsum([len(t) for t in texts])
+
+    def found(ix):
+        terms = np.array([ix.vocabulary.get(w, len(ix.vocabulary)) for t in texts for w in t], np.int64)
+        return {(d, ix.names[i]) for d, i in ix.candidates(terms, ends)}
+    whole, all_of = found(Index(items)), Statistics(items)
+    for parts in (2, 7):
+        each = [found(Index([x for x in items if x[0] % parts == p], all_of)) for p in range(parts)]
+        assert set().union(*each) == whole and len(whole) > 150
+
+
+def test_short_items_match_whole_and_in_order(spark):
+    bench = spark.createDataFrame([(1, "seven blue rivers"), (2, "Deep, in the hills!"), (3, "two words"), (4, "x y x y x")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the Seven blue rivers run deep in the hills"), (2, "blue seven rivers"),
+                                  (3, "two words"), (4, "seven big blue rivers, deep in hills"), (5, "y x y x y x y"),
+                                  (6, "pad " * 3000 + "seven blue rivers " + "pad " * 3000), (7, "x y x"), (8, "")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.items for r in contamination(docs, bench).collect()}
+    assert got == {1: "1,2", 2: "", 3: "", 4: "", 5: "4", 6: "1", 7: "", 8: ""}
+
+
 def test_question_and_answer():
     assert question_answer("What is it? It is a test.") == ("What is it? ", "It is a test.")
     assert question_answer("Q text Answer: five") == ("Q text ", " five")
