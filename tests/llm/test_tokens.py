@@ -1,7 +1,9 @@
 """Token counts, token files, packing: against the tokenizers library."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tickframe.llm.common import shared_folder
+from tickframe.llm import packing as P
 from tickframe.llm.packing import pack_documents, pack_shard
 from tickframe.llm.pretokens import TextIds
 from tickframe.llm.token_counts import count_tokens, whole_tokens
@@ -119,10 +122,63 @@ def test_packing_leaves_little_padding(spark):
 def test_neighbours_share_words():
     a, b = np.arange(100, 140), np.arange(500, 540)
     ids = [a, b, a + 0, b + 0, np.arange(900, 925)]
-    windows = list(pack_shard([x.astype("<u2") for x in ids], window=80))
+    windows = list(pack_shard(np.concatenate(ids).astype("<u2"), np.cumsum(list(map(len, ids))), window=80))
     assert {frozenset(d for d, *_ in w) for w in windows[:2]} == {frozenset({0, 2}), frozenset({1, 3})}
 
 
+def plain_bm25(ids):
+    """BM25 of every document to all distinct ids of every other, straight from the formula."""
+    n, mean = len(ids), np.mean([len(x) for x in ids])
+    df = Counter(t for x in ids for t in set(x.tolist()))
+    tf = [Counter(x.tolist()) for x in ids]
+    out = np.zeros((n, n))
+    for q in range(n):
+        for d in range(n):
+            k = P.K1 * (1 - P.B + P.B * len(ids[d]) / mean)
+            out[q, d] = sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[d][t] * (P.K1 + 1) / (tf[d][t] + k)
+                            for t in tf[q] if t in tf[d])
+    return out
+
+
+@pytest.mark.parametrize("common,dense", [(2, 10**6), (32, 10**6), (10**9, 10**6), (32, 1), (10**9, 200)])
+def test_scores_equal_plain_bm25_over_all_terms(monkeypatch, common, dense):
+    monkeypatch.setattr(P, "COMMON", common)
+    monkeypatch.setattr(P, "DENSE", dense)
+    rng = np.random.default_rng(7)
+    ids = [np.minimum(rng.zipf(1.3, rng.integers(1, 120)), 60_000).astype("<u2") for _ in range(60)]
+    ids += [ids[0], np.array([65_000], "<u2"), np.array([], "<u2")]
+    index = P.ShardIndex(np.concatenate(ids), np.cumsum(list(map(len, ids))))
+    want = plain_bm25(ids)
+    unused = np.ones(len(ids), bool)
+    unused[:40] = False
+    assert np.allclose(index.scores(np.arange(len(ids))), want, rtol=1e-4, atol=1e-5)
+    index.let_go(unused)
+    left = np.flatnonzero(unused)
+    got = index.scores(left)[:, left]
+    assert np.allclose(got, want[np.ix_(left, left)], rtol=1e-4, atol=1e-5)
+    for row, wanted in zip(got, want[np.ix_(left, left)]):  # the order too, up to rounding
+        assert (np.diff(wanted[np.argsort(-row, kind="stable")]) <= 1e-4 * wanted.max(initial=1)).all()
+
+
+def test_windows_take_the_best_unused_neighbours():
+    rng = np.random.default_rng(9)
+    ids = [np.minimum(rng.zipf(1.2, n), 5000).astype("<u2") for n in rng.integers(1, 90, 80)]
+    score, left = plain_bm25(ids), np.array([len(x) for x in ids])
+    whole = left.copy()
+    for pieces in P.pack_shard(np.concatenate(ids), np.cumsum(left), window=100):
+        room, seed = 100, pieces[0][0]
+        assert seed == max(np.flatnonzero(left), key=lambda d: (whole[d], -d))
+        for d, _, n in pieces[1:]:
+            room = 100 - sum(k for e, _, k in pieces[:pieces.index((d, _, n))])
+            taken = {e for e, *_ in pieces[:pieces.index((d, _, n))]}
+            better = [e for e in np.flatnonzero(left) if e not in taken and left[e] <= room
+                      and score[seed, e] > score[seed, d] + 1e-4]
+            assert not better or n < left[d]  # nothing better would have fitted, unless the window was topped up
+        for d, _, n in pieces:
+            left[d] -= n
+    assert not left.any()
+
+
 def test_registered_queries(spark):
     from tickframe.llm.queries import QUERIES
 

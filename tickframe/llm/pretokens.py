@@ -89,12 +89,12 @@ def _byte_symbols() -> dict[int, str]:
 class _Table(dict):
     """Remembers ``make(key)``."""
 
-    def __init__(self, make: Callable, known: dict | None = None):
+    def __init__(self, make: Callable, known: dict | None = None, limit: int = TABLE_LIMIT):
         super().__init__(known or {})
-        self.make, self.known = make, known or {}
+        self.make, self.known, self.limit = make, known or {}, limit
 
     def __missing__(self, key: str):
-        if len(self) >= TABLE_LIMIT + len(self.known):
+        if len(self) >= self.limit + len(self.known):
             self.clear()
             self.update(self.known)
         self[key] = value = self.make(key)
@@ -111,15 +111,16 @@ class TextIds:
     holds the counts of pre-tokens that need no merging.
     """
 
-    def __init__(self, path: str, count_only: bool = False, known: dict[str, int] | None = None):
+    def __init__(self, path: str, count_only: bool = False, known: dict[str, int] | None = None,
+                 limit: int = TABLE_LIMIT):
         self.splitter, self.count_only, self.known = Splitter(path), count_only, known or {}
         size = self.splitter.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.of = len if count_only else (lambda ids: np.array(ids, self.kind).tobytes())
         self.join = sum if count_only else b"".join
-        self.piece = _Table(lambda piece: self.of(self.splitter.merged(piece)), self.known)
-        self.bare = _Table(lambda chunk: self._chunk("", chunk, self.bare))
-        self.spaced = _Table(lambda chunk: self._chunk(" ", chunk, self.spaced))
+        self.piece = _Table(lambda piece: self.of(self.splitter.merged(piece)), self.known, limit)
+        self.bare = _Table(lambda chunk: self._chunk("", chunk, self.bare), limit=limit)
+        self.spaced = _Table(lambda chunk: self._chunk(" ", chunk, self.spaced), limit=limit)
 
     def _chunk(self, space: str, chunk: str, table: _Table):
         """A chunk's value; words, alone or before one mark, need no pattern."""
@@ -187,6 +188,6 @@ class TextIds:
         return np.split(flat, total[1:-1] // self.kind.itemsize)
 
 
-def text_ids(path: str) -> TextIds:
-    """The worker's table for a tokenizer file."""
-    return worker_state(("ids", path), lambda: TextIds(path))
+def text_ids(path: str, limit: int = TABLE_LIMIT) -> TextIds:
+    """The worker's table for a tokenizer file, of ``limit`` entries at most."""
+    return worker_state(("ids", path, limit), lambda: TextIds(path, limit=limit))
