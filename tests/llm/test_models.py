@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import zlib
 
 import numpy as np
@@ -322,3 +323,29 @@ def test_scores_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]]
     assert [x for _, x in scores[0]] == pytest.approx([x for _, x in scores[1]], rel=1e-12)
+
+
+def test_steps_keep_about_their_input_and_chunks_score_alike(spark, monkeypatch, tmp_path):
+    """A chunk's pairs are stored once, packed, and pairs seen once aren't answered to the texts they were seen in."""
+    texts = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    sizes, stored = {}, L.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        sizes[name] = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(L, "stored", watched)
+    scores = []
+    for files in (1, 5):
+        texts.repartition(files, "doc_id").write.parquet(path := f"{tmp_path}/{files}")
+        scores.append(dict((r.doc_id, r.score) for r in L.score_documents(spark.read.parquet(path)).collect()))
+        whole = sum(e.stat().st_size for e in os.scandir(path) if e.name.endswith(".parquet"))
+        assert sizes and max(sizes.values()) < 2 * whole
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+
+
+def test_numbers_are_squeezed_without_loss():
+    x = np.array([0, 1, -1, 2**62, 300, 7], np.int64)
+    assert (L.unsqueezed(L.squeezed(x)) == x).all() and L.squeezed(x[:0]) == b"" and len(L.unsqueezed(b"")) == 0
+    assert len(L.squeezed(np.ones(10000, np.int64))) < 200

@@ -12,17 +12,25 @@ one restaurant get up, with their tables, and are seated again one after
 another by the Chinese-restaurant weights, given everyone else (in growing
 groups once many sit). Random numbers are hashes of dish, sweep and step, so a rerun task or
 another partitioning seats alike. A dish with one customer always has one table, so only
-pairs (word, context) seen more often are sampled. Counts are keyed by pair;
+pairs (word, context) seen more often are sampled, and of the words only those
+that have more than one customer or are such a pair's context. Counts are keyed by pair;
 the tables per context and the customers per word are summed up after a sweep,
 stored, and joined back, so that the join can split a frequent word. The
 predictive probabilities of the kept sweeps are averaged.
 
-Scoring: a chunk (one input split) asks once for every word, every context and
-every pair it holds. The probability of a pair is its own share plus what the
-context leaves to the parent times the word's unigram probability, so the
-three are answered apart and meet the chunk's texts in one shuffle, sorted so
-that answers come first. No count, vocabulary or model table passes the driver
-or is broadcast.
+Counting: a chunk (one input split) sends its distinct pairs and words once, as
+packed columns dealt to hash buckets; a frequent word's pairs are spread over
+``SALTS`` keys. A bucket adds up the counts and stores the repeated pairs,
+the words, and by chunk which of them it asked for, as places in the bucket's lists.
+
+Scoring: after the sweeps a bucket answers the chunks' lists. The
+probability of a pair is its own share plus what the context leaves to the
+parent times the word's unigram probability, so pairs and words are answered
+apart and meet the chunk's texts in one shuffle, sorted so that answers come
+first. A pair seen once needs no answer in the text it was seen in: there an
+unanswered pair has count 1. In held-out texts it has count 0; a pair seen
+once is answered to the chunks whose held-out texts hold it. No count,
+vocabulary or model table passes the driver or is broadcast.
 
 * null or empty text: the end token only;
 * very long texts are scored whole; repeated rows score alike;
@@ -53,11 +61,16 @@ STRENGTH = 1.0
 END = 0x1E5D0F7E47  # the end token's number among the word hashes
 SEED = 97
 TRIALS = 4096  # of a dish at once, drawn one by one
-PAIR, WORD, CONTEXT, TEXT = range(4)  # kinds of asked keys, and texts after them
+PAIR, WORD, TEXT = range(3)  # kinds of answers, and texts after them
+REPEATED, LEXICON, ASKED = range(3)  # kinds of a bucket's stored rows: its pairs or its words, then what chunks asked
+BUCKETS, BUCKETS_A_CHUNK, SALTS = 4096, 16, 8
+HELD = 1 << 40  # what an occurrence in held-out text adds to a pair's count inside a chunk
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint64) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint64)
+_PLACES = 64  # places of a word whose random numbers are kept
+_NUMBERS = scramble((np.arange(_PLACES, dtype=np.uint64)[:, None] << np.uint64(8)) | _LOWER).ravel()
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +91,10 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = np.empty(0, np.uint64)
     if len(start):
         place = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
-        x = scramble((place.astype(np.uint64) << np.uint64(8)) | _LOWER[data[start[0]:]])
+        at, far = (place << 8) | data[start[0]:], place >= _PLACES
+        x = _NUMBERS[np.minimum(at, len(_NUMBERS) - 1)]
+        if far.any():
+            x[far] = scramble((place[far].astype(np.uint64) << np.uint64(8)) | _LOWER[at[far] & 255])
         x[space[start[0]:]] = 0
         words = scramble(np.add.reduceat(x, start - start[0]))
     sizes = np.diff(np.searchsorted(start, cut)) + 1
@@ -93,62 +109,198 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, context, sizes
 
 
-def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """A binary array whose rows hold ``sizes`` values each."""
-    ends = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+def squeezed(x: np.ndarray, kind="<i8") -> bytes:
+    """Small numbers in few bytes: compressed, all lowest bytes first."""
+    x = np.ascontiguousarray(x, kind)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True) if planes else b""
 
 
-def unpacked(column: pa.Array, kind) -> np.ndarray:
-    """The values of all rows of a binary array, end to end; nulls hold none."""
-    column = pc.fill_null(column, b"")
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    if not len(column) or ends[0] == ends[-1]:
+def unsqueezed(data: bytes, kind="<i8") -> np.ndarray:
+    if not data:
         return np.empty(0, kind)
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].copy().view(kind)
+    planes = pa.decompress(pa.py_buffer(data)[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     return scramble(scramble(word.view(np.uint64)) + context.view(np.uint64)).view(np.int64)
 
 
-def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context) with summed ``n``."""
-    order = np.lexsort((context, word))
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where the rows of the columns change."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
+
+
+def pair_buckets(word: np.ndarray, context: np.ndarray, buckets: int) -> np.ndarray:
+    salted = word.view(np.uint64) + (context.view(np.uint64) & np.uint64(SALTS - 1))
+    return scramble(salted) % np.uint64(buckets)
+
+
+def word_buckets(word: np.ndarray, buckets: int) -> np.ndarray:
+    return scramble(word.view(np.uint64)) % np.uint64(buckets)
+
+
+def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Pairs with summed ``n`` by bucket, in it by word.
+
+    The sort key holds parts of the hashes: equal pairs may be left apart, which costs a row, not a count.
+    """
+    key = (pair_buckets(word, context, buckets) << np.uint64(52)) | (
+        word.view(np.uint64) >> np.uint64(36) << np.uint64(24)) | (context.view(np.uint64) >> np.uint64(40))
+    order = np.argsort(key)
     word, context, n = word[order], context[order], n[order]
-    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])][:len(word)])
+    first = _runs(word, context)
     return word[first], context[first], np.add.reduceat(n, first) if len(n) else n
 
 
-def requests(docs: DataFrame) -> DataFrame:
-    """``(chunk, kind, w, ctx, n)``: the pairs a chunk holds and how often in training texts, its words, its contexts."""
+def _lexicon(word: np.ndarray, context: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The words and contexts of pairs with their numbers as words and as contexts, by bucket and hash."""
+    first = _runs(word)  # the pairs lie by word inside their buckets
+    as_word = np.add.reduceat(n, first) if len(n) else n
+    h, place = np.unique(np.concatenate([word[first], context]), return_inverse=True)
+    count = lambda at, n: np.bincount(at, n, len(h)).astype(np.int64)
+    n, m = count(place[:len(first)], as_word), count(place[len(first):], n)
+    order = np.argsort(word_buckets(h, buckets), kind="stable")
+    return h[order], n[order], m[order]
+
+
+REQUESTS = "bucket int, chunk long, w binary, ctx binary, n binary"
+
+
+def requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """A chunk's rows by bucket: its pairs with their numbers in training texts (twice that, one more if held-out texts
+    hold them); in the buckets from ``buckets`` on, its words with their numbers as words and as contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in by_size(batches, "t"):
             word, context, sizes = tokens(b.column("t"))
-            chunk = np.repeat(b.column("chunk").to_numpy(), sizes)
-            train = np.repeat(b.column("train").to_numpy(zero_copy_only=False), sizes).astype(np.int32)
-            for c in np.unique(chunk):
-                own = chunk == c
+            chunk = b.column("chunk").to_numpy()
+            n = np.repeat(np.where(b.column("train").to_numpy(zero_copy_only=False), 1, HELD), sizes)
+            names = np.unique(chunk)
+            for c in names:
+                own = slice(None) if len(names) == 1 else np.repeat(chunk == c, sizes)
                 parts = held.setdefault(int(c), [])
-                parts.append(_pairs(word[own], context[own], train[own]))
+                parts.append(_pairs(word[own], context[own], n[own], buckets))
                 if len(parts) >= 4 and sum(len(x[0]) for x in parts[1:]) > len(parts[0][0]):  # merge as they pile up
-                    parts[:] = [_pairs(*(np.concatenate(x) for x in zip(*parts)))]
+                    parts[:] = [_pairs(*(np.concatenate(x) for x in zip(*parts)), buckets)]
         for c in list(held):
-            w, ctx, n = _pairs(*(np.concatenate(x) for x in zip(*held.pop(c))))
-            words, contexts = w[np.r_[True, w[1:] != w[:-1]]], np.unique(ctx)
-            for kind, left, right, count in ((PAIR, w, ctx, n), (WORD, words, None, None), (CONTEXT, None, contexts, None)):
-                size = len(left if left is not None else right)
-                for i in range(0, size, 50_000):
-                    rows = min(50_000, size - i)
-                    part = lambda x, t: pa.nulls(rows, t) if x is None else pa.array(x[i:i + rows], t)  # noqa: B023, E731
+            w, ctx, n = _pairs(*(np.concatenate(x) for x in zip(*held.pop(c))), buckets)
+            seen = n & (HELD - 1)
+            yield from rows(c, pair_buckets(w, ctx, buckets), w, ctx, 2 * seen + (n >= HELD), np.ndarray.tobytes)
+            h, n, m = _lexicon(w, ctx, seen, buckets)
+            yield from rows(c, word_buckets(h, buckets) + np.uint64(buckets), h, m, n, squeezed)
+
+    def rows(chunk: int, bucket: np.ndarray, w: np.ndarray, ctx: np.ndarray, n: np.ndarray,
+             of_ctx: Callable) -> Iterator[pa.RecordBatch]:
+        first = _runs(bucket)
+        ends = np.r_[first[1:], len(bucket)]
+        for k in range(0, len(first), 64):
+            lo = first[k:k + 64]
+            cut = list(zip(lo.tolist(), ends[k:k + 64].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[lo].astype(np.int32)), pa.array(np.full(len(lo), chunk, np.int64)),
+                 *(pa.array([of(x[i:j]) for i, j in cut], pa.binary())
+                   for x, of in ((w, np.ndarray.tobytes), (ctx, of_ctx), (n, squeezed)))],
+                names=["bucket", "chunk", "w", "ctx", "n"])
+
+    return docs.select("chunk", "train", "t").mapInArrow(run, REQUESTS)
+
+
+COUNTED = "bucket int, kind int, chunk long, a binary, b binary, c binary, x long, y long"
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one bucket after another; they come sorted by bucket."""
+    held, bucket = [], None
+    for b in batches:
+        own = b.column("bucket").to_numpy()
+        first = _runs(own)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
+            if held and own[lo] != bucket:
+                yield bucket, pa.Table.from_batches(held)
+                held = []
+            bucket = int(own[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield bucket, pa.Table.from_batches(held)
+
+
+def _hashes(rows: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), "<i8")
+
+
+def _counts(rows: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, "<i8"), *map(unsqueezed, rows.column(name).to_pylist())])
+
+
+def counted(asked: DataFrame, buckets: int) -> DataFrame:
+    """A bucket's rows: ``REPEATED``: the pairs counted more than once (``a, b, c``: word, context, count; ``x``: how
+    many have count 2, ``y``: all their counts), ``LEXICON``: its words (hash, numbers as word and as context; ``x``: how
+    many are counted as words, ``y``: their counts), and by chunk ``ASKED``: places in these lists (``a``) and the keys
+    of pairs counted once that its held-out texts hold (``b``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_bucket(batches):
+            w, n = _hashes(rows, "w"), _counts(rows, "n")
+            chunks = rows.column("chunk").to_pylist()
+            cut = np.cumsum([len(x) // 8 for x in rows.column("w").to_pylist()])
+            out = []
+            if bucket < buckets:
+                ctx = _hashes(rows, "ctx")
+                order = np.lexsort((ctx, w))
+                first = _runs(w[order], ctx[order])
+                c = np.add.reduceat(n[order] >> 1, first)
+                repeated = c > 1
+                group = np.empty(len(w), np.int64)
+                group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
+                place = np.where(repeated, np.cumsum(repeated) - 1, -1)[group]
+                once = (c == 1)[group] & (n & 1 == 1)
+                first = order[first[repeated]]
+                c = c[repeated]
+                out.append((REPEATED, None, w[first].tobytes(), ctx[first].tobytes(), squeezed(c),
+                            int((c == 2).sum()), int(c.sum())))
+                for chunk, lo, hi in zip(chunks, [0, *cut[:-1]], cut):
+                    own, single = place[lo:hi], np.flatnonzero(once[lo:hi]) + lo
+                    out.append((ASKED, chunk, squeezed(np.diff(np.sort(own[own >= 0]), prepend=0)),
+                                pair_keys(w[single], ctx[single]).tobytes(), b"", 0, 0))
+            else:
+                h, place = np.unique(w, return_inverse=True)
+                n, m = (np.bincount(place, x, len(h)).astype(np.int64) for x in (n, _counts(rows, "ctx")))
+                out.append((LEXICON, None, h.tobytes(), squeezed(n), squeezed(m),
+                            int((n > 0).sum()), int(n.sum())))
+                for chunk, lo, hi in zip(chunks, [0, *cut[:-1]], cut):
+                    out.append((ASKED, chunk, squeezed(np.diff(np.sort(place[lo:hi]), prepend=0)), b"", b"", 0, 0))
+            kind, chunk, a, b, c, x, y = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(out), bucket, np.int32)), pa.array(kind, pa.int32()), pa.array(chunk, pa.int64()),
+                 *(pa.array(v, pa.binary()) for v in (a, b, c)), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
+                names=["bucket", "kind", "chunk", "a", "b", "c", "x", "y"])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
+
+
+def rows_of(lists: DataFrame, kind: int, *names: str, least: int = 0) -> DataFrame:
+    """``(bucket, *names)``: the stored lists of a kind as rows; those whose last two numbers are less than ``least`` go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                a, m = np.frombuffer(row["a"], "<i8"), unsqueezed(row["c"])
+                n = np.frombuffer(row["b"], "<i8") if kind == REPEATED else unsqueezed(row["b"])
+                some = np.flatnonzero((n >= least) | (m >= least)) if least else np.arange(len(a))
+                for lo in range(0, len(some), 50_000):
+                    at = some[lo:lo + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(rows, c, np.int64)), pa.array(np.full(rows, kind, np.int32)),
-                         part(left, pa.int64()), part(right, pa.int64()), part(count, pa.int32())],
-                        names=["chunk", "kind", "w", "ctx", "n"])
+                        [pa.array(np.full(len(at), row["bucket"], np.int32)), *(pa.array(v[at]) for v in (a, n, m))],
+                        names=["bucket", *names])
 
-    return docs.select("chunk", "train", "t").mapInArrow(run, "chunk long, kind int, w long, ctx long, n int")
+    return lists.filter(F.col("kind") == kind).select("bucket", "a", "b", "c").mapInArrow(
+        run, "bucket int, " + ", ".join(f"{c} long" for c in names))
 
 
 @dataclass
@@ -185,11 +337,14 @@ def discount_of(once: int | None, twice: int | None) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def totals(words: DataFrame, discount: float) -> Totals:
+def totals(words: DataFrame, discount: float, vocabulary: int) -> Totals:
+    """Of the ``words`` at hand and the rest of the vocabulary, words with one customer."""
     c1, t1, n, once, twice = words.agg(
-        F.sum("c1"), F.sum("t1"), F.count("w"), F.sum((F.col("c1") == 1).cast("long")),
+        F.sum("c1"), F.sum("t1"), F.sum((F.col("c1") > 0).cast("long")), F.sum((F.col("c1") == 1).cast("long")),
         F.sum((F.col("c1") == 2).cast("long"))).first()
-    return Totals(NONE, NONE, c1 or 0, t1 or 0, n, discount, discount_of(once, twice))
+    rest = vocabulary - (n or 0)
+    return Totals(NONE, NONE, (c1 or 0) + rest, (t1 or 0) + rest, vocabulary, discount,
+                  discount_of((once or 0) + rest, twice or 0))
 
 
 class Draws:
@@ -269,10 +424,10 @@ def _numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-PAIRS = "w long, ctx long, c long, t long, sum long"
+PAIRS = "bucket int, w long, ctx long, c long, t long, sum long"
 
 
-def sweep(pairs: DataFrame, contexts: DataFrame, words: DataFrame, shared: Totals, number: int, keep: bool) -> DataFrame:
+def sweep(pairs: DataFrame, words: DataFrame, shared: Totals, number: int, keep: bool) -> DataFrame:
     """The pairs seated anew; ``sum``: their tables in the kept sweeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +435,22 @@ def sweep(pairs: DataFrame, contexts: DataFrame, words: DataFrame, shared: Total
             c, t, total, tables, c1, t1 = _numbers(b, "c", "t", "sum", "tables", "c1", "t1")
             t = seat_pairs(c, t, tables, c1, t1, shared, Draws(2 * number, *_numbers(b, "w", "ctx")))
             yield pa.RecordBatch.from_arrays(
-                [b.column("w"), b.column("ctx"), b.column("c"), pa.array(t), pa.array(total + t if keep else total)],
-                names=["w", "ctx", "c", "t", "sum"])
+                [b.column("bucket"), b.column("w"), b.column("ctx"), b.column("c"), pa.array(t),
+                 pa.array(total + t if keep else total)], names=["bucket", "w", "ctx", "c", "t", "sum"])
+
+    small = lambda *c: words.select(*c).hint("shuffle_hash")  # noqa: E731  # a word's row stands once
+    met = pairs.join(small(F.col("w").alias("ctx"), "tables"), "ctx").join(small("w", "c1", "t1"), "w")
+    return met.select("bucket", "w", "ctx", "c", "t", "sum", "tables", "c1", "t1").mapInArrow(run, PAIRS)
 
-    met = pairs.join(contexts.select("ctx", "tables"), "ctx").join(words.select("w", "c1", "t1"), "w")
-    return met.select("w", "ctx", "c", "t", "sum", "tables", "c1", "t1").mapInArrow(run, PAIRS)
+
+def with_tables(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Words with their customers ``c1`` and, as contexts, ``tables``: those of pairs counted once and of ``pairs``."""
+    ends = F.explode(F.array(F.struct(F.col("w").alias("w"), F.col("t").alias("more1"), F.lit(0).cast("long").alias("more")),
+                             F.struct(F.col("ctx").alias("w"), F.lit(0).cast("long").alias("more1"), F.col("t").alias("more"))))
+    more = pairs.select(ends.alias("e")).groupBy("e.w").agg(F.sum("e.more1").alias("more1"), F.sum("e.more").alias("more"))
+    add = lambda c, old: F.coalesce(F.col(c), F.lit(0)) + F.col(old)
+    return words.join(more.hint("shuffle_hash"), "w", "left").withColumns(
+        {"c1": add("more1", "once1"), "tables": add("more", "once")}).drop("more1", "more")
 
 
 def seat_words(words: DataFrame, shared: Totals, number: int) -> DataFrame:
@@ -300,65 +466,79 @@ def seat_words(words: DataFrame, shared: Totals, number: int) -> DataFrame:
     return words.mapInArrow(run, words.schema)
 
 
-def answers(asked: DataFrame, counts: DataFrame, pairs: DataFrame, contexts: DataFrame, words: DataFrame,
-            kept: list[Totals]) -> DataFrame:
-    """``(chunk, kind, key, v)``, packed by chunk. A pair's ``v``: its customers less discounts; a word's: its count
-    and unigram probability in each kept sweep; a context's: 1 over its customers and the strength, and what it
-    leaves to the parent in each."""
-    shared = kept[-1]
-    nothing = F.lit(None).cast("double")
-    column = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ask = lambda kind, *c: asked.filter(F.col("kind") == kind).select("chunk", "kind", *c)
-    seen = counts.filter("c = 1").select("w", "ctx", F.lit(1.0 - shared.discount).alias("v0")).unionByName(
-        pairs.select("w", "ctx", (F.col("c") - shared.discount / len(kept) * F.col("sum")).alias("v0")))
-    rows = ask(PAIR, "w", "ctx").join(seen, ["w", "ctx"]).select(
-        "chunk", "kind", "w", "ctx", "v0", *[nothing.alias(f"v{k}") for k in range(1, len(kept) + 1)])
-    by_word = ask(WORD, "w").join(words, "w", "left")
-    prob = [(column(f"c1_{k}") - x.discount1 * column(f"t1_{k}") + (STRENGTH + x.discount1 * x.tables1) * x.floor)
-            / (x.customers1 + STRENGTH) if x.customers1 else F.lit(1.0) for k, x in enumerate(kept)]
-    rows = rows.unionByName(by_word.select(
-        "chunk", "kind", "w", F.lit(None).cast("long").alias("ctx"), column("n").cast("double").alias("v0"),
-        *[p.alias(f"v{k + 1}") for k, p in enumerate(prob)]))
-    by_context = ask(CONTEXT, "ctx").join(contexts, "ctx", "left")
-    size = column("customers") + STRENGTH
-    rows = rows.unionByName(by_context.select(
-        "chunk", "kind", F.lit(None).cast("long").alias("w"), "ctx", (1 / size).alias("v0"),
-        *[((STRENGTH + shared.discount * column(f"tables_{k}")) / size).alias(f"v{k + 1}") for k in range(len(kept))]))
+def answers(lists: DataFrame, pairs: DataFrame, words: DataFrame, kept: int, buckets: int) -> DataFrame:
+    """``(chunk, kind, key, v)``, packed by bucket and chunk. A pair's ``v``: its customers and its tables in the kept
+    sweeps; a word's: its numbers as a word and as a context, then customers, tables, and tables as a context in each."""
+    k = kept
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    final = lambda df, ctx, *v: df.select(
+        "bucket", F.lit(-1).alias("kind"), empty("chunk", "long"), *[empty(c, "binary") for c in "abc"], "w", ctx,
+        F.array(*v).alias("v"))
+    rows = lists.filter(F.col("kind") != REPEATED).select(
+        "bucket", "kind", "chunk", "a", "b", "c", empty("w", "long"), empty("ctx", "long"), empty("v", "array<long>"))
+    rows = rows.unionByName(final(pairs, "ctx", "c", "sum")).unionByName(final(
+        words, empty("ctx", "long"), *[f"{c}_{i}" for c in ("c1", "t1", "tables") for i in range(k)]))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "w", "ctx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            chunk, kind = _numbers(b, "chunk", "kind")
-            for k in np.unique(kind):  # one row per chunk in the batch
-                at = np.flatnonzero(kind == k)
-                at = at[np.argsort(chunk[at], kind="stable")]
-                own = b.take(pa.array(at))
-                names, size = np.unique(chunk[at], return_counts=True)
-                w, ctx = (pc.fill_null(own.column(c), 0).to_numpy() for c in ("w", "ctx"))
-                key = pair_keys(w, ctx) if k == PAIR else w if k == WORD else ctx
-                v = np.stack(_numbers(own, *(["v0"] if k == PAIR else [f"v{i}" for i in range(len(kept) + 1)])), 1)
+        for bucket, held in by_bucket(batches):
+            kind = held.column("kind").to_numpy()
+            seated, asked = held.filter(pa.array(kind == -1)), held.filter(pa.array(kind == ASKED))
+            w, width = seated.column("w").to_numpy(), 2 if bucket < buckets else 3 * k
+            v = seated.column("v").combine_chunks()
+            v = (v.flatten().to_numpy() if len(w) else np.empty(0, np.int64)).reshape(-1, width).T
+            if bucket < buckets:
+                key = pair_keys(w, seated.column("ctx").to_numpy())
+            else:
+                listed = held.filter(pa.array(kind == LEXICON))
+                key, n, m = _hashes(listed, "a"), _counts(listed, "b"), _counts(listed, "c")
+                # a word that took no part has one customer at most, and as a context one table
+                whole = np.stack([n, m, *[x for x in (n, np.minimum(n, 1), m) for _ in range(k)]])
+                whole[2:, np.searchsorted(key, w)] = v
+                v = whole
+            out = []
+            for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+                at, once = np.cumsum(unsqueezed(a)), np.ones((len(v), len(b) // 8), np.int64)
+                out.append((key[at].tobytes() + b, squeezed(np.concatenate([v[:, at], once], 1).ravel())))
+            if out:
+                keys, values = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array(np.full(len(names), k, np.int32)), packed(key, size),
-                     packed(v.ravel(), size * v.shape[1])], names=["chunk", "kind", "key", "v"])
+                    [asked.column("chunk").combine_chunks(), pa.array(np.full(len(out), PAIR if bucket < buckets else WORD, np.int32)),
+                     pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["chunk", "kind", "key", "v"])
 
     return rows.mapInArrow(run, "chunk long, kind int, key binary, v binary")
 
 
-def score_texts(docs: DataFrame, told: DataFrame, n_train: int, vocabulary: int) -> DataFrame:
+def score_texts(docs: DataFrame, told: DataFrame, n_train: int, kept: list[Totals]) -> DataFrame:
     """Texts meet the answers of their chunk: one shuffle, answers first."""
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    rows = told.select("chunk", "kind", "key", "v", empty("id", "long"), empty("t", "string"))
+    rows = told.select("chunk", "kind", "key", "v", empty("id", "long"), empty("t", "string"), empty("train", "boolean"))
     rows = rows.unionByName(docs.select("chunk", F.lit(TEXT).alias("kind"), empty("key", "binary"), empty("v", "binary"),
-                                        "id", "t"))
+                                        "id", "t", "train"))
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
-    base = n_train + 0.5 * (vocabulary + 1)
+    k, discount, base = len(kept), kept[-1].discount, n_train + 0.5 * (kept[-1].words + 1)
 
     def table(waiting: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys and their values."""
-        key, v = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.empty(0, np.int64), NONE)
+        """Sorted keys and their numbers."""
+        key, v = ([np.empty(0, np.int64)], [np.empty((width, 0), np.int64)])
+        for x, y in waiting:
+            key.append(np.frombuffer(x, "<i8"))
+            v.append(unsqueezed(y).reshape(width, -1))
+        key, v = np.concatenate(key), np.concatenate(v, 1)
         order = np.argsort(key)
-        return key[order], v.reshape(-1, width)[order]
+        return key[order], v[:, order]
+
+    def shares(v: np.ndarray) -> np.ndarray:
+        """Of pairs: their customers less discounts."""
+        return np.where(v[0] == 1, 1.0 - discount, v[0] - discount / k * v[1])
+
+    def of_words(v: np.ndarray) -> np.ndarray:
+        """A word's count and unigram probability in each kept sweep; as a context, 1 over its customers and the strength,
+        and what it leaves to the parent in each."""
+        n, m = v[:2]
+        return np.stack(
+            [n, *[x.unigram(v[2 + i], v[2 + k + i]) for i, x in enumerate(kept)], 1 / (m + STRENGTH),
+             *[(STRENGTH + discount * v[2 + 2 * k + i]) / (m + STRENGTH) for i in range(k)]], 1)
 
     def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         at = np.searchsorted(keys, wanted)
@@ -372,26 +552,33 @@ def score_texts(docs: DataFrame, told: DataFrame, n_train: int, vocabulary: int)
             chunks, kinds = _numbers(whole, "chunk", "kind")
             cut = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(chunks)]):
-                b = whole.take(pa.array(np.arange(lo, hi)))
+                b = whole if hi - lo == whole.num_rows else whole.take(pa.array(np.arange(lo, hi)))
                 if not b.num_rows:
                     continue
                 if chunks[lo] != chunk:
-                    chunk, waiting, tables = chunks[lo], ([], [], []), None
+                    chunk, waiting, tables = chunks[lo], ([], []), None
                 if kinds[lo] != TEXT:
-                    waiting[kinds[lo]].append((unpacked(b.column("key"), np.int64), unpacked(b.column("v"), np.float64)))
+                    waiting[kinds[lo]].extend(zip(b.column("key").to_pylist(), b.column("v").to_pylist()))
                     continue
                 if tables is None:
-                    tables = [table(waiting[PAIR], 1), table(waiting[WORD], KEPT + 1), table(waiting[CONTEXT], KEPT + 1)]
-                    waiting = None
-                (pairs, own), (words, of_word), (contexts, of_context) = tables
+                    (pairs, own), (words, of_word) = table(waiting[PAIR], 2), table(waiting[WORD], 2 + 3 * k)
+                    tables, waiting = (pairs, shares(own), words, of_words(of_word)), None
+                pairs, own, words, of_word = tables
                 word, context, sizes = tokens(b.column("t"))
-                w, x = find(words, word), find(contexts, context)
-                p = sum(of_word[w, k] * of_context[x, k] for k in range(1, KEPT + 1)) / KEPT
+                first = np.cumsum(sizes) - sizes
+                w = find(words, word)
+                x = np.r_[0, w[:-1]]  # a context is the word before
+                x[first] = find(words, np.array([START]))
+                p = sum(of_word[w, i] * of_word[x, k + 1 + i] for i in range(1, k + 1)) / k
+                share = np.repeat(np.where(_numbers(b, "train")[0].astype(bool), 1.0 - discount, 0.0), sizes)
                 if len(pairs):
                     key = pair_keys(word, context)
+                    order = np.argsort(key)  # in order, the search stays in the processor's cache
+                    key = key[order]
                     at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    p += np.where(pairs[at] == key, own[at, 0], 0) * of_context[x, 0]
-                first = np.cumsum(sizes) - sizes
+                    told = np.flatnonzero(pairs[at] == key)
+                    share[order[told]] = own[at[told]]
+                p += share * of_word[x, k + 1]
                 c = of_word[w, 0]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), pa.array(sizes),
@@ -436,46 +623,44 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         data = stored(data, "lm-texts")
     # a chunk is an input split, so that a task asks once for all its texts
     data = data.withColumn("chunk", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    asked = stored(requests(data), "lm-asked")
-    counts = asked.filter(F.col("n") > 0).groupBy("w", "ctx").agg(F.sum("n").alias("c"))
-    counts = stored(counts.sortWithinPartitions("w", "ctx"), "lm-counts")  # smaller files than in any order
+    buckets = min(BUCKETS, BUCKETS_A_CHUNK * max(data.rdd.getNumPartitions(), 1))
+    lists = stored(counted(requests(data, buckets), buckets), "lm-lists")
     release(spark)
-    once = F.sum((F.col("c") == 1).cast("long")).alias("once")
+    found = {r.kind: r for r in lists.filter(F.col("kind") != ASKED).groupBy("kind").agg(
+        F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    of = lambda kind, c: found[kind][c] if kind in found else 0
+    n_train, vocabulary = of(LEXICON, "y"), of(LEXICON, "x")
+    discount = discount_of(n_train - of(REPEATED, "y"), of(REPEATED, "x"))
     # a restaurant's tables start as one for every dish; those of dishes with one customer stay
-    words0 = stored(counts.groupBy("w").agg(F.sum("c").alias("n"), once, F.count("c").alias("c1")), "lm-words")
-    contexts0 = stored(counts.groupBy("ctx").agg(F.sum("c").alias("customers"), once, F.count("c").alias("tables")),
-                       "lm-contexts")
-    pairs = stored(counts.filter("c > 1").withColumns({"t": F.lit(1).cast("long"), "sum": F.lit(0).cast("long")}),
-                   "lm-pairs-0")
-    words, contexts = words0.withColumn("t1", F.lit(1).cast("long")), contexts0
-    single, double = counts.agg(once, F.sum((F.col("c") == 2).cast("long"))).first()
-    shared, kept = totals(words, discount_of(single, double)), []
-    n_train, vocabulary = words0.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("w")).first()
-    add = lambda c, old: F.coalesce(F.col("more"), F.lit(0)) + F.col(old)
+    pairs = stored(rows_of(lists, REPEATED, "w", "ctx", "c").withColumns(
+        {"t": F.lit(1).cast("long"), "sum": F.lit(0).cast("long")}), "lm-pairs-0")
+    words = rows_of(lists, LEXICON, "w", "n", "m", least=2)  # the others have one customer at most, and no repeated pair
+    words = with_tables(words.select("bucket", "w", F.col("n").alias("once1"), F.col("m").alias("once")),
+                        pairs.select("w", "ctx", (-F.col("c")).alias("t")))
+    words = words.select("bucket", "w", F.col("c1").alias("once1"), F.col("tables").alias("once"))
+    words = stored(with_tables(words, pairs).withColumn("t1", F.least(F.lit(1).cast("long"), "c1")), "lm-words-0")
+    release(spark)
+    shared, kept = totals(words, discount, vocabulary), []
     for k in range(1, BURN_IN + KEPT + 1):
-        after = stored(sweep(pairs, contexts, words, shared, k, k > BURN_IN), f"lm-pairs-{k}")
+        after = stored(sweep(pairs, words, shared, k, k > BURN_IN), f"lm-pairs-{k}")
         dropped(spark, pairs)
         pairs = after
-        more = pairs.groupBy("ctx").agg(F.sum("t").alias("more"))
-        new = contexts.join(more, "ctx", "left").withColumn("tables", add("more", "once")).drop("more")
-        if k > BURN_IN:
-            new = new.withColumn(f"tables_{len(kept)}", F.col("tables"))
-        after = stored(new, f"lm-contexts-{k}")
-        dropped(spark, contexts)
-        contexts = after
-        more = pairs.groupBy("w").agg(F.sum("t").alias("more"))
-        new = words.join(more, "w", "left").withColumn("c1", add("more", "once")).drop("more")
+        release(spark)
+        new = with_tables(words.drop("c1", "tables"), pairs)
         new = seat_words(new.withColumn("t1", F.least("t1", "c1")), shared, k)
         if k > BURN_IN:
-            new = new.withColumns({f"c1_{len(kept)}": F.col("c1"), f"t1_{len(kept)}": F.col("t1")})
+            new = new.withColumns({f"{c}_{len(kept)}": F.col(c) for c in ("c1", "t1", "tables")})
         after = stored(new, f"lm-words-{k}")
         dropped(spark, words)
         words = after
         release(spark)
-        shared = totals(words, shared.discount)
+        shared = totals(words, shared.discount, vocabulary)
         if k > BURN_IN:
             kept.append(replace(shared))
-    scored = score_texts(data, answers(asked, counts, pairs, contexts, words, kept), n_train, vocabulary)
+    told = stored(answers(lists, pairs, words, len(kept), buckets), "lm-answers")
+    dropped(spark, lists, pairs, words)
+    release(spark)
+    scored = score_texts(data, told, n_train, kept)
     return scored.select(
         F.col("id").alias(id_col), (~training_part(F.col("id"), parts, part)).alias("held_out"), "n_tokens", "n_known",
         F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
