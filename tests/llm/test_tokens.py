@@ -190,3 +190,20 @@ def test_registered_queries(spark):
     files = {r.doc_id: r for r in QUERIES["op5_token_files"](spark, SF_SMALL).collect()}
     assert all(files[i].n_tokens == counts[i].n_tokens + 1 for i in docs)
     check_pieces(QUERIES["op6_packing"](spark, SF_SMALL).filter(F.col("doc_id") >= 0).collect(), docs)
+
+
+def test_new_ascii_words_are_merged_without_translation():
+    """Letters stand for themselves in the byte alphabet; other pre-tokens still go through it."""
+    import public_tokenizers
+
+    from tickframe.llm.pretokens import Splitter
+
+    class Untouched(dict):
+        def __getitem__(self, k):
+            raise AssertionError("translated")
+
+    splitter = Splitter(public_tokenizers.path("word_bpe_49k.json"))
+    want = [splitter.tokenizer.encode(w, add_special_tokens=False).ids for w in ("thanha", "über", "!?", "9")]
+    assert [splitter.merged(w) for w in ("thanha", "über", "!?", "9")] == want
+    splitter.symbols = Untouched()
+    assert splitter.merged("thanha") == want[0]

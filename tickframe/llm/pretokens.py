@@ -14,6 +14,7 @@ import itertools
 import json
 import os
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -44,6 +45,7 @@ class Splitter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.symbols = _byte_symbols()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -76,7 +78,9 @@ class Splitter:
 
     def merged(self, piece: str) -> list[int]:
         """The ids of one pre-token, merged by the library's model without splitting again."""
-        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]
+        if not (piece.isalpha() and piece.isascii()):  # ASCII letters stand for themselves
+            piece = piece.encode().decode("latin-1").translate(self.symbols)
+        return [t.id for t in self.tokenize(piece)]
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -91,10 +95,10 @@ class _Table(dict):
 
     def __init__(self, make: Callable, known: dict | None = None, limit: int = TABLE_LIMIT):
         super().__init__(known or {})
-        self.make, self.known, self.limit = make, known or {}, limit
+        self.make, self.known, self.limit = make, known or {}, limit + len(known or {})
 
     def __missing__(self, key: str):
-        if len(self) >= self.limit + len(self.known):
+        if len(self) >= self.limit:
             self.clear()
             self.update(self.known)
         self[key] = value = self.make(key)
@@ -116,7 +120,8 @@ class TextIds:
         self.splitter, self.count_only, self.known = Splitter(path), count_only, known or {}
         size = self.splitter.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.of = len if count_only else (lambda ids: np.array(ids, self.kind).tobytes())
+        code = "H" if size <= 1 << 16 else "I"
+        self.of = len if count_only else (lambda ids: struct.pack(f"<{len(ids)}{code}", *ids))
         self.join = sum if count_only else b"".join
         self.piece = _Table(lambda piece: self.of(self.splitter.merged(piece)), self.known, limit)
         self.bare = _Table(lambda chunk: self._chunk("", chunk, self.bare), limit=limit)
@@ -125,7 +130,7 @@ class TextIds:
     def _chunk(self, space: str, chunk: str, table: _Table):
         """A chunk's value; words, alone or before one mark, need no pattern."""
         if chunk.isalpha():
-            known = self.known.get(space + chunk)
+            known = self.known.get(space + chunk) if self.known else None
             return self.of(self.splitter.merged(space + chunk)) if known is None else known
         if chunk[-1:] in MARKS and chunk[:-1].isalpha():
             return self.join((table[chunk[:-1]], self.piece[chunk[-1]]))
