@@ -345,6 +345,54 @@ def test_steps_keep_about_their_input_and_chunks_score_alike(spark, monkeypatch,
     assert scores[0] == pytest.approx(scores[1], rel=1e-12)
 
 
+def test_answers_go_out_without_names(spark, monkeypatch, tmp_path):
+    """A chunk's pairs lie in one order whenever it is read, so that an answer needs no hash of its pair."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 60, 400))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path := f"{tmp_path}/docs")
+    stored, packed = L.stored, []
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "lm-answers":
+            packed.extend(sum(len(x) for x in r if isinstance(x, (bytes, bytearray))) for r in out.filter("kind = 0").collect())
+        return out
+
+    monkeypatch.setattr(L, "stored", watched)
+    check_scores(L.score_documents(spark.read.parquet(path)).collect(), dict(rows))
+    pairs = {p for _, t in rows for w in [t.split()] for p in zip(w, w[1:])}
+    assert len(pairs) > 3000 and sum(packed) < 6 * len(pairs)
+
+
+def test_pairs_lie_in_one_order():
+    """Also those whose hashes agree in the parts that are sorted first."""
+    rng = np.random.default_rng(6)
+    word = (rng.integers(0, 3, 5000) << 40) + rng.integers(0, 4, 5000)
+    context = (rng.integers(-2, 2, 5000) << 45) + 8 * rng.integers(0, 4, 5000)
+    count = collections.Counter(zip(word.tolist(), context.tolist()))
+    lists = []
+    for _ in range(2):
+        order = rng.permutation(5000)
+        lists.append(L._pairs(word[order], context[order], np.ones(5000, np.int64), 4))
+    for x, y in zip(*lists):
+        assert (x == y).all()
+    w, ctx, n = (x.tolist() for x in lists[0])
+    assert len(w) == len(count) and dict(zip(zip(w, ctx), n)) == count
+    some = rng.random(len(w)) < 0.3  # a part of the pairs lies as the whole does
+    assert (lists[0][0][some][L.pair_order(lists[0][0][some], lists[0][1][some], 4)] == lists[0][0][some]).all()
+
+
+def test_pairs_merged_in_parts_are_those_of_the_whole():
+    word, context, _ = L.tokens(pa.array(["a b a b c", "b a", None, "c " * 50, "a b"] * 3))
+    n = np.arange(len(word)) % 2
+    whole = L._pairs(word, context, n, 16)
+    parts = [L._pairs(word[i::3], context[i::3], n[i::3], 16) for i in range(3)]
+    for x, y in zip(whole, L._pairs(*(np.concatenate(x) for x in zip(*parts)), 16)):
+        assert (x == y).all()
+    h, place, start = L._lexicon(whole[0], 16)
+    assert (h[place] == whole[0]).all() and h[start] == L.START and sorted(h) == sorted({*word.tolist(), L.START})
+
+
 def test_numbers_are_squeezed_without_loss():
     x = np.array([0, 1, -1, 2**62, 300, 7], np.int64)
     assert (L.unsqueezed(L.squeezed(x)) == x).all() and L.squeezed(x[:0]) == b"" and len(L.unsqueezed(b"")) == 0

@@ -23,20 +23,19 @@ packed columns dealt to hash buckets; a frequent word's pairs are spread over
 ``SALTS`` keys. A bucket adds up the counts and stores the repeated pairs,
 the words, and by chunk which of them it asked for, as places in the bucket's lists.
 
-Scoring: after the sweeps a bucket answers the chunks' lists. The
-probability of a pair is its own share plus what the context leaves to the
-parent times the word's unigram probability, so pairs and words are answered
-apart and meet the chunk's texts in one shuffle, sorted so that answers come
-first. A pair seen once needs no answer in the text it was seen in: there an
-unanswered pair has count 1. In held-out texts it has count 0; a pair seen
-once is answered to the chunks whose held-out texts hold it. No count,
-vocabulary or model table passes the driver or is broadcast.
+Scoring: after the sweeps a bucket answers the chunks' lists, in their order
+and without names. The probability of a pair is its own share plus what the
+context leaves to the parent times the word's unigram probability, so pairs and
+words are answered apart. The chunk is read again, and its pairs, sorted as
+before, say which answer is whose: its texts go out as places in its list of
+pairs and meet the answers in one shuffle, sorted so that answers come first.
+No count, vocabulary or model table passes the driver or is broadcast.
 
 * null or empty text: the end token only;
 * very long texts are scored whole; repeated rows score alike;
 * null ids are held out; without training text every token has probability 1;
 * an empty table gives no rows; other columns, whatever their names, are not read;
-* words are told apart by 64-bit hashes, and so are a chunk's pairs.
+* words are told apart by 64-bit hashes, pairs by those of both words.
 """
 
 from __future__ import annotations
@@ -61,10 +60,11 @@ STRENGTH = 1.0
 END = 0x1E5D0F7E47  # the end token's number among the word hashes
 SEED = 97
 TRIALS = 4096  # of a dish at once, drawn one by one
-PAIR, WORD, TEXT = range(3)  # kinds of answers, and texts after them
+PAIR, WORD, NAMES, TEXT = range(4)  # kinds of answers; after them the words of a chunk's pairs, and its texts
 REPEATED, LEXICON, ASKED = range(3)  # kinds of a bucket's stored rows: its pairs or its words, then what chunks asked
 BUCKETS, BUCKETS_A_CHUNK, SALTS = 4096, 16, 8
-HELD = 1 << 40  # what an occurrence in held-out text adds to a pair's count inside a chunk
+AT_ONCE = 1 << 22  # tokens of a chunk that are sorted together before their pairs are merged with earlier ones
+PACKED = 1 << 19  # tokens of texts that are packed together
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -103,10 +103,15 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(out), bool)
     inside[ends - 1] = False
     out[inside] = words.astype(np.int64)
-    context = np.empty(len(out), np.int64)
-    context[1:] = out[:-1]
-    context[ends - sizes] = START
-    return out, context, sizes
+    return out, contexts(out, sizes), sizes
+
+
+def contexts(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each, ``START`` for a text's first."""
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(sizes) - sizes] = START
+    return context
 
 
 def squeezed(x: np.ndarray, kind="<i8") -> bytes:
@@ -123,10 +128,6 @@ def unsqueezed(data: bytes, kind="<i8") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return scramble(scramble(word.view(np.uint64)) + context.view(np.uint64)).view(np.int64)
-
-
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Where the rows of the columns change."""
     new = np.ones(len(columns[0]), bool)
@@ -144,55 +145,89 @@ def word_buckets(word: np.ndarray, buckets: int) -> np.ndarray:
     return scramble(word.view(np.uint64)) % np.uint64(buckets)
 
 
-def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """Pairs with summed ``n`` by bucket, in it by word.
+def pair_order(word: np.ndarray, context: np.ndarray, buckets: int) -> np.ndarray:
+    """Sorts pairs by bucket, in it by word and context; equal pairs come together, and any rows are sorted alike.
 
-    The sort key holds parts of the hashes: equal pairs may be left apart, which costs a row, not a count.
+    The key holds parts of the hashes; different pairs of one key are sorted by the whole hashes.
     """
     key = (pair_buckets(word, context, buckets) << np.uint64(52)) | (
         word.view(np.uint64) >> np.uint64(36) << np.uint64(24)) | (context.view(np.uint64) >> np.uint64(40))
     order = np.argsort(key)
+    key = key[order]
+    tied = np.flatnonzero(key[1:] == key[:-1])
+    a, b = order[tied], order[tied + 1]
+    mixed = tied[(word[a] != word[b]) | (context[a] != context[b])]
+    if len(mixed):
+        keys = np.unique(key[mixed])
+        lo, hi = np.searchsorted(key, keys), np.searchsorted(key, keys, side="right")
+        at = np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)
+        own = order[at]
+        order[at] = own[np.lexsort((context[own], word[own], key[at]))]
+    return order
+
+
+def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The different pairs in ``pair_order`` with summed ``n``."""
+    order = pair_order(word, context, buckets)
     word, context, n = word[order], context[order], n[order]
     first = _runs(word, context)
     return word[first], context[first], np.add.reduceat(n, first) if len(n) else n
 
 
-def _lexicon(word: np.ndarray, context: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """The words and contexts of pairs with their numbers as words and as contexts, by bucket and hash."""
+def _lexicon(word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words of pairs and ``START``, by bucket and hash; by pair the place of its word, and that of ``START``.
+
+    Other contexts are words too: each is the word of the pair before.
+    """
     first = _runs(word)  # the pairs lie by word inside their buckets
-    as_word = np.add.reduceat(n, first) if len(n) else n
-    h, place = np.unique(np.concatenate([word[first], context]), return_inverse=True)
-    count = lambda at, n: np.bincount(at, n, len(h)).astype(np.int64)
-    n, m = count(place[:len(first)], as_word), count(place[len(first):], n)
+    h, place = np.unique(np.r_[word[first], START], return_inverse=True)
     order = np.argsort(word_buckets(h, buckets), kind="stable")
-    return h[order], n[order], m[order]
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    place = rank[place]
+    return h[order], np.repeat(place[:-1], np.diff(np.r_[first, len(word)])), int(place[-1])
+
+
+def _by_chunk(b: pa.RecordBatch, *columns: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """A batch's chunks: the chunk, its rows and its tokens' columns."""
+    chunk = b.column("chunk").to_numpy()
+    names = np.unique(chunk)
+    for c in names.tolist():
+        rows = slice(None) if len(names) == 1 else chunk == c
+        own = rows if len(names) == 1 else np.repeat(rows, sizes)
+        yield c, rows, [x[own] for x in columns]
 
 
 REQUESTS = "bucket int, chunk long, w binary, ctx binary, n binary"
 
 
 def requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """A chunk's rows by bucket: its pairs with their numbers in training texts (twice that, one more if held-out texts
-    hold them); in the buckets from ``buckets`` on, its words with their numbers as words and as contexts."""
+    """A chunk's rows by bucket: its pairs with their numbers in training texts; in the buckets from ``buckets`` on, its
+    words with their numbers as words and as contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, list] = {}  # by chunk its merged pairs, then tokens still to be merged
+
+        def merged(parts: list) -> tuple[np.ndarray, ...]:
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            parts.clear()
+            return _pairs(*columns, buckets)
+
         for b in by_size(batches, "t"):
             word, context, sizes = tokens(b.column("t"))
-            chunk = b.column("chunk").to_numpy()
-            n = np.repeat(np.where(b.column("train").to_numpy(zero_copy_only=False), 1, HELD), sizes)
-            names = np.unique(chunk)
-            for c in names:
-                own = slice(None) if len(names) == 1 else np.repeat(chunk == c, sizes)
-                parts = held.setdefault(int(c), [])
-                parts.append(_pairs(word[own], context[own], n[own], buckets))
-                if len(parts) >= 4 and sum(len(x[0]) for x in parts[1:]) > len(parts[0][0]):  # merge as they pile up
-                    parts[:] = [_pairs(*(np.concatenate(x) for x in zip(*parts)), buckets)]
+            n = np.repeat(b.column("train").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            for c, _, columns in _by_chunk(b, word, context, n, sizes=sizes):
+                parts = held.setdefault(c, [])
+                parts.append(columns)
+                if sum(len(x[0]) for x in parts[1:]) > max(AT_ONCE, len(parts[0][0])):
+                    parts[:] = [merged(parts)]
         for c in list(held):
-            w, ctx, n = _pairs(*(np.concatenate(x) for x in zip(*held.pop(c))), buckets)
-            seen = n & (HELD - 1)
-            yield from rows(c, pair_buckets(w, ctx, buckets), w, ctx, 2 * seen + (n >= HELD), np.ndarray.tobytes)
-            h, n, m = _lexicon(w, ctx, seen, buckets)
+            w, ctx, n = merged(held.pop(c))
+            yield from rows(c, pair_buckets(w, ctx, buckets), w, ctx, n, np.ndarray.tobytes)
+            h, place, start = _lexicon(w, buckets)
+            n = np.bincount(place, n, len(h)).astype(np.int64)
+            m = np.where(h == END, 0, n)  # a word is the context of what follows it; as many texts start as end
+            m[start] = n[h == END].sum()
             yield from rows(c, word_buckets(h, buckets) + np.uint64(buckets), h, m, n, squeezed)
 
     def rows(chunk: int, bucket: np.ndarray, w: np.ndarray, ctx: np.ndarray, n: np.ndarray,
@@ -241,8 +276,8 @@ def _counts(rows: pa.Table, name: str) -> np.ndarray:
 def counted(asked: DataFrame, buckets: int) -> DataFrame:
     """A bucket's rows: ``REPEATED``: the pairs counted more than once (``a, b, c``: word, context, count; ``x``: how
     many have count 2, ``y``: all their counts), ``LEXICON``: its words (hash, numbers as word and as context; ``x``: how
-    many are counted as words, ``y``: their counts), and by chunk ``ASKED``: places in these lists (``a``) and the keys
-    of pairs counted once that its held-out texts hold (``b``)."""
+    many are counted as words, ``y``: their counts), and by chunk ``ASKED``: places in these lists (``a``); for every
+    pair it holds whether it is counted never, once or more often (``b``: 0, 1, 2), places only for the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
@@ -252,29 +287,27 @@ def counted(asked: DataFrame, buckets: int) -> DataFrame:
             out = []
             if bucket < buckets:
                 ctx = _hashes(rows, "ctx")
-                order = np.lexsort((ctx, w))
+                order = pair_order(w, ctx, buckets)
                 first = _runs(w[order], ctx[order])
-                c = np.add.reduceat(n[order] >> 1, first)
+                c = np.add.reduceat(n[order], first)
                 repeated = c > 1
                 group = np.empty(len(w), np.int64)
                 group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
-                place = np.where(repeated, np.cumsum(repeated) - 1, -1)[group]
-                once = (c == 1)[group] & (n & 1 == 1)
+                place, often = (np.cumsum(repeated) - 1)[group], np.minimum(c, 2)[group]
                 first = order[first[repeated]]
                 c = c[repeated]
                 out.append((REPEATED, None, w[first].tobytes(), ctx[first].tobytes(), squeezed(c),
                             int((c == 2).sum()), int(c.sum())))
                 for chunk, lo, hi in zip(chunks, [0, *cut[:-1]], cut):
-                    own, single = place[lo:hi], np.flatnonzero(once[lo:hi]) + lo
-                    out.append((ASKED, chunk, squeezed(np.diff(np.sort(own[own >= 0]), prepend=0)),
-                                pair_keys(w[single], ctx[single]).tobytes(), b"", 0, 0))
+                    own = place[lo:hi][often[lo:hi] == 2]
+                    out.append((ASKED, chunk, squeezed(np.diff(own, prepend=0)), squeezed(often[lo:hi], "u1"), b"", 0, 0))
             else:
                 h, place = np.unique(w, return_inverse=True)
                 n, m = (np.bincount(place, x, len(h)).astype(np.int64) for x in (n, _counts(rows, "ctx")))
                 out.append((LEXICON, None, h.tobytes(), squeezed(n), squeezed(m),
                             int((n > 0).sum()), int(n.sum())))
                 for chunk, lo, hi in zip(chunks, [0, *cut[:-1]], cut):
-                    out.append((ASKED, chunk, squeezed(np.diff(np.sort(place[lo:hi]), prepend=0)), b"", b"", 0, 0))
+                    out.append((ASKED, chunk, squeezed(np.diff(place[lo:hi], prepend=0)), b"", b"", 0, 0))
             kind, chunk, a, b, c, x, y = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(out), bucket, np.int32)), pa.array(kind, pa.int32()), pa.array(chunk, pa.int64()),
@@ -467,8 +500,9 @@ def seat_words(words: DataFrame, shared: Totals, number: int) -> DataFrame:
 
 
 def answers(lists: DataFrame, pairs: DataFrame, words: DataFrame, kept: int, buckets: int) -> DataFrame:
-    """``(chunk, kind, key, v)``, packed by bucket and chunk. A pair's ``v``: its customers and its tables in the kept
-    sweeps; a word's: its numbers as a word and as a context, then customers, tables, and tables as a context in each."""
+    """``(chunk, kind, bucket, a, b)``, packed in the order of the chunk's list. Of pairs: their customers, and for the
+    repeated ones their tables in the kept sweeps; of words: their numbers as a word and as a context, then customers,
+    tables, and tables as a context in each."""
     k = kept
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
     final = lambda df, ctx, *v: df.select(
@@ -478,7 +512,7 @@ def answers(lists: DataFrame, pairs: DataFrame, words: DataFrame, kept: int, buc
         "bucket", "kind", "chunk", "a", "b", "c", empty("w", "long"), empty("ctx", "long"), empty("v", "array<long>"))
     rows = rows.unionByName(final(pairs, "ctx", "c", "sum")).unionByName(final(
         words, empty("ctx", "long"), *[f"{c}_{i}" for c in ("c1", "t1", "tables") for i in range(k)]))
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "w", "ctx")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in by_bucket(batches):
@@ -488,7 +522,7 @@ def answers(lists: DataFrame, pairs: DataFrame, words: DataFrame, kept: int, buc
             v = seated.column("v").combine_chunks()
             v = (v.flatten().to_numpy() if len(w) else np.empty(0, np.int64)).reshape(-1, width).T
             if bucket < buckets:
-                key = pair_keys(w, seated.column("ctx").to_numpy())
+                v = v[:, pair_order(w, seated.column("ctx").to_numpy().astype(np.int64), buckets)]
             else:
                 listed = held.filter(pa.array(kind == LEXICON))
                 key, n, m = _hashes(listed, "a"), _counts(listed, "b"), _counts(listed, "c")
@@ -498,93 +532,115 @@ def answers(lists: DataFrame, pairs: DataFrame, words: DataFrame, kept: int, buc
                 v = whole
             out = []
             for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
-                at, once = np.cumsum(unsqueezed(a)), np.ones((len(v), len(b) // 8), np.int64)
-                out.append((key[at].tobytes() + b, squeezed(np.concatenate([v[:, at], once], 1).ravel())))
+                at = np.cumsum(unsqueezed(a))
+                if bucket < buckets:
+                    c = unsqueezed(b, "u1").astype(np.int64)
+                    c[c == 2] = v[0, at]
+                    out.append((squeezed(c), squeezed(v[1, at])))
+                else:
+                    out.append((squeezed(v[:, at].ravel()), b""))
             if out:
-                keys, values = zip(*out)
+                a, b = zip(*out)
+                fill = lambda x: pa.array(np.full(len(out), x, np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [asked.column("chunk").combine_chunks(), pa.array(np.full(len(out), PAIR if bucket < buckets else WORD, np.int32)),
-                     pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["chunk", "kind", "key", "v"])
+                    [asked.column("chunk").combine_chunks(), fill(PAIR if bucket < buckets else WORD), fill(bucket),
+                     pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["chunk", "kind", "bucket", "a", "b"])
 
-    return rows.mapInArrow(run, "chunk long, kind int, key binary, v binary")
+    return rows.mapInArrow(run, "chunk long, kind int, bucket int, a binary, b binary")
 
 
-def score_texts(docs: DataFrame, told: DataFrame, n_train: int, kept: list[Totals]) -> DataFrame:
-    """Texts meet the answers of their chunk: one shuffle, answers first."""
-    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    rows = told.select("chunk", "kind", "key", "v", empty("id", "long"), empty("t", "string"), empty("train", "boolean"))
-    rows = rows.unionByName(docs.select("chunk", F.lit(TEXT).alias("kind"), empty("key", "binary"), empty("v", "binary"),
-                                        "id", "t", "train"))
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
+PLACED = "chunk long, kind int, bucket int, a binary, b binary, ids array<long>"
+
+
+def placed(docs: DataFrame, buckets: int) -> DataFrame:
+    """A chunk's texts, packed: ``TEXT``: ids, tokens of each (``a``) and by token the place of its pair in the chunk's
+    list (``b``); ``NAMES``: by pair the place of its word in the chunk's words (``a``), and how many pairs and words
+    there are, and the place of ``START`` (``b``)."""
+
+    def row(c: int, kind: int, a: bytes, b: bytes, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c], pa.int64()), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([a], pa.binary()),
+             pa.array([b], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)],
+            names=["chunk", "kind", "bucket", "a", "b", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in by_size(batches, "t"):
+            word, _, sizes = tokens(b.column("t"))
+            for c, rows, (own,) in _by_chunk(b, word, sizes=sizes):
+                ids = b.column("id") if isinstance(rows, slice) else b.column("id").filter(pa.array(rows))
+                held.setdefault(c, []).append((own, sizes[rows], ids))
+        for c in list(held):
+            word, sizes, ids = zip(*held.pop(c))
+            word, sizes, ids = np.concatenate(word), np.concatenate(sizes), pa.concat_arrays(ids)
+            context = contexts(word, sizes)
+            order = pair_order(word, context, buckets)
+            sorted_word = word[order]
+            first = _runs(sorted_word, context[order])
+            place = np.empty(len(word), np.int32)
+            place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(word)]))
+            h, of_pair, start = _lexicon(sorted_word[first], buckets)
+            yield row(c, NAMES, squeezed(np.diff(of_pair, prepend=0), "<i4"), squeezed(np.array([len(first), len(h), start])),
+                      ids[:0])
+            ends = np.cumsum(sizes)
+            part = _runs((ends - 1) // PACKED)
+            for lo, hi in zip(part.tolist(), [*part[1:].tolist(), len(sizes)]):
+                own = slice(ends[lo] - sizes[lo], ends[hi - 1])
+                yield row(c, TEXT, squeezed(sizes[lo:hi]), squeezed(place[own], "<i4"), ids[lo:hi])
+
+    return docs.select("chunk", "id", "t").mapInArrow(run, PLACED)
+
+
+def score_texts(docs: DataFrame, told: DataFrame, n_train: int, kept: list[Totals], buckets: int) -> DataFrame:
+    """Texts meet the answers of their chunk: one shuffle, answers first and by bucket, as the chunk's lists lie."""
+    rows = told.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(placed(docs, buckets))
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
     k, discount, base = len(kept), kept[-1].discount, n_train + 0.5 * (kept[-1].words + 1)
 
-    def table(waiting: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys and their numbers."""
-        key, v = ([np.empty(0, np.int64)], [np.empty((width, 0), np.int64)])
-        for x, y in waiting:
-            key.append(np.frombuffer(x, "<i8"))
-            v.append(unsqueezed(y).reshape(width, -1))
-        key, v = np.concatenate(key), np.concatenate(v, 1)
-        order = np.argsort(key)
-        return key[order], v[:, order]
-
-    def shares(v: np.ndarray) -> np.ndarray:
+    def shares(told: list) -> np.ndarray:
         """Of pairs: their customers less discounts."""
-        return np.where(v[0] == 1, 1.0 - discount, v[0] - discount / k * v[1])
+        c, tables = (np.concatenate([np.empty(0, np.int64), *map(unsqueezed, x)]) for x in zip(*told))
+        often = c > 1
+        out = np.where(c == 1, 1.0 - discount, 0.0)
+        out[often] = c[often] - discount / k * tables
+        return out
 
-    def of_words(v: np.ndarray) -> np.ndarray:
-        """A word's count and unigram probability in each kept sweep; as a context, 1 over its customers and the strength,
-        and what it leaves to the parent in each."""
+    def of_words(told: list) -> np.ndarray:
+        """A word's part of the base, its unigram probability in each kept sweep; as a context, 1 over its customers and
+        the strength, and what it leaves to the parent in each; last, whether it is known."""
+        v = np.concatenate([unsqueezed(a).reshape(2 + 3 * k, -1) for a, _ in told], 1)
         n, m = v[:2]
         return np.stack(
-            [n, *[x.unigram(v[2 + i], v[2 + k + i]) for i, x in enumerate(kept)], 1 / (m + STRENGTH),
-             *[(STRENGTH + discount * v[2 + 2 * k + i]) / (m + STRENGTH) for i in range(k)]], 1)
-
-    def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(keys, wanted)
-        if len(wanted) and (at.max() >= len(keys) or (keys[at] != wanted).any()):
-            raise RuntimeError("a text meets a chunk that did not ask for its words")
-        return at
+            [np.log10((n + 0.5) / base), *[x.unigram(v[2 + i], v[2 + k + i]) for i, x in enumerate(kept)],
+             1 / (m + STRENGTH), *[(STRENGTH + discount * v[2 + 2 * k + i]) / (m + STRENGTH) for i in range(k)], n > 0], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, waiting, tables = None, None, None
-        for whole in by_size(batches, "t"):
-            chunks, kinds = _numbers(whole, "chunk", "kind")
-            cut = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(chunks)]):
-                b = whole if hi - lo == whole.num_rows else whole.take(pa.array(np.arange(lo, hi)))
-                if not b.num_rows:
+        for b in batches:
+            for c, kind, a, v, ids in zip(*(b.column(x).to_pylist() for x in ("chunk", "kind", "a", "b")), b.column("ids")):
+                if c != chunk:
+                    chunk, waiting, tables = c, ([], []), None
+                if kind in (PAIR, WORD):
+                    waiting[kind].append((a, v))
                     continue
-                if chunks[lo] != chunk:
-                    chunk, waiting, tables = chunks[lo], ([], []), None
-                if kinds[lo] != TEXT:
-                    waiting[kinds[lo]].extend(zip(b.column("key").to_pylist(), b.column("v").to_pylist()))
+                if kind == NAMES:
+                    *many, start = unsqueezed(v).tolist()
+                    tables = shares(waiting[PAIR]), of_words(waiting[WORD]), np.cumsum(unsqueezed(a, "<i4")), start
+                    waiting = None
+                    if many != [len(x) for x in tables[:2]]:
+                        raise RuntimeError("a text meets a chunk that did not ask for its words")
                     continue
-                if tables is None:
-                    (pairs, own), (words, of_word) = table(waiting[PAIR], 2), table(waiting[WORD], 2 + 3 * k)
-                    tables, waiting = (pairs, shares(own), words, of_words(of_word)), None
-                pairs, own, words, of_word = tables
-                word, context, sizes = tokens(b.column("t"))
+                share, of_word, names, start = tables
+                sizes, pair = unsqueezed(a), unsqueezed(v, "<i4")
                 first = np.cumsum(sizes) - sizes
-                w = find(words, word)
+                w = names[pair]
                 x = np.r_[0, w[:-1]]  # a context is the word before
-                x[first] = find(words, np.array([START]))
+                x[first] = start
                 p = sum(of_word[w, i] * of_word[x, k + 1 + i] for i in range(1, k + 1)) / k
-                share = np.repeat(np.where(_numbers(b, "train")[0].astype(bool), 1.0 - discount, 0.0), sizes)
-                if len(pairs):
-                    key = pair_keys(word, context)
-                    order = np.argsort(key)  # in order, the search stays in the processor's cache
-                    key = key[order]
-                    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    told = np.flatnonzero(pairs[at] == key)
-                    share[order[told]] = own[at[told]]
-                p += share * of_word[x, k + 1]
-                c = of_word[w, 0]
+                p += share[pair] * of_word[x, k + 1]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(sizes),
-                     pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
-                     pa.array(np.add.reduceat(np.log10((c + 0.5) / base), first)),
-                     pa.array(np.add.reduceat(np.log10(p), first))],
+                    [ids.values, pa.array(sizes), pa.array(np.add.reduceat(of_word[w, 2 * k + 2] > 0, first, dtype=np.int64)),
+                     pa.array(np.add.reduceat(of_word[w, 0], first)), pa.array(np.add.reduceat(np.log10(p), first))],
                     names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     return rows.mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
@@ -660,7 +716,7 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     told = stored(answers(lists, pairs, words, len(kept), buckets), "lm-answers")
     dropped(spark, lists, pairs, words)
     release(spark)
-    scored = score_texts(data, told, n_train, kept)
+    scored = score_texts(data, told, n_train, kept, buckets)
     return scored.select(
         F.col("id").alias(id_col), (~training_part(F.col("id"), parts, part)).alias("held_out"), "n_tokens", "n_known",
         F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
