@@ -397,3 +397,34 @@ def test_numbers_are_squeezed_without_loss():
     x = np.array([0, 1, -1, 2**62, 300, 7], np.int64)
     assert (L.unsqueezed(L.squeezed(x)) == x).all() and L.squeezed(x[:0]) == b"" and len(L.unsqueezed(b"")) == 0
     assert len(L.squeezed(np.ones(10000, np.int64))) < 200
+
+
+def test_dishes_of_many_batches_are_seated_together():
+    """A frequent dish takes over a hundred steps: Arrow's batches of 10,000 rows would each take them alone."""
+    rows = [pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + 10_000))], names=["w"]) for k in range(0, 400_000, 10_000)]
+    out = list(L.together(iter([rows[0].slice(0, 0), *rows])))
+    assert [x for b in out for x in b.column("w").to_pylist()] == list(range(400_000))
+    assert len(out) <= 4 and max(b.num_rows for b in out) < L.SEATED + 10_000
+    assert list(L.together(iter([]))) == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000, (1 << 24) + 1])
+def test_keys_are_sorted_as_whole_numbers(n):
+    """By all 64 bits, also keys that differ in the lower or the upper ones only, and the highest numbers."""
+    rng = np.random.default_rng(9)
+    key = rng.integers(0, 4, n).astype(np.uint64) << np.uint64(62) | rng.integers(0, 3, n).astype(np.uint64) << np.uint64(23)
+    order = L._order(key)
+    assert (np.bincount(order, minlength=n) == 1).all() and (key[order] == np.sort(key)).all()
+
+
+def test_hashes_of_words_depend_on_their_bytes_only():
+    """Not on the spaces behind them, their case or the texts beside them, below and above the kept random numbers."""
+    words = ["a", "b" * 63, "b" * 64, "b" * 65, "Q" * 200, "\u00e9" * 40]
+    alone = {w: int(L.tokens(pa.array([w.lower()]))[0][0]) for w in words}
+    assert len(set(alone.values())) == len(words)
+    for space in (" ", "\t \x0b", " " * 64, "\n" * 300):
+        texts = pa.array([space + space.join(words) + space, None, space.join(words[::-1]), space])
+        for own in (texts, texts.slice(2, 2)):
+            got, context, sizes = L.tokens(own)
+            want = [x for t in own.to_pylist() for x in [*map(alone.get, (t or "").split()), L.END]]
+            assert got.tolist() == want and sizes.sum() == len(want)

@@ -65,12 +65,16 @@ REPEATED, LEXICON, ASKED = range(3)  # kinds of a bucket's stored rows: its pair
 BUCKETS, BUCKETS_A_CHUNK, SALTS = 4096, 16, 8
 AT_ONCE = 1 << 22  # tokens of a chunk that are sorted together before their pairs are merged with earlier ones
 PACKED = 1 << 19  # tokens of texts that are packed together
+SEATED = 1 << 17  # dishes that are seated together
+HASHED = 1 << 20  # bytes of texts that are hashed together
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint64) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint64)
 _PLACES = 64  # places of a word whose random numbers are kept
-_NUMBERS = scramble((np.arange(_PLACES, dtype=np.uint64)[:, None] << np.uint64(8)) | _LOWER).ravel()
+_NUMBERS = scramble((np.arange(_PLACES, dtype=np.uint64)[:, None] << np.uint64(8)) | _LOWER)
+_NUMBERS[:, _SPACE] = 0  # the spaces after a word add nothing
+_NUMBERS = _NUMBERS.ravel()
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,12 +94,15 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.flatnonzero(first[:-1] & ~space)
     words = np.empty(0, np.uint64)
     if len(start):
-        place = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
-        at, far = (place << 8) | data[start[0]:], place >= _PLACES
-        x = _NUMBERS[np.minimum(at, len(_NUMBERS) - 1)]
-        if far.any():
-            x[far] = scramble((place[far].astype(np.uint64) << np.uint64(8)) | _LOWER[at[far] & 255])
-        x[space[start[0]:]] = 0
+        long = np.diff(np.r_[start, len(data)])  # with the spaces behind
+        at = np.arange(start[0] << 8, len(data) << 8, 256)  # place in the word and byte
+        at -= np.repeat(start << 8, long)
+        at += data[start[0]:]
+        x = _NUMBERS.take(at, mode="clip")
+        if long.max() > _PLACES:
+            far = np.flatnonzero(at >= len(_NUMBERS))
+            byte = at[far] & 255
+            x[far] = np.where(_SPACE[byte], np.uint64(0), scramble((at[far] - byte).view(np.uint64) | _LOWER[byte]))
         words = scramble(np.add.reduceat(x, start - start[0]))
     sizes = np.diff(np.searchsorted(start, cut)) + 1
     ends = np.cumsum(sizes)
@@ -145,6 +152,17 @@ def word_buckets(word: np.ndarray, buckets: int) -> np.ndarray:
     return scramble(word.view(np.uint64)) % np.uint64(buckets)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Sorts 64-bit keys as ``argsort`` does. Numbers alone sort faster than places do: twice, by the key's lower 24 bits,
+    then by the others, each with the place behind it."""
+    if len(key) > 1 << 24:
+        return np.argsort(key)
+    low, bits = np.uint64((1 << 24) - 1), np.uint64(24)
+    places = np.arange(len(key), dtype=np.uint64)
+    order = (np.sort((key & low) << bits | places) & low).view(np.int64)
+    return order[(np.sort(key[order] & ~low | places) & low).view(np.int64)]
+
+
 def pair_order(word: np.ndarray, context: np.ndarray, buckets: int) -> np.ndarray:
     """Sorts pairs by bucket, in it by word and context; equal pairs come together, and any rows are sorted alike.
 
@@ -152,7 +170,7 @@ def pair_order(word: np.ndarray, context: np.ndarray, buckets: int) -> np.ndarra
     """
     key = (pair_buckets(word, context, buckets) << np.uint64(52)) | (
         word.view(np.uint64) >> np.uint64(36) << np.uint64(24)) | (context.view(np.uint64) >> np.uint64(40))
-    order = np.argsort(key)
+    order = _order(key)
     key = key[order]
     tied = np.flatnonzero(key[1:] == key[:-1])
     a, b = order[tied], order[tied + 1]
@@ -213,7 +231,7 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
             parts.clear()
             return _pairs(*columns, buckets)
 
-        for b in by_size(batches, "t"):
+        for b in by_size(batches, "t", HASHED):
             word, context, sizes = tokens(b.column("t"))
             n = np.repeat(b.column("train").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             for c, _, columns in _by_chunk(b, word, context, n, sizes=sizes):
@@ -457,6 +475,19 @@ def _numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``SEATED``: a frequent dish takes many steps, which a batch takes together."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= SEATED:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 PAIRS = "bucket int, w long, ctx long, c long, t long, sum long"
 
 
@@ -464,7 +495,7 @@ def sweep(pairs: DataFrame, words: DataFrame, shared: Totals, number: int, keep:
     """The pairs seated anew; ``sum``: their tables in the kept sweeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in together(batches):
             c, t, total, tables, c1, t1 = _numbers(b, "c", "t", "sum", "tables", "c1", "t1")
             t = seat_pairs(c, t, tables, c1, t1, shared, Draws(2 * number, *_numbers(b, "w", "ctx")))
             yield pa.RecordBatch.from_arrays(
@@ -490,7 +521,7 @@ def seat_words(words: DataFrame, shared: Totals, number: int) -> DataFrame:
     """The customers ``c1`` of the unigram restaurant seated anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in together(batches):
             c1, t1 = _numbers(b, "c1", "t1")
             weight = lambda at, own: (STRENGTH + shared.discount1 * (shared.tables1 - t1[at] + own)) * shared.floor  # noqa: B023, E731
             t1 = pa.array(seat(c1, weight, shared.discount1, Draws(2 * number + 1, *_numbers(b, "w"))))
@@ -565,7 +596,7 @@ def placed(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for b in by_size(batches, "t"):
+        for b in by_size(batches, "t", HASHED):
             word, _, sizes = tokens(b.column("t"))
             for c, rows, (own,) in _by_chunk(b, word, sizes=sizes):
                 ids = b.column("id") if isinstance(rows, slice) else b.column("id").filter(pa.array(rows))
